@@ -1,0 +1,5 @@
+"""Intentionally empty: the analytics covered here are batch over a fixed cut-off date.
+
+There is no late data, watermark or incremental state to express, so no streaming
+operator is offered.
+"""

@@ -1 +1,10 @@
+"""Registered queries, grouped by theme."""
 
+from importlib import import_module
+
+MODULES = ["core_queries"]
+
+
+def load_all() -> None:
+    for m in MODULES:
+        import_module(f"reprise.plans.{m}")

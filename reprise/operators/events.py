@@ -39,18 +39,16 @@ def item_class() -> Column:
 def appointments(agenda: DataFrame, visit_columns: list[str] | None = None) -> DataFrame:
     """One row per ``schedule_id`` with item flags and the first non-null visit attributes.
 
-    "First" follows the service number (missing last), then item name, type and the value itself,
-    so the result does not depend on row order. Both the de-duplication and the collapse combine
-    map-side, so a booking with very many items never lands in one task whole.
+    "First" follows the service number (missing last) and then the value itself, so the result does
+    not depend on row order. Both the de-duplication and the collapse combine map-side, so a booking
+    with very many items never lands in one task whole.
     """
     cols = visit_columns or fv.VISIT_COLUMNS
-    items = agenda.dropDuplicates()
-    rank = F.struct(F.col("ServiceMaintenance").isNull().alias("a"), F.col("ServiceMaintenance").alias("b"),
-                    F.coalesce("ServiceName", F.lit("~")).alias("c"), F.coalesce("ServiceType", F.lit("~")).alias("d"))
+    items = agenda.dropDuplicates().withColumn("_rank", F.coalesce("ServiceMaintenance", F.lit(float("inf"))))
 
     def first_known(c: str) -> Column:
         value = F.col(c)
-        return F.min(F.when(value.isNotNull(), F.struct(rank.alias("r"), value.alias("v")))).getField("v").alias(c)
+        return F.min(F.when(value.isNotNull(), F.struct("_rank", value.alias("v")))).getField("v").alias(c)
 
     kind = F.coalesce("ServiceType", F.lit(""))
     maint = item_is_maintenance()

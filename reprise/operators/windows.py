@@ -10,6 +10,7 @@ from reprise.functions.columns import clip, flag, literal_map
 from reprise.operators.asof import asof_join
 from reprise.operators.events import maintenance_events, vehicle_master
 from reprise.operators.stats import exact_percentiles
+from reprise.runtime import cut_lineage
 from reprise.params import DAYS_PER_YEAR, DataSpan, SaleRules, WindowParams
 
 WINDOW_COLUMNS = [
@@ -178,7 +179,9 @@ def anchors_with_rates(appt: DataFrame, sales: DataFrame, params: WindowParams,
 def build_windows(appt: DataFrame, sales: DataFrame, params: WindowParams = WindowParams(),
                   span: DataSpan = DataSpan(), rules: SaleRules = SaleRules()) -> DataFrame:
     """One row per vehicle and scoring date with label and status."""
-    w = due_dates(rate_with_fallback(anchors_with_rates(appt, sales, params, span, rules)), params)
+    # read several times below (two medians and the windows): materialised once
+    rated = cut_lineage(anchors_with_rates(appt, sales, params, span, rules))
+    w = due_dates(rate_with_fallback(rated), params)
     w = label_and_status(w, params, span)
     # two anchors on one scoring date: the later anchor rules
     newest = Window.partitionBy("vehicle_id", "scoring_date").orderBy(F.col("anchor_date").desc(), F.col("anchor_type").desc())

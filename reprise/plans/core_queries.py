@@ -54,3 +54,27 @@ def maintenance_events(t: Tables):
        "status s, label_churn d, label_no_visit d, last_dealer_id s", "SELECT * FROM windows", "windows")
 def due_windows(t: Tables):
     return t.windows()
+
+
+_F = {
+    "features_counts": "n_maint i, n_completed i, n_no_os i, n_noshow i, n_cancel i, n_appts i, n_recall i, n_diag i, n_repair i, "
+                       "n_guarantee i, n_fordpass i, n_web_or_app i, n_pud i, n_mobile i, n_fixed_price i, n_reschedule i, "
+                       "n_hard_cancel i, n_return_visits i, n_towing i, n_customer_changes i, n_dealer_changes i",
+    "features_last_event": "last_status s, last_source s, last_dealer_zone s, last_days_in_dealer d, days_since_last_appt i, "
+                           "days_since_last_noshow i, days_since_last_cancel i, days_since_last_visit i, last_km d, days_since_last_km i",
+    "features_last_maintenance": "last_maint_km d, last_maint_number d, last_maint_source s, last_maint_dealer s, "
+                                 "last_maint_days_in_dealer d, last_maint_fixed_price i, last_maint_pud i, "
+                                 "last_maint_customer_waiting i, days_since_last_maint i",
+    "features_intervals": "last_interval_days d, last_interval_km d, mean_interval_days d, std_interval_days d, "
+                          "n_intervals_known i, n_numbering_jumps i",
+    "features_surveys": "n_surveys i, min_rating d, last_rating d, mean_rating d, days_since_last_survey i",
+    "features_static": "generation s, model_year d, tma s, connected_status s, region s, in_sales i, person_type s, business_unit s, "
+                       "sales_channel s, sales_state s, vehicle_age_days i, vehicle_age_years d, is_buyer i, same_dealer_as_sale i, "
+                       "months_observable d",
+    "features_fleet": "customer_id s, fleet_size_sales i, n_vehicles_customer_agenda i",
+    "features_geometry": "days_anchor_to_due i, km_per_year d, km_expected_at_scoring d, last_maint_late_days d, last_maint_km_vs_plan d, "
+                         "last_interval_km_vs_k d, days_to_due_at_scoring i, noshow_rate d, cancel_rate d, fordpass_share d, "
+                         "maint_per_year_observed d, scoring_month i, is_first_service i",
+}
+for _name, _spec in _F.items():
+    query(_name, "window_id s, " + _spec, "SELECT * FROM features", "features")(lambda t: t.features())

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reprise import fixed_values as fv
 from reprise.operators.events import appointments, maintenance_events, vehicle_master
 from reprise.operators.features import build_features
 from reprise.operators.windows import build_windows
 from reprise.params import BusinessParams, ContactPolicy, DataSpan, SaleRules, SplitParams, WindowParams
+from reprise.runtime import stage_table
 
 SPAN = DataSpan(start=dt.date(1995, 1, 1), cutoff=dt.date(2001, 2, 28))
 RULES = SaleRules(model="PICKUP", min_delivery="1993-01-01", generation_new="BUILDING", generation_old="MACHINERY")
@@ -143,8 +144,12 @@ class Tables:
     def sales(self) -> DataFrame:
         return self.raw("customer").selectExpr(*[f"{e} AS {c}" for c, e in SALES.items()])
 
+    def stage(self, name: str, build) -> DataFrame:
+        """Stage table of this session and folder: written once, then read with pruning and pushdown."""
+        return stage_table(self.spark, f"{self.folder}#{name}", build)
+
     def appt(self) -> DataFrame:
-        return appointments(self.agenda())
+        return self.stage("appt", lambda: appointments(self.agenda()))
 
     def master(self) -> DataFrame:
         return vehicle_master(self.appt(), self.sales(), RULES)
@@ -152,14 +157,12 @@ class Tables:
     def maint(self) -> DataFrame:
         return maintenance_events(self.appt(), PARAMS)
 
-    def windows(self, params: WindowParams = PARAMS) -> DataFrame:
-        return build_windows(self.appt(), self.sales(), params, SPAN, RULES)
+    def windows(self) -> DataFrame:
+        return self.stage("windows", lambda: build_windows(self.appt(), self.sales(), PARAMS, SPAN, RULES))
 
     def features(self) -> DataFrame:
-        from pyspark.sql import functions as F
-        appt, sales = self.appt(), self.sales()
-        w = build_windows(appt, sales, PARAMS, SPAN, RULES).where(F.col("status") == "evaluable")
-        return build_features(w, appt, sales, RULES)
+        return self.stage("features", lambda: build_features(
+            self.windows().where(F.col("status") == "evaluable"), self.appt(), self.sales(), RULES))
 
 
 AGENDA_SQL = ("SELECT " + ",\n ".join(f"{e} AS {c}" for c, e in AGENDA.items())
@@ -167,8 +170,7 @@ AGENDA_SQL = ("SELECT " + ",\n ".join(f"{e} AS {c}" for c, e in AGENDA.items())
                 "\nLEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey")
 SALES_SQL = "SELECT " + ",\n ".join(f"{e} AS {c}" for c, e in SALES.items()) + "\nFROM customer"
 
-_FIRST = ("first({c} ORDER BY (ServiceMaintenance IS NULL), ServiceMaintenance, coalesce(ServiceName, '~'), "
-          "coalesce(ServiceType, '~'), {c}) FILTER (WHERE {c} IS NOT NULL) AS {c}")
+_FIRST = "first({c} ORDER BY ServiceMaintenance NULLS LAST, {c}) FILTER (WHERE {c} IS NOT NULL) AS {c}"
 _MAINT_ITEM = "(ServiceMaintenance IS NOT NULL OR coalesce(regexp_matches(ServiceName, 'Maintenance (?:service|review)'), false))"
 APPT_SQL = f"""
 WITH d AS (SELECT DISTINCT * FROM agenda), g AS (
@@ -272,6 +274,78 @@ SELECT concat(vehicle_id, '_', strftime(scoring_date, '%Y%m%d')) AS window_id, v
  dl AS last_dealer_id
 FROM a9 LEFT JOIN cu ON v = vehicle_id AND sd = scoring_date"""
 
+FEATURES_SQL = """
+WITH a0 AS (SELECT *, CASE WHEN VehicleCurrentKM BETWEEN 100 AND 1000000 THEN VehicleCurrentKM END AS k FROM appt WHERE vehicle_id IS NOT NULL),
+a1 AS (SELECT *, CASE WHEN k IS NOT NULL THEN max(k) OVER w END AS run, row_number() OVER w AS pos,
+  lag(customer_id) OVER w AS pc, lag(dealer_id) OVER w AS pdl FROM a0 WINDOW w AS (PARTITION BY vehicle_id ORDER BY event_date, schedule_id)),
+a2 AS (SELECT *, lag(run) OVER (PARTITION BY vehicle_id ORDER BY pos) AS prun FROM a1),
+a AS (SELECT *, CASE WHEN prun IS NULL OR k >= prun THEN k END AS km_event,
+  coalesce(customer_id <> pc, false) AS owner_change, pdl IS NOT NULL AND dealer_id IS DISTINCT FROM pdl AS dealer_change FROM a2),
+m0 AS (SELECT *, lag(maint_number) OVER w AS pn, lag(event_date) OVER w AS pd FROM a WHERE is_completed_maintenance
+ WINDOW w AS (PARTITION BY vehicle_id ORDER BY pos)),
+m1 AS (SELECT *, lag(event_date) OVER w AS kd, lag(km_event) OVER w AS kk, lag(maint_number) OVER w AS kn FROM m0
+ WHERE NOT coalesce(event_date - pd <= 30 AND maint_number = pn, false) WINDOW w AS (PARTITION BY vehicle_id ORDER BY pos)),
+m AS (SELECT *, CAST(event_date - kd AS DOUBLE) AS iv, CASE WHEN km_event - kk > 0 THEN km_event - kk END AS ikm, maint_number - kn >= 2 AS jump FROM m1),
+w AS (SELECT * FROM windows WHERE status = 'evaluable'),
+h AS (SELECT w.window_id,
+  count(*) FILTER (WHERE is_completed_maintenance) AS n_maint, count(*) FILTER (WHERE completed) AS n_completed,
+  count(*) FILTER (WHERE completed_no_os) AS n_no_os, count(*) FILTER (WHERE no_show) AS n_noshow, count(*) FILTER (WHERE cancelled) AS n_cancel,
+  count(*) AS n_appts, count(*) FILTER (WHERE completed AND has_recall) AS n_recall, count(*) FILTER (WHERE completed AND has_diag) AS n_diag,
+  count(*) FILTER (WHERE completed AND has_repair) AS n_repair, count(*) FILTER (WHERE completed AND has_guarantee) AS n_guarantee,
+  count(*) FILTER (WHERE ScheduleSource = 'FordPass') AS n_fordpass, count(*) FILTER (WHERE ScheduleSource IN ('FordPass', 'WEB', 'Mobile')) AS n_web_or_app,
+  count(*) FILTER (WHERE completed AND has_pud) AS n_pud, count(*) FILTER (WHERE completed AND has_mobile) AS n_mobile,
+  count(*) FILTER (WHERE completed AND has_fixed_price) AS n_fixed_price, count(*) FILTER (WHERE IsReschedule = 'Y') AS n_reschedule,
+  count(*) FILTER (WHERE cancelled AND IsReschedule = 'N') AS n_hard_cancel, count(*) FILTER (WHERE ScheduleReturn = 'Y') AS n_return_visits,
+  count(*) FILTER (WHERE NeededTowing = 'Y') AS n_towing, count(*) FILTER (WHERE owner_change) AS n_customer_changes,
+  count(*) FILTER (WHERE dealer_change) AS n_dealer_changes,
+  last(StatusARG ORDER BY pos) AS last_status, last(ScheduleSource ORDER BY pos) AS last_source, last(DealerStateOrZone ORDER BY pos) AS last_dealer_zone,
+  last(CASE WHEN DaysInDealer < 0 THEN 0 ELSE DaysInDealer END ORDER BY pos) AS last_days_in_dealer,
+  max(scoring_date) - max(event_date) AS days_since_last_appt,
+  max(scoring_date) - max(event_date) FILTER (WHERE no_show) AS days_since_last_noshow,
+  max(scoring_date) - max(event_date) FILTER (WHERE cancelled) AS days_since_last_cancel,
+  max(scoring_date) - max(event_date) FILTER (WHERE completed) AS days_since_last_visit,
+  last(km_event ORDER BY pos) FILTER (WHERE km_event IS NOT NULL) AS last_km,
+  max(scoring_date) - max(event_date) FILTER (WHERE km_event IS NOT NULL) AS days_since_last_km
+ FROM w JOIN a ON a.vehicle_id = w.vehicle_id AND a.event_date < w.scoring_date GROUP BY 1),
+hm AS (SELECT w.window_id, max(scoring_date) - max(event_date) AS days_since_last_maint, last(km_event ORDER BY pos) AS last_maint_km,
+  last(maint_number ORDER BY pos) AS last_maint_number, last(ScheduleSource ORDER BY pos) AS last_maint_source, last(m.dealer_id ORDER BY pos) AS last_maint_dealer,
+  last(CASE WHEN DaysInDealer < 0 THEN 0 ELSE DaysInDealer END ORDER BY pos) AS last_maint_days_in_dealer,
+  last(CAST(has_fixed_price AS INTEGER) ORDER BY pos) AS last_maint_fixed_price, last(CAST(has_pud AS INTEGER) ORDER BY pos) AS last_maint_pud,
+  last(CAST(coalesce(CustomerWaiting = 'Y', false) AS INTEGER) ORDER BY pos) AS last_maint_customer_waiting,
+  last(iv ORDER BY pos) AS last_interval_days, last(ikm ORDER BY pos) AS last_interval_km, count(iv) AS n_int, avg(iv) AS mean_interval_days,
+  CASE WHEN count(iv) > 1 THEN sqrt(greatest(sum(iv * iv) / count(iv) - avg(iv) * avg(iv), 0)) END AS std_interval_days,
+  count(*) FILTER (WHERE jump) AS jumps
+ FROM w JOIN m ON m.vehicle_id = w.vehicle_id AND m.event_date < w.scoring_date GROUP BY 1),
+hs AS (SELECT w.window_id, count(*) AS n_surveys, min(SurveyStarRating) AS min_rating, last(SurveyStarRating ORDER BY SurveyResponseDate, pos) AS last_rating,
+  avg(SurveyStarRating) AS mean_rating, max(scoring_date) - max(SurveyResponseDate) AS days_since_last_survey
+ FROM w JOIN a ON a.vehicle_id = w.vehicle_id AND SurveyResponseDate < w.scoring_date GROUP BY 1),
+fl AS (SELECT w.window_id, count(*) AS n FROM w JOIN sales s ON s.customer_id = w.customer_id AND s.SalesDate < w.scoring_date GROUP BY 1),
+cv AS (SELECT w.window_id, count(DISTINCT x.vehicle_id) AS n FROM w JOIN appt x ON x.customer_id = w.customer_id AND x.vehicle_id IS NOT NULL
+  AND x.event_date < w.scoring_date GROUP BY 1),
+z AS (SELECT w.*, h.* EXCLUDE (window_id, n_maint, n_completed, n_no_os, n_noshow, n_cancel, n_appts, n_recall, n_diag, n_repair, n_guarantee, n_fordpass,
+   n_web_or_app, n_pud, n_mobile, n_fixed_price, n_reschedule, n_hard_cancel, n_return_visits, n_towing, n_customer_changes, n_dealer_changes),
+  COUNTS, hm.* EXCLUDE (window_id, n_int, jumps), coalesce(n_int, 0) AS n_intervals_known, coalesce(jumps, 0) AS n_numbering_jumps,
+  coalesce(hs.n_surveys, 0) AS n_surveys, min_rating, last_rating, mean_rating, days_since_last_survey,
+  coalesce(fl.n, 0) AS fleet_size_sales, coalesce(cv.n, 0) AS n_vehicles_customer_agenda,
+  vm.warranty_start, vm.generation, vm.model_year, vm.tma, vm.connected_status, vm.region, vm.person_type, vm.business_unit, vm.sales_channel,
+  vm.sales_state, vm.sales_dealer_id, coalesce(vm.in_sales, false) AS was_sold, vm.sales_customer_id AS buyer
+ FROM w LEFT JOIN h USING (window_id) LEFT JOIN hm USING (window_id) LEFT JOIN hs USING (window_id) LEFT JOIN fl USING (window_id)
+ LEFT JOIN cv USING (window_id) LEFT JOIN vm ON vm.vehicle_id = w.vehicle_id)
+SELECT *, greatest(scoring_date - warranty_start, CASE WHEN warranty_start IS NOT NULL THEN 0 END) AS vehicle_age_days,
+ greatest(scoring_date - warranty_start, CASE WHEN warranty_start IS NOT NULL THEN 0 END) / 365.25 AS vehicle_age_years,
+ CAST(was_sold AS INTEGER) AS in_sales, CAST(coalesce(customer_id = buyer, false) AS INTEGER) AS is_buyer,
+ CAST(coalesce(last_maint_dealer = sales_dealer_id, false) AS INTEGER) AS same_dealer_as_sale, history_days / 30.44 AS months_observable,
+ due_date - anchor_date AS days_anchor_to_due, km_rate_per_day * 365.25 AS km_per_year,
+ anchor_km + km_rate_per_day * (scoring_date - anchor_date) AS km_expected_at_scoring, last_interval_days - 365 AS last_maint_late_days,
+ last_maint_km - k_gen * last_maint_number AS last_maint_km_vs_plan, last_interval_km / k_gen AS last_interval_km_vs_k,
+ due_date - scoring_date AS days_to_due_at_scoring, CASE WHEN n_appts > 0 THEN n_noshow / n_appts END AS noshow_rate,
+ CASE WHEN n_appts > 0 THEN n_cancel / n_appts END AS cancel_rate, CASE WHEN n_appts > 0 THEN n_fordpass / n_appts END AS fordpass_share,
+ n_maint / (greatest(history_days, 30) / 365.25) AS maint_per_year_observed, month(scoring_date) AS scoring_month,
+ CAST(anchor_type = 'warranty' AS INTEGER) AS is_first_service
+FROM z""".replace("COUNTS", ", ".join(f"coalesce(h.{c}, 0) AS {c}" for c in (
+    "n_maint n_completed n_no_os n_noshow n_cancel n_appts n_recall n_diag n_repair n_guarantee n_fordpass n_web_or_app n_pud n_mobile "
+    "n_fixed_price n_reschedule n_hard_cancel n_return_visits n_towing n_customer_changes n_dealer_changes").split()))
+
 CTES: dict[str, tuple[list[str], str]] = {
     "agenda": ([], AGENDA_SQL),
     "sales": ([], SALES_SQL),
@@ -281,6 +355,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "maint_split": (["maint_days"], SPLIT_SQL),
     "maint": (["maint_split"], MAINT_SQL),
     "windows": (["maint", "vm", "appt"], WINDOWS_SQL),
+    "features": (["windows"], FEATURES_SQL),
 }
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_STAGES: dict[tuple[str, str], str] = {}
+
+
+def stage_table(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Parquet stage cut in the shared folder, built on first use in this application.
+
+    Later stages read it back with column pruning and filter pushdown instead of recomputing it.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STAGES:
+        ensure_checkpoint_dir(spark)
+        path = f"{spark.sparkContext.getCheckpointDir()}/stages/{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _STAGES[key] = path
+    return spark.read.parquet(_STAGES[key])

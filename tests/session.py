@@ -11,7 +11,7 @@ def make_session(cores: str | None = None) -> SparkSession:
              .config("spark.sql.shuffle.partitions", cores if cores != "*" else "8")
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.driver.memory", "8g")
-             .config("spark.ui.enabled", "false")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -17,31 +17,31 @@ _LOCAL_BITS = 33                  # monotonically_increasing_id: partition << 33
 def number_rows(df: DataFrame, order: list[Column], alias: str = "rn") -> DataFrame:
     """Add the 1-based global position under ``order`` (end it with a unique column)."""
     spot = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-            .withColumn("_mid", F.monotonically_increasing_id()))
+            .withColumn("__mid", F.monotonically_increasing_id()))
     spot = cut_lineage(spot)
-    part = F.shiftright(F.col("_mid"), _LOCAL_BITS)
-    pos = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    spot = spot.withColumns({"_part": part, "_pos": pos})
-    sizes = spot.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select("_part", (F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part")
+    part = F.shiftright(F.col("__mid"), _LOCAL_BITS)
+    pos = F.col("__mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    spot = spot.withColumns({"__part": part, "__idx": pos})
+    sizes = spot.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    offsets = sizes.select("__part", (F.sum("__size").over(Window.partitionBy(F.lit(0)).orderBy("__part")
                                                          .rowsBetween(Window.unboundedPreceding, 0))
-                                     - F.col("_size")).alias("_off"))
+                                     - F.col("__size")).alias("__off"))
     # one row per shuffle partition: bounded by the session's partition count
-    return (spot.join(F.broadcast(offsets), "_part")
-            .withColumn(alias, F.col("_off") + F.col("_pos") + 1)
-            .drop("_mid", "_part", "_pos", "_off"))
+    return (spot.join(F.broadcast(offsets), "__part")
+            .withColumn(alias, F.col("__off") + F.col("__idx") + 1)
+            .drop("__mid", "__part", "__idx", "__off"))
 
 
 def rank_within(df: DataFrame, group: list[str], order: list[Column], alias: str = "rn") -> DataFrame:
     """Position inside each group, for groups of any size."""
-    numbered = number_rows(df, [*[F.col(g).asc_nulls_first() for g in group], *order], "_g")
-    first = numbered.groupBy(*group).agg(F.min("_g").alias("_first"))
+    numbered = number_rows(df, [*[F.col(g).asc_nulls_first() for g in group], *order], "__g")
+    first = numbered.groupBy(*group).agg(F.min("__g").alias("__first"))
     renamed = first.withColumnsRenamed({g: f"_k_{g}" for g in group})
     cond = F.lit(True)
     for g in group:
         cond &= F.col(g).eqNullSafe(F.col(f"_k_{g}"))
-    return (numbered.join(renamed, cond).withColumn(alias, F.col("_g") - F.col("_first") + 1)
-            .drop("_g", "_first", *[f"_k_{g}" for g in group]))
+    return (numbered.join(renamed, cond).withColumn(alias, F.col("__g") - F.col("__first") + 1)
+            .drop("__g", "__first", *[f"_k_{g}" for g in group]))
 
 
 def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str], group: list[str] | None = None,
@@ -52,16 +52,16 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str], gro
     """
     group = group or []
     spot = (df.repartitionByRange(*[F.col(g).asc_nulls_first() for g in group], *order)
-            .withColumn("_part", F.spark_partition_id()))
+            .withColumn("__part", F.spark_partition_id()))
     spot = cut_lineage(spot)
-    sizes = spot.groupBy(*group, "_part").agg(*[F.sum(s).alias(f"_s_{a}") for s, a in sums.items()])
-    earlier = (Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part")
+    sizes = spot.groupBy(*group, "__part").agg(*[F.sum(s).alias(f"_s_{a}") for s, a in sums.items()])
+    earlier = (Window.partitionBy(*(group or [F.lit(0)])).orderBy("__part")
                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*[F.col(g).alias(f"_k_{g}") for g in group], F.col("_part").alias("_kp"),
+    offsets = sizes.select(*[F.col(g).alias(f"_k_{g}") for g in group], F.col("__part").alias("_kp"),
                            *[F.coalesce(F.sum(f"_s_{a}").over(earlier), F.lit(0)).alias(f"_o_{a}") for a in sums.values()])
-    local = (Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    local = (Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     out = spot.withColumns({f"_l_{a}": F.sum(s).over(local) for s, a in sums.items()})
-    cond = F.col("_part") == F.col("_kp")
+    cond = F.col("__part") == F.col("_kp")
     for g in group:
         cond &= F.col(g).eqNullSafe(F.col(f"_k_{g}"))
     out = out.join(offsets, cond).withColumns({a: F.col(f"_o_{a}") + F.col(f"_l_{a}") for a in sums.values()})

@@ -14,7 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from reprise import fixed_values as fv
 from reprise.operators.events import appointments, maintenance_events, vehicle_master
 from reprise.operators.features import build_features
-from reprise.operators.windows import build_windows
+from reprise.operators.attribution import top_drivers
+from reprise.operators.business import segment_by_capacity
+from reprise.operators.contact import contact_candidates
+from reprise.operators.evaluate import rank_scores
+from reprise.operators.model import heuristic_score
+from reprise.operators.windows import build_windows, current_population, pending_bookings
 from reprise.params import BusinessParams, ContactPolicy, DataSpan, SaleRules, SplitParams, WindowParams
 from reprise.runtime import stage_table
 
@@ -164,6 +169,45 @@ class Tables:
         return self.stage("features", lambda: build_features(
             self.windows().where(F.col("status") == "evaluable"), self.appt(), self.sales(), RULES))
 
+    def scored(self) -> DataFrame:
+        """Labelled windows with the rule score and its [0, 1] rescaling."""
+        return self.stage("scored", lambda: rule_scores(self.features()).select(
+            F.col("window_id").alias("id"), "vehicle_id", "customer_id", "scoring_date", F.col("label_churn").alias("y"),
+            "anchor_type", "binding_rule", "generation", "vehicle_age_years", "n_appts", "score", "p"))
+
+    def ranked(self) -> DataFrame:
+        return self.stage("ranked", lambda: rank_scores(self.scored()))
+
+    def current(self) -> DataFrame:
+        return self.stage("current", lambda: current_population(self.windows(), SPAN.cutoff))
+
+    def scores_now(self) -> DataFrame:
+        return self.stage("scores_now", self._scores_now)
+
+    def _scores_now(self) -> DataFrame:
+        f = rule_scores(build_features(self.current(), self.appt(), self.sales(), RULES))
+        r = rank_scores(f.withColumn("y", F.lit(0.0)), "window_id").drop("y")
+        r = top_drivers(r.withColumn("segmento", segment_by_capacity(F.col("rn"), F.col("total"))), DRIVER_WEIGHTS)
+        today = F.date_add(F.lit(SPAN.cutoff).cast("date"), 1)
+        return (r.join(pending_bookings(self.appt(), SPAN.cutoff), "vehicle_id", "left")
+                .withColumns({"fecha_scoring": today, "dias_restantes_horizonte": F.datediff("horizon_end", today),
+                              "dias_en_ventana": F.datediff(today, "scoring_date_original"),
+                              "tiene_turno_agendado": F.col("fecha_turno_agendado").isNotNull()})
+                .withColumnsRenamed({"p": "prob_churn", "rn": "prioridad", "due_date": "vencimiento_estimado",
+                                     "horizon_end": "cierre_horizonte", "scoring_date_original": "fecha_apertura_ventana"})
+                .drop("total", "score"))
+
+    def candidates(self) -> DataFrame:
+        return self.stage("candidates", lambda: contact_candidates(self.scores_now(), POLICY))
+
+
+def rule_scores(features: DataFrame) -> DataFrame:
+    """Rule-based risk and a rescaling of it to [0, 1]."""
+    return heuristic_score(features).withColumn("p", (F.col("score") + 1.5) / 8)
+
+
+DRIVER_WEIGHTS = {"vehicle_age_years": 0.25, "n_noshow": 0.6, "n_cancel": 0.3, "n_maint": -0.3, "is_first_service": 0.8,
+                  "days_since_last_maint": 0.002}
 
 AGENDA_SQL = ("SELECT " + ",\n ".join(f"{e} AS {c}" for c, e in AGENDA.items())
               + "\nFROM orders LEFT JOIN customer ON o_custkey = c_custkey"
@@ -346,6 +390,65 @@ FROM z""".replace("COUNTS", ", ".join(f"coalesce(h.{c}, 0) AS {c}" for c in (
     "n_maint n_completed n_no_os n_noshow n_cancel n_appts n_recall n_diag n_repair n_guarantee n_fordpass n_web_or_app n_pud n_mobile "
     "n_fixed_price n_reschedule n_hard_cancel n_return_visits n_towing n_customer_changes n_dealer_changes").split()))
 
+_RULE_SQL = """25e-2 * least(greatest(coalesce(vehicle_age_years, (SELECT median(vehicle_age_years) FROM {src})), 0e0), 10e0)
+ + 6e-1 * least(greatest(n_noshow + 5e-1 * n_cancel, 0e0), 5e0) - 3e-1 * least(greatest(n_maint, 0), 5) + 8e-1 * is_first_service"""
+SCORED_SQL = f"""SELECT *, (score + 15e-1) / 8e0 AS p FROM (
+SELECT window_id AS id, vehicle_id, customer_id, scoring_date, label_churn AS y, anchor_type, binding_rule, generation, vehicle_age_years, n_appts,
+ {_RULE_SQL.format(src='features')} AS score FROM features)"""
+POP_SQL = """
+SELECT * EXCLUDE (scoring_date), scoring_date AS scoring_date_original,
+ CASE WHEN poblacion_actual = 'en_ventana' THEN scoring_date ELSE DATE '2001-03-01' END AS scoring_date
+FROM (SELECT *, CASE WHEN status = 'censurada' THEN 'en_ventana' ELSE 'entra_en_30_dias' END AS poblacion_actual FROM windows
+ WHERE (status = 'censurada' AND next_maint_date IS NULL) OR (status = 'futura' AND scoring_date <= DATE '2001-02-28' + 30))
+QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY poblacion_actual, scoring_date_original) = 1"""
+_FMT = ("CASE WHEN v IS NULL THEN CASE WHEN f = 'days_since_last_maint' THEN 'sin registro en la red' ELSE 'sin dato' END "
+        "WHEN abs(v) >= 100 THEN format('{:,}', CAST(round_even(v, 0) AS BIGINT)) "
+        "ELSE regexp_replace(regexp_replace(printf('%.2f', v), '0+$', ''), '[.]$', '') END")
+SCORES_NOW_SQL = f"""
+WITH s AS (SELECT *, (score + 15e-1) / 8e0 AS prob_churn FROM (SELECT *, {_RULE_SQL.format(src='features_now')} AS score FROM features_now)),
+r AS (SELECT *, row_number() OVER (ORDER BY prob_churn DESC, window_id) AS prioridad, count(*) OVER () AS total FROM s),
+c AS (SELECT window_id, f, v, coalesce(wt * (v - avg(v) OVER (PARTITION BY f)), 0) AS c FROM (
+ SELECT window_id, unnest(['vehicle_age_years', 'n_noshow', 'n_cancel', 'n_maint', 'is_first_service', 'days_since_last_maint']) AS f,
+  unnest([0.25, 0.6, 0.3, -0.3, 0.8, 0.002]) AS wt,
+  unnest([vehicle_age_years, n_noshow, n_cancel, n_maint, is_first_service, days_since_last_maint]::DOUBLE[]) AS v FROM s)),
+d AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY abs(c) DESC, f) AS k, concat(CASE f WHEN 'vehicle_age_years' THEN '{fv.FEATURE_LABELS["vehicle_age_years"]}'
+  WHEN 'n_noshow' THEN '{fv.FEATURE_LABELS["n_noshow"]}' WHEN 'n_cancel' THEN '{fv.FEATURE_LABELS["n_cancel"]}'
+  WHEN 'n_maint' THEN '{fv.FEATURE_LABELS["n_maint"]}' WHEN 'is_first_service' THEN '{fv.FEATURE_LABELS["is_first_service"]}'
+  ELSE '{fv.FEATURE_LABELS["days_since_last_maint"]}' END, ' = ', {_FMT}, ' (', CASE WHEN c > 0 THEN '↑ riesgo' ELSE '↓ riesgo' END, ')') AS txt FROM c),
+p AS (SELECT window_id, {", ".join(f"max(txt) FILTER (WHERE k = {i}) AS driver_{i}, max(f) FILTER (WHERE k = {i}) AS driver_{i}_feature, max(c) FILTER (WHERE k = {i}) AS driver_{i}_shap" for i in (1, 2, 3))}
+ FROM d GROUP BY 1),
+b AS (SELECT vehicle_id, min(ScheduleDate) AS fecha_turno_agendado FROM appt WHERE pending AND ScheduleDate > DATE '2001-02-28' AND vehicle_id IS NOT NULL GROUP BY 1)
+SELECT r.*, p.* EXCLUDE (window_id), fecha_turno_agendado, fecha_turno_agendado IS NOT NULL AS tiene_turno_agendado,
+ CASE WHEN prioridad / total <= 0.2 THEN 'Alto' WHEN prioridad / total <= 0.5 THEN 'Medio' ELSE 'Bajo' END AS segmento,
+ DATE '2001-03-01' AS fecha_scoring, horizon_end - DATE '2001-03-01' AS dias_restantes_horizonte, DATE '2001-03-01' - scoring_date_original AS dias_en_ventana,
+ due_date AS vencimiento_estimado, horizon_end AS cierre_horizonte, scoring_date_original AS fecha_apertura_ventana
+FROM r JOIN p USING (window_id) LEFT JOIN b ON b.vehicle_id = r.vehicle_id"""
+_ACT = ", ".join(f"'{f}'" for f in fv.ACTIONABLE_FEATURES)
+_RT = {k: v.replace("%s", "{}") for k, v in fv.REASON_TEXT.items()}
+CANDIDATES_SQL = f"""
+WITH c0 AS (SELECT *, coalesce(trim(customer_id), '') AS cli, coalesce(trim(vehicle_id), '') AS veh, coalesce(trim(last_maint_dealer), '') AS dlr,
+  list_filter([CASE WHEN driver_1_feature IN ({_ACT}) AND driver_1_shap > 0 THEN driver_1_feature END, CASE WHEN driver_2_feature IN ({_ACT})
+   AND driver_2_shap > 0 THEN driver_2_feature END, CASE WHEN driver_3_feature IN ({_ACT}) AND driver_3_shap > 0 THEN driver_3_feature END], x -> x IS NOT NULL) AS sig,
+  dias_restantes_horizonte AS mg, coalesce(days_since_last_maint BETWEEN 0 AND 730, false) AS vinculo_reciente
+ FROM scores_now WHERE segmento IN ('Alto', 'Medio')),
+c1 AS (SELECT *, len(sig) > 0 AS shap_accionable, CASE WHEN cli = '' THEN 'Sin identificador' WHEN tiene_turno_agendado THEN 'Con turno'
+  WHEN mg < 14 THEN 'Sin margen' WHEN veh = '' OR n_maint <= 0 OR dlr = '' THEN 'Revisar' ELSE 'Contactar' END AS estado_contacto FROM c0),
+c2 AS (SELECT *, estado_contacto = 'Contactar' AS ok, concat_ws(' ', CASE WHEN cli = '' THEN '{_RT["no_id"]}' END,
+  CASE WHEN tiene_turno_agendado THEN '{_RT["booked"]}' END, CASE WHEN mg < 14 THEN format('{_RT["short"]}', CAST(mg AS VARCHAR), '14') END,
+  CASE WHEN veh = '' THEN format('{_RT["missing"]}', 'vehicle_id') END, CASE WHEN n_maint = 0 THEN '{_RT["no_history"]}' END,
+  CASE WHEN dlr = '' THEN '{_RT["no_dealer"]}' END, CASE WHEN estado_contacto = 'Contactar' THEN '{_RT["ok"]}' END,
+  CASE WHEN shap_accionable THEN format('{_RT["signal"]}', array_to_string(sig, ', ')) ELSE '{_RT["no_signal"]}' END,
+  CASE WHEN vinculo_reciente THEN format('{_RT["recent"]}', CAST(days_since_last_maint AS VARCHAR)) ELSE '{_RT["not_recent"]}' END) AS motivos_operativos FROM c1),
+c3 AS (SELECT *, row_number() OVER (ORDER BY ok DESC, shap_accionable DESC, vinculo_reciente DESC, prob_churn DESC NULLS LAST, mg ASC NULLS LAST, cli, veh) AS ps FROM c2),
+c4 AS (SELECT *, cli <> '' AND ps = min(ps) OVER (PARTITION BY cli) AS representante FROM c3),
+c5 AS (SELECT *, CASE WHEN representante AND ok THEN row_number() OVER (PARTITION BY representante AND ok ORDER BY ps) END AS orden_contacto FROM c4),
+g AS (SELECT cli AS gc, count(DISTINCT veh) FILTER (WHERE veh <> '') AS nv, string_agg(DISTINCT veh, ' | ' ORDER BY veh) AS vl,
+  concat_ws(' | ', CASE WHEN bool_or(segmento = 'Alto') THEN 'Alto' END, CASE WHEN bool_or(segmento = 'Medio') THEN 'Medio' END) AS gl
+ FROM c5 WHERE cli <> '' GROUP BY 1)
+SELECT *, coalesce(orden_contacto <= 60, false) AS seleccionado, orden_contacto > 60 AND orden_contacto IS NOT NULL AS en_espera,
+ CASE WHEN cli = '' THEN veh ELSE vl END AS vehiculos_cliente, coalesce(nv, 0) AS n_vehiculos_cliente, coalesce(gl, segmento) AS grupos_cliente
+FROM c5 LEFT JOIN g ON gc = cli"""
+
 CTES: dict[str, tuple[list[str], str]] = {
     "agenda": ([], AGENDA_SQL),
     "sales": ([], SALES_SQL),
@@ -356,6 +459,12 @@ CTES: dict[str, tuple[list[str], str]] = {
     "maint": (["maint_split"], MAINT_SQL),
     "windows": (["maint", "vm", "appt"], WINDOWS_SQL),
     "features": (["windows"], FEATURES_SQL),
+    "scored": (["features"], SCORED_SQL),
+    "ranked": (["scored"], "SELECT *, row_number() OVER (ORDER BY p DESC, id) AS rn, count(*) OVER () AS total FROM scored"),
+    "pop": (["windows"], POP_SQL),
+    "features_now": (["pop"], FEATURES_SQL.replace("SELECT * FROM windows WHERE status = 'evaluable'", "SELECT * FROM pop")),
+    "scores_now": (["features_now"], SCORES_NOW_SQL),
+    "candidates": (["scores_now"], CANDIDATES_SQL),
 }
 
 

@@ -159,8 +159,7 @@ def contact_summary(scores: DataFrame, candidates: DataFrame, policy: ContactPol
         F.count(F.lit(1)).alias("candidatos"), one(F.col("segmento") == "Alto").alias("origen_alto"),
         one(F.col("segmento") == "Medio").alias("origen_medio"), one(rep).alias("clientes_identificados"),
         one(rep & (st == "Contactar")).alias("clientes_elegibles"), one(F.col("seleccionado")).alias("clientes_seleccionados"),
-        one(F.col("en_espera")).alias("clientes_en_espera"), one(rep & (st == "Revisar")).alias("clientes_revisar"),
-        one(st == "Sin identificador").alias("vehiculos_sin_identificador"),
+        one(F.col("en_espera")).alias("clientes_en_espera"),
         one((F.col("_cliente") != "") & ~rep).alias("vehiculos_unificados"),
         *[one(st == s).alias(f"vehiculos_{k}") for s, k in key.items()],
         *[one(rep & (st == s)).alias(f"clientes_{k}") for s, k in key.items()])

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reprise import fixed_values as fv
-from reprise.operators.events import appointments, maintenance_events, vehicle_master
+from reprise.operators.events import appointments, item_class, maintenance_events, vehicle_master
 from reprise.operators.features import build_features
 from reprise.operators.attribution import top_drivers
 from reprise.operators.business import segment_by_capacity
@@ -156,11 +156,19 @@ class Tables:
     def appt(self) -> DataFrame:
         return self.stage("appt", lambda: appointments(self.agenda()))
 
+    def items(self) -> DataFrame:
+        """De-duplicated service items with their class."""
+        return self.stage("items", lambda: self.agenda().dropDuplicates().withColumn("item_class", item_class()))
+
+    def visits(self) -> DataFrame:
+        """Bookings of identified vehicles."""
+        return self.appt().where(F.col("vehicle_id").isNotNull())
+
     def master(self) -> DataFrame:
-        return vehicle_master(self.appt(), self.sales(), RULES)
+        return self.stage("master", lambda: vehicle_master(self.appt(), self.sales(), RULES))
 
     def maint(self) -> DataFrame:
-        return maintenance_events(self.appt(), PARAMS)
+        return self.stage("maint", lambda: maintenance_events(self.appt(), PARAMS))
 
     def windows(self) -> DataFrame:
         return self.stage("windows", lambda: build_windows(self.appt(), self.sales(), PARAMS, SPAN, RULES))
@@ -214,6 +222,12 @@ AGENDA_SQL = ("SELECT " + ",\n ".join(f"{e} AS {c}" for c, e in AGENDA.items())
                 "\nLEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey")
 SALES_SQL = "SELECT " + ",\n ".join(f"{e} AS {c}" for c, e in SALES.items()) + "\nFROM customer"
 
+ITEMS_SQL = """SELECT *, CASE WHEN ServiceMaintenance IS NOT NULL THEN 'MANT' WHEN ServiceName = 'Guarantee' THEN 'GARANTIA'
+ WHEN ServiceName = 'Contactless service' THEN 'CONTACTLESS' WHEN lower(ServiceType) = 'campañas de servicio' THEN 'CAMPANA_RECALL'
+ WHEN ServiceType = 'Diagnóstico' THEN 'DIAG' WHEN ServiceType = 'Reparación' THEN 'REPAR' WHEN ServiceName = 'Oil and filter change' THEN 'ACEITE_FILTRO'
+ WHEN ServiceName IN ('Inspección Ford', 'Revision de Viaje') THEN 'INSPECCION' WHEN ServiceType = 'Servicios Generales' THEN 'SERV_GRAL'
+ WHEN ServiceType = 'Pick Up & Delivery' THEN 'PUD' WHEN ServiceType IN ('Mobile Service', 'Taller Móvil') THEN 'MOVIL'
+ WHEN ServiceType IS NULL THEN 'SIN_ITEM' ELSE 'OTRO' END AS item_class FROM (SELECT DISTINCT * FROM agenda)"""
 _FIRST = "first({c} ORDER BY ServiceMaintenance NULLS LAST, {c}) FILTER (WHERE {c} IS NOT NULL) AS {c}"
 _MAINT_ITEM = "(ServiceMaintenance IS NOT NULL OR coalesce(regexp_matches(ServiceName, 'Maintenance (?:service|review)'), false))"
 APPT_SQL = f"""
@@ -428,7 +442,7 @@ _RT = {k: v.replace("%s", "{}") for k, v in fv.REASON_TEXT.items()}
 CANDIDATES_SQL = f"""
 WITH c0 AS (SELECT *, coalesce(trim(customer_id), '') AS cli, coalesce(trim(vehicle_id), '') AS veh, coalesce(trim(last_maint_dealer), '') AS dlr,
   list_filter([CASE WHEN driver_1_feature IN ({_ACT}) AND driver_1_shap > 0 THEN driver_1_feature END, CASE WHEN driver_2_feature IN ({_ACT})
-   AND driver_2_shap > 0 THEN driver_2_feature END, CASE WHEN driver_3_feature IN ({_ACT}) AND driver_3_shap > 0 THEN driver_3_feature END], x -> x IS NOT NULL) AS sig,
+   AND driver_2_shap > 0 THEN driver_2_feature END, CASE WHEN driver_3_feature IN ({_ACT}) AND driver_3_shap > 0 THEN driver_3_feature END], lambda x: x IS NOT NULL) AS sig,
   dias_restantes_horizonte AS mg, coalesce(days_since_last_maint BETWEEN 0 AND 730, false) AS vinculo_reciente
  FROM scores_now WHERE segmento IN ('Alto', 'Medio')),
 c1 AS (SELECT *, len(sig) > 0 AS shap_accionable, CASE WHEN cli = '' THEN 'Sin identificador' WHEN tiene_turno_agendado THEN 'Con turno'
@@ -452,7 +466,9 @@ FROM c5 LEFT JOIN g ON gc = cli"""
 CTES: dict[str, tuple[list[str], str]] = {
     "agenda": ([], AGENDA_SQL),
     "sales": ([], SALES_SQL),
+    "items": (["agenda"], ITEMS_SQL),
     "appt": (["agenda"], APPT_SQL),
+    "visits": (["appt"], "SELECT * FROM appt WHERE vehicle_id IS NOT NULL"),
     "vm": (["appt", "sales"], VM_SQL),
     "maint_days": (["appt"], MAINT_DAYS_SQL),
     "maint_split": (["maint_days"], SPLIT_SQL),

@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass, field
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reprise.functions.columns import clip
+from reprise.operators import evaluate as el
+from reprise.operators.features import CATEGORICAL, feature_columns
 from reprise.operators.stats import exact_percentiles
+from reprise.params import SplitParams
+
+LABEL = "label_churn"
+# fixed values: inputs of the logistic baseline
+LR_NUMERIC = ["days_since_last_maint", "days_since_last_appt", "n_maint", "n_noshow", "n_cancel", "cancel_rate",
+              "vehicle_age_years", "km_per_year", "last_maint_number", "fordpass_share", "is_first_service",
+              "n_recall", "n_diag", "n_repair", "months_observable", "n_customer_changes", "last_maint_late_days",
+              "mean_interval_days", "fleet_size_sales", "last_rating"]
+LR_CATEGORICAL = ["generation", "business_unit", "last_source", "binding_rule"]
+HIGH_CARDINALITY = ["last_maint_dealer", "tma"]
+MIN_LEVEL_ROWS = 50
+RARE, MISSING = "__rare", "__missing"
 
 
 def heuristic_score(f: DataFrame) -> DataFrame:
@@ -15,3 +36,281 @@ def heuristic_score(f: DataFrame) -> DataFrame:
     missed = zero("n_noshow") + 0.5 * zero("n_cancel")
     return f.withColumn("score", 0.25 * clip(age, 0.0, 10.0) + 0.6 * clip(missed, 0.0, 5.0)
                         - 0.3 * clip(zero("n_maint"), 0, 5) + 0.8 * zero("is_first_service"))
+
+
+def temporal_split(df: DataFrame, split: SplitParams) -> DataFrame:
+    s = F.col("scoring_date")
+    return df.withColumn("period", F.when(s <= F.lit(split.train_end), F.lit("train")).when(s <= F.lit(split.valid_end), F.lit("valid"))
+                         .otherwise(F.lit("test")))
+
+
+def require_both_classes(split_df: DataFrame) -> None:
+    """Each period needs returns and churn; three summary rows reach the driver."""
+    rows = split_df.groupBy("period").agg(F.min(LABEL).alias("lo"), F.max(LABEL).alias("hi")).collect()
+    good = {r["period"] for r in rows if r["lo"] == 0 and r["hi"] == 1}
+    for p in ("train", "valid", "test"):
+        if p not in good:
+            raise ValueError(f"period {p} needs evaluable windows of both outcomes; check the split dates")
+
+
+@dataclass
+class Preparation:
+    """Matrix preparation frozen on the training period."""
+
+    numeric: list[str]
+    categorical: list[str]
+    levels: dict[str, list[str]] = field(default_factory=dict)
+    pipeline: PipelineModel | None = None
+    names: list[str] = field(default_factory=list)
+
+    def columns(self, df: DataFrame) -> DataFrame:
+        """Missing indicators, numeric doubles, and rare or unseen levels folded together."""
+        num = {f"n_{c}": F.col(c).cast("double") for c in self.numeric}
+        ind = {f"m_{c}": F.col(c).isNull().cast("double") for c in self.numeric}
+        cat = {}
+        for c in self.categorical:
+            v = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+            keep = self.levels[c]
+            cat[f"c_{c}"] = F.when(v.isin(keep), v).otherwise(F.lit(RARE)) if keep else F.lit(RARE)
+        return df.withColumns({**num, **ind, **cat})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.pipeline.transform(self.columns(df))
+
+
+def frequent_levels(train: DataFrame, cols: list[str], min_rows: int = MIN_LEVEL_ROWS, limit: int = 1000) -> dict[str, list[str]]:
+    """Levels of each column with enough training rows; the vocabulary of a model, ``limit`` per column."""
+    out = {c: [] for c in cols}
+    if not cols:
+        return out
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("level")) for c in cols])
+    counts = (train.select(F.explode(pairs).alias("p")).groupBy("p.col", "p.level").agg(F.count(F.lit(1)).alias("n"))
+              .where(F.col("n") >= min_rows))
+    for r in counts.orderBy(F.col("n").desc(), "level").limit(limit * len(cols)).collect():
+        if len(out[r["col"]]) < limit:
+            out[r["col"]].append(r["level"])
+    return {c: sorted(v) for c, v in out.items()}
+
+
+def prepare(train: DataFrame, numeric: list[str], categorical: list[str], standardise: bool) -> Preparation:
+    """Median imputation with missing indicators, one-hot levels and, for linear models, scaling."""
+    prep = Preparation(numeric, categorical, frequent_levels(train, categorical))
+    t = prep.columns(train)
+    # a column that is empty in training cannot be imputed
+    known = t.agg(*[F.count(f"n_{c}").alias(c) for c in numeric]).first()
+    prep.numeric = numeric = [c for c in numeric if known[c] > 0]
+    idx = [StringIndexer(inputCol=f"c_{c}", outputCol=f"i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categorical]
+    hot = OneHotEncoder(inputCols=[f"i_{c}" for c in categorical], outputCols=[f"o_{c}" for c in categorical], dropLast=False) if categorical else None
+    imp = Imputer(strategy="median", inputCols=[f"n_{c}" for c in numeric], outputCols=[f"f_{c}" for c in numeric])
+    num = VectorAssembler(inputCols=[f"f_{c}" for c in numeric], outputCol="_num")
+    scaled = StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True, withStd=True)
+    parts = (["_scaled"] if standardise else ["_num"]) + [f"m_{c}" for c in numeric] + [f"o_{c}" for c in categorical]
+    stages = [*idx, *([hot] if hot else []), imp, num, *([scaled] if standardise else []), VectorAssembler(inputCols=parts, outputCol="features")]
+    prep.pipeline = Pipeline(stages=stages).fit(t)
+    names = list(numeric) + [f"{c} missing" for c in numeric]
+    for i, c in enumerate(categorical):
+        names += [f"{c}={lv}" for lv in [*prep.pipeline.stages[i].labels, "__unseen"]]
+    prep.names = names
+    return prep
+
+
+def plain_vector(df: DataFrame) -> DataFrame:
+    """Drop attribute metadata so that trees treat every input as numeric."""
+    return df.withColumn("features", array_to_vector(vector_to_array("features")))
+
+
+def positive(df: DataFrame, alias: str) -> DataFrame:
+    return df.withColumn(alias, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+
+
+def fit_logreg(train: DataFrame, c: float = 0.5):
+    """L2 logistic regression; the penalty is the usual 1/C spread over the training rows."""
+    prep = prepare(train, [x for x in LR_NUMERIC if x in train.columns], [x for x in LR_CATEGORICAL if x in train.columns], True)
+    x = prep.transform(train).select("features", LABEL)
+    n = x.count()
+    return prep, LogisticRegression(labelCol=LABEL, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=100).fit(x)
+
+
+def fit_gbt(train: DataFrame, valid: DataFrame, cols: list[str], max_iter: int = 60, depth: int = 5, step: float = 0.1, seed: int = 42):
+    """Boosted trees stopped on the validation period."""
+    cat = [c for c in cols if c in CATEGORICAL]
+    prep = prepare(train, [c for c in cols if c not in cat], cat, False)
+    both = train.withColumn("_val", F.lit(False)).unionByName(valid.withColumn("_val", F.lit(True)))
+    x = plain_vector(prep.transform(both)).select("features", LABEL, "_val")
+    gbt = GBTClassifier(labelCol=LABEL, maxIter=max_iter, maxDepth=depth, stepSize=step, subsamplingRate=0.8, minInstancesPerNode=20, seed=seed,
+                        validationIndicatorCol="_val", validationTol=0.001)
+    return prep, gbt.fit(x)
+
+
+def fit_isotonic(scored: DataFrame, p: str):
+    """Isotonic calibration fitted on distinct scores with their weights (same fit, far fewer rows)."""
+    g = scored.groupBy(F.col(p).alias("x")).agg(F.avg(LABEL).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+    return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", isotonic=True).fit(g)
+
+
+def calibrated(model, df: DataFrame, p: str, alias: str) -> DataFrame:
+    out = model.setFeaturesCol(p).setPredictionCol("_iso").transform(df)
+    return out.withColumn(alias, F.least(F.greatest("_iso", F.lit(0.0)), F.lit(1.0))).drop("_iso")
+
+
+def train_all(data: DataFrame, split: SplitParams, exclude_snapshot: bool = True, drop: list[str] | None = None, max_iter: int = 60) -> dict:
+    """Both models with calibration on the validation period, scored on the test period."""
+    d = temporal_split(data.where(F.col(LABEL).isNotNull()), split).persist()
+    require_both_classes(d)
+    train, valid, test = (d.where(F.col("period") == p) for p in ("train", "valid", "test"))
+    cols = [c for c in feature_columns(data.columns, exclude_snapshot) if c not in (drop or [])]
+    gprep, gbt = fit_gbt(train, valid, cols, max_iter)
+    lprep, lr = fit_logreg(train)
+
+    def score(df: DataFrame) -> DataFrame:
+        ids = ["window_id", "vehicle_id", "customer_id", "scoring_date", LABEL]
+        a = positive(gbt.transform(plain_vector(gprep.transform(df))), "p_gbt_raw").select(*ids, "p_gbt_raw")
+        b = positive(lr.transform(lprep.transform(df)), "p_lr_raw").select("window_id", "p_lr_raw")
+        return a.join(b, "window_id")
+
+    sv, st = score(valid).persist(), score(test)
+    iso_g, iso_l = fit_isotonic(sv, "p_gbt_raw"), fit_isotonic(sv, "p_lr_raw")
+    sv.unpersist()
+    st = calibrated(iso_l, calibrated(iso_g, st, "p_gbt_raw", "p_gbt"), "p_lr_raw", "p_lr")
+    return {"test": st, "gbt": gbt, "gbt_prep": gprep, "lr": lr, "lr_prep": lprep, "iso_gbt": iso_g, "iso_lr": iso_l, "split": d, "columns": cols}
+
+
+def save_model(result: dict, path: str) -> None:
+    """Persist every artefact needed to score a new population."""
+    result["gbt"].write().overwrite().save(f"{path}/gbt")
+    result["gbt_prep"].pipeline.write().overwrite().save(f"{path}/gbt_prep")
+    result["iso_gbt"].write().overwrite().save(f"{path}/iso_gbt")
+    prep = result["gbt_prep"]
+    spark = result["test"].sparkSession
+    rows = [(c, "numeric", []) for c in prep.numeric] + [(c, "categorical", prep.levels[c]) for c in prep.categorical]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "pos int, name string, kind string, levels array<string>").write.mode("overwrite").parquet(f"{path}/vocabulary")
+
+
+def score_with_saved(spark, path: str, population: DataFrame, alias: str = "prob_churn") -> DataFrame:
+    """Calibrated probability of a population from saved artefacts."""
+    from pyspark.ml.classification import GBTClassificationModel
+    from pyspark.ml.regression import IsotonicRegressionModel
+
+    v = spark.read.parquet(f"{path}/vocabulary").orderBy("pos").collect()        # one row per model column
+    prep = Preparation([r["name"] for r in v if r["kind"] == "numeric"], [r["name"] for r in v if r["kind"] == "categorical"],
+                       {r["name"]: list(r["levels"]) for r in v if r["kind"] == "categorical"}, PipelineModel.load(f"{path}/gbt_prep"))
+    x = plain_vector(prep.transform(population))
+    raw = positive(GBTClassificationModel.load(f"{path}/gbt").transform(x), "_raw").select(*population.columns, "_raw")
+    return calibrated(IsotonicRegressionModel.load(f"{path}/iso_gbt"), raw, "_raw", alias).drop("_raw")
+
+
+def model_table(result: dict, rule: DataFrame, seed: int = 0) -> DataFrame:
+    """Long (modelo, id, y, p) table of every compared score on the test period."""
+    t = result["test"].withColumn("p_random", F.rand(seed))
+    t = t.join(rule.select("window_id", F.col("score").alias("p_rule")), "window_id", "left")
+    names = ["p_random", "p_rule", "p_lr", "p_gbt_raw", "p_gbt"]
+    pairs = F.array(*[F.struct(F.lit(n[2:]).alias("modelo"), F.col(n).alias("p")) for n in names])
+    return t.select(F.col("window_id").alias("id"), F.col(LABEL).alias("y"), F.explode(pairs).alias("m")).select("id", "y", "m.*")
+
+
+def feature_importance(result: dict) -> DataFrame:
+    """Importance per input of the boosted model, summed over one-hot levels and indicators."""
+    spark = result["test"].sparkSession
+    values = result["gbt"].featureImportances.toArray()
+    rows = [(n.split("=")[0].replace(" missing", ""), float(v)) for n, v in zip(result["gbt_prep"].names, values)]
+    df = spark.createDataFrame(rows, "feature string, gain double").groupBy("feature").agg(F.sum("gain").alias("gain"))
+    return df.withColumn("gain_pct", F.try_divide(F.col("gain"), df.agg(F.sum("gain").alias("s")).scalar()))
+
+
+def lr_contributions(result: dict, df: DataFrame, ids: list[str]) -> DataFrame:
+    """Log-odds contribution of every logistic input relative to its population mean, long form."""
+    prep, lr = result["lr_prep"], result["lr"]
+    x = prep.transform(df).select(*ids, vector_to_array("features").alias("x"))
+    n = len(prep.names)
+    means = x.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(n)]).alias("m"))
+    coef = F.array(*[F.lit(float(c)) for c in lr.coefficients.toArray()])
+    x = x.withColumns({"m": means.scalar(), "c": coef, "f": F.array(*[F.lit(s) for s in prep.names])})
+    parts = F.posexplode(F.arrays_zip("f", "x", "m", "c"))
+    return (x.select(*ids, parts.alias("_i", "z")).select(*ids, F.col("z.f").alias("feature"), F.col("z.x").alias("value"),
+                                                          (F.col("z.c") * (F.col("z.x") - F.col("z.m"))).alias("contribution")))
+
+
+def _tree_deltas(node, cond: Column, x: Column, weight: float, out: dict[int, list[Column]]) -> None:
+    """Collect, per input, the change of the node value along the path a row takes."""
+    if node.subtreeDepth() == 0:
+        return
+    split = node.split()
+    i, left, right = split.featureIndex(), node.leftChild(), node.rightChild()
+    goes_left = x[i] <= F.lit(float(split.threshold()))
+    here = float(node.prediction())
+    step = F.when(goes_left, F.lit(weight * (float(left.prediction()) - here))).otherwise(F.lit(weight * (float(right.prediction()) - here)))
+    out.setdefault(i, []).append(F.when(cond, step).otherwise(F.lit(0.0)))
+    _tree_deltas(left, cond & goes_left, x, weight, out)
+    _tree_deltas(right, cond & ~goes_left, x, weight, out)
+
+
+def tree_contributions(result: dict, df: DataFrame, ids: list[str]) -> DataFrame:
+    """Path attribution of the boosted margin, long form, inputs summed over levels.
+
+    Contributions of a row plus the root values add up to the margin. They are path deltas, not
+    Shapley values.
+    """
+    prep, gbt = result["gbt_prep"], result["gbt"]
+    x = plain_vector(prep.transform(df)).select(*ids, vector_to_array("features").alias("x"))
+    per: dict[int, list[Column]] = {}
+    for tree, w in zip(gbt.trees, gbt.treeWeights):
+        _tree_deltas(tree._java_obj.rootNode(), F.lit(True), F.col("x"), float(w), per)
+    grouped: dict[str, list[Column]] = {}
+    for i, terms in per.items():
+        grouped.setdefault(prep.names[i].split("=")[0].replace(" missing", ""), []).extend(terms)
+    parts = [F.struct(F.lit(n).alias("feature"), F.aggregate(F.array(*terms), F.lit(0.0), lambda a, b: a + b).alias("contribution")) for n, terms in sorted(grouped.items())]
+    return x.select(*ids, F.explode(F.array(*parts)).alias("e")).select(*ids, "e.*")
+
+
+def odds_ratios(df: DataFrame, factors: dict[str, str], target: str) -> DataFrame:
+    """Adjusted odds ratios of an unpenalised dummy logistic regression; reference levels are given."""
+    spark = df.sparkSession
+    d = df.select(F.col(target).cast("double").alias("_y"), *[F.col(c).cast("string").alias(c) for c in factors]).dropna()
+    levels = frequent_levels(d, list(factors), min_rows=1)
+    names, cols = [], {}
+    for c, ref in factors.items():
+        for lv in levels[c]:
+            if lv != ref:
+                cols[f"_d{len(names)}"] = (F.col(c) == lv).cast("double")
+                names.append((c, lv, ref))
+    x = VectorAssembler(inputCols=list(cols), outputCol="features").transform(d.withColumns(cols))
+    m = LogisticRegression(labelCol="_y", regParam=0.0, standardization=False, maxIter=200, tol=1e-8).fit(x)
+    rows = [(c, lv, ref, float(b)) for (c, lv, ref), b in zip(names, m.coefficients.toArray())]
+    return spark.createDataFrame(rows, "factor string, level string, reference string, coef double").withColumn("odds_ratio", F.exp("coef"))
+
+
+def seasonal_regression(monthly: DataFrame, value: str = "per_day") -> DataFrame:
+    """Linear trend plus month dummies by least squares; index and residual per month (one row per month)."""
+    m = monthly.withColumns({"t": F.months_between("month", F.lit("1990-01-01").cast("date")), **{f"d{i}": (F.month("month") == i).cast("double") for i in range(2, 13)}})
+    x = VectorAssembler(inputCols=["t", *[f"d{i}" for i in range(2, 13)]], outputCol="features").transform(m)
+    fit = LinearRegression(labelCol=value, solver="normal").fit(x)
+    coef = fit.coefficients.toArray()
+    effect = F.element_at(F.array(F.lit(0.0), *[F.lit(float(c)) for c in coef[1:]]), F.month("month"))
+    return fit.transform(x).select("month", value, F.col("prediction").alias("fitted"), (F.col(value) - F.col("prediction")).alias("residual"), effect.alias("month_effect"))
+
+
+def ablation_row(data: DataFrame, split: SplitParams, name: str, **kw) -> DataFrame:
+    r = train_all(data, split, **kw)
+    pairs = r["test"].select(F.col("window_id").alias("id"), F.col(LABEL).alias("y"), F.col("p_gbt").alias("p"))
+    out = el.compare_models(pairs.withColumn("modelo", F.lit(name)))
+    r["split"].unpersist()
+    return out
+
+
+def ablations(data: DataFrame, leaky: DataFrame | None, split: SplitParams, max_iter: int = 10) -> DataFrame:
+    """One metrics row per variant: dropped inputs, row filters, snapshot included, leaked odometer."""
+    sales_cols = ["in_sales", "person_type", "business_unit", "sales_channel", "sales_state", "is_buyer", "same_dealer_as_sale", "fleet_size_sales"]
+    surveys = ["n_surveys", "min_rating", "last_rating", "mean_rating", "days_since_last_survey"]
+    variants = [
+        ("base", data, {}), ("no_high_cardinality", data, {"drop": HIGH_CARDINALITY}), ("agenda_only", data, {"drop": sales_cols}),
+        ("history_6_months", data.where(F.col("history_days") >= 183), {}), ("no_surveys", data, {"drop": surveys}),
+        ("with_connectivity_snapshot", data, {"exclude_snapshot": False}),
+        ("first_service_only", data.where(F.col("anchor_type") == "warranty"), {}), ("later_services_only", data.where(F.col("anchor_type") != "warranty"), {}),
+    ]
+    if leaky is not None:
+        variants.append(("with_odometer_snapshot", leaky, {}))
+    out = None
+    for name, d, kw in variants:
+        row = ablation_row(d, split, name, max_iter=max_iter, **kw)
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -189,9 +189,9 @@ def _interval_columns(log: DataFrame) -> DataFrame:
     })
 
 
-def vehicle_history(windows: DataFrame, appt: DataFrame) -> DataFrame:
+def vehicle_history(windows: DataFrame, appt: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """Windows with everything known about their vehicle strictly before scoring."""
-    log = _interval_columns(day_log(appt))
+    log = _interval_columns(day_log(appt) if log is None else log)
     d = lambda cond: F.when(cond, F.col("event_date"))
     daily = {
         **{c: F.col(c) for c in COUNTERS},
@@ -300,13 +300,17 @@ def derived(f: DataFrame) -> DataFrame:
     })
 
 
-def build_features(windows: DataFrame, appt: DataFrame, sales: DataFrame, rules: SaleRules = SaleRules()) -> DataFrame:
-    """Feature row per window; window columns beyond the inputs (labels) pass through."""
+def build_features(windows: DataFrame, appt: DataFrame, sales: DataFrame, rules: SaleRules = SaleRules(),
+                   master: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
+    """Feature row per window; window columns beyond the inputs (labels) pass through.
+
+    master, log: stored vehicle master and ``day_log`` output, shared by every population scored.
+    """
     extra = [c for c in windows.columns if c in LABEL_COLUMNS and c not in ("first_seen",)
              or c in ("poblacion_actual", "scoring_date_original")]
     w = windows.select(*WINDOW_INPUT, *extra)
-    f = vehicle_history(w, appt)
-    static = vehicle_master(appt, sales, rules).select(
+    f = vehicle_history(w, appt, log)
+    static = (vehicle_master(appt, sales, rules) if master is None else master).select(
         "vehicle_id", "warranty_start", "generation", "model_year", "tma", "connected_status", "region", "in_sales",
         *(["sales_customer_id"] if "sales_customer_id" not in w.columns else []),
         "sales_dealer_id", "person_type", "business_unit", "sales_channel", "sales_state", "SalesDate")

@@ -6,16 +6,17 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reprise.functions.columns import clip
 from reprise.operators import evaluate as el
-from reprise.operators.features import CATEGORICAL, feature_columns
+from reprise.operators.features import CATEGORICAL, SNAPSHOT_COLUMNS, feature_columns
 from reprise.operators.stats import exact_percentiles
 from reprise.params import SplitParams
+from reprise.runtime import cut_lineage
 
 LABEL = "label_churn"
 # fixed values: inputs of the logistic baseline
@@ -44,13 +45,17 @@ def temporal_split(df: DataFrame, split: SplitParams) -> DataFrame:
                          .otherwise(F.lit("test")))
 
 
-def require_both_classes(split_df: DataFrame) -> None:
-    """Each period needs returns and churn; three summary rows reach the driver."""
+def periods_without_support(split_df: DataFrame) -> list[str]:
+    """Periods lacking one of the outcomes; three summary rows reach the driver."""
     rows = split_df.groupBy("period").agg(F.min(LABEL).alias("lo"), F.max(LABEL).alias("hi")).collect()
     good = {r["period"] for r in rows if r["lo"] == 0 and r["hi"] == 1}
-    for p in ("train", "valid", "test"):
-        if p not in good:
-            raise ValueError(f"period {p} needs evaluable windows of both outcomes; check the split dates")
+    return [p for p in ("train", "valid", "test") if p not in good]
+
+
+def require_both_classes(split_df: DataFrame) -> None:
+    missing = periods_without_support(split_df)
+    if missing:
+        raise ValueError(f"periods without evaluable windows of both outcomes: {', '.join(missing)}; check the split dates")
 
 
 @dataclass
@@ -99,7 +104,8 @@ def prepare(train: DataFrame, numeric: list[str], categorical: list[str], standa
     # a column that is empty in training cannot be imputed
     known = t.agg(*[F.count(f"n_{c}").alias(c) for c in numeric]).first()
     prep.numeric = numeric = [c for c in numeric if known[c] > 0]
-    idx = [StringIndexer(inputCol=f"c_{c}", outputCol=f"i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categorical]
+    idx = [StringIndexer(inputCols=[f"c_{c}" for c in categorical], outputCols=[f"i_{c}" for c in categorical], handleInvalid="keep",
+                         stringOrderType="alphabetAsc")] if categorical else []
     hot = OneHotEncoder(inputCols=[f"i_{c}" for c in categorical], outputCols=[f"o_{c}" for c in categorical], dropLast=False) if categorical else None
     imp = Imputer(strategy="median", inputCols=[f"n_{c}" for c in numeric], outputCols=[f"f_{c}" for c in numeric])
     num = VectorAssembler(inputCols=[f"f_{c}" for c in numeric], outputCol="_num")
@@ -108,8 +114,8 @@ def prepare(train: DataFrame, numeric: list[str], categorical: list[str], standa
     stages = [*idx, *([hot] if hot else []), imp, num, *([scaled] if standardise else []), VectorAssembler(inputCols=parts, outputCol="features")]
     prep.pipeline = Pipeline(stages=stages).fit(t)
     names = list(numeric) + [f"{c} missing" for c in numeric]
-    for i, c in enumerate(categorical):
-        names += [f"{c}={lv}" for lv in [*prep.pipeline.stages[i].labels, "__unseen"]]
+    for c, labels in zip(categorical, prep.pipeline.stages[0].labelsArray if categorical else []):
+        names += [f"{c}={lv}" for lv in [*labels, "__unseen"]]
     prep.names = names
     return prep
 
@@ -153,25 +159,30 @@ def calibrated(model, df: DataFrame, p: str, alias: str) -> DataFrame:
     return out.withColumn(alias, F.least(F.greatest("_iso", F.lit(0.0)), F.lit(1.0))).drop("_iso")
 
 
-def train_all(data: DataFrame, split: SplitParams, exclude_snapshot: bool = True, drop: list[str] | None = None, max_iter: int = 60) -> dict:
+def train_all(data: DataFrame, split: SplitParams, exclude_snapshot: bool = True, drop: list[str] | None = None, max_iter: int = 60,
+              with_logreg: bool = True) -> dict:
     """Both models with calibration on the validation period, scored on the test period."""
     d = temporal_split(data.where(F.col(LABEL).isNotNull()), split).persist()
     require_both_classes(d)
     train, valid, test = (d.where(F.col("period") == p) for p in ("train", "valid", "test"))
     cols = [c for c in feature_columns(data.columns, exclude_snapshot) if c not in (drop or [])]
     gprep, gbt = fit_gbt(train, valid, cols, max_iter)
-    lprep, lr = fit_logreg(train)
+    lprep, lr = fit_logreg(train) if with_logreg else (None, None)
 
     def score(df: DataFrame) -> DataFrame:
         ids = ["window_id", "vehicle_id", "customer_id", "scoring_date", LABEL]
         a = positive(gbt.transform(plain_vector(gprep.transform(df))), "p_gbt_raw").select(*ids, "p_gbt_raw")
+        if not with_logreg:
+            return a
         b = positive(lr.transform(lprep.transform(df)), "p_lr_raw").select("window_id", "p_lr_raw")
         return a.join(b, "window_id")
 
     sv, st = score(valid).persist(), score(test)
-    iso_g, iso_l = fit_isotonic(sv, "p_gbt_raw"), fit_isotonic(sv, "p_lr_raw")
+    iso_g, iso_l = fit_isotonic(sv, "p_gbt_raw"), fit_isotonic(sv, "p_lr_raw") if with_logreg else None
     sv.unpersist()
-    st = calibrated(iso_l, calibrated(iso_g, st, "p_gbt_raw", "p_gbt"), "p_lr_raw", "p_lr")
+    st = calibrated(iso_g, st, "p_gbt_raw", "p_gbt")
+    if with_logreg:
+        st = calibrated(iso_l, st, "p_lr_raw", "p_lr")
     return {"test": st, "gbt": gbt, "gbt_prep": gprep, "lr": lr, "lr_prep": lprep, "iso_gbt": iso_g, "iso_lr": iso_l, "split": d, "columns": cols}
 
 
@@ -289,28 +300,55 @@ def seasonal_regression(monthly: DataFrame, value: str = "per_day") -> DataFrame
     return fit.transform(x).select("month", value, F.col("prediction").alias("fitted"), (F.col(value) - F.col("prediction")).alias("residual"), effect.alias("month_effect"))
 
 
-def ablation_row(data: DataFrame, split: SplitParams, name: str, **kw) -> DataFrame:
-    r = train_all(data, split, **kw)
-    pairs = r["test"].select(F.col("window_id").alias("id"), F.col(LABEL).alias("y"), F.col("p_gbt").alias("p"))
-    out = el.compare_models(pairs.withColumn("modelo", F.lit(name)))
-    r["split"].unpersist()
-    return out
+METRICS = "modelo string, n bigint, base_rate double, roc_auc double, pr_auc double, brier double, log_loss double, ece double"
+
+
+def _variant_row(m: DataFrame, names: list[str], drop: set[str], name: str, max_iter: int, seed: int = 42) -> DataFrame:
+    """Fit and evaluate one variant on the prepared matrix; no support in some period gives nulls."""
+    spark = m.sparkSession
+    if periods_without_support(m):
+        return spark.createDataFrame([(name, *[None] * 7)], METRICS)
+    keep = [i for i, n in enumerate(names) if n.split("=")[0].replace(" missing", "") not in drop]
+    x = VectorSlicer(inputCol="features", outputCol="_kept", indices=keep).transform(m).drop("features").withColumnRenamed("_kept", "features")
+    x = plain_vector(x).withColumn("_val", F.col("period") == "valid")
+    gbt = GBTClassifier(labelCol=LABEL, maxIter=max_iter, maxDepth=4, stepSize=0.2, minInstancesPerNode=20, seed=seed, validationIndicatorCol="_val").fit(
+        x.where(F.col("period") != "test"))
+    scored = positive(gbt.transform(x.where(F.col("period") != "train")), "_raw")
+    iso = fit_isotonic(scored.where(F.col("period") == "valid"), "_raw")
+    test = calibrated(iso, scored.where(F.col("period") == "test"), "_raw", "p")
+    pairs = cut_lineage(test.select(F.lit(name).alias("modelo"), F.col("window_id").alias("id"), F.col(LABEL).alias("y"), "p"))
+    return el.compare_models(pairs).select("modelo", "n", "base_rate", "roc_auc", "pr_auc", "brier", "log_loss", "ece")
+
+
+def prepared_matrix(data: DataFrame, split: SplitParams) -> tuple[list[str], DataFrame]:
+    """Input names and the prepared matrix of all periods, vocabulary and medians from training."""
+    d = temporal_split(data.where(F.col(LABEL).isNotNull()), split)
+    cols = feature_columns(data.columns, exclude_snapshot=False)
+    cat = [c for c in cols if c in CATEGORICAL]
+    prep = prepare(d.where(F.col("period") == "train"), [c for c in cols if c not in cat], cat, False)
+    m = prep.transform(d).select("window_id", LABEL, "period", "history_days", "anchor_type", "features")
+    return prep.names, cut_lineage(m)
 
 
 def ablations(data: DataFrame, leaky: DataFrame | None, split: SplitParams, max_iter: int = 10) -> DataFrame:
-    """One metrics row per variant: dropped inputs, row filters, snapshot included, leaked odometer."""
-    sales_cols = ["in_sales", "person_type", "business_unit", "sales_channel", "sales_state", "is_buyer", "same_dealer_as_sale", "fleet_size_sales"]
-    surveys = ["n_surveys", "min_rating", "last_rating", "mean_rating", "days_since_last_survey"]
+    """One metrics row per variant: dropped inputs, row filters, snapshot included, leaked odometer.
+
+    The matrix is prepared and stored once; a variant selects inputs and rows of it.
+    """
+    sales_cols = {"in_sales", "person_type", "business_unit", "sales_channel", "sales_state", "is_buyer", "same_dealer_as_sale", "fleet_size_sales"}
+    surveys = {"n_surveys", "min_rating", "last_rating", "mean_rating", "days_since_last_survey"}
+    snap = set(SNAPSHOT_COLUMNS)
+    names, m = prepared_matrix(data, split)
     variants = [
-        ("base", data, {}), ("no_high_cardinality", data, {"drop": HIGH_CARDINALITY}), ("agenda_only", data, {"drop": sales_cols}),
-        ("history_6_months", data.where(F.col("history_days") >= 183), {}), ("no_surveys", data, {"drop": surveys}),
-        ("with_connectivity_snapshot", data, {"exclude_snapshot": False}),
-        ("first_service_only", data.where(F.col("anchor_type") == "warranty"), {}), ("later_services_only", data.where(F.col("anchor_type") != "warranty"), {}),
+        ("base", m, snap), ("no_high_cardinality", m, snap | set(HIGH_CARDINALITY)), ("agenda_only", m, snap | sales_cols),
+        ("history_6_months", m.where(F.col("history_days") >= 183), snap), ("no_surveys", m, snap | surveys), ("with_connectivity_snapshot", m, set()),
+        ("first_service_only", m.where(F.col("anchor_type") == "warranty"), snap), ("later_services_only", m.where(F.col("anchor_type") != "warranty"), snap),
     ]
+    rows = [_variant_row(x, names, drop, name, max_iter) for name, x, drop in variants]
     if leaky is not None:
-        variants.append(("with_odometer_snapshot", leaky, {}))
-    out = None
-    for name, d, kw in variants:
-        row = ablation_row(d, split, name, max_iter=max_iter, **kw)
-        out = row if out is None else out.unionByName(row)
+        leak_names, lm = prepared_matrix(leaky, split)
+        rows.append(_variant_row(lm, leak_names, snap, "with_odometer_snapshot", max_iter))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
     return out

@@ -164,10 +164,11 @@ def customer_at(w: DataFrame, appt: DataFrame) -> DataFrame:
 
 
 def anchors_with_rates(appt: DataFrame, sales: DataFrame, params: WindowParams, span: DataSpan,
-                       rules: SaleRules = SaleRules()) -> DataFrame:
+                       rules: SaleRules = SaleRules(), master: DataFrame | None = None,
+                       maint: DataFrame | None = None) -> DataFrame:
     """Anchors with next events, vehicle attributes and usage rate (before fallback)."""
-    vm = vehicle_master(appt, sales, rules)
-    maint = maintenance_events(appt, params)
+    vm = vehicle_master(appt, sales, rules) if master is None else master
+    maint = maintenance_events(appt, params) if maint is None else maint
     anchors = (maintenance_anchors(maint, vm) if params.anchor == "last_maintenance"
                else plan_anchors(vm, params.cycle_days, span.cutoff))
     static = vm.select("vehicle_id", "warranty_start", "generation", "first_seen", "sales_customer_id")
@@ -177,10 +178,14 @@ def anchors_with_rates(appt: DataFrame, sales: DataFrame, params: WindowParams,
 
 
 def build_windows(appt: DataFrame, sales: DataFrame, params: WindowParams = WindowParams(),
-                  span: DataSpan = DataSpan(), rules: SaleRules = SaleRules()) -> DataFrame:
-    """One row per vehicle and scoring date with label and status."""
+                  span: DataSpan = DataSpan(), rules: SaleRules = SaleRules(), master: DataFrame | None = None,
+                  maint: DataFrame | None = None) -> DataFrame:
+    """One row per vehicle and scoring date with label and status.
+
+    master, maint: stored vehicle master and maintenance events, when a run already has them.
+    """
     # read several times below (two medians and the windows): materialised once
-    rated = cut_lineage(anchors_with_rates(appt, sales, params, span, rules))
+    rated = cut_lineage(anchors_with_rates(appt, sales, params, span, rules, master, maint))
     w = due_dates(rate_with_fallback(rated), params)
     w = label_and_status(w, params, span)
     # two anchors on one scoring date: the later anchor rules

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reprise import fixed_values as fv
 from reprise.operators.events import appointments, item_class, maintenance_events, vehicle_master
-from reprise.operators.features import build_features
+from reprise.operators.features import build_features, day_log
 from reprise.operators.attribution import top_drivers
 from reprise.operators.business import segment_by_capacity
 from reprise.operators.contact import contact_candidates
@@ -171,11 +171,15 @@ class Tables:
         return self.stage("maint", lambda: maintenance_events(self.appt(), PARAMS))
 
     def windows(self) -> DataFrame:
-        return self.stage("windows", lambda: build_windows(self.appt(), self.sales(), PARAMS, SPAN, RULES))
+        return self.stage("windows", lambda: build_windows(
+            self.appt(), self.sales(), PARAMS, SPAN, RULES, self.master(), self.maint()))
+
+    def day_log(self) -> DataFrame:
+        return self.stage("day_log", lambda: day_log(self.appt()))
 
     def features(self) -> DataFrame:
         return self.stage("features", lambda: build_features(
-            self.windows().where(F.col("status") == "evaluable"), self.appt(), self.sales(), RULES))
+            self.windows().where(F.col("status") == "evaluable"), self.appt(), self.sales(), RULES, self.master(), self.day_log()))
 
     def scored(self) -> DataFrame:
         """Labelled windows with the rule score and its [0, 1] rescaling."""
@@ -193,7 +197,7 @@ class Tables:
         return self.stage("scores_now", self._scores_now)
 
     def _scores_now(self) -> DataFrame:
-        f = rule_scores(build_features(self.current(), self.appt(), self.sales(), RULES))
+        f = rule_scores(build_features(self.current(), self.appt(), self.sales(), RULES, self.master(), self.day_log()))
         r = rank_scores(f.withColumn("y", F.lit(0.0)), "window_id").drop("y")
         r = top_drivers(r.withColumn("segmento", segment_by_capacity(F.col("rn"), F.col("total"))), DRIVER_WEIGHTS)
         today = F.date_add(F.lit(SPAN.cutoff).cast("date"), 1)

@@ -43,18 +43,27 @@ def _top3(t: Tables):
 query("attributions_top3", "window_id s, k i, feature s, contribution d")(_top3)
 query("attributions_global", "feature s, mean_abs_shap_logodds d, mean_abs_shap d")(lambda t: at.global_importance(md.tree_contributions(trained(t), trained(t)["split"].where("period = 'test'"), ["window_id"])))
 query("odds_ratios", "factor s, level s, reference s, odds_ratio d")(lambda t: md.odds_ratios(base(t), {"gen": "BUILDING", "ScheduleSource": "Dealer", "number_bin": "2"}, "ret"))
+
+
+def _dealer_levels(t: Tables, min_rows: int = 100):
+    """Dealers with enough visits keep their own level, the others share one."""
+    b = base(t)
+    big = b.where(F.col("dealer_id").isNotNull()).groupBy("dealer_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
+    return b.join(big, "dealer_id", "left").withColumn("dealer", F.when(F.col("_n").isNotNull(), F.col("dealer_id")).otherwise("other"))
+
+
 query("odds_ratios_with_dealer", "factor s, level s, reference s, odds_ratio d")(lambda t: md.odds_ratios(
-    base(t).withColumn("dealer", F.when(F.col("dealer_id").isin([f"D{i}" for i in range(25)]), F.col("dealer_id")).otherwise("other")), {"gen": "BUILDING", "has_fixed_price": "false", "dealer": "other"}, "ret"))
+    _dealer_levels(t), {"gen": "BUILDING", "has_fixed_price": "false", "dealer": "other"}, "ret"))
 query("seasonal_regression", "month t, fitted d, residual d, month_effect d")(lambda t: md.seasonal_regression(monthly(t)))
 
 
 def _leaky(t: Tables):
     from reprise.operators.features import build_features
-    w = wd.build_windows(t.appt(), t.sales(), PARAMS.with_(km_source="km"), SPAN, RULES).where("status = 'evaluable'")
-    return t.stage("features_snapshot", lambda: build_features(w, t.appt(), t.sales(), RULES))
+    w = lambda: wd.build_windows(t.appt(), t.sales(), PARAMS.with_(km_source="km"), SPAN, RULES, t.master()).where("status = 'evaluable'")
+    return t.stage("features_snapshot", lambda: build_features(w(), t.appt(), t.sales(), RULES, t.master(), t.day_log()))
 
 
-query("ablations", "modelo s, n i, base_rate d, roc_auc d, pr_auc d, brier d, ece d")(lambda t: md.ablations(t.features(), _leaky(t), SPLIT, max_iter=5))
+query("ablations", "modelo s, n i, base_rate d, roc_auc d, pr_auc d, brier d, ece d")(lambda t: md.ablations(t.features(), _leaky(t), SPLIT, max_iter=4))
 
 _GRID = {"default": PARAMS, "lead=60": PARAMS.with_(lead_days=60), "h=120": PARAMS.with_(horizon_days=120), "calendar_month": PARAMS.with_(label_mode="mes_calendario", label_margin_days=0), "first_due=365": PARAMS.with_(first_due_days=365),
          "anchor=plan": PARAMS.with_(anchor="plan"), "km_snapshot": PARAMS.with_(km_source="km"), "min_history=180": PARAMS.with_(min_history_days=180)}

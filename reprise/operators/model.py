@@ -300,14 +300,13 @@ def seasonal_regression(monthly: DataFrame, value: str = "per_day") -> DataFrame
     return fit.transform(x).select("month", value, F.col("prediction").alias("fitted"), (F.col(value) - F.col("prediction")).alias("residual"), effect.alias("month_effect"))
 
 
-METRICS = "modelo string, n bigint, base_rate double, roc_auc double, pr_auc double, brier double, log_loss double, ece double"
+METRICS = ["n", "base_rate", "roc_auc", "pr_auc", "brier", "log_loss", "ece"]
 
 
-def _variant_row(m: DataFrame, names: list[str], drop: set[str], name: str, max_iter: int, seed: int = 42) -> DataFrame:
-    """Fit and evaluate one variant on the prepared matrix; no support in some period gives nulls."""
-    spark = m.sparkSession
+def _variant_pairs(m: DataFrame, names: list[str], drop: set[str], name: str, max_iter: int, seed: int = 42) -> DataFrame | None:
+    """Calibrated test scores of one variant of the prepared matrix; none without support in some period."""
     if periods_without_support(m):
-        return spark.createDataFrame([(name, *[None] * 7)], METRICS)
+        return None
     keep = [i for i, n in enumerate(names) if n.split("=")[0].replace(" missing", "") not in drop]
     x = VectorSlicer(inputCol="features", outputCol="_kept", indices=keep).transform(m).drop("features").withColumnRenamed("_kept", "features")
     x = plain_vector(x).withColumn("_val", F.col("period") == "valid")
@@ -316,8 +315,7 @@ def _variant_row(m: DataFrame, names: list[str], drop: set[str], name: str, max_
     scored = positive(gbt.transform(x.where(F.col("period") != "train")), "_raw")
     iso = fit_isotonic(scored.where(F.col("period") == "valid"), "_raw")
     test = calibrated(iso, scored.where(F.col("period") == "test"), "_raw", "p")
-    pairs = cut_lineage(test.select(F.lit(name).alias("modelo"), F.col("window_id").alias("id"), F.col(LABEL).alias("y"), "p"))
-    return el.compare_models(pairs).select("modelo", "n", "base_rate", "roc_auc", "pr_auc", "brier", "log_loss", "ece")
+    return test.select(F.lit(name).alias("modelo"), F.col("window_id").alias("id"), F.col(LABEL).alias("y"), "p")
 
 
 def prepared_matrix(data: DataFrame, split: SplitParams) -> tuple[list[str], DataFrame]:
@@ -344,11 +342,15 @@ def ablations(data: DataFrame, leaky: DataFrame | None, split: SplitParams, max_
         ("history_6_months", m.where(F.col("history_days") >= 183), snap), ("no_surveys", m, snap | surveys), ("with_connectivity_snapshot", m, set()),
         ("first_service_only", m.where(F.col("anchor_type") == "warranty"), snap), ("later_services_only", m.where(F.col("anchor_type") != "warranty"), snap),
     ]
-    rows = [_variant_row(x, names, drop, name, max_iter) for name, x, drop in variants]
+    found = {name: _variant_pairs(x, names, drop, name, max_iter) for name, x, drop in variants}
     if leaky is not None:
         leak_names, lm = prepared_matrix(leaky, split)
-        rows.append(_variant_row(lm, leak_names, snap, "with_odometer_snapshot", max_iter))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        found["with_odometer_snapshot"] = _variant_pairs(lm, leak_names, snap, "with_odometer_snapshot", max_iter)
+    pairs = None
+    for df in found.values():
+        if df is not None:
+            pairs = df if pairs is None else pairs.unionByName(df)
+    names_only = data.sparkSession.createDataFrame([(n,) for n in found], "modelo string")
+    if pairs is None:
+        return names_only.selectExpr("modelo", *[f"cast(null as double) {c}" for c in METRICS])
+    return names_only.join(el.compare_models(cut_lineage(pairs)).select("modelo", *METRICS), "modelo", "left")

@@ -142,7 +142,8 @@ class Tables:
 
     def agenda(self) -> DataFrame:
         o, l, p, c = (self.raw(n) for n in ("orders", "lineitem", "part", "customer"))
-        j = (o.join(c, o.o_custkey == c.c_custkey, "left").join(l, o.o_orderkey == l.l_orderkey, "left")
+        # bookings and items are both large: a shuffle join that AQE can split, whatever the test size
+        j = (o.join(c, o.o_custkey == c.c_custkey, "left").join(l.hint("merge"), o.o_orderkey == l.l_orderkey, "left")
              .join(p, l.l_partkey == p.p_partkey, "left"))
         return j.selectExpr(*[f"{e} AS {c}" for c, e in AGENDA.items()])
 

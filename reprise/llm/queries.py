@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reprise.llm import line_rules, main_text, packing, topk
-from reprise.llm.common import table
+from reprise.llm import line_rules, main_text, near_dedup, packing, suffix_tree, topk, toxicity
+from reprise.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: (ship(spark), fn(spark, sf_dir))[1]
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -81,3 +81,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pattern_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe_files())
+
+
+@query("op1_dart_minhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "links")
+
+
+@query("op6_positive_unlabelled_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_suffix_tree")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"), suffix_tree.fold() != 0, suffix_tree.fold() == 0)

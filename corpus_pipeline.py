@@ -6,25 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reprise.llm import line_rules, packing
-from reprise.llm.common import staged, table
+from reprise.llm import line_rules, near_dedup, packing, toxicity
+from reprise.llm.common import ship, staged, table
 from reprise.llm.queries import bpe_files
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model doesn't predict toxic; it learns from the labels of these documents. A null
+    text has no words and stays."""
+    ship(spark)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return toxicity.classify(docs, model, COLUMNS).where("predicted = 0").select(*COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the line and word rules; rows with a null or repeated doc_id are judged by their text."""
+    """Documents that pass the line and word rules. Rows of one doc_id stay if one of them passes; rows without a
+    doc_id go, as no verdict can be joined to them."""
+    ship(spark)
     verdicts = line_rules.judge(docs).where("kept").select("doc_id").distinct()
     return docs.join(verdicts, "doc_id", "left_semi").select(*COLUMNS)
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each near-duplicate class, once; rows without a doc_id are classes of
+    their own."""
+    ship(spark)
+    first = near_dedup.classes(docs).where("id = class_id").select(F.col("id").alias("doc_id")).distinct()
+    kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null").select(*COLUMNS))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every document, placed in sequences."""
+    ship(spark)
     return packing.pack(docs, bpe_files())
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality), ("best-fit packing", packed)]
+STAGES: list[tuple[str, Stage]] = [("toxicity", clean), ("quality rules", quality), ("near duplicates", distinct), ("best-fit packing", packed)]
 
 #: The toxicity model and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None

@@ -11,22 +11,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reprise.llm.common import chunks, coded, hashed, mix, per_row, staged, words_of
+from reprise.llm.common import chunks, coded, hashed, mix, per_row, staged, windows_of, words_of
 
 #: Bounds of the sample that the classifier is fitted on: confirmed positives, unlabelled texts, words.
 MAX_POSITIVES = 20_000
 MAX_UNLABELLED = 20_000
 MAX_FEATURES = 4096
-#: A word is a feature if this many positives hold it, its share among them stands out by this log-likelihood ratio, and
-#: by the class prior at least this share of the texts with it are positive.
+#: A word or beginning is a feature if this many positives hold it, its share among them stands out by a log-likelihood
+#: ratio of twice the logarithm of the number of candidates (about one by chance), and by the class prior at least
+#: MIN_PRECISION of the texts with it are positive.
 MIN_POSITIVES = 3
-MIN_RATIO = 15.0
 MIN_PRECISION = 0.5
 SURE_FEATURES = 10
 THRESHOLD = 0.3
-#: Word beginnings that count as features, and how many words of a text must share one.
-STEMS = (3, 5, 7)
-LEVELS = (2, 3)
+#: Lengths of the word beginnings that count as features.
+STEMS = (3, 4, 5, 6, 7)
+#: Shares of a text's words from which a word or a beginning counts as present.
+WORD_SHARE, STEM_SHARE = 0.0004, 0.002
+#: Orders under which near copies in the sample are told by a common earliest window.
+FAMILY_KEYS = 4
 _EDGE = "#*$%&|<>.,;:!?\"'()[]{}-_/\\"
 
 
@@ -39,57 +42,63 @@ class Model:
     bias: float
     prior: float
 
-    def score(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.bias + per_row(row, n, self.weights[feature]), -30, 30)))
+    def score(self, row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.bias + per_row(row, n, self.weights[feature] * value), -30, 30)))
 
 
-def presence(text: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature hash) of each text's features, only those in the sorted array ``wanted`` if given.
+def evidence(text: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature hash, value, strong) of each text's features, only those in the sorted array ``wanted`` if given.
 
-    Features: each distinct word, in lower case without marks at its ends; and each word beginning of a length in
-    ``STEMS`` that at least so many words of the text share as a level in ``LEVELS`` says.
+    Features: each distinct word, in lower case without marks at its ends, and each word beginning of a length in
+    ``STEMS`` that two words or more of the text share. Values are percentages of the text's words, at most 1 for a word
+    and 2 for a beginning, so that a word which a long text holds by chance weighs little. ``strong``: often enough in
+    the text to count as present when features are chosen.
     """
     words, row = words_of(text)
-    rows, found = [], []
+    out: list[tuple] = []
     if len(words):
+        size = per_row(row, len(text))
         code, distinct = coded(words)
         code2, plain = coded(pc.utf8_trim(pc.utf8_lower(distinct), characters=_EDGE))
         code = code2[code]
-        size = pc.utf8_length(plain).to_numpy(zero_copy_only=False)
-        pairs = lambda c, n: np.unique(row_of * np.int64(n) + c, return_counts=True)
-
-        def wish(h: np.ndarray) -> np.ndarray:
-            if wanted is None:
-                return np.ones(len(h), bool)
-            return wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
-
-        h = hashed(plain)
-        use = (wish(h) & (size > 0))[code]
-        row_of = row[use]
-        pair, _ = pairs(code[use], len(plain))
-        rows.append(pair // len(plain))
-        found.append(h[pair % len(plain)])
+        width = pc.utf8_length(plain).to_numpy(zero_copy_only=False)
+
+        def take(code: np.ndarray, h: np.ndarray, ok: np.ndarray, least: int, share: float, most: float) -> None:
+            if wanted is not None:
+                ok = ok & ((wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h)[code] if len(wanted) else False)
+            pair, n = np.unique(row[ok] * np.int64(len(h)) + code[ok], return_counts=True)
+            pair, n = pair[n >= least], n[n >= least]
+            r = pair // len(h)
+            out.append((r, h[pair % len(h)], np.minimum(most, 100.0 * n / size[r]), n >= share * size[r]))
+
+        take(code, hashed(plain), (width > 0)[code], 1, WORD_SHARE, 1.0)
         for length in STEMS:
-            stem_code, stems = coded(pc.utf8_slice_codeunits(plain, 0, length))
-            h = hashed(stems)
-            levels = [(k, mix(h + np.uint64(k))) for k in LEVELS]
-            ok = np.zeros(len(stems), bool)
-            for _, hk in levels:
-                ok |= wish(hk)
-            use = (ok[stem_code] & (size > length))[code]
-            row_of = row[use]
-            pair, n = pairs(stem_code[code[use]], len(stems))
-            for k, hk in levels:
-                hit = (n >= k) & wish(hk)[pair % len(stems)]
-                rows.append(pair[hit] // len(stems))
-                found.append(hk[pair[hit] % len(stems)])
-    return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
-def known(model_words: np.ndarray, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature number) of the model's features in each text."""
-    row, h = presence(text, model_words)
-    return row, np.searchsorted(model_words, h)
+            stem, stems = coded(pc.utf8_slice_codeunits(plain, 0, length))
+            take(stem[code], mix(hashed(stems) + np.uint64(1)), (width > length)[code], 2, STEM_SHARE, 2.0)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def known(model_words: np.ndarray, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature number, value) of the model's features in each text."""
+    row, h, value, _ = evidence(text, model_words)
+    return row, np.searchsorted(model_words, h), value
+
+
+def families(text: pa.Array) -> np.ndarray:
+    """rows x FAMILY_KEYS earliest five-word windows under as many orders: near copies share most of them."""
+    words, row = words_of(text)
+    out = np.full((len(text), FAMILY_KEYS), -1, np.int64)
+    if len(words):
+        code, distinct = coded(words)
+        h, start = windows_of(hashed(distinct)[code], row, 5)
+        r = row[start]
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
+        for k in range(FAMILY_KEYS):
+            if len(r):
+                out[r[first], k] = np.minimum.reduceat(mix(h + np.uint64(k)), first).view(np.int64)
+    return out
 
 
 def risk_step(f_pos: np.ndarray, f_unl: np.ndarray, prior: float, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
@@ -108,21 +117,27 @@ def risk_step(f_pos: np.ndarray, f_unl: np.ndarray, prior: float, slack: float =
     return -n_pos, -n_unl, float(prior * loss(f_pos).mean())
 
 
-def fit(positive: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarray, np.ndarray, int], n_features: int, prior: float,
+Part = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+
+
+def fit(positive: Part, unlabelled: Part, n_features: int, prior: float,
         steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the whole sample; inputs are (row, feature, number of rows)."""
+    """Weights and bias by Adam on the whole sample; inputs are (row, feature, value, number of rows)."""
     w = np.zeros(n_features + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v, best, best_w = np.zeros_like(w), np.zeros_like(w), np.inf, w.copy()
 
-    def scores(part: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
-        return w[-1] + per_row(part[0], part[2], w[part[1]])
+    def scores(part: Part) -> np.ndarray:
+        return w[-1] + per_row(part[0], part[3], w[part[1]] * part[2])
+
+    def slopes(part: Part, g: np.ndarray) -> np.ndarray:
+        return np.bincount(part[1], weights=g[part[0]] * part[2], minlength=n_features + 1)
 
     for t in range(1, steps + 1):
         gp, gu, risk = risk_step(scores(positive), scores(unlabelled), prior)
         if risk < best:
             best, best_w = risk, w.copy()
-        g = np.bincount(positive[1], weights=gp[positive[0]], minlength=n_features + 1) + np.bincount(unlabelled[1], weights=gu[unlabelled[0]], minlength=n_features + 1)
+        g = slopes(positive, gp) + slopes(unlabelled, gu)
         g[:-1] += decay * w[:-1]
         g[-1] = gp.sum() + gu.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -151,26 +166,36 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
     pick = lambda df, seed, most: df.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).select("doc_id")
     ids = pick(of.where("toxic = 1"), 1, MAX_POSITIVES).withColumn("side", F.lit(1)).union(pick(own.select("doc_id").distinct(), 2, MAX_UNLABELLED).withColumn("side", F.lit(0)))
     # at most MAX_POSITIVES + MAX_UNLABELLED ids: small enough for every executor
-    drawn = staged(own.join(F.broadcast(ids), "doc_id").select("side", "doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("key")))
-    # equal texts teach once: a group of copies must not make its own words look toxic
-    firsts = drawn.groupBy("side", "key").agg(F.min("doc_id").alias("doc_id")).select("side", "doc_id").distinct()
-    sample = drawn.join(F.broadcast(firsts), ["side", "doc_id"], "left_semi")
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text"):
+            keys = families(b.column("text"))
+            yield pa.record_batch([b.column("side"), b.column("doc_id"), b.column("text"), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), FAMILY_KEYS).cast(pa.list_(pa.int64()))], ["side", "doc_id", "text", "keys"])
+
+    drawn = staged(own.join(F.broadcast(ids), "doc_id").select("side", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        keyed, "side int, doc_id long, text string, keys array<long>"))
+    # copies and near copies teach once: a group of them must not make its own words look toxic
+    key = drawn.select("side", "doc_id", F.posexplode("keys").alias("k", "key"))
+    firsts = key.groupBy("side", "k", "key").agg(F.min("doc_id").alias("doc_id")).groupBy("side", "doc_id").agg(F.count("*").alias("n")).where(F.col("n") == FAMILY_KEYS).select("side", "doc_id")
+    sample = staged(drawn.join(F.broadcast(firsts), ["side", "doc_id"], "left_semi").drop("keys"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             side = b.column("side").to_numpy(zero_copy_only=False)
-            row, h = presence(b.column("text"))
+            row, h, _, strong = evidence(b.column("text"))
+            row, h = row[strong], h[strong]
             u, inv = np.unique(h, return_inverse=True)
             pos = per_row(inv, len(u), side[row] == 1).astype(np.int64)
             yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(pos), pa.array(per_row(inv, len(u)) - pos)], ["word", "pos", "unl"])
 
     n_pos, n_unl = sample.agg(F.count(F.when(F.col("side") == 1, 1)), F.count(F.when(F.col("side") == 0, 1))).first()
     counts = sample.mapInArrow(words, "word long, pos long, unl long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
+    counts = staged(counts)
+    candidates = counts.count()
     xlog = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     p, u = F.col("pos").cast("double"), F.col("unl").cast("double")
     rate = (p + u) / (n_pos + n_unl)
     ratio = 2 * (xlog(p, n_pos * rate) + xlog(u, n_unl * rate) + xlog(n_pos - p, n_pos * (1 - rate)) + xlog(n_unl - u, n_unl * (1 - rate)))
-    chosen = counts.where((p >= MIN_POSITIVES) & (prior * p * n_unl >= MIN_PRECISION * u * n_pos) & (rate < 1)).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "word").limit(MAX_FEATURES)
+    chosen = counts.where((p >= MIN_POSITIVES) & (prior * p * n_unl >= MIN_PRECISION * u * n_pos) & (rate < 1)).withColumn("ratio", ratio).where(F.col("ratio") >= 2 * float(np.log(max(2, candidates)))).orderBy(F.desc("ratio"), "word").limit(MAX_FEATURES)
     top = chosen.select("word", "pos", "unl").collect()                  # at most MAX_FEATURES
     if not top:
         return empty
@@ -182,20 +207,23 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
 
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
-            row, f = known(features, b.column("text"))
-            parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row(row, b.num_rows))]).astype(np.int32)), pa.array(f.astype(np.int32)))
-            yield pa.record_batch([b.column("side"), parts], ["side", "found"])
+            row, f, value = known(features, b.column("text"))
+            order = np.argsort(row, kind="stable")
+            ends = pa.array(np.concatenate([[0], np.cumsum(per_row(row, b.num_rows))]).astype(np.int32))
+            yield pa.record_batch([b.column("side"), b.column("doc_id"), *(pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (f.astype(np.int32), value))], ["side", "doc_id", "found", "share"])
 
-    found = sample.mapInArrow(matches, "side int, found array<int>").groupBy("side", "found").agg(F.count("*").alias("n")).collect()       # the bounded sample's feature numbers
+    found = sample.mapInArrow(matches, "side int, doc_id long, found array<int>, share array<double>").collect()       # the bounded sample's feature numbers
+    found.sort(key=lambda r: (r["side"], r["doc_id"], r["found"]))
 
-    def part(side: int) -> tuple[np.ndarray, np.ndarray, int]:
-        rows = sorted(list(r["found"]) for r in found if r["side"] == side for _ in range(r["n"]))
-        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([f for r in rows for f in r], np.int64), len(rows)
+    def part(side: int) -> Part:
+        rows = [r for r in found if r["side"] == side]
+        flat = lambda c: np.array([v for r in rows for v in r[c]])
+        return np.repeat(np.arange(len(rows)), [len(r["found"]) for r in rows]), flat("found").astype(np.int64), flat("share").astype(float), len(rows)
 
     unlabelled = part(0)
     weights, bias = fit(part(1), unlabelled, len(features), prior)
     # no more of the unlabelled texts than the class prior says may reach the threshold
-    f = bias + per_row(unlabelled[0], unlabelled[2], weights[unlabelled[1]])
+    f = bias + per_row(unlabelled[0], unlabelled[3], weights[unlabelled[1]] * unlabelled[2])
     bias += min(0.0, float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(f, 1 - prior)))
     return Model(features, weights, bias, prior)
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reprise.llm import line_rules, main_text, near_dedup, packing, suffix_tree, topk, toxicity
-from reprise.llm.common import ship, table
+from reprise.llm import fixity, licences, line_rules, main_text, near_dedup, packing, suffix_tree, topk, toxicity
+from reprise.llm.common import ship, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_tree")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"), suffix_tree.fold() != 0, suffix_tree.fold() == 0)
+
+
+@query("op2_licence_sentences", licences.sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+_OP9_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, coalesce(CAST(floor(page_id / 4096) AS BIGINT), -1) AS archive FROM pages),
+r AS (SELECT *, CASE WHEN page_id % 97 = 13 THEN html || '~' ELSE html END AS other FROM p),
+x AS (SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+  || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS gap FROM r),
+y AS (SELECT archive, page_id, url, head || CAST(strlen(html) AS VARCHAR) || gap || html || gap AS a, head || CAST(strlen(other) AS VARCHAR) || gap || other || gap AS b FROM x),
+z AS (SELECT archive, page_id, CAST(strlen(a) AS BIGINT) AS length, sha256(a) AS expected, CASE WHEN page_id % 211 = 5 THEN NULL ELSE sha256(b) END AS found,
+  CAST(coalesce(sum(strlen(a)) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, url, sha256(a) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM y)
+SELECT archive, "offset", page_id, length, CASE WHEN found IS NULL THEN 'missing' ELSE 'changed' END AS kind, expected, found FROM z WHERE expected IS DISTINCT FROM found"""
+
+
+@query("op9_merkle_fixity", _OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica of all pages in which each 97th record has a byte too many and each 211th is lost."""
+    own = staged(fixity.manifest(table(spark, sf_dir, "pages")).select(
+        "archive", "offset", "page_id", "length", "digest",
+        F.when(F.col("page_id") % 97 == 13, F.sha2(fixity.record(F.col("page_id"), F.col("url"), F.concat("html", F.lit("~"))), 256)).otherwise(F.col("digest")).alias("other")))
+    replica = own.where("page_id is null or page_id % 211 <> 5").select("archive", "offset", F.col("other").alias("digest"))
+    bad = fixity.audit(own.select("archive", "offset", "digest"), replica)
+    return bad.join(own.select("archive", "offset", "page_id", "length"), ["archive", "offset"]).select("archive", "offset", "page_id", "length", "kind", "expected", "found")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reprise.llm import fixity, licences, line_rules, main_text, near_dedup, packing, suffix_tree, topk, toxicity
+from reprise.llm import fixity, licences, line_rules, main_text, merge_dropout, near_dedup, packing, suffix_tree, topk, toxicity
 from reprise.llm.common import ship, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     replica = own.where("page_id is null or page_id % 211 <> 5").select("archive", "offset", F.col("other").alias("digest"))
     bad = fixity.audit(own.select("archive", "offset", "digest"), replica)
     return bad.join(own.select("archive", "offset", "page_id", "length"), ["archive", "offset"]).select("archive", "offset", "page_id", "length", "kind", "expected", "found")
+
+
+@query("op5_merge_dropout")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as files
+
+    return merge_dropout.digest(table(spark, sf_dir, "documents"), files.path("piece_bpe_32k.model"))

@@ -22,7 +22,10 @@ MAX_FEATURES = 4096
 #: MIN_PRECISION of the texts with it are positive.
 MIN_POSITIVES = 3
 MIN_PRECISION = 0.5
+#: Features that stand out most: they bound the class prior.
 SURE_FEATURES = 10
+#: The most that a text scores where no word stands out.
+BLIND_SCORE = 0.1
 THRESHOLD = 0.3
 #: Lengths of the word beginnings that count as features.
 STEMS = (3, 4, 5, 6, 7)
@@ -152,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
     Positives: rows that ``labels`` (doc_id, toxic) marks 1. Unlabelled: rows as they come, whatever their label. The
     class prior is the share of 1 among labelled rows. Samples are the rows with the smallest hashes of doc_id, within
     the bounds above; only word counts over the sample and the rows' feature numbers reach the driver. Null ids and
-    labels are left out, repeated labels count once (1 wins); without positives or texts the model is the prior alone.
+    labels are left out, repeated labels count once (1 wins); without positives, or words that stand out
+    among them, every text has the prior's score, BLIND_SCORE at most, and none is predicted toxic.
     """
     spark = docs.sparkSession
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -160,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
     of = own.select("doc_id").distinct().join(marked, "doc_id")
     total, ones = of.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = min(0.9, max(1e-3, (ones + 0.5) / (total + 1.0)))
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
+    blind = min(prior, BLIND_SCORE)
+    empty = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(blind / (1 - blind))), prior)
     if not ones:
         return empty
     pick = lambda df, seed, most: df.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).select("doc_id")

@@ -16,8 +16,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands and coordinates in a band: a pair at the limit shares a band with probability 1 - (1 - 0.8^6)^24 = 0.9993.
 BANDS, ROWS = 24, 6
-#: Pivots of a bucket in one round of comparisons after the first.
-PIVOTS = 32
+#: Texts in a tile of the comparison grid of a family.
+TILE = 256
+#: Ids that may be broadcast to pick texts; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Rank levels of the darts: unit slabs below 2^-FINE are thrown at once, then each level doubles the range.
 FINE = 6
 
@@ -129,10 +131,9 @@ def sketch(docs: DataFrame, id_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, same1 long, same2 long, bands array<long>")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, id_column: str, limit: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is ``limit`` or more, by their whole texts."""
-    text = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = pairs.join(text.toDF("b", "right"), "b").join(text.toDF("a", "left"), "a").select("a", "b", "left", "right")
+def similar(pairs: DataFrame, texts: DataFrame, limit: float) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity is ``limit`` or more, by the whole ``texts`` (id, text)."""
+    rows = pairs.join(texts.toDF("b", "right"), "b").join(texts.toDF("a", "left"), "a").select("a", "b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,17 +159,82 @@ def similar(pairs: DataFrame, docs: DataFrame, id_column: str, limit: float) ->
     return rows.mapInArrow(run, "a long, b long")
 
 
+def spanning(size: np.ndarray, row: np.ndarray, slab: np.ndarray, side: np.ndarray, root: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """Similar pairs of the texts of two tiles (side 0 and 1; one tile: all 0) that join different classes, as few as
+    join them: exact overlaps by products of the tiles' incidence matrices, taken a block of shared slabs at a time."""
+    n = len(size)
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(n), np.arange(n))
+    names, code, count = np.unique(slab, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(count > 1)
+    column = np.full(len(names), -1)
+    column[common] = np.arange(len(common))
+    row, column = row[column[code] >= 0], column[code][column[code] >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    overlap = np.zeros((len(left), len(right)))
+    width = 4096
+    for first in range(0, len(common), width):
+        x, y = np.searchsorted(column, [first, first + width])
+        block = np.zeros((n, width), np.float32)
+        block[row[x:y], column[x:y] - first] = 1
+        overlap += block[left] @ block[right].T
+    close = overlap >= limit * (size[left][:, None] + size[right][None, :] - overlap) - 1e-9
+    close &= (root[left][:, None] != root[right][None, :]) & (size[left][:, None] > 0)
+    parent: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while parent.get(v, v) != v:
+            v = parent[v]
+        return v
+
+    out = []
+    for i, j in zip(*np.nonzero(close), strict=True):
+        x, y = find(root[left[i]]), find(root[right[j]])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((left[i], right[j]))
+    return out
+
+
+def grid(members: DataFrame, texts: DataFrame, limit: float) -> DataFrame:
+    """Links (a, b) between classes of a family. ``members``: family, rep, root. Each family is dealt into tiles of about
+    ``TILE`` texts, and two tiles that may hold two classes meet in one task."""
+    roots = members.groupBy("family", "root").agg(F.count("*").alias("n"))
+    main = roots.groupBy("family").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    sizes = main.select("family", F.col("m.root").alias("main"), tiles(F.col("m.n")).alias("own"), tiles(F.col("n") - F.col("m.n")).alias("others"))
+    dealt = members.join(sizes, "family").withColumn("inner", F.col("root") == F.col("main"))
+    at = F.xxhash64("rep")
+    dealt = dealt.withColumn("tile", F.when(F.col("inner"), F.pmod(at, F.col("own"))).otherwise(F.col("own") + F.pmod(at, F.greatest("others", F.lit(1)))).cast("int"))
+    # the largest class has tiles of its own, which need not meet each other
+    others = F.sequence(F.when(F.col("inner"), F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("others") - 1)
+    met = dealt.where("others > 0").select("family", "rep", "root", "tile", F.explode(others).alias("other"))
+    met = met.select("family", "rep", "root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).alias("second"))
+    rows = met.join(texts.withColumnRenamed("id", "rep"), "rep")
+
+    def run(t: pa.Table) -> pa.Table:
+        root, rep = t.column("root").to_numpy(), t.column("rep").to_numpy()
+        out: list[tuple[int, int]] = []
+        if (root != root[0]).any():
+            text = t.column("text").combine_chunks()
+            row, slab = shingles(*word_values(text), len(text))
+            out = spanning(per_row(row, len(text)), row, slab, t.column("second").to_numpy(zero_copy_only=False).astype(int), root, limit)
+        return pa.table({"a": pa.array([rep[i] for i, _ in out], pa.int64()), "b": pa.array([rep[j] for _, j in out], pa.int64())})
+
+    return rows.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def classes(docs: DataFrame, id_column: str = "doc_id", limit: float = SIMILARITY) -> DataFrame:
-    """Class of every document: (id, class_id, links), ``class_id`` the smallest id of its class.
+    """Class of every document: (id, class_id), ``class_id`` the smallest id of its class.
 
     Documents are in one class if a chain of pairs with a weighted Jaccard similarity of ``limit`` or more joins them;
-    the elements are five-word shingles, the weights their counts. Equal word sequences are folded first. Then, in each
-    band bucket, pivots are compared with the members (exactly, by whole texts): first the smallest member, after that
-    up to 32 pivots a round, and only across classes, until no bucket holds two classes that have not been compared.
-    So a large group costs a few comparisons a member, no pairs within a group are spelled out, and no link between
-    classes is lost to a cap. Texts without words (null or empty) and rows with a null id are classes of their own;
-    ``class_id`` is null for a null id. Repeated rows share a class; an empty table gives no rows; other columns are not
-    read. ``links``: verified links of the row's folded text (0 for a text alone).
+    the elements are five-word shingles, the weights their counts. Equal word sequences are folded first. In each band
+    bucket the most central member (the one whose buckets are fullest) is compared with the others, exactly and by whole
+    texts, which joins a group of copies around its original at one comparison a member. Buckets that still hold several
+    classes are joined to families, and a family's texts are compared across classes by matrix products of bounded
+    tiles, of which only spanning links come out. So no pairs within a group are spelled out, and no candidate is
+    dropped. Texts without words (null or empty) and rows with a null id are classes of their own; ``class_id`` is null
+    for a null id. Repeated rows share a class; an empty table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col(id_column).cast("bigint").alias("_id"), "text")
     whole = docs.where(F.col("_id").isNotNull())
@@ -178,30 +244,23 @@ def classes(docs: DataFrame, id_column: str = "doc_id", limit: float = SIMILARIT
     member = worded.select("id", "same1", "same2").distinct().join(folded, ["same1", "same2"]).select("id", "rep")
     bands = sketches.join(folded.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"))
     entries = bands.select(F.col("id").alias("rep"), F.explode("bands").alias("bucket"))
-    crowded = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("bucket", "pivot")
+    crowded = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     open_ = staged(entries.join(crowded, "bucket"))
-    texts = whole.join(folded.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi").dropDuplicates(["_id"])
-    pairs = open_.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    found = staged(similar(pairs, texts, "_id", limit))
-    links, label = found, components(found)
-    open_ = open_.where("rep <> pivot").select("bucket", "rep")
-    while True:
-        named = open_.join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-        mixed = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-        open_ = staged(named.join(mixed, "bucket", "left_semi"))
-        if open_.isEmpty():
-            break
-        slot = F.pmod(F.xxhash64("rep", "bucket"), F.lit(PIVOTS))
-        pivots = staged(open_.groupBy("bucket", slot.alias("slot")).agg(F.min_by(F.struct("rep", "root"), "rep").alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.root").alias("pivot_root")))
-        pairs = open_.join(pivots, "bucket").where("root <> pivot_root").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        found = staged(similar(pairs, texts, "_id", limit))
-        # a pivot has met every other class of its bucket: it leaves
-        open_ = staged(open_.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep"))
-        if not found.isEmpty():
-            links = links.union(found)
-            label = components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
-    counts = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    of = member.join(label.select(F.col("node").alias("rep"), F.col("root").alias("of")), "rep", "left").join(counts, "rep", "left").select("id", F.coalesce("of", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-    of = of.groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
-    out = docs.select(F.col("_id").alias("id")).join(of, "id", "left")
-    return out.select(F.col("id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    central = open_.groupBy("rep").agg(F.sum("n").alias("weight"))
+    reps = staged(central)
+    few = reps.count() <= BROADCAST_IDS
+    ids = reps.select(F.col("rep").alias("_id"))
+    texts = staged(whole.join(F.broadcast(ids) if few else ids, "_id", "left_semi").select(F.col("_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).dropDuplicates(["id"]))
+    best = open_.join(reps, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("p")).select("bucket", (-F.col("p.minus")).alias("pivot"))
+    pairs = open_.join(best, "bucket").where("rep <> pivot").select(F.least("pivot", "rep").alias("least"), F.greatest("pivot", "rep").alias("most"), F.col("pivot").alias("a"), F.col("rep").alias("b")).dropDuplicates(["least", "most"]).select("a", "b")
+    found = staged(similar(pairs, texts, limit))
+    label = components(found)
+    named = staged(open_.select("bucket", "rep").join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root")))
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("rep").alias("first")).where("x < y").select("bucket", "first")
+    rest = staged(named.join(mixed, "bucket").select("rep", "root", "first").distinct())
+    if not rest.isEmpty():
+        family = components(rest.select(F.col("rep").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("rep"), F.col("root").alias("family"))
+        across = staged(grid(rest.select("rep", "root").distinct().join(family, "rep"), texts, limit))
+        label = components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across))
+    of = member.join(label.select(F.col("node").alias("rep"), F.col("root").alias("of")), "rep", "left").groupBy("id").agg(F.min(F.coalesce("of", "rep")).alias("class_id"))
+    return docs.select(F.col("_id").alias("id")).join(of, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))

@@ -85,7 +85,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_dart_minhash")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "links")
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
 
 
 @query("op6_positive_unlabelled_toxicity")

@@ -30,20 +30,25 @@ _WORD = re.compile(r"[A-Za-z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>|\Z", re.I | re.S) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 
 
-def furniture(attributes: str) -> bool:
+#: The words among them that also tell an article element from the page's own article.
+SMALL_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended teaser".split())
+
+
+def furniture(attributes: str, words: frozenset[str] = FURNITURE) -> bool:
     """True if class, id or role name page furniture, or the part is hidden."""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
-            if any(w.lower() in FURNITURE for part in value.split() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", part))):
+            if any(w.lower() in words for part in value.split() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", part))):
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
+def lines_of(page: str, strict: bool = True) -> list[tuple[str, int, bool]]:
     """Lines in page order: text with single spaces, its characters outside links, whether it is inside the article.
+    Not ``strict``: forms and parts that only their class tells are kept.
 
     Block elements end a line. A part that is dropped (scripts, navigation, forms, furniture by class) leaves an empty
     line, so it is a gap in the distribution.
@@ -51,7 +56,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     stack: list[str] = []
-    dropped = 0                     # height of the stack where a dropped part began, 0 if none
+    dropped, by_class, found = 0, False, False      # height of the stack where a dropped part began; why; article seen
     linked = [0]
     frames = {"article": 0, "main": 0}
 
@@ -117,12 +122,17 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
         stack.append(name)
+        inside = frames["article"] > 0
+        own = name == "main" or (name == "article" and not furniture(m[3], SMALL_ARTICLES))
+        if own and dropped and by_class and not found:
+            dropped = 0                 # a wrapper named after the page's furniture holds the article
         if name in frames:
             frames[name] += 1
         if not dropped:
-            inside = frames["article"] > 0
-            aside = name in ASIDE and not (name == "header" and inside)
-            if name in SILENT or aside or (name not in ("html", "body", "main") and furniture(m[3]) and not (name == "article" and not inside and "comment" not in m[3].lower())):
+            found |= own
+            aside = name in ASIDE and not (name == "header" and inside) and (strict or name != "form")
+            by_class = name not in ("html", "body") and not own and (name == "article" or strict and furniture(m[3]))
+            if name in SILENT or aside or by_class:
                 close(gap=True)
                 dropped = len(stack)
     close()
@@ -150,6 +160,8 @@ def main_text(page: str | None) -> str:
     limit of a surge is one character, as every line in it counts; otherwise all lines of the page are, links left out.
     A page without a surge gives its longest run of lines outside links."""
     lines = lines_of(page or "")
+    if page and not any(s for s, _, _ in lines):
+        lines = lines_of(page, strict=False)
     marked = any(inside and s for s, _, inside in lines)
     if marked:
         ranges = blocks_between([len(s) if inside else 0 for s, _, inside in lines], surge=1)

@@ -227,6 +227,15 @@ def test_pages_without_article_mark():
     assert main_text.main_text(page) == " ".join(f"Title of the story {long} Short. {long}".split())
 
 
+def test_pages_with_misleading_wrappers():
+    body = "<h1>T</h1><p>First.<p>Second &amp; last."
+    for page in (f'<body class="has-sidebar"><div class="wrap with-sidebar"><article class="post">{body}</article></div><section class="related"><article>Other story</article></section>',
+                 f'<div class="no-sidebar page"><main>{body}</main></div><article class="related-item">Other</article>',
+                 f'<form action="/"><div>{body}</div></form>', f'<div class="cookie-free">{body}</div>',
+                 f'<article>{body}<div class="share-buttons">Share</div><!-- x --><script>if (a<b) c("</p>")</script></article><article class="comment">No!</article><div id="comments">Bad</div>'):
+        assert main_text.main_text(page) == "T First. Second & last.", page
+
+
 def test_pipeline_stages_against_brute_force(spark):
     """Each stage keeps what a plain version keeps, on its own input; the last places every piece."""
     import corpus_pipeline

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -32,6 +33,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _STAGES: dict[tuple[str, str], str] = {}
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a stage of this application when it ends; a session that is gone already leaves it to the cluster."""
+    if spark.sparkContext._jsc is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stage_table(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Parquet stage cut in the shared folder, built on first use in this application.
 
@@ -42,5 +50,6 @@ def stage_table(spark: SparkSession, name: str, build: Callable[[], DataFrame])
         ensure_checkpoint_dir(spark)
         path = f"{spark.sparkContext.getCheckpointDir()}/stages/{uuid.uuid4().hex}"
         build().write.parquet(path)
+        atexit.register(_remove, spark, path)
         _STAGES[key] = path
     return spark.read.parquet(_STAGES[key])

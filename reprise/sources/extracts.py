@@ -56,7 +56,21 @@ def load_agenda(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_interim(spark: SparkSession, csv_path: str, parquet_path: str, kind: str, force: bool = False) -> DataFrame:
-    """CSV to typed Parquet once; an existing copy is kept unless ``force``."""
+    """CSV to typed Parquet once; a finished copy is kept unless ``force``, a half-written one is replaced."""
     loader = {"sales": load_sales, "agenda": load_agenda}[kind]
-    loader(spark, csv_path).write.mode("overwrite" if force else "ignore").parquet(parquet_path)
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{parquet_path}/_SUCCESS")
+    finished = marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    if force or not finished:
+        loader(spark, csv_path).write.mode("overwrite").parquet(parquet_path)
     return spark.read.parquet(parquet_path)
+
+
+def malformed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Raw lines that don't have the header's number of fields (a quoted line feed, a field too many), as ``line``.
+
+    Such rows are typed with what could be read of them; a job that must not accept them looks here first.
+    """
+    header = spark.read.text(path).first()["value"]
+    schema = ", ".join(f"`{c}` string" for c in read_raw_csv(spark, path).columns) + ", _line string"
+    row = F.from_csv("value", F.lit(schema), {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": "_line"})
+    return spark.read.text(path).where(F.col("value") != header).select(row["_line"].alias("line")).where(F.col("line").isNotNull())

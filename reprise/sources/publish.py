@@ -15,6 +15,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MANIFEST = "_manifest"
+_MANIFEST_SCHEMA = "rows bigint, hash string, published_at timestamp_ntz, tables array<string>, info string, dataset_id string, run_id string"
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -44,12 +45,12 @@ def publish_run(tables: dict[str, DataFrame], source: DataFrame, root: str, data
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """All published runs of all datasets."""
-    return spark.read.option("basePath", f"{root}/{MANIFEST}").parquet(f"{root}/{MANIFEST}")
+    """All published runs of all datasets; ids are text, so that leading zeros stay."""
+    return spark.read.schema(_MANIFEST_SCHEMA).option("basePath", f"{root}/{MANIFEST}").parquet(f"{root}/{MANIFEST}")
 
 
 def latest_run(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
-    m = manifest(spark, root).where(F.col("dataset_id").cast("string") == dataset_id)
+    m = manifest(spark, root).where(F.col("dataset_id") == dataset_id)
     return m.orderBy(F.col("published_at").desc(), F.col("run_id").desc()).limit(1)
 
 

@@ -98,3 +98,24 @@ def test_publish_manifest_last_and_isolation(spark, tmp_path):
         publish.publish_run({"scores": s2, "zz": bad}, s2, root, "ds1", "run2")
     assert publish.read_latest(spark, root, "ds1", "scores").count() == 5          # the broken run has no manifest row
     assert not publish.is_stale(spark, root, "ds1", s1.orderBy(F.col("id").desc())) and publish.is_stale(spark, root, "ds1", s2)
+
+
+def test_ids_with_leading_zeros_are_found(spark, tmp_path):
+    root, s1 = str(tmp_path / "pub"), spark.range(3)
+    publish.publish_run({"scores": s1}, s1, root, "007", "001")
+    publish.publish_run({"scores": s1}, s1, root, "7", "001")
+    assert publish.read_latest(spark, root, "007", "scores").count() == 3 and publish.catalogue(spark, root).count() == 2
+
+
+def test_half_written_copy_is_replaced_and_malformed_lines_are_told(spark, tmp_path):
+    csv = tmp_path / "sales.csv"
+    head = "vehicle_id,SalesDate,ModelYear,ModelName"
+    csv.write_text(head + '\nv1,2024-01-02,2024,R\nv2,2024-01-02,2024,R,surplus\nv3,2024-01-02,"2024\n",R\n')
+    assert sorted(r.line[:2] for r in extracts.malformed_rows(spark, str(csv)).collect())[-2:] == ["v2", "v3"]
+    csv.write_text(head + "\nv1,2024-01-02,2024,R\n")
+    target = tmp_path / "interim"
+    target.mkdir()                                   # a writer died before its first file
+    assert extracts.build_interim(spark, str(csv), str(target), "sales").count() == 1
+    csv.write_text(head + "\n")
+    assert extracts.build_interim(spark, str(csv), str(target), "sales").count() == 1         # finished: kept
+    assert extracts.build_interim(spark, str(csv), str(target), "sales", force=True).count() == 0

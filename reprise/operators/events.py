@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reprise import fixed_values as fv
@@ -46,24 +48,30 @@ def appointments(agenda: DataFrame, visit_columns: list[str] | None = None) -> D
     cols = visit_columns or fv.VISIT_COLUMNS
     items = agenda.dropDuplicates().withColumn("_rank", F.coalesce("ServiceMaintenance", F.lit(float("inf"))))
 
+    kind = F.coalesce("ServiceType", F.lit(""))
+    maint = item_is_maintenance()
+    flags = {
+        "has_maint": maint, "has_recall": F.lower(kind) == fv.TYPE_CAMPAIGN_LOWER, "has_diag": kind == fv.TYPE_DIAGNOSIS,
+        "has_repair": kind == fv.TYPE_REPAIR, "has_guarantee": flag(F.col("ServiceName") == fv.NAME_GUARANTEE),
+        "has_fixed_price": flag(F.col("ServiceFordFixedPriceFlag") == "Y"), "has_pud": flag(F.col("PickupDeliveryService") == "Yes"),
+        "has_mobile": flag(F.col("MobileService") == "Yes"),
+    }
+    # items of a booking nearly always agree on its attributes: buffers of fixed size first, so that item rows are
+    # hashed and not sorted; text is compared over the few variants that are left
+    variants = items.groupBy("schedule_id", *[F.col(c).alias(f"_v_{c}") for c in cols]).agg(
+        F.min("_rank").alias("_rank"), F.count(F.lit(1)).alias("_items"), F.min(F.when(maint, F.col("ServiceMaintenance"))).alias("_number"),
+        *[F.bool_or(c).alias(f"_f_{k}") for k, c in flags.items()])
+
     def first_known(c: str) -> Column:
-        value = F.col(c)
+        value = F.col(f"_v_{c}")
         return F.min(F.when(value.isNotNull(), F.struct("_rank", value.alias("v")))).getField("v").alias(c)
 
-    kind = F.coalesce("ServiceType", F.lit(""))
-    maint = item_is_maintenance()
-    collapsed = items.groupBy("schedule_id").agg(
+    collapsed = variants.groupBy("schedule_id").agg(
         *[first_known(c) for c in cols],
-        F.count(F.lit(1)).cast("int").alias("n_items"),
-        F.bool_or(maint).alias("has_maint"),
-        F.min(F.when(maint, F.col("ServiceMaintenance"))).alias("maint_number"),
-        F.bool_or(F.lower(kind) == fv.TYPE_CAMPAIGN_LOWER).alias("has_recall"),
-        F.bool_or(kind == fv.TYPE_DIAGNOSIS).alias("has_diag"),
-        F.bool_or(kind == fv.TYPE_REPAIR).alias("has_repair"),
-        F.bool_or(flag(F.col("ServiceName") == fv.NAME_GUARANTEE)).alias("has_guarantee"),
-        F.bool_or(flag(F.col("ServiceFordFixedPriceFlag") == "Y")).alias("has_fixed_price"),
-        F.bool_or(flag(F.col("PickupDeliveryService") == "Yes")).alias("has_pud"),
-        F.bool_or(flag(F.col("MobileService") == "Yes")).alias("has_mobile"),
+        F.sum("_items").cast("int").alias("n_items"),
+        F.bool_or("_f_has_maint").alias("has_maint"),
+        F.min("_number").alias("maint_number"),
+        *[F.bool_or(f"_f_{k}").alias(k) for k in flags if k != "has_maint"],
     )
     status = F.col("StatusARG")
     gap = F.datediff("EffectiveCheckinDate", "ScheduleDate")
@@ -191,6 +199,23 @@ def maintenance_events(appt: DataFrame, params: WindowParams = WindowParams()) -
     return monotonic_km(drop_split_visits(days, params.split_visit_days))
 
 
+def event_rule(appt: DataFrame, cutoff: dt.date, limit_days: int = 30) -> DataFrame:
+    """The final event rule on every booking, with the reason why a maintenance is dropped.
+
+    A network visit is a completed booking (with or without order) of a known vehicle up to the cut-off. Of completed
+    maintenances the first booking of a day counts, and of two with one service number within ``limit_days`` the first.
+    Bookings of a day are combined before they are ordered, so the ordered rows of a vehicle are its days.
+    """
+    visit = flag(F.col("vehicle_id").isNotNull() & (F.col("ScheduleDate") <= F.lit(cutoff)) & (F.col("completed") | F.col("completed_no_os")))
+    a = appt.select("schedule_id", "vehicle_id", "event_date", "maint_number", visit.alias("visita_red"), (visit & F.col("completed") & F.col("has_maint")).alias("_cand"))
+    days = a.where("_cand").groupBy("vehicle_id", "event_date").agg(F.min("schedule_id").alias("_first"), F.min_by("maint_number", "schedule_id").alias("_n"))
+    order = Window.partitionBy("vehicle_id").orderBy("event_date")
+    again = flag((F.col("_n") == F.lag("_n").over(order)) & (F.datediff("event_date", F.lag("event_date").over(order)) <= limit_days))
+    out = a.join(days.withColumn("_again", again), ["vehicle_id", "event_date"], "left")
+    first = flag(F.col("_cand") & (F.col("schedule_id") == F.col("_first")))
+    return out.select("schedule_id", "visita_red", (first & ~F.col("_again")).alias("mant_completado"), (F.col("_cand") & ~first).alias("dup_mant_dia"), (first & F.col("_again")).alias("dup_mant_n30"))
+
+
 def fold_duplicates(days: DataFrame, limit_days: int = 30) -> DataFrame:
     """Duplicate removal against the last *kept* day (no chain effect).
 

@@ -9,9 +9,10 @@ from pyspark.sql import Window, functions as F
 from reprise.functions.columns import count_if, cut, share
 from reprise.operators import features as ft, quality as ql, stats as st
 from reprise.operators.asof import asof_join, asof_nearest, asof_tolerance
-from reprise.operators.events import clean_km
+from reprise.operators.events import clean_km, event_rule
 from reprise.operators.history import counts_before, previous_row
-from reprise.plans.domain import SPAN, Tables
+from reprise import fixed_values as fv
+from reprise.plans.domain import AGENDA, RULES, SPAN, Tables
 from reprise.plans.registry import query
 from reprise.sources.validation import profile_extract
 
@@ -118,9 +119,8 @@ def _price(t: Tables):
 
 query("price_by_quarter", "quarter t, items i, known i, zero_share d, median_price d", """SELECT date_trunc('quarter', ScheduleDate) AS quarter, count(*) AS items, count(ServiceFordFixedPrice) AS known,
  count(*) FILTER (WHERE ServiceFordFixedPrice = 0) / nullif(count(ServiceFordFixedPrice), 0) AS zero_share, median(ServiceFordFixedPrice) AS median_price FROM items WHERE ServiceMaintenance IS NOT NULL GROUP BY 1""", "items")(_price)
-query("duplicate_items", "copies i, distinct_rows i", f"SELECT copies, count(*) AS distinct_rows FROM (SELECT count(*) AS copies FROM agenda GROUP BY ALL HAVING true) GROUP BY 1".replace("SELECT count(*) AS copies FROM agenda GROUP BY ALL HAVING true",
-      "SELECT count(*) AS copies FROM (SELECT * FROM agenda) GROUP BY schedule_id, ServiceName, ServiceType, ServiceMaintenance, PickupDeliveryService, MobileService, DaysInDealer, EffectiveCheckinDate"), "agenda")(
-    lambda t: t.agenda().groupBy("schedule_id", "ServiceName", "ServiceType", "ServiceMaintenance", "PickupDeliveryService", "MobileService", "DaysInDealer", "EffectiveCheckinDate").agg(one().alias("copies")).groupBy("copies").agg(one().alias("distinct_rows")))
+query("duplicate_items", "copies i, distinct_rows i", f"SELECT copies, count(*) AS distinct_rows FROM (SELECT count(*) AS copies FROM agenda GROUP BY {', '.join(AGENDA)}) GROUP BY 1", "agenda")(
+    lambda t: t.agenda().groupBy(*AGENDA).agg(one().alias("copies")).groupBy("copies").agg(one().alias("distinct_rows")))
 query("logical_duplicates", "visits i, n i", "SELECT visits, count(*) AS n FROM (SELECT count(*) AS visits FROM visits WHERE is_completed_maintenance GROUP BY vehicle_id, event_date) GROUP BY 1", "visits")(
     lambda t: t.visits().where("is_completed_maintenance").groupBy("vehicle_id", "event_date").agg(one().alias("visits")).groupBy("visits").agg(one().alias("n")))
 
@@ -165,9 +165,12 @@ _PC = ["last_status", "last_maint_km", "last_interval_days", "std_interval_days"
 _PG = {"last_status": "history", "last_maint_km": "usage", "generation": "vehicle", "fleet_size_sales": "customer"}
 query("column_profile", "column s, grp s, missing d, known i".replace("column s", "name s"), " UNION ALL ".join(f"SELECT '{c}' AS name, '{_PG.get(c, 'other')}' AS grp, avg(CAST({c} IS NULL AS INTEGER)) AS missing, count({c}) AS known FROM features" for c in _PC), "features")(
     lambda t: ql.column_profile(t.features(), _PC, _PG).withColumnRenamed("column", "name"))
-query("input_validation", "n_rows i, empty_vehicle_id i, empty_customer_id i, invalid_ScheduleDate i, min_ScheduleDate t, max_ScheduleDate t, last_event t", """SELECT count(*) AS n_rows, count(*) FILTER (WHERE coalesce(trim(vehicle_id), '') = '') AS empty_vehicle_id,
- count(*) FILTER (WHERE coalesce(trim(customer_id), '') = '') AS empty_customer_id, 0 AS invalid_ScheduleDate, min(ScheduleDate) AS min_ScheduleDate, max(ScheduleDate) AS max_ScheduleDate, max(ScheduleDate) AS last_event FROM agenda""", "agenda")(
-    lambda t: profile_extract(t.agenda(), ["vehicle_id", "customer_id"], ["ScheduleDate"], "ScheduleDate"))
+_AGENDA_IDS = ["schedule_id", "vehicle_id", "customer_id", "dealer_id"]
+_AGENDA_DAYS = [c for c in fv.AGENDA_DATES if c in AGENDA]
+query("input_validation", "n_rows i, " + ", ".join(f"empty_{c} i" for c in _AGENDA_IDS) + ", " + ", ".join(f"invalid_{c} i, min_{c} t, max_{c} t" for c in _AGENDA_DAYS) + ", last_event t",
+      "SELECT count(*) AS n_rows, " + ", ".join(f"count(*) FILTER (WHERE coalesce(trim(CAST({c} AS VARCHAR)), '') = '') AS empty_{c}" for c in _AGENDA_IDS) + ", "
+      + ", ".join(f"0 AS invalid_{c}, CAST(min({c}) AS DATE) AS min_{c}, CAST(max({c}) AS DATE) AS max_{c}" for c in _AGENDA_DAYS) + ", max(ScheduleDate) AS last_event FROM agenda", "agenda")(
+    lambda t: profile_extract(t.agenda(), _AGENDA_IDS, _AGENDA_DAYS, "ScheduleDate"))
 
 
 def _two_plans(t: Tables):
@@ -192,3 +195,36 @@ def _events_consistency(t: Tables):
 
 query("event_consistency", "visits i, without_vehicle i, vehicle_days i, after_split_rule i", """SELECT count(*) FILTER (WHERE is_completed_maintenance) AS visits, count(*) FILTER (WHERE is_completed_maintenance AND vehicle_id IS NULL) AS without_vehicle,
  (SELECT count(*) FROM maint_days) AS vehicle_days, (SELECT count(*) FROM maint_split) AS after_split_rule FROM appt""", "appt maint_split")(_events_consistency)
+
+
+_CUT_SQL = f"DATE '{SPAN.cutoff}'"
+query("event_rule", "schedule_id s, visita_red b, mant_completado b, dup_mant_dia b, dup_mant_n30 b", f"""WITH f AS (SELECT *, vehicle_id IS NOT NULL AND ScheduleDate <= {_CUT_SQL} AND (completed OR completed_no_os) AS visita_red FROM appt),
+ c AS (SELECT schedule_id, vehicle_id, event_date, maint_number, row_number() OVER (PARTITION BY vehicle_id, event_date ORDER BY schedule_id) AS k FROM f WHERE visita_red AND completed AND has_maint),
+ d AS (SELECT schedule_id, coalesce(maint_number = lag(maint_number) OVER w AND event_date - lag(event_date) OVER w <= 30, false) AS again FROM c WHERE k = 1 WINDOW w AS (PARTITION BY vehicle_id ORDER BY event_date))
+SELECT f.schedule_id, coalesce(visita_red, false) AS visita_red, coalesce(NOT d.again, false) AS mant_completado, coalesce(c.k > 1, false) AS dup_mant_dia, coalesce(d.again, false) AS dup_mant_n30 FROM f LEFT JOIN c USING (schedule_id) LEFT JOIN d USING (schedule_id)""", "appt")(
+    lambda t: event_rule(t.appt(), SPAN.cutoff))
+
+
+def _ledger(t: Tables):
+    """Rows that each exclusion or correction touches."""
+    a, ci, cut_ = t.appt(), F.col("EffectiveCheckinDate"), F.lit(SPAN.cutoff)
+    row = lambda df, name, col="n": df.select(F.lit(name).alias("exclusion"), F.col(col).cast("long").alias("n"))
+    copies = t.agenda().groupBy(*AGENDA).agg(one().alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n"))
+    km = F.col("VehicleCurrentKM")
+    parts = a.agg(
+        count_if(F.col("vehicle_id").isNull()).alias("without_vehicle"), count_if(F.col("vehicle_id").isNull() & F.col("is_completed_maintenance")).alias("completed_without_vehicle"),
+        count_if(F.col("vehicle_id").isNotNull() & F.col("customer_id").isNull()).alias("without_customer"), count_if(ci < F.lit(SPAN.start)).alias("checkin_before_start"),
+        count_if(F.col("completed") & ((km < 100) | (km > 1000000))).alias("odometer_out_of_range"), count_if(F.col("pending") & (F.col("ScheduleDate") <= F.date_sub(cut_, 30))).alias("stale_pending"),
+        count_if(F.col("ScheduleDate") > cut_).alias("after_cutoff"))
+    near = previous_row(t.visits().where("is_completed_maintenance"), "vehicle_id", "event_date", "schedule_id", ["event_date"]).agg(count_if(F.datediff("event_date", "prev_event_date") <= 7).alias("n"))
+    s = t.sales().agg(count_if(~F.col("ModelShortName").eqNullSafe(F.lit(RULES.model)) | (F.col("DeliveryDate") < F.lit(RULES.min_delivery).cast("date")) | ~F.col("Status").eqNullSafe(F.lit(RULES.status))).alias("n"))
+    return row(copies, "identical_items").unionByName(parts.unpivot([], parts.columns, "exclusion", "n")).unionByName(row(near, "maintenance_within_7_days")).unionByName(row(s, "sales_outside_rules"))
+
+
+query("exclusion_ledger", "exclusion s, n i", f"""SELECT 'identical_items' AS exclusion, coalesce(sum(c - 1), 0) AS n FROM (SELECT count(*) AS c FROM agenda GROUP BY {', '.join(AGENDA)})
+ UNION ALL SELECT 'without_vehicle', count(*) FILTER (WHERE vehicle_id IS NULL) FROM appt UNION ALL SELECT 'completed_without_vehicle', count(*) FILTER (WHERE vehicle_id IS NULL AND is_completed_maintenance) FROM appt
+ UNION ALL SELECT 'without_customer', count(*) FILTER (WHERE vehicle_id IS NOT NULL AND customer_id IS NULL) FROM appt UNION ALL SELECT 'checkin_before_start', count(*) FILTER (WHERE EffectiveCheckinDate < DATE '{SPAN.start}') FROM appt
+ UNION ALL SELECT 'odometer_out_of_range', count(*) FILTER (WHERE completed AND (VehicleCurrentKM < 100 OR VehicleCurrentKM > 1000000)) FROM appt UNION ALL SELECT 'stale_pending', count(*) FILTER (WHERE pending AND ScheduleDate <= {_CUT_SQL} - 30) FROM appt
+ UNION ALL SELECT 'after_cutoff', count(*) FILTER (WHERE ScheduleDate > {_CUT_SQL}) FROM appt
+ UNION ALL SELECT 'maintenance_within_7_days', count(*) FROM (SELECT event_date - lag(event_date) OVER (PARTITION BY vehicle_id ORDER BY event_date, schedule_id) AS g FROM visits WHERE is_completed_maintenance) WHERE g <= 7
+ UNION ALL SELECT 'sales_outside_rules', count(*) FILTER (WHERE ModelShortName IS DISTINCT FROM '{RULES.model}' OR DeliveryDate < DATE '{RULES.min_delivery}' OR Status IS DISTINCT FROM '{RULES.status}') FROM sales""", "agenda appt visits sales")(_ledger)

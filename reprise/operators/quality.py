@@ -10,10 +10,12 @@ from reprise.functions.columns import count_if, flag
 
 
 def rule_counts(df: DataFrame, table: str, rules: dict[str, Column], key: str = "vehicle_id") -> DataFrame:
-    """Rows and distinct keys breaking each rule, all rules of a table in one aggregate."""
-    cells = [F.struct(F.lit(table).alias("table"), F.lit(name).alias("rule"), count_if(c).alias("rows"),
-                      F.count_distinct(F.when(c, F.col(key))).alias("keys"), F.count(F.lit(1)).alias("of")) for name, c in rules.items()]
-    return df.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+    """Rows and distinct keys breaking each rule; rows are counted per key first, so no rule multiplies them."""
+    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("_of"), *[count_if(c).alias(f"_r{i}") for i, c in enumerate(rules.values())])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    cells = [F.struct(F.lit(table).alias("table"), F.lit(name).alias("rule"), total(f"_r{i}").alias("rows"),
+                      count_if(F.col(key).isNotNull() & (F.col(f"_r{i}") > 0)).alias("keys"), total("_of").alias("of")) for i, name in enumerate(rules)]
+    return per.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("x")).select("x.*")
 
 
 def column_profile(df: DataFrame, columns: list[str], groups: dict[str, str] | None = None) -> DataFrame:

@@ -78,7 +78,7 @@ def average_rank(df: DataFrame, value: str, group: list[str] | None = None) -> D
 
 def equal_count_bin(rn: Column, total: Column, n_bins: int) -> Column:
     """0-based bin of an ascending row number under equal-count quantile edges."""
-    return F.greatest(F.ceil((rn - 1) * n_bins / (total - 1)) - 1, F.lit(0)).cast("int")
+    return F.greatest(F.ceil((rn - 1) * n_bins / F.greatest(total - 1, F.lit(1))) - 1, F.lit(0)).cast("int")
 
 
 def decile(rn: Column, total: Column, n_bins: int = 10) -> Column:

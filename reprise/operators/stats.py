@@ -26,6 +26,8 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, ps: list[flo
     logarithmic bins, of which a group has a few thousand at most, and only the bins that hold a
     wanted rank are ordered value by value. No task ever holds a whole group. Null keys form a group.
     """
+    from reprise.operators.ranks import running_totals
+
     names = names or [_pname(p) for p in ps]
     v = F.col(value).cast("double")
     counted = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*groups, v.alias("_v"))
@@ -50,9 +52,10 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, ps: list[flo
     cond = F.col("_bin") == F.col("_gbin")
     for i, g in enumerate(groups):
         cond &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    inside = Window.partitionBy(*groups, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (counted.join(b, cond, "inner")
-              .withColumn("_stop", F.col("_before") + F.sum("_n").over(inside))
+    # a bin may hold most of a group (rates, narrow ranges): its values are ordered over several tasks
+    inside = counted.join(b, cond, "inner").select(*groups, "_bin", "_v", "_n", "_before", "_total")
+    ranked = (running_totals(inside, [F.col("_v").asc()], {"_n": "_inside"}, [*groups, "_bin"])
+              .withColumn("_stop", F.col("_before") + F.col("_inside"))
               .withColumn("_start", F.col("_stop") - F.col("_n")))
     at = lambda r: F.max(F.when((r >= F.col("_start")) & (r < F.col("_stop")), F.col("_v")))
     aggs = [F.max("_total").alias("_total")]
@@ -142,8 +145,9 @@ def information_value(df: DataFrame, features: dict[str, Column], target: str, s
     g = (df.where(y.isNotNull()).select(y.alias("_y"), F.explode(pairs).alias("f"))
          .groupBy("f.feature", "f.level").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")))
     per = Window.partitionBy("feature")
-    pr = (F.col("pos") + smoothing) / (F.sum("pos").over(per) + smoothing)
-    pc = (F.col("neg") + smoothing) / (F.sum("neg").over(per) + smoothing)
+    # smoothed cells over their own sum, so that the shares of a feature add up to one
+    pr = (F.col("pos") + smoothing) / F.sum(F.col("pos") + smoothing).over(per)
+    pc = (F.col("neg") + smoothing) / F.sum(F.col("neg") + smoothing).over(per)
     return (g.withColumn("_iv", (pr - pc) * F.log(pr / pc))
             .groupBy("feature").agg(F.sum("_iv").alias("iv"), F.count(F.lit(1)).alias("levels")))
 

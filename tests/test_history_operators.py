@@ -97,3 +97,17 @@ def test_row_numbers_percentiles_and_ranks(spark):
     for g in ("g", "h", None):
         for want, (i, _, _) in enumerate(sorted([z for z in rows if z[1] == g], key=lambda z: (z[2], z[0])), 1):
             assert within[i] == want
+
+
+def test_percentiles_of_values_in_one_bin(spark):
+    """Thousands of values between 0 and 0.003 share a bin; ranks inside it are still exact."""
+    import numpy as np
+
+    from reprise.operators.stats import exact_percentiles
+
+    v = np.random.default_rng(3).random(4000) * 0.003
+    d = spark.createDataFrame([(float(x), int(i % 3)) for i, x in enumerate(v)], "v double, g int").repartition(7)
+    got = {r["g"]: r for r in exact_percentiles(d, ["g"], "v", [0.05, 0.5, 0.9]).collect()}
+    for g in range(3):
+        want = np.percentile(v[g::3], [5, 50, 90])
+        assert np.allclose([got[g]["p5"], got[g]["p50"], got[g]["p90"]], want, rtol=1e-12)

@@ -83,17 +83,16 @@ class Preparation:
         return self.pipeline.transform(self.columns(df))
 
 
-def frequent_levels(train: DataFrame, cols: list[str], min_rows: int = MIN_LEVEL_ROWS, limit: int = 1000) -> dict[str, list[str]]:
-    """Levels of each column with enough training rows; the vocabulary of a model, ``limit`` per column."""
+def frequent_levels(train: DataFrame, cols: list[str], min_rows: int = MIN_LEVEL_ROWS) -> dict[str, list[str]]:
+    """Levels of each column with ``min_rows`` training rows or more; the vocabulary of a model."""
     out = {c: [] for c in cols}
     if not cols:
         return out
     pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("level")) for c in cols])
     counts = (train.select(F.explode(pairs).alias("p")).groupBy("p.col", "p.level").agg(F.count(F.lit(1)).alias("n"))
               .where(F.col("n") >= min_rows))
-    for r in counts.orderBy(F.col("n").desc(), "level").limit(limit * len(cols)).collect():
-        if len(out[r["col"]]) < limit:
-            out[r["col"]].append(r["level"])
+    for r in counts.collect():
+        out[r["col"]].append(r["level"])
     return {c: sorted(v) for c, v in out.items()}
 
 
@@ -256,16 +255,17 @@ def _tree_deltas(node, cond: Column, x: Column, weight: float, out: dict[int, li
 
 
 def tree_contributions(result: dict, df: DataFrame, ids: list[str]) -> DataFrame:
-    """Path attribution of the boosted margin, long form, inputs summed over levels.
+    """Path attribution of the boosted log-odds, long form, inputs summed over levels.
 
-    Contributions of a row plus the root values add up to the margin. They are path deltas, not
-    Shapley values.
+    The margin of Spark's boosted trees is half the log-odds, so path deltas count twice:
+    contributions of a row plus twice the root values add up to logit(p). They are path deltas,
+    not Shapley values.
     """
     prep, gbt = result["gbt_prep"], result["gbt"]
     x = plain_vector(prep.transform(df)).select(*ids, vector_to_array("features").alias("x"))
     per: dict[int, list[Column]] = {}
     for tree, w in zip(gbt.trees, gbt.treeWeights):
-        _tree_deltas(tree._java_obj.rootNode(), F.lit(True), F.col("x"), float(w), per)
+        _tree_deltas(tree._java_obj.rootNode(), F.lit(True), F.col("x"), 2 * float(w), per)
     grouped: dict[str, list[Column]] = {}
     for i, terms in per.items():
         grouped.setdefault(prep.names[i].split("=")[0].replace(" missing", ""), []).extend(terms)
@@ -291,13 +291,18 @@ def odds_ratios(df: DataFrame, factors: dict[str, str], target: str) -> DataFram
 
 
 def seasonal_regression(monthly: DataFrame, value: str = "per_day") -> DataFrame:
-    """Linear trend plus month dummies by least squares; index and residual per month (one row per month)."""
-    m = monthly.withColumns({"t": F.months_between("month", F.lit("1990-01-01").cast("date")), **{f"d{i}": (F.month("month") == i).cast("double") for i in range(2, 13)}})
+    """Linear trend plus month dummies of the logarithm by least squares (one row per month).
+
+    ``index``: 100 times the exponential of a calendar month's effect less the mean of the twelve effects.
+    """
+    m = monthly.withColumn("_y", F.log(value)).withColumns({"t": F.months_between("month", F.lit("1990-01-01").cast("date")), **{f"d{i}": (F.month("month") == i).cast("double") for i in range(2, 13)}})
     x = VectorAssembler(inputCols=["t", *[f"d{i}" for i in range(2, 13)]], outputCol="features").transform(m)
-    fit = LinearRegression(labelCol=value, solver="normal").fit(x)
+    fit = LinearRegression(labelCol="_y", solver="normal").fit(x)
     coef = fit.coefficients.toArray()
-    effect = F.element_at(F.array(F.lit(0.0), *[F.lit(float(c)) for c in coef[1:]]), F.month("month"))
-    return fit.transform(x).select("month", value, F.col("prediction").alias("fitted"), (F.col(value) - F.col("prediction")).alias("residual"), effect.alias("month_effect"))
+    effects = [0.0, *(float(c) for c in coef[1:])]
+    mean = sum(effects) / 12
+    index = F.element_at(F.array(*[F.lit(e - mean) for e in effects]), F.month("month"))
+    return fit.transform(x).select("month", value, F.col("prediction").alias("fitted"), (F.col("_y") - F.col("prediction")).alias("residual"), (100 * F.exp(index)).alias("index"))
 
 
 METRICS = ["n", "base_rate", "roc_auc", "pr_auc", "brier", "log_loss", "ece"]

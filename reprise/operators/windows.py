@@ -177,6 +177,13 @@ def anchors_with_rates(appt: DataFrame, sales: DataFrame, params: WindowParams,
     return usage_rate(a.withColumn("k_gen", k))
 
 
+def dated_windows(rated: DataFrame, params: WindowParams, span: DataSpan) -> DataFrame:
+    """Due dates, labels and status of rated anchors; of two anchors on one scoring date the later rules."""
+    w = label_and_status(due_dates(rated, params), params, span)
+    newest = Window.partitionBy("vehicle_id", "scoring_date").orderBy(F.col("anchor_date").desc(), F.col("anchor_type").desc())
+    return w.withColumn("_pos", F.row_number().over(newest)).where(F.col("_pos") == 1).drop("_pos")
+
+
 def build_windows(appt: DataFrame, sales: DataFrame, params: WindowParams = WindowParams(),
                   span: DataSpan = DataSpan(), rules: SaleRules = SaleRules(), master: DataFrame | None = None,
                   maint: DataFrame | None = None) -> DataFrame:
@@ -186,12 +193,7 @@ def build_windows(appt: DataFrame, sales: DataFrame, params: WindowParams = Wind
     """
     # read several times below (two medians and the windows): materialised once
     rated = cut_lineage(anchors_with_rates(appt, sales, params, span, rules, master, maint))
-    w = due_dates(rate_with_fallback(rated), params)
-    w = label_and_status(w, params, span)
-    # two anchors on one scoring date: the later anchor rules
-    newest = Window.partitionBy("vehicle_id", "scoring_date").orderBy(F.col("anchor_date").desc(), F.col("anchor_type").desc())
-    w = w.withColumn("_pos", F.row_number().over(newest)).where(F.col("_pos") == 1).drop("_pos")
-    w = w.withColumns({
+    w = dated_windows(rate_with_fallback(rated), params, span).withColumns({
         "window_n": F.row_number().over(Window.partitionBy("vehicle_id").orderBy("scoring_date")),
         "window_id": F.concat_ws("_", "vehicle_id", F.date_format("scoring_date", "yyyyMMdd")),
     })
@@ -250,10 +252,22 @@ def window_summary(w: DataFrame) -> DataFrame:
 
 def window_sensitivity(appt: DataFrame, sales: DataFrame, grid: dict[str, WindowParams], span: DataSpan,
                        rules: SaleRules = SaleRules()) -> DataFrame:
-    """One summary row per named parameter set; inputs should be cached or stored by the caller."""
-    out = None
+    """One summary row per named parameter set.
+
+    Anchors and rates are built once for each set of parameters that they depend on; lead, horizon and label rules only
+    date them anew. Inputs should be stored by the caller.
+    """
+    master = cut_lineage(vehicle_master(appt, sales, rules))
+    maint, rated, out = {}, {}, None
     for name, p in grid.items():
-        row = window_summary(build_windows(appt, sales, p, span, rules)).select(F.lit(name).alias("params"), "*")
+        events = (p.km_source, p.split_visit_days)
+        if events not in maint:
+            maint[events] = cut_lineage(maintenance_events(appt, p))
+        d = WindowParams()
+        shared = p.with_(lead_days=d.lead_days, horizon_days=d.horizon_days, label_mode=d.label_mode, label_margin_days=d.label_margin_days, first_due_days=d.first_due_days, min_history_days=d.min_history_days)
+        if shared not in rated:
+            rated[shared] = cut_lineage(rate_with_fallback(cut_lineage(anchors_with_rates(appt, sales, p, span, rules, master, maint[events]))))
+        row = window_summary(dated_windows(rated[shared], p, span)).select(F.lit(name).alias("params"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from reprise.operators import attribution as at, evaluate as el, model as md, windows as wd
-from reprise.plans.channel_queries import base, monthly
+from reprise.plans.channel_queries import _MON, base, monthly
 from reprise.plans.domain import PARAMS, RULES, SPAN, SPLIT, Tables
 from reprise.plans.registry import query
 from reprise.runtime import cut_lineage
 
 _RESULTS: dict = {}
+#: Boosting rounds of the trained model and of its ablations.
+ROUNDS = 60
 
 
 def trained(t: Tables) -> dict:
     """Models of this session and folder, fitted once."""
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _RESULTS:
-        r = md.train_all(t.features(), SPLIT, max_iter=20)
+        r = md.train_all(t.features(), SPLIT, max_iter=ROUNDS)
         r["test"] = cut_lineage(r["test"])
         _RESULTS[key] = r
     return _RESULTS[key]
@@ -54,7 +56,10 @@ def _dealer_levels(t: Tables, min_rows: int = 100):
 
 query("odds_ratios_with_dealer", "factor s, level s, reference s, odds_ratio d")(lambda t: md.odds_ratios(
     _dealer_levels(t), {"gen": "BUILDING", "has_fixed_price": "false", "dealer": "other"}, "ret"))
-query("seasonal_regression", "month t, fitted d, residual d, month_effect d")(lambda t: md.seasonal_regression(monthly(t)))
+_SEASON = f"""WITH m AS (SELECT month, ln(per_day) AS y, date_diff('month', DATE '1990-01-01', month) AS t, month(month) AS k FROM {_MON}),
+ c AS (SELECT k, avg(t) AS mt, avg(y) AS my FROM m GROUP BY k), s AS (SELECT sum((t - mt) * (y - my)) / sum((t - mt) * (t - mt)) AS b FROM m JOIN c USING (k)),
+ e AS (SELECT k, my - b * mt AS a FROM c, s) SELECT month, a + b * t AS fitted, y - a - b * t AS residual, 100 * exp(a - (SELECT avg(a) FROM e)) AS index FROM m JOIN e USING (k), s"""
+query("seasonal_regression", "month t, fitted d, residual d, index d", _SEASON, "visits")(lambda t: md.seasonal_regression(monthly(t)))
 
 
 def _leaky(t: Tables):
@@ -63,12 +68,10 @@ def _leaky(t: Tables):
     return t.stage("features_snapshot", lambda: build_features(w(), t.appt(), t.sales(), RULES, t.master(), t.day_log()))
 
 
-query("ablations", "modelo s, n i, base_rate d, roc_auc d, pr_auc d, brier d, ece d")(lambda t: md.ablations(t.features(), _leaky(t), SPLIT, max_iter=4))
+query("ablations", "modelo s, n i, base_rate d, roc_auc d, pr_auc d, brier d, ece d")(lambda t: md.ablations(t.features(), _leaky(t), SPLIT, max_iter=ROUNDS))
 
-_GRID = {"default": PARAMS, "lead=60": PARAMS.with_(lead_days=60), "h=120": PARAMS.with_(horizon_days=120), "calendar_month": PARAMS.with_(label_mode="mes_calendario", label_margin_days=0), "first_due=365": PARAMS.with_(first_due_days=365),
-         "anchor=plan": PARAMS.with_(anchor="plan"), "km_snapshot": PARAMS.with_(km_source="km"), "min_history=180": PARAMS.with_(min_history_days=180)}
 query("window_sensitivity", "params s, n_evaluables i, churn_rate d, pct_preempted d, pct_piso d, pct_km d, captura_retornos_18m d, n_retornos_18m i, mediana_dias_retorno_vs_due d")(
-    lambda t: wd.window_sensitivity(t.appt(), t.sales(), _GRID, SPAN, RULES))
+    lambda t: wd.window_sensitivity(t.appt(), t.sales(), wd.default_grid(PARAMS), SPAN, RULES))
 query("window_summary", "n_evaluables i, churn_rate d, pct_preempted d, pct_piso d, pct_km d, captura_retornos_18m d, n_retornos_18m i, mediana_dias_retorno_vs_due d", """
 SELECT count(*) FILTER (WHERE status = 'evaluable') AS n_evaluables, avg(label_churn) AS churn_rate, count(*) FILTER (WHERE status = 'preempted') / greatest(count(*) FILTER (WHERE status <> 'fuera_de_rango'), 1) AS pct_preempted,
  avg(CAST(binding_rule = 'piso' AS INTEGER)) FILTER (WHERE status = 'evaluable') AS pct_piso, avg(CAST(binding_rule = 'km' AS INTEGER)) FILTER (WHERE status = 'evaluable') AS pct_km,

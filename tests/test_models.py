@@ -43,7 +43,7 @@ def test_contributions_add_up(fitted):
     assert max(gaps) - min(gaps) < 1e-8                    # margin minus contributions is one constant
     g = md.tree_contributions(fitted, test, ["window_id"]).groupBy("window_id").agg(F.sum("contribution").alias("s"))
     raw = fitted["gbt"].transform(md.plain_vector(fitted["gbt_prep"].transform(test))).select("window_id", vector_to_array("rawPrediction")[1].alias("m")).join(g, "window_id")
-    gaps = [r["m"] - r["s"] for r in raw.collect()]
+    gaps = [2 * r["m"] - r["s"] for r in raw.collect()]          # the log-odds are twice the margin
     assert max(gaps) - min(gaps) < 1e-8
 
 

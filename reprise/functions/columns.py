@@ -47,8 +47,11 @@ def literal_map(mapping: dict, key: Column) -> Column:
     return F.when(key.isNotNull(), F.try_element_at(m, key))
 
 
+INF = float("inf")
+
+
 def cut(x: Column, edges: list[float], labels: list[str]) -> Column:
-    """Right-closed bins ``(lo, hi]``; values outside every bin give null."""
+    """Right-closed bins ``(lo, hi]``; open ends are infinite edges, values outside every bin give null."""
     if len(labels) != len(edges) - 1:
         raise ValueError("need one label per bin")
     out = None

@@ -101,13 +101,12 @@ def client_vehicles(candidates: DataFrame) -> DataFrame:
 def client_groups(candidates: DataFrame, policy: ContactPolicy) -> DataFrame:
     """Vehicle count, vehicle list and group list per client.
 
-    The joined list is built for clients of at most ``vehicle_list_limit`` vehicles; larger fleets
-    are found whole in ``client_vehicles`` and show a null list here.
+    The list holds every vehicle of the client, whatever the size of the fleet; ``client_vehicles``
+    is the same in long form.
     """
     pairs = client_vehicles(candidates)
     counts = pairs.groupBy("_cliente").agg(F.count(F.lit(1)).alias("n_vehiculos_cliente"))
-    listable = counts.where(F.col("n_vehiculos_cliente") <= policy.vehicle_list_limit).select("_cliente")
-    lists = (pairs.join(listable, "_cliente", "left_semi").groupBy("_cliente")
+    lists = (pairs.groupBy("_cliente")
              .agg(F.concat_ws(" | ", F.array_sort(F.collect_list("_vehiculo"))).alias("vehiculos_cliente")))
     ident = candidates.where(F.col("_cliente") != "")
     groups = ident.groupBy("_cliente").agg(F.concat_ws(" | ", *[

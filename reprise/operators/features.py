@@ -206,7 +206,7 @@ def vehicle_history(windows: DataFrame, appt: DataFrame, log: DataFrame | None =
     rating = F.col("SurveyStarRating")
     surveys = (appt.where(F.col("vehicle_id").isNotNull() & F.col("SurveyResponseDate").isNotNull())
                .groupBy("vehicle_id", F.col("SurveyResponseDate").alias("_t"))
-               .agg(F.count(F.lit(1)).alias("s_n"), F.min(rating).alias("s_min"), F.sum(rating).alias("s_sum"),
+               .agg(F.count(F.lit(1)).alias("s_n"), F.min(rating).alias("s_min"), F.sum(rating).alias("s_sum"), F.count(rating).alias("s_rated"),
                     F.max_by(F.struct(rating.alias("r")), F.struct("event_date", "schedule_id")).alias("s_last")))
     surveys = surveys.withColumn("p_survey", F.struct(F.col("_t").alias("d"), F.col("s_last.r").alias("r"))).drop("s_last")
     rows = (events.unionByName(surveys, allowMissingColumns=True)
@@ -220,7 +220,7 @@ def vehicle_history(windows: DataFrame, appt: DataFrame, log: DataFrame | None =
     out = rows.withColumns(
         {f"h_{c}": total(c) for c in (*COUNTERS, "i_n", "i_sum", "i_sq", "i_jump", "s_n")}
         | {f"h_{c}": known(c) for c in ("p_last", "p_maint", "p_noshow", "p_cancel", "p_visit", "p_km", "p_survey")}
-        | {"h_s_min": F.min("s_min").over(before), "h_s_sum": F.sum("s_sum").over(before)}
+        | {"h_s_min": F.min("s_min").over(before), "h_s_sum": F.sum("s_sum").over(before), "h_s_rated": F.sum("s_rated").over(before)}
     ).where(F.col("_w").isNotNull())
     since = lambda day: F.datediff(F.col("_w.scoring_date"), day)
     n_int = F.col("h_i_n")
@@ -237,9 +237,9 @@ def vehicle_history(windows: DataFrame, appt: DataFrame, log: DataFrame | None =
         since(F.col("h_p_noshow")).alias("days_since_last_noshow"), since(F.col("h_p_cancel")).alias("days_since_last_cancel"),
         since(F.col("h_p_visit")).alias("days_since_last_visit"),
         F.col("h_p_km.v").alias("last_km"), since(F.col("h_p_km.d")).alias("days_since_last_km"),
-        F.col("h_s_n").cast("int").alias("n_surveys"), F.col("h_s_min").alias("min_rating"),
+        F.col("h_s_n").cast("int").alias("n_surveys"), F.when(F.col("h_p_survey.r").isNotNull(), F.col("h_s_min")).alias("min_rating"),
         F.col("h_p_survey.r").alias("last_rating"),
-        F.when(F.col("h_s_n") > 0, F.col("h_s_sum") / F.col("h_s_n")).alias("mean_rating"),
+        F.when(F.col("h_p_survey.r").isNotNull(), F.col("h_s_sum") / F.col("h_s_rated")).alias("mean_rating"),
         since(F.col("h_p_survey.d")).alias("days_since_last_survey"))
 
 

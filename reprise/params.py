@@ -92,7 +92,6 @@ class ContactPolicy:
     max_days_recent: float = 730
     capacity: int = 3000
     actionable: tuple = field(default_factory=lambda: tuple(fv.ACTIONABLE_FEATURES))
-    vehicle_list_limit: int = 1000        # longer lists stay in the long client-vehicle table only
 
     def __post_init__(self):
         if set(self.groups) != {"Alto", "Medio"}:

@@ -55,8 +55,9 @@ def test_recent_link_limit_zero_capacity_and_large_fleet(spark):
     got = run(spark, [row(vehicle_id="a", days_since_last_maint=730.0), row(vehicle_id="b", customer_id="c2", days_since_last_maint=731.0)], ContactPolicy(capacity=0))
     assert got["a"]["vinculo_reciente"] and not got["b"]["vinculo_reciente"]
     assert not got["a"]["seleccionado"] and got["a"]["en_espera"]
-    many = run(spark, [row(vehicle_id=f"v{i}") for i in range(5)], ContactPolicy(vehicle_list_limit=3))
-    assert {x["n_vehiculos_cliente"] for x in many.values()} == {5} and {x["vehiculos_cliente"] for x in many.values()} == {None}
+    many = run(spark, [row(vehicle_id=f"v{i}") for i in range(1500)])
+    assert {x["n_vehiculos_cliente"] for x in many.values()} == {1500}
+    assert {x["vehiculos_cliente"] for x in many.values()} == {" | ".join(sorted(f"v{i}" for i in range(1500)))}
 
 
 def test_invalid_policy_and_missing_columns(spark):

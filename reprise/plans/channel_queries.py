@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from reprise.functions.columns import count_if, cut, share
+from reprise.functions.columns import INF, count_if, cut, share
 from reprise.operators import stats as st
 from reprise.operators.asof import asof_join
 from reprise.operators.history import counts_before
@@ -141,27 +141,29 @@ query("prevalence_reweighted", "crude d, reweighted d", f"""SELECT sum(churn * n
 
 # ---------------------------------------------------------------------------------- seasonality
 def monthly(t: Tables):
-    """Completed visits per month and per business day (Monday to Friday)."""
-    m = t.visits().where("completed").groupBy(F.trunc("event_date", "month").alias("month")).agg(one().alias("n"))
+    """Completed visits per complete month up to the cut-off, and per business day (Monday to Friday)."""
+    done = t.visits().where(F.col("completed") & (F.col("event_date") <= F.lit(SPAN.cutoff)))
+    m = done.where(F.last_day("event_date") <= F.lit(SPAN.cutoff)).groupBy(F.trunc("event_date", "month").alias("month")).agg(one().alias("n"))
     days = F.sequence(F.col("month"), F.last_day("month"))
     return m.withColumn("business_days", F.size(F.filter(days, lambda d: F.weekday(d) < 5))).withColumn("per_day", F.col("n") / F.col("business_days"))
 
 
-_MON = """(SELECT *, n / business_days AS per_day FROM (SELECT month, n, (SELECT count(*) FROM unnest(generate_series(month, month + INTERVAL 1 MONTH - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS u(d) WHERE isodow(d) <= 5) AS business_days
- FROM (SELECT date_trunc('month', event_date) AS month, count(*) AS n FROM visits WHERE completed GROUP BY 1)))"""
+_MON = f"""(SELECT *, n / business_days AS per_day FROM (SELECT month, n, (SELECT count(*) FROM unnest(generate_series(month, month + INTERVAL 1 MONTH - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS u(d) WHERE isodow(d) <= 5) AS business_days
+ FROM (SELECT date_trunc('month', event_date) AS month, count(*) AS n FROM visits WHERE completed AND last_day(event_date) <= {_CUT} GROUP BY 1)))"""
 query("monthly_per_business_day", "month t, n i, business_days i, per_day d", f"SELECT * FROM {_MON}", "visits")(monthly)
 
 
 def moving_ratio(m):
-    """Ratio to the centred 2x12 moving average; a monthly series, one row per calendar month."""
-    w = Window.partitionBy(F.lit(0)).orderBy("month")
-    a, b = w.rowsBetween(-6, 5), w.rowsBetween(-5, 6)
-    full = (F.count("per_day").over(a) == 12) & (F.count("per_day").over(b) == 12)
-    return m.withColumn("trend", F.when(full, (F.avg("per_day").over(a) + F.avg("per_day").over(b)) / 2)).withColumn("ratio", F.col("per_day") / F.col("trend"))
+    """Ratio of the count to its centred 2x12 moving average over calendar months; a month that lacks one of them has none."""
+    m = m.withColumn("_k", F.year("month") * 12 + F.month("month"))
+    w = Window.partitionBy(F.lit(0)).orderBy("_k")
+    a, b = w.rangeBetween(-6, 5), w.rangeBetween(-5, 6)
+    full = (F.count("n").over(a) == 12) & (F.count("n").over(b) == 12)
+    return m.withColumn("trend", F.when(full, (F.avg("n").over(a) + F.avg("n").over(b)) / 2)).withColumn("ratio", F.col("n") / F.col("trend"))
 
 
-query("seasonal_ma_ratio", "month t, trend d, ratio d", f"""SELECT month, trend, per_day / trend AS ratio FROM (SELECT *, CASE WHEN count(*) OVER a = 12 AND count(*) OVER b = 12 THEN (avg(per_day) OVER a + avg(per_day) OVER b) / 2 END AS trend FROM {_MON}
- WINDOW a AS (ORDER BY month ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING), b AS (ORDER BY month ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING))""", "visits")(lambda t: moving_ratio(monthly(t)))
+query("seasonal_ma_ratio", "month t, trend d, ratio d", f"""SELECT month, trend, n / trend AS ratio FROM (SELECT *, CASE WHEN count(*) OVER a = 12 AND count(*) OVER b = 12 THEN (avg(n) OVER a + avg(n) OVER b) / 2 END AS trend FROM {_MON}
+ WINDOW a AS (ORDER BY year(month) * 12 + month(month) RANGE BETWEEN 6 PRECEDING AND 5 FOLLOWING), b AS (ORDER BY year(month) * 12 + month(month) RANGE BETWEEN 5 PRECEDING AND 6 FOLLOWING))""", "visits")(lambda t: moving_ratio(monthly(t)))
 query("seasonal_index_raw", "cal_month i, idx d", f"SELECT month(month) AS cal_month, avg(per_day) / (SELECT avg(per_day) FROM {_MON}) AS idx FROM {_MON} GROUP BY 1", "visits")(
     lambda t: (lambda m: m.groupBy(F.month("month").alias("cal_month")).agg((F.avg("per_day") / m.agg(F.avg("per_day").alias("a")).scalar()).alias("idx")))(monthly(t)))
 
@@ -178,13 +180,13 @@ def base(t: Tables):
         v = asof_join(v.withColumn("key30", F.date_add("event_date", 30)), md.withColumnRenamed("nxt", "nxt30"), "vehicle_id", "key30", "nxt30", ["nxt30"], "forward", True)
         lim = F.least(F.date_add("event_date", 456), F.lit(SPAN.cutoff))
         return v.withColumns({"ret": F.coalesce(F.col("nxt") <= lim, F.lit(False)).cast("int"), "ret30": F.coalesce(F.col("nxt30") <= lim, F.lit(False)).cast("int"), "year": F.year("event_date"),
-                              "number_bin": cut(F.col("maint_number"), [0, 1, 2, 3, 5, 99], ["1", "2", "3", "4-5", "6+"]), "survey": F.coalesce(cut(F.col("SurveyStarRating"), [0, 2, 3, 4, 9], ["1-2", "3", "4", "5+"]), F.lit("none"))})
+                              "number_bin": cut(F.col("maint_number"), [0, 1, 2, 3, 5, INF], ["1", "2", "3", "4-5", "6+"]), "survey": F.coalesce(cut(F.col("SurveyStarRating"), [-INF, 2, 3, 4, INF], ["1-2", "3", "4", "5+"]), F.lit("none"))})
     return t.stage("return_base", build)
 
 
 _B = f"""(SELECT *, CAST(coalesce(nxt <= least(event_date + 456, {_CUT}), false) AS INTEGER) AS ret, CAST(coalesce(nxt30 <= least(event_date + 456, {_CUT}), false) AS INTEGER) AS ret30, year(event_date) AS year, coalesce(ShortVehicleModelGroupTreated, 'none') AS gen,
- CASE WHEN maint_number <= 0 THEN NULL WHEN maint_number <= 1 THEN '1' WHEN maint_number <= 2 THEN '2' WHEN maint_number <= 3 THEN '3' WHEN maint_number <= 5 THEN '4-5' WHEN maint_number <= 99 THEN '6+' END AS number_bin,
- CASE WHEN SurveyStarRating <= 2 THEN '1-2' WHEN SurveyStarRating <= 3 THEN '3' WHEN SurveyStarRating <= 4 THEN '4' WHEN SurveyStarRating <= 9 THEN '5+' ELSE 'none' END AS survey
+ CASE WHEN maint_number <= 0 THEN NULL WHEN maint_number <= 1 THEN '1' WHEN maint_number <= 2 THEN '2' WHEN maint_number <= 3 THEN '3' WHEN maint_number <= 5 THEN '4-5' WHEN maint_number > 5 THEN '6+' END AS number_bin,
+ CASE WHEN SurveyStarRating <= 2 THEN '1-2' WHEN SurveyStarRating <= 3 THEN '3' WHEN SurveyStarRating <= 4 THEN '4' WHEN SurveyStarRating > 4 THEN '5+' ELSE 'none' END AS survey
 FROM (SELECT b.*, (SELECT min(event_date) FROM visits x WHERE x.vehicle_id = b.vehicle_id AND x.is_completed_maintenance AND x.event_date > b.event_date) AS nxt,
  (SELECT min(event_date) FROM visits x WHERE x.vehicle_id = b.vehicle_id AND x.is_completed_maintenance AND x.event_date >= b.event_date + 30) AS nxt30 FROM visits b WHERE is_completed_maintenance AND event_date BETWEEN DATE '1995-01-01' AND DATE '1999-11-30'))"""
 query("return_proxy", "month t, n i, ret d, ret30 d, under_30 i", f"SELECT date_trunc('month', event_date) AS month, count(*) AS n, avg(ret) AS ret, avg(ret30) AS ret30, count(*) FILTER (WHERE nxt - event_date < 30) AS under_30 FROM {_B} GROUP BY 1", "visits")(
@@ -208,10 +210,26 @@ def _weighted_gap(t: Tables):
 
 query("stratified_difference", "weighted d, strata i, crude d", f"""SELECT sum(d * n) / sum(n) AS weighted, count(*) AS strata, (SELECT avg(ret) FILTER (WHERE has_fixed_price) - avg(ret) FILTER (WHERE NOT has_fixed_price) FROM {_B}) AS crude FROM (SELECT coalesce(number_bin, 'none') AS s, count(*) AS n,
  avg(ret) FILTER (WHERE has_fixed_price) - avg(ret) FILTER (WHERE NOT has_fixed_price) AS d FROM {_B} GROUP BY 1) WHERE d IS NOT NULL""", "visits")(_weighted_gap)
-_IVF = {"channel": "ScheduleSource", "number": "number_bin", "survey": "survey", "generation": "gen", "pickup": "has_pud"}
+_IVF = {"channel": "ScheduleSource", "number": "number_bin", "survey": "survey", "generation": "gen", "pickup": "has_pud", "mobile": "has_mobile", "fixed_price": "has_fixed_price", "waiting": "CustomerWaiting", "model_year": "ModelYear", "dealer": "dealer_id"}
 query("information_value", "feature s, iv d, levels i", f"WITH b AS (SELECT * FROM {_B}), l AS (" + " UNION ALL ".join(f"SELECT '{k}' AS feature, coalesce(CAST({v} AS VARCHAR), '(nulo)') AS level, ret FROM b" for k, v in _IVF.items())
-      + """) SELECT feature, sum((pr - pc) * ln(pr / pc)) AS iv, count(*) AS levels FROM (SELECT feature, (p + 5e-1) / (sum(p) OVER (PARTITION BY feature) + 5e-1) AS pr, (q + 5e-1) / (sum(q) OVER (PARTITION BY feature) + 5e-1) AS pc
+      + """) SELECT feature, sum((pr - pc) * ln(pr / pc)) AS iv, count(*) AS levels FROM (SELECT feature, (p + 5e-1) / sum(p + 5e-1) OVER (PARTITION BY feature) AS pr, (q + 5e-1) / sum(q + 5e-1) OVER (PARTITION BY feature) AS pc
  FROM (SELECT feature, level, sum(ret) AS p, sum(1 - ret) AS q FROM l GROUP BY 1, 2)) GROUP BY 1""", "visits")(lambda t: st.information_value(base(t), {k: F.col(v) for k, v in _IVF.items()}, "ret"))
+_RANK_MIN = 50      # rows that a level needs to be named best or worst
+
+
+def _ranking(t: Tables):
+    """Features by information value, with the level of highest and of lowest return among those with enough rows."""
+    b, named = base(t), {k: F.col(v).cast("string") for k, v in _IVF.items()}
+    pairs = F.array(*[F.struct(F.lit(k).alias("feature"), F.coalesce(c, F.lit("(nulo)")).alias("level")) for k, c in named.items()])
+    levels = b.select("ret", F.explode(pairs).alias("f")).groupBy("f.feature", "f.level").agg(one().alias("n"), F.avg("ret").alias("rate")).where(F.col("n") >= _RANK_MIN)
+    ends = levels.groupBy("feature").agg(F.max("rate").alias("best_rate"), F.min("rate").alias("worst_rate"), one().alias("levels_shown"))
+    return st.information_value(b, {k: F.col(v) for k, v in _IVF.items()}, "ret").join(ends, "feature", "left").withColumn("spread_pp", 100 * (F.col("best_rate") - F.col("worst_rate")))
+
+
+query("feature_ranking", "feature s, iv d, levels i, levels_shown i, best_rate d, worst_rate d, spread_pp d", f"WITH b AS (SELECT * FROM {_B}), l AS (" + " UNION ALL ".join(f"SELECT '{k}' AS feature, coalesce(CAST({v} AS VARCHAR), '(nulo)') AS level, ret FROM b" for k, v in _IVF.items())
+      + f"""), g AS (SELECT feature, level, count(*) AS n, sum(ret) AS p, sum(1 - ret) AS q FROM l GROUP BY 1, 2), s AS (SELECT *, (p + 5e-1) / sum(p + 5e-1) OVER (PARTITION BY feature) AS pr, (q + 5e-1) / sum(q + 5e-1) OVER (PARTITION BY feature) AS pc FROM g)
+ SELECT feature, sum((pr - pc) * ln(pr / pc)) AS iv, count(*) AS levels, nullif(count(*) FILTER (WHERE n >= {_RANK_MIN}), 0) AS levels_shown, max(p / n) FILTER (WHERE n >= {_RANK_MIN}) AS best_rate, min(p / n) FILTER (WHERE n >= {_RANK_MIN}) AS worst_rate,
+ 100 * (max(p / n) FILTER (WHERE n >= {_RANK_MIN}) - min(p / n) FILTER (WHERE n >= {_RANK_MIN})) AS spread_pp FROM s GROUP BY 1""", "visits")(_ranking)
 query("channel_mix_by_month", "month t, ScheduleSource s, n i, share d", "SELECT date_trunc('month', event_date) AS month, ScheduleSource, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY date_trunc('month', event_date)) AS share FROM visits GROUP BY 1, 2", "visits")(
     lambda t: st.value_shares(t.visits().select(F.trunc("event_date", "month").alias("month"), "ScheduleSource"), ["month"], "ScheduleSource"))
 query("channel_outcome", "ScheduleSource s, StatusARG s, n i, share d", "SELECT ScheduleSource, StatusARG, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY ScheduleSource) AS share FROM visits GROUP BY 1, 2", "visits")(
@@ -296,16 +314,20 @@ query("target_encoding_quintiles", "q i, n i, ret d", f"""SELECT q, count(*) AS
  count(*) OVER () AS c FROM (SELECT dealer_id, avg(ret) AS r FROM {_B} WHERE year = 1997 AND dealer_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 20))) q USING (dealer_id) GROUP BY 1""", "visits")(_encoding)
 
 
+_EVEN = tuple("02468ace")
+
+
 def _split_half(t: Tables):
     """Reliability of dealer rates between two disjoint halves of the vehicles."""
-    half = (F.abs(F.crc32("vehicle_id")) % 2).alias("half")
+    half = F.md5("vehicle_id").substr(1, 1).isin(*_EVEN).cast("int").alias("half")
     b = base(t).where(F.col("dealer_id").isNotNull()).select("dealer_id", "ret", half)
     g = b.groupBy("dealer_id").agg(F.count(F.when(F.col("half") == 0, 1)).alias("n0"), F.count(F.when(F.col("half") == 1, 1)).alias("n1"), F.avg(F.when(F.col("half") == 0, F.col("ret"))).alias("a"),
                                    F.avg(F.when(F.col("half") == 1, F.col("ret"))).alias("b"))
     return g.where("n0 >= 15 AND n1 >= 15").agg(one().alias("dealers"), F.corr("a", "b").alias("pearson"))
 
 
-query("dealer_split_half", "dealers i, pearson d")(_split_half)
+query("dealer_split_half", "dealers i, pearson d", f"""SELECT count(*) AS dealers, corr(a, b) AS pearson FROM (SELECT dealer_id, avg(ret) FILTER (WHERE NOT h) AS a, avg(ret) FILTER (WHERE h) AS b FROM
+ (SELECT dealer_id, ret, left(md5(vehicle_id), 1) IN ({', '.join(f"'{x}'" for x in _EVEN)}) AS h FROM {_B} WHERE dealer_id IS NOT NULL) GROUP BY 1 HAVING count(*) FILTER (WHERE h) >= 15 AND count(*) FILTER (WHERE NOT h) >= 15)""", "visits")(_split_half)
 
 
 def _same_dealer(t: Tables):
@@ -318,16 +340,18 @@ query("same_dealer_return", "ScheduleSource s, n i, same d", f"""SELECT Schedule
 
 
 def prior_history(t: Tables):
-    """Exclusive history of each booking: earlier counts and days since the previous maintenance."""
+    """Exclusive history of each booking: earlier counts and days since the previous maintenance (0 for one earlier on the day)."""
     v = t.visits().select("schedule_id", "vehicle_id", "event_date", "no_show", "cancelled", "completed", "is_completed_maintenance")
     c = counts_before(v, "vehicle_id", "event_date", "schedule_id", {"prev_noshow": F.col("no_show"), "prev_cancel": F.col("cancelled"), "prev_done": F.col("completed"), "prev_visits": F.lit(True)})
     m = t.visits().where("is_completed_maintenance").select("vehicle_id", F.col("event_date").alias("prev_maint"))
     c = asof_join(c, m, "vehicle_id", "event_date", "prev_maint", ["prev_maint"])
-    return c.withColumn("days_since_maint", F.datediff("event_date", "prev_maint"))
+    in_day = Window.partitionBy("vehicle_id", "event_date").orderBy("schedule_id").rowsBetween(Window.unboundedPreceding, -1)
+    today = F.max(F.col("is_completed_maintenance").cast("int")).over(in_day) == 1
+    return c.withColumn("days_since_maint", F.when(today, 0).otherwise(F.datediff("event_date", "prev_maint")))
 
 
 query("exclusive_history", "schedule_id s, prev_noshow i, prev_cancel i, prev_done i, prev_visits i, days_since_maint i", """SELECT schedule_id, coalesce(sum(CAST(no_show AS INTEGER)) OVER w, 0) AS prev_noshow, coalesce(sum(CAST(cancelled AS INTEGER)) OVER w, 0) AS prev_cancel,
- coalesce(sum(CAST(completed AS INTEGER)) OVER w, 0) AS prev_done, count(*) OVER w AS prev_visits, event_date - (SELECT max(event_date) FROM visits x WHERE x.vehicle_id = v.vehicle_id AND x.is_completed_maintenance AND x.event_date < v.event_date) AS days_since_maint
+ coalesce(sum(CAST(completed AS INTEGER)) OVER w, 0) AS prev_done, count(*) OVER w AS prev_visits, event_date - (SELECT max(event_date) FROM visits x WHERE x.vehicle_id = v.vehicle_id AND x.is_completed_maintenance AND (x.event_date < v.event_date OR (x.event_date = v.event_date AND x.schedule_id < v.schedule_id))) AS days_since_maint
  FROM visits v WINDOW w AS (PARTITION BY vehicle_id ORDER BY event_date, schedule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "visits")(prior_history)
 query("return_by_prior_history", "stratum s, level s, n i, rate d", f"""SELECT CASE WHEN pv > 5 THEN 'high' WHEN pv > 0 THEN 'low' ELSE 'none' END AS stratum, CASE WHEN pn > 0 THEN 'yes' ELSE 'no' END AS level, count(*) AS n, avg(ret) AS rate FROM {_B} b JOIN (SELECT schedule_id,
  coalesce(sum(CAST(no_show AS INTEGER)) OVER w, 0) AS pn, count(*) OVER w AS pv FROM visits WINDOW w AS (PARTITION BY vehicle_id ORDER BY event_date, schedule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) h USING (schedule_id) GROUP BY 1, 2""", "visits")(

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Window, functions as F
 
-from reprise.functions.columns import count_if, cut, share
+from reprise.functions.columns import INF, count_if, cut, share
 from reprise.operators import events as ev, stats as st
 from reprise.operators.asof import asof_join, band_exists
 from reprise.plans.channel_queries import _B, _DM, base, gen_deltas
@@ -81,7 +81,7 @@ query("sequence_before_after_dedup", "stage s, pairs i, same_number i, same_with
 query("sequence_before_dedup", "stage s, pairs i, same_number i, same_within_30 i, monotone d", _BA.format(n="before", src="maint_days") + " UNION ALL " + _BA.format(n="after_chain", src="maint_split"), "maint_split")(
     lambda t: _before_after(t).where("stage <> 'after_fold'"))
 query("same_number_gap_buckets", "bucket s, n i", f"""SELECT CASE WHEN d_days <= 30 THEN '0-30' WHEN d_days <= 90 THEN '31-90' WHEN d_days <= 180 THEN '91-180' ELSE '181+' END AS bucket, count(*) AS n FROM ({_DELTAS.format(src='maint_days')}) WHERE d_n = 0 AND d_days IS NOT NULL GROUP BY 1""", "maint_days")(
-    lambda t: deltas(ev.maintenance_days(t.appt())).where("d_n = 0 AND d_days IS NOT NULL").groupBy(cut(F.col("d_days"), [-1, 30, 90, 180, 10**6], ["0-30", "31-90", "91-180", "181+"]).alias("bucket")).agg(one().alias("n")))
+    lambda t: deltas(ev.maintenance_days(t.appt())).where("d_n = 0 AND d_days IS NOT NULL").groupBy(cut(F.col("d_days"), [-INF, 30, 90, 180, INF], ["0-30", "31-90", "91-180", "181+"]).alias("bucket")).agg(one().alias("n")))
 
 
 def _first_age(t: Tables):
@@ -125,7 +125,7 @@ query("gap_event_vs_vehicle", "per_event d, per_vehicle d", f"SELECT avg(d_days)
 query("last_event_by_snapshot", "connected_status s, bucket s, n i, share d", f"""SELECT coalesce(c, 'none') AS connected_status, CASE WHEN g <= 180 THEN '0-180' WHEN g <= 365 THEN '181-365' ELSE '366+' END AS bucket, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY coalesce(c, 'none')) AS share
  FROM (SELECT last(ConnectedStatusARG ORDER BY event_date, schedule_id) AS c, {_CUT} - max(event_date) AS g FROM visits GROUP BY vehicle_id) GROUP BY 1, 2""", "visits")(
     lambda t: st.value_shares(t.visits().groupBy("vehicle_id").agg(F.max_by("ConnectedStatusARG", F.struct("event_date", "schedule_id")).alias("c"), F.datediff(F.lit(SPAN.cutoff), F.max("event_date")).alias("g")).select(
-        F.coalesce("c", F.lit("none")).alias("connected_status"), cut(F.col("g"), [-10**6, 180, 365, 10**6], ["0-180", "181-365", "366+"]).alias("bucket")), ["connected_status"], "bucket"))
+        F.coalesce("c", F.lit("none")).alias("connected_status"), cut(F.col("g"), [-INF, 180, 365, INF], ["0-180", "181-365", "366+"]).alias("bucket")), ["connected_status"], "bucket"))
 query("snapshot_excess_by_connectivity", "connected_status s, n i, p50 d, p95 d", """SELECT coalesce(c, 'none') AS connected_status, count(x) AS n, median(x) AS p50, quantile_cont(x, 0.95) AS p95 FROM (SELECT max(ConnectedStatusARG) AS c, max(KM) - last(VehicleCurrentKM ORDER BY event_date, schedule_id) FILTER (WHERE VehicleCurrentKM IS NOT NULL) AS x
  FROM visits GROUP BY vehicle_id) GROUP BY 1""", "visits")(
     lambda t: st.exact_percentiles(t.visits().groupBy("vehicle_id").agg(F.max("ConnectedStatusARG").alias("c"), (F.max("KM") - F.max_by("VehicleCurrentKM", F.when(F.col("VehicleCurrentKM").isNotNull(), F.struct("event_date", "schedule_id")))).alias("x"))
@@ -133,4 +133,4 @@ query("snapshot_excess_by_connectivity", "connected_status s, n i, p50 d, p95 d"
 query("future_bookings_effect", "month t, with_future d, without_future d", f"""SELECT date_trunc('month', event_date) AS month, avg(CAST(completed AS INTEGER)) AS with_future, avg(CAST(completed AS INTEGER)) FILTER (WHERE event_date <= {_CUT}) AS without_future FROM visits WHERE event_date >= DATE '2001-01-01' GROUP BY 1""", "visits")(
     lambda t: t.visits().where(F.col("event_date") >= F.lit(dt.date(2001, 1, 1))).groupBy(F.trunc("event_date", "month").alias("month")).agg(
         share(F.col("completed")).alias("with_future"), F.avg(F.when(F.col("event_date") <= F.lit(SPAN.cutoff), F.col("completed").cast("double"))).alias("without_future")))
-query("deterministic_sample", "schedule_id s")(lambda t: t.appt().orderBy(F.xxhash64("schedule_id", F.lit(7)), "schedule_id").limit(400).select("schedule_id"))
+query("deterministic_sample", "schedule_id s", "SELECT schedule_id FROM appt ORDER BY md5(schedule_id), schedule_id LIMIT 400", "appt")(lambda t: t.appt().orderBy(F.md5("schedule_id"), "schedule_id").limit(400).select("schedule_id"))

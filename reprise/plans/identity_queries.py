@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from reprise.functions.columns import count_if, cut, mask_identifier, share
+from reprise.functions.columns import INF, count_if, cut, mask_identifier, share
 from reprise.operators import stats as st
 from reprise.operators.history import change_runs, counts_before, previous_row
 from reprise.plans.domain import SPAN, Tables
@@ -77,7 +77,7 @@ query("identity_channel_transition", "prev_ScheduleSource s, c1 i, c2 i, c3 i, c
 def _mix(t: Tables):
     fp = F.col("ScheduleSource") == "FordPass"
     v = t.visits().groupBy("vehicle_id").agg(F.bool_and(fp).alias("all_fp"), F.bool_or(fp).alias("any_fp"), one().alias("n"), F.count_distinct("customer_id").alias("nc")).where("n >= 2")
-    v = v.withColumns({"mix": F.when(F.col("any_fp") & ~F.col("all_fp"), "mixed").otherwise("one_kind"), "visits": cut(F.col("n"), [1, 2, 3, 5, 8, 10**6], ["2", "3", "4-5", "6-8", "9+"])})
+    v = v.withColumns({"mix": F.when(F.col("any_fp") & ~F.col("all_fp"), "mixed").otherwise("one_kind"), "visits": cut(F.col("n"), [1, 2, 3, 5, 8, INF], ["2", "3", "4-5", "6-8", "9+"])})
     return st.strat_table(v.withColumn("multi", (F.col("nc") > 1).cast("int")), "mix", "visits", "multi")
 
 
@@ -110,8 +110,8 @@ def _tiers(t: Tables):
 
 
 query("transfer_tiers", "min_tier i, year i, transfers i, vehicles i", f"SELECT m AS min_tier, year, count(*) AS transfers, count(DISTINCT vehicle_id) AS vehicles FROM {_TR}, (SELECT unnest([1, 2, 3]) AS m) WHERE tier >= m GROUP BY 1, 2", "visits vm")(_tiers)
-_AE, _AL = [-1, 1, 2, 3, 4, 5, 100], ["<1", "1-2", "2-3", "3-4", "4-5", "5+"]
-_ACASE = "CASE WHEN {x} > -1 AND {x} <= 1 THEN '<1' WHEN {x} > 1 AND {x} <= 2 THEN '1-2' WHEN {x} > 2 AND {x} <= 3 THEN '2-3' WHEN {x} > 3 AND {x} <= 4 THEN '3-4' WHEN {x} > 4 AND {x} <= 5 THEN '4-5' WHEN {x} > 5 AND {x} <= 100 THEN '5+' END"
+_AE, _AL = [-1, 1, 2, 3, 4, 5, INF], ["<1", "1-2", "2-3", "3-4", "4-5", "5+"]
+_ACASE = "CASE WHEN {x} > -1 AND {x} <= 1 THEN '<1' WHEN {x} > 1 AND {x} <= 2 THEN '1-2' WHEN {x} > 2 AND {x} <= 3 THEN '2-3' WHEN {x} > 3 AND {x} <= 4 THEN '3-4' WHEN {x} > 4 AND {x} <= 5 THEN '4-5' WHEN {x} > 5 THEN '5+' END"
 
 
 def _hazard(t: Tables):
@@ -131,7 +131,7 @@ query("transfer_age_distribution", "age s, n i", f"SELECT {_ACASE.format(x='age'
 query("identity_change_by_gap", "gap s, n i, rate d", f"""SELECT CASE WHEN g <= 30 THEN '0-30' WHEN g <= 90 THEN '31-90' WHEN g <= 180 THEN '91-180' WHEN g <= 365 THEN '181-365' ELSE '366+' END AS gap, count(*) AS n, avg(CAST(switch AS INTEGER)) AS rate
  FROM (SELECT event_date - pd AS g, switch FROM {_SQ} WHERE pc IS NOT NULL) GROUP BY 1""", "visits")(
     lambda t: sequence(t).where(F.col("prev_customer_id").isNotNull()).groupBy(
-        cut(F.datediff("event_date", "prev_event_date"), [-1, 30, 90, 180, 365, 10**6], ["0-30", "31-90", "91-180", "181-365", "366+"]).alias("gap")).agg(one().alias("n"), share(F.col("switch")).alias("rate")))
+        cut(F.datediff("event_date", "prev_event_date"), [-INF, 30, 90, 180, 365, INF], ["0-30", "31-90", "91-180", "181-365", "366+"]).alias("gap")).agg(one().alias("n"), share(F.col("switch")).alias("rate")))
 
 _ENDS = f"""(SELECT vehicle_id, first(customer_id ORDER BY event_date, schedule_id) AS f, last(customer_id ORDER BY event_date, schedule_id) AS l FROM {_KN} GROUP BY 1)"""
 
@@ -163,7 +163,7 @@ query("buyer_vs_agenda", "business_unit s, n i, any d, first d, last d".replace(
  avg(CAST(sales_customer_id = f AS INTEGER)) AS is_first, avg(CAST(sales_customer_id = l AS INTEGER)) AS is_last FROM vm JOIN {_ENDS} e USING (vehicle_id) WHERE in_sales GROUP BY 1""", "visits vm")(
     lambda t: _buyer_agenda(t).withColumnsRenamed({"any": "seen", "first": "is_first", "last": "is_last"}))
 
-_FE, _FL = [0, 1, 2, 9, 49, 10**6], ["1", "2", "3-9", "10-49", "50+"]
+_FE, _FL = [0, 1, 2, 9, 49, INF], ["1", "2", "3-9", "10-49", "50+"]
 _FCASE = "CASE WHEN n <= 1 THEN '1' WHEN n <= 2 THEN '2' WHEN n <= 9 THEN '3-9' WHEN n <= 49 THEN '10-49' ELSE '50+' END"
 
 
@@ -264,7 +264,7 @@ def _never(t: Tables):
     s = s.join(t.visits().where("completed").select("vehicle_id").distinct().withColumn("_v", F.lit(True)), "vehicle_id", "left").join(
         t.maint().groupBy("vehicle_id").agg(F.min("event_date").alias("fm")), "vehicle_id", "left")
     months = F.datediff(F.lit(SPAN.cutoff), "WarrantyStartDate") / 30.44
-    b = cut(months, [-1, 24, 48, 60, 72, 1000], ["0-24", "24-48", "48-60", "60-72", "72+"])
+    b = cut(months, [-INF, 24, 48, 60, 72, INF], ["0-24", "24-48", "48-60", "60-72", "72+"])
     return s.groupBy(b.alias("months"), "BusinessUnit").agg(one().alias("n"), share(F.col("_a").isNull()).alias("never_booked"), share(F.col("_v").isNull()).alias("never_visited"), share(F.col("fm").isNull()).alias("never_serviced"),
                                                            share(F.datediff("fm", "WarrantyStartDate") <= 456).alias("first_in_15m"))
 

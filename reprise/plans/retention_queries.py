@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from reprise.functions.columns import count_if, cut, share, whole_months
+from reprise.functions.columns import INF, count_if, cut, share, whole_months
 from reprise.operators import cohorts as co, stats as st
 from reprise.plans.domain import SPAN, Tables
 from reprise.plans.registry import query
@@ -123,7 +123,7 @@ query("base_rate_horizon", "n i, under_30 i, strict_12 d, " + _SPEC, f"""SELECT
  avg(CAST(m12 AND next_maint - s >= 30 AS INTEGER)) AS strict_12, {_AVGS} FROM ({_IDX})""", _ND)(
     lambda t: index_events(t).agg(one().alias("n"), count_if(F.datediff("next_maint", "start") < 30).alias("under_30"),
                                   share(F.col("m12") & (F.datediff("next_maint", "start") >= 30)).alias("strict_12"), *_shares()))
-_AGE_E, _AGE_L = [-1, 0, 1, 2, 3, 99], ["0", "1", "2", "3", "4+"]
+_AGE_E, _AGE_L = [-1, 0, 1, 2, 3, INF], ["0", "1", "2", "3", "4+"]
 query("base_rate_by_age", "age s, n i, " + _SPEC, f"SELECT CASE WHEN age_years > -1 AND age_years <= 3 THEN CAST(age_years AS VARCHAR) WHEN age_years > 3 THEN '4+' END AS age, count(*) AS n, {_AVGS} FROM ({_IDX}) GROUP BY 1", _ND)(
     lambda t: index_events(t).groupBy(cut(F.col("age_years"), _AGE_E, _AGE_L).alias("age")).agg(one().alias("n"), *_shares()))
 query("base_rate_by_number", "maint_number d, n i, " + _SPEC, f"SELECT maint_number, count(*) AS n, {_AVGS} FROM ({_IDX}) GROUP BY 1", _ND)(

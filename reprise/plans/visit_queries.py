@@ -7,9 +7,9 @@ from pyspark.sql import Window, functions as F
 from reprise import fixed_values as fv
 from reprise.functions.columns import as_int, count_if, leading_integer, share
 from reprise.operators import events as ev, stats as st
-from reprise.operators.asof import asof_join, band_exists
+from reprise.operators.asof import asof_join
 from reprise.operators.history import next_row, previous_row
-from reprise.plans.domain import SPAN, Tables
+from reprise.plans.domain import AGENDA, SPAN, Tables
 from reprise.plans.registry import query
 
 one = lambda: F.count(F.lit(1))
@@ -33,13 +33,13 @@ query("eda_status_dense", "StatusARG s, n i", "SELECT s AS StatusARG, count(sche
       + ", ".join(f"'{s}'" for s in fv.STATUS_ORDER) + "]) AS s) LEFT JOIN appt ON StatusARG = s GROUP BY 1", "appt")(
     lambda t: st.dense_levels(t.appt().groupBy("StatusARG").agg(one().alias("n")), "StatusARG", fv.STATUS_ORDER, ["n"]))
 
-_LEVEL = ["vehicle_id", "customer_id", "dealer_id", "StatusARG", "ScheduleDate", "ScheduleSource", "VehicleCurrentKM", "EffectiveCheckinDate",
-          "EffectiveCheckoutDate", "DaysInDealer"]
+_LEVEL = [c for c in fv.VISIT_COLUMNS if c in AGENDA]
 
 
 def _consistency(t: Tables):
-    per = t.items().groupBy("schedule_id").agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in _LEVEL])
-    return per.agg(*[count_if(F.col(c) > 1).alias(c) for c in _LEVEL])
+    """Bookings whose items disagree on an attribute: two values, or a value beside a missing one."""
+    per = t.items().groupBy("schedule_id").agg(*[((F.min(c) != F.max(c)) | (F.bool_or(F.col(c).isNull()) & (F.count(c) > 0))).alias(c) for c in _LEVEL])
+    return per.agg(*[count_if(F.col(c)).alias(c) for c in _LEVEL])
 
 
 query("eda_within_visit_consistency", ", ".join(f"{c} i" for c in _LEVEL), "SELECT " + ", ".join(
@@ -102,14 +102,15 @@ _BANDS = [(-30, -1), (0, 0), (1, 30), (-30, 30), (1, 90)]
 
 
 def _followup(t: Tables):
-    v = t.visits().select("schedule_id", "vehicle_id", "event_date", "completed", "completed_no_os", "is_completed_maintenance")
-    sub, out = v.where("completed_no_os"), None
-    for lo, hi in _BANDS:
-        x = band_exists(sub, v.where("completed"), "vehicle_id", "event_date", "event_date", lo, hi, "schedule_id", "any_done")
-        x = band_exists(x, v.where("is_completed_maintenance"), "vehicle_id", "event_date", "event_date", lo, hi, "schedule_id", "maint_done")
-        row = x.agg(F.lit(f"[{lo}, {hi}]").alias("band"), one().alias("n"), count_if(F.col("any_done")).alias("with_completed"), count_if(F.col("maint_done")).alias("with_maintenance"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """All bands in one ordered pass over the days of a vehicle; a probe is no completed visit, so it can't meet itself."""
+    days = t.visits().groupBy("vehicle_id", "event_date").agg(
+        count_if(F.col("completed_no_os")).alias("probes"), count_if(F.col("completed")).alias("done"), count_if(F.col("is_completed_maintenance")).alias("maint"))
+    order = Window.partitionBy("vehicle_id").orderBy(F.datediff("event_date", F.lit("1970-01-01").cast("date")))
+    hits = {f"_{c}{i}": F.col("event_date").isNotNull() & (F.sum(c).over(order.rangeBetween(lo, hi)) > 0) for i, (lo, hi) in enumerate(_BANDS) for c in ("done", "maint")}
+    probes = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("probes"))), F.lit(0))
+    cells = [F.struct(F.lit(f"[{lo}, {hi}]").alias("band"), probes(F.lit(True)).alias("n"), probes(F.col(f"_done{i}")).alias("with_completed"), probes(F.col(f"_maint{i}")).alias("with_maintenance"))
+             for i, (lo, hi) in enumerate(_BANDS)]
+    return days.withColumns(hits).agg(F.array(*cells).alias("a")).select(F.explode("a").alias("x")).select("x.*")
 
 
 _EX = "EXISTS (SELECT 1 FROM visits r WHERE r.vehicle_id = s.vehicle_id AND r.{f} AND r.schedule_id <> s.schedule_id AND r.event_date - s.event_date BETWEEN {lo} AND {hi})"
@@ -178,8 +179,9 @@ def _scenarios(t: Tables):
     b = F.col("has_maint") | has("ACEITE_FILTRO")
     c = b | has("GARANTIA")
     sc = {"A": done & F.col("has_maint"), "B": done & b, "C": done & c, "D": done & (c | has("CAMPANA_RECALL")), "E": (done | no_os) & F.col("has_maint"), "F": done | no_os}
-    rows = a.agg(F.array(*[F.struct(F.lit(k).alias("scenario"), count_if(v).alias("visits"), F.count_distinct(F.when(v, F.col("vehicle_id"))).alias("vehicles"))
-                           for k, v in sc.items()]).alias("r")).select(F.explode("r").alias("x"), F.col("r")[0].alias("a"))
+    per = a.groupBy("vehicle_id").agg(*[count_if(v).alias(f"_{k}") for k, v in sc.items()])       # counted per vehicle first: no row expansion
+    rows = per.agg(F.array(*[F.struct(F.lit(k).alias("scenario"), F.coalesce(F.sum(f"_{k}"), F.lit(0)).alias("visits"), count_if(F.col("vehicle_id").isNotNull() & (F.col(f"_{k}") > 0)).alias("vehicles"))
+                             for k in sc]).alias("r")).select(F.explode("r").alias("x"), F.col("r")[0].alias("a"))
     return rows.select("x.*", (F.col("x.visits") - F.col("a.visits")).alias("delta_visits"), (F.col("x.vehicles") - F.col("a.vehicles")).alias("delta_vehicles"))
 
 

@@ -15,7 +15,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     is only aggregated (pre-combined before the shuffle) and joined. Rounds grow with the logarithm of the longest chain.
     """
     edges = staged(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
-    before = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         low = both.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("m")).withColumnRenamed("hi", "node")
@@ -23,11 +22,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low2 = large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "node")
         small = large.join(low2, large["hi"] == low2["node"])
         edges = staged(small.select("hi", F.col("m").alias("lo")).union(small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct())
-        n, total, tops = edges.agg(F.count("*"), F.sum(F.col("lo").cast("decimal(38,0)")), F.count_distinct("hi")).first()
-        # done when every node hangs on one node and no sum has moved
-        if (n, total) == before and n == tops:
+        # links keep what hangs together: once every node hangs on one other that hangs on none, these are the components
+        ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
-        before = (n, total)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

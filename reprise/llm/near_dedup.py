@@ -16,6 +16,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands and coordinates in a band: a pair at the limit shares a band with probability 1 - (1 - 0.8^6)^24 = 0.9993.
 BANDS, ROWS = 24, 6
+#: Bytes of text that one pass of sketching or comparing holds: darts take a hundred times as much for short texts.
+SKETCH_BYTES, COMPARE_BYTES = 2 << 20, 1 << 20
 #: Texts in a tile of the comparison grid of a family.
 TILE = 256
 #: Ids that may be broadcast to pick texts; more of them are joined by a shuffle.
@@ -109,7 +111,7 @@ def sketch(docs: DataFrame, id_column: str) -> DataFrame:
     """(id, same, bands): key of the text's word sequence, and band hashes (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", SKETCH_BYTES):
             n = b.num_rows
             at, value = word_values(b.column("text"))
             row, slab = shingles(at, value, n)
@@ -137,8 +139,8 @@ def similar(pairs: DataFrame, texts: DataFrame, limit: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in chunks(iter([batch]), "left", 4 << 20):
-                for c in chunks(iter([b]), "right", 4 << 20):
+            for b in chunks(iter([batch]), "left", COMPARE_BYTES):
+                for c in chunks(iter([b]), "right", COMPARE_BYTES):
                     n = c.num_rows
                     left, distinct = coded(c.column("left"))         # a pivot's text is cut into shingles once
                     row1, slab1 = shingles(*word_values(distinct), len(distinct))

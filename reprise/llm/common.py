@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from reprise.runtime import ensure_checkpoint_dir
 
 #: Bytes of text that one numpy pass holds; longer texts make a chunk of their own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 _SHIPPED: set[str] = set()
@@ -71,6 +71,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             end = max(start + 1, int(np.searchsorted(size, before + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+        pa.default_memory_pool().release_unused()
 
 
 def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -242,13 +242,17 @@ def classify(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id"
     spark = docs.sparkSession
     at = spark.sparkContext.broadcast(model)            # at most MAX_FEATURES words
     kept = docs.select(*columns)
-    inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").cast("string").alias("_text"))
+    own = "text" in columns and kept.schema["text"].dataType.simpleString() == "string"         # sent to Python once
+    inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *([] if own else [F.col("text").cast("string").alias("_text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = at.value
-        for b in chunks(batches, "_text"):
-            score = m.score(*known(m.words, b.column("_text")), b.num_rows)
-            yield pa.record_batch([*b.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
+        for batch in batches:
+            if own:                     # scored on a copy without nulls; the column itself goes through as it is
+                batch = batch.append_column("_text", batch.column(columns.index("text")))
+            for b in chunks(iter([batch]), "_text"):
+                score = m.score(*known(m.words, b.column("_text")), b.num_rows)
+                yield pa.record_batch([*b.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
 
     types = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept.schema.fields))
     return inner.mapInArrow(run, f"{types}, score double, predicted int").toDF(*columns, "score", "predicted")

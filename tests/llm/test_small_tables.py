@@ -127,3 +127,12 @@ def test_words_are_split_alike():
     words, row = words_of(pa.array(texts))
     assert words.to_pylist() == [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
     assert row.tolist() == [i for i, t in enumerate(texts) for _ in re.findall(r"[^\x20\x09-\x0D]+", t)]
+
+
+def test_classify_keeps_columns_and_nulls(spark):
+    import numpy as np
+
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), -3.0, 0.1)
+    rows = toxicity.classify(documents(spark), model, ("doc_id", "text", "lang")).collect()
+    assert sorted([(r.doc_id or 0, r.text or "") for r in rows]) == sorted([(i or 0, t or "") for i, t in TEXTS])
+    assert sum(r.text is None for r in rows) == 2 and {r.predicted for r in rows} == {0}

@@ -22,15 +22,17 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
                     F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"))
 
 
-def manifest(pages: DataFrame) -> DataFrame:
-    """archive, offset, length, digest, page_id, url, html of each page's record, in archives of ``ARCHIVE_IDS`` ids.
+def manifest(pages: DataFrame, **more: Column) -> DataFrame:
+    """archive, offset, length, digest, page_id, url of each page's record, in archives of ``ARCHIVE_IDS`` ids.
 
-    Records lie in order of page_id, url and html; the running sum sees the lengths alone. Pages without an id form
-    archive -1; repeated rows are records of their own; an empty table gives no rows; other columns are not read.
+    Records lie in order of page_id, url and digest. ``more``: further columns over page_id, url and html, worked out
+    where the page is read; the running sum sees lengths and digests, never the pages. Pages without an id form archive
+    -1; repeated rows are records of their own; an empty table gives no rows; other columns are not read.
     """
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     whole = record(F.col("page_id"), F.col("url"), F.col("html"))
-    p = p.select("*", F.coalesce(F.floor(F.col("page_id") / ARCHIVE_IDS), F.lit(-1)).cast("bigint").alias("archive"), F.octet_length(whole).cast("bigint").alias("length"), F.sha2(whole, 256).alias("digest"))
+    p = p.select("page_id", "url", F.coalesce(F.floor(F.col("page_id") / ARCHIVE_IDS), F.lit(-1)).cast("bigint").alias("archive"), F.octet_length(whole).cast("bigint").alias("length"), F.sha2(whole, 256).alias("digest"),
+                 *[c.alias(k) for k, c in more.items()])
     before = Window.partitionBy("archive").orderBy("page_id", "url", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return p.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint"))
 

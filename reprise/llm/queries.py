@@ -117,9 +117,10 @@ SELECT archive, "offset", page_id, length, CASE WHEN found IS NULL THEN 'missing
 @query("op9_merkle_fixity", _OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of a replica of all pages in which each 97th record has a byte too many and each 211th is lost."""
-    own = staged(fixity.manifest(table(spark, sf_dir, "pages")).select(
-        "archive", "offset", "page_id", "length", "digest",
-        F.when(F.col("page_id") % 97 == 13, F.sha2(fixity.record(F.col("page_id"), F.col("url"), F.concat("html", F.lit("~"))), 256)).otherwise(F.col("digest")).alias("other")))
+    longer = fixity.record(F.col("page_id"), F.col("url"), F.concat("html", F.lit("~")))
+    other = F.when(F.col("page_id") % 97 == 13, F.sha2(longer, 256))
+    own = fixity.manifest(table(spark, sf_dir, "pages"), other=other).select("archive", "offset", "page_id", "length", "digest", F.coalesce("other", "digest").alias("other"))
+    own = staged(own)
     replica = own.where("page_id is null or page_id % 211 <> 5").select("archive", "offset", F.col("other").alias("digest"))
     bad = fixity.audit(own.select("archive", "offset", "digest"), replica)
     return bad.join(own.select("archive", "offset", "page_id", "length"), ["archive", "offset"]).select("archive", "offset", "page_id", "length", "kind", "expected", "found")

@@ -136,3 +136,94 @@ def test_classify_keeps_columns_and_nulls(spark):
     rows = toxicity.classify(documents(spark), model, ("doc_id", "text", "lang")).collect()
     assert sorted([(r.doc_id or 0, r.text or "") for r in rows]) == sorted([(i or 0, t or "") for i, t in TEXTS])
     assert sum(r.text is None for r in rows) == 2 and {r.predicted for r in rows} == {0}
+
+
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+LGPL = """# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version.
+#
+# This library is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+# Lesser General Public License for more details.
+#
+# You should have received a copy of the GNU Lesser General Public
+# License along with this library; if not, write to the Free Software
+# Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"""
+BSD = """Copyright (c) 2020, The Authors
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+ENDORSE = """
+3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+
+
+def test_wrapped_licence_notices(spark):
+    """Verbatim notices as they stand in files: identifiers, and what no rule takes ("All rights reserved" of BSD)."""
+    want = [(APACHE, "Apache-2.0", 0), (GPL3, "GPL-3.0-or-later", 0), (GPL2, "GPL-2.0-or-later", 0), (LGPL, "LGPL-2.1-or-later", 0), (LGPL.replace("# ", "// ").replace("version 2.1", "version 3"), "LGPL-3.0-or-later", 0),
+            (MPL, "MPL-2.0", 0), (BSD.format(""), "BSD-2-Clause", 1), (BSD.format(ENDORSE.format("the copyright holder")), "BSD-3-Clause", 1), (BSD.format(ENDORSE.format("Example Ltd.")), "BSD-3-Clause", 1), (MIT, "MIT", 0),
+            ("The tool is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.", "GPL-2.0-only", 0),
+            ("Old code\nlicensed under the GNU General Public License, version 2 or later.", "GPL-2.0-or-later", 0), ("It is not released under the MIT License.", "NONE", 0),
+            ("The page, licensed under\nCC BY-SA 4.0, was merged.", "CC-BY-SA-4.0", 0), (f"{APACHE}\n\n{MIT}", "Apache-2.0 AND MIT", 0)]
+    rows = {r.doc_id: r for r in licences.scan(documents(spark, [(k, t) for k, (t, _, _) in enumerate(want)])).collect()}
+    assert [(rows[k].licences, rows[k].n_unmatched) for k in range(len(want))] == [x[1:] for x in want]
+    assert rows[0].sentence_ids == "ApacheLic2 ApacheComply ApacheObtain ApacheAsIs ApacheSee"

@@ -23,11 +23,12 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the line and word rules. Rows of one doc_id stay if one of them passes; rows without a
-    doc_id go, as no verdict can be joined to them."""
+    """Rows that pass the line and word rules, each with its text without the lines that too many documents of its host
+    hold; ``n_chars`` of a text that lost lines is counted anew."""
     ship(spark)
-    verdicts = line_rules.judge(docs).where("kept").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_semi").select(*COLUMNS)
+    rows = line_rules.without_lines(docs, COLUMNS).where("kept")
+    size = F.when(F.col("n_removed_words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.withColumn("n_chars", size).select(*COLUMNS)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

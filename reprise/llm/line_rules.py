@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reprise.llm.common import chunks, coded, hashed, per_row, staged, windows_of, words_of
 
@@ -40,6 +40,11 @@ def repeated_words(code: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return per_row(row[np.cumsum(edge[:-1]) > 0], n)
 
 
+def normalised(lines: pa.Array) -> pa.Array:
+    """Lines as they are compared between documents: lower case, single spaces."""
+    return pc.binary_join(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.utf8_lower(lines))), " ")
+
+
 def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
     text, n = batch.column("text"), batch.num_rows
     words, row = words_of(text)
@@ -52,8 +57,7 @@ def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
     exact, distinct = coded(lines)
     seen = line_row.astype(np.int64) * (len(distinct) + 1) + exact
     repeats = per_row(line_row, n) - per_row(np.unique(seen) // (len(distinct) + 1), n)
-    # lines as they are compared between documents: lower case, single spaces
-    normal = pc.binary_join(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.utf8_lower(distinct))), " ")
+    normal = normalised(distinct)
     size = pc.list_value_length(pc.ascii_split_whitespace(normal)).to_numpy(zero_copy_only=False).astype(np.int64)
     key = hashed(normal).view(np.int64)[exact] if len(distinct) else np.zeros(0, np.int64)
     order = np.lexsort((key, line_row))
@@ -70,14 +74,16 @@ def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
                            ["row_id", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_key", "lines", "line_words"])
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """One row per document: the base measures and its distinct normalised lines with the words that they hold."""
+def measure(docs: DataFrame, row_id: Column | None = None) -> DataFrame:
+    """One row per document: the base measures and its distinct normalised lines with the words that they hold; rows are
+    numbered unless they bring a ``row_id``."""
+    row_id = F.monotonically_increasing_id() if row_id is None else row_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             yield measured(b)
 
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
+    return docs.select(row_id.alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
                        F.col("text").cast("string").alias("text")).mapInArrow(run, _MEASURED)
 
 
@@ -106,13 +112,55 @@ def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share: float
     alike; an empty table gives no rows; columns other than doc_id, text, source are not read.
     Returns row_id, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words, base_failed, kept.
     """
-    m = staged(measure(docs))
+    return _judged(staged(measure(docs)), max_documents, max_share).drop("gone_lines")
+
+
+def _judged(m: DataFrame, max_documents: int, max_share: float) -> DataFrame:
+    """The verdicts of ``judge``, and ``gone_lines``: the lines to be removed of each document."""
     common = frequent_lines(m, max_documents, max_share)
     held = m.select("row_id", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row_id", "doc_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    removed = held.join(common, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("row_id").agg(F.sum("words").alias("gone"))
+    removed = held.join(common, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("row_id").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("gone_lines"))
     out = m.drop("lines", "line_words").join(removed, "row_id", "left").withColumn("n_removed_words", F.coalesce("gone", F.lit(0)).cast("bigint"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < MIN_WORDS) | (left < MIN_SHARE_LEFT * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).select(
-        "row_id", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept")
+        "row_id", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept", "gone_lines")
+
+
+def shortened(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without the lines whose hash is in their list ``gone``; the other lines stay as they are, in order."""
+    parts = pc.split_pattern(text, "\n")
+    lines, n = parts.flatten(), pc.list_value_length(parts).to_numpy()
+    row = np.repeat(np.arange(len(text)), n)
+    exact, distinct = coded(lines)
+    key = hashed(normalised(distinct)).view(np.int64)[exact]
+    full = pc.greater(pc.binary_length(pc.ascii_trim_whitespace(distinct)), 0).to_numpy(zero_copy_only=False)[exact]
+    hashes, which = coded(pa.concat_arrays([pa.array(key), gone.flatten().cast(pa.int64())]))
+    gone_row = np.repeat(np.arange(len(text)), pc.list_value_length(gone).to_numpy())
+    stays = ~(full & np.isin(row * len(which) + hashes[:len(key)], gone_row * len(which) + hashes[len(key):]))
+    offsets = np.concatenate([[0], np.cumsum(per_row(row[stays], len(text)))]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), lines.filter(pa.array(stays))), "\n")
+
+
+def without_lines(docs: DataFrame, columns: Sequence[str] = ("doc_id", "text"), max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+    """``columns`` of every row with the text as ``judge`` leaves it, n_removed_words and kept.
+
+    A text loses the lines over the limits unless it is the first that holds them; its other lines, blank ones too, stay
+    as they are, in order. Frequent lines are joined to the lines of the documents, never collected. Verdict and text
+    belong to the row, whatever its doc_id. Null texts stay null.
+    """
+    d = staged(docs.select(F.monotonically_increasing_id().alias("_row"), *dict.fromkeys([*columns, "doc_id", "text", "source"])))
+    verdicts = _judged(staged(measure(d, F.col("_row"))), max_documents, max_share).select(F.col("row_id").alias("_row"), "n_removed_words", "kept", "gone_lines")
+    rows = d.join(verdicts, "_row").select(*columns, "n_removed_words", "kept", "gone_lines")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            loses = whole.column("gone_lines").is_valid()
+            yield whole.filter(pc.invert(loses)).select(names)
+            for b in chunks(iter([whole.filter(loses)]), "text"):
+                yield b.set_column(b.schema.get_field_index("text"), "text", shortened(b.column("text"), b.column("gone_lines"))).select(names)
+
+    out = rows.drop("gone_lines")
+    names = out.columns
+    return rows.mapInArrow(run, out.schema)

@@ -73,6 +73,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents")).drop("row_id")
 
 
+@query("op7_line_removal")
+def op7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines over the limits."""
+    return line_rules.without_lines(table(spark, sf_dir, "documents"))
+
+
 @query("op8_main_text")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))

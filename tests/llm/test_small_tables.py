@@ -227,3 +227,24 @@ def test_wrapped_licence_notices(spark):
     rows = {r.doc_id: r for r in licences.scan(documents(spark, [(k, t) for k, (t, _, _) in enumerate(want)])).collect()}
     assert [(rows[k].licences, rows[k].n_unmatched) for k in range(len(want))] == [x[1:] for x in want]
     assert rows[0].sentence_ids == "ApacheLic2 ApacheComply ApacheObtain ApacheAsIs ApacheSee"
+
+
+def hosts(spark, rows):
+    return spark.createDataFrame([(i, t, None, h, None if t is None else len(t)) for i, t, h in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def own(i):
+    return " ".join(f"own{i}x{k}" for k in range(40))
+
+
+def test_frequent_lines_leave_the_texts(spark):
+    """60 documents of a host share a line: it stays in the first alone, all other lines as they were; null ids too."""
+    import corpus_pipeline
+
+    rows = [(i, f"{own(i)}\n\n  Share  THIS page\n{own(i + 1000)} end\n", "h") for i in range(60)] + [(None, f"share this page\r\n{own(99)}", "h"), (100, f"{own(100)}\nshare this page", "other"), (101, None, "h")]
+    got = {(r.doc_id, r.text, r.n_removed_words) for r in line_rules.without_lines(hosts(spark, rows)).collect()}
+    want = {(0, rows[0][1], 0), (100, rows[61][1], 0), (101, None, 0), (None, own(99), 3), *[(i, f"{own(i)}\n\n{own(i + 1000)} end\n", 3) for i in range(1, 60)]}
+    assert got == want
+    passed = corpus_pipeline.quality(spark, hosts(spark, rows), "").collect()
+    assert {(r.doc_id, r.text) for r in passed} == {x[:2] for x in want if x[1] is not None}
+    assert all(r.n_chars == len(r.text) for r in passed)

@@ -14,9 +14,8 @@ from reprise.llm.common import chunks, coded, hashed, per_row, staged, windows_o
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
-#: A line is boilerplate of a host if more of its distinct documents hold it than both of these allow.
+#: A line is boilerplate of a host if more of its distinct documents hold it, however large the host.
 MAX_DOCUMENTS = 50
-MAX_SHARE = 0.005
 #: A document is depleted if fewer words, or a smaller share of them, are left.
 MIN_SHARE_LEFT = 0.3
 SYMBOLS = "[#*$%&|<>]"
@@ -87,37 +86,35 @@ def measure(docs: DataFrame, row_id: Column | None = None) -> DataFrame:
                        F.col("text").cast("string").alias("text")).mapInArrow(run, _MEASURED)
 
 
-def frequent_lines(measures: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+def frequent_lines(measures: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(host, line, owner): lines that too many distinct documents of a host hold, and the first of these documents.
 
     Equal texts count as one document, so a group of copies can't make its own lines look like boilerplate.
     """
     texts = measures.groupBy("host", "text_key").agg(F.min("row_id").alias("row_id"))
-    limits = texts.groupBy("host").agg(F.greatest(F.lit(float(max_documents)), F.count("*") * F.lit(max_share)).alias("most"))
     one = measures.join(texts.select("row_id"), "row_id", "left_semi")
     held = one.select("host", "row_id", "doc_id", F.explode("lines").alias("line"))
     counted = held.groupBy("host", "line").agg(F.count("*").alias("documents"), F.min("doc_id").alias("owner"))
-    # ``most`` is at least ``max_documents``: the plain filter comes before the join with one row a host
-    return counted.where(F.col("documents") > max_documents).join(limits, "host").where(F.col("documents") > F.col("most")).select("host", "line", "owner", "documents")
+    return counted.where(F.col("documents") > max_documents).select("host", "line", "owner", "documents")
 
 
-def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """Base measures and verdict of every document.
 
-    Lines are compared in lower case with single spaces. A line that more than ``max_documents`` and more than
-    ``max_share`` of a host's distinct documents hold is removed from all of them but the first (smallest doc_id), so
-    that a passage isn't lost altogether. A document is rejected if it fails the base rules (fewer than ten words; more
+    Lines are compared in lower case with single spaces. A line that more than ``max_documents`` of a host's distinct
+    documents hold, whatever the host's size, is removed from all of them but the first (smallest doc_id), so that a
+    passage isn't lost altogether. A document is rejected if it fails the base rules (fewer than ten words; more
     than 20 % of its words in repeated five-word windows) or if, without removed lines, under ten words or under 30 % of
     its words are left. Null texts have no words and fail; a null host is a host of its own; repeated rows are judged
     alike; an empty table gives no rows; columns other than doc_id, text, source are not read.
     Returns row_id, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words, base_failed, kept.
     """
-    return _judged(staged(measure(docs)), max_documents, max_share).drop("gone_lines")
+    return _judged(staged(measure(docs)), max_documents).drop("gone_lines")
 
 
-def _judged(m: DataFrame, max_documents: int, max_share: float) -> DataFrame:
+def _judged(m: DataFrame, max_documents: int) -> DataFrame:
     """The verdicts of ``judge``, and ``gone_lines``: the lines to be removed of each document."""
-    common = frequent_lines(m, max_documents, max_share)
+    common = frequent_lines(m, max_documents)
     held = m.select("row_id", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row_id", "doc_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     removed = held.join(common, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("row_id").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("gone_lines"))
     out = m.drop("lines", "line_words").join(removed, "row_id", "left").withColumn("n_removed_words", F.coalesce("gone", F.lit(0)).cast("bigint"))
@@ -143,7 +140,7 @@ def shortened(text: pa.Array, gone: pa.Array) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), lines.filter(pa.array(stays))), "\n")
 
 
-def without_lines(docs: DataFrame, columns: Sequence[str] = ("doc_id", "text"), max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+def without_lines(docs: DataFrame, columns: Sequence[str] = ("doc_id", "text"), max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """``columns`` of every row with the text as ``judge`` leaves it, n_removed_words and kept.
 
     A text loses the lines over the limits unless it is the first that holds them; its other lines, blank ones too, stay
@@ -151,7 +148,7 @@ def without_lines(docs: DataFrame, columns: Sequence[str] = ("doc_id", "text"),
     belong to the row, whatever its doc_id. Null texts stay null.
     """
     d = staged(docs.select(F.monotonically_increasing_id().alias("_row"), *dict.fromkeys([*columns, "doc_id", "text", "source"])))
-    verdicts = _judged(staged(measure(d, F.col("_row"))), max_documents, max_share).select(F.col("row_id").alias("_row"), "n_removed_words", "kept", "gone_lines")
+    verdicts = _judged(staged(measure(d, F.col("_row"))), max_documents).select(F.col("row_id").alias("_row"), "n_removed_words", "kept", "gone_lines")
     rows = d.join(verdicts, "_row").select(*columns, "n_removed_words", "kept", "gone_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

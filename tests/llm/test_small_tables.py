@@ -248,3 +248,12 @@ def test_frequent_lines_leave_the_texts(spark):
     passed = corpus_pipeline.quality(spark, hosts(spark, rows), "").collect()
     assert {(r.doc_id, r.text) for r in passed} == {x[:2] for x in want if x[1] is not None}
     assert all(r.n_chars == len(r.text) for r in passed)
+
+
+def test_line_limit_is_the_same_in_every_host(spark):
+    """The same line in 60 documents of a 500-document host and of a hot one goes, in 20 of a 20-document host it stays;
+    a line in 50 documents stays in each."""
+    line = line_rules.hashed(line_rules.pa.array(["planted here", "rarer line"])).view("int64").tolist()
+    held = spark.range(20_000).selectExpr("'hot' as host", "id").unionByName(spark.range(500).selectExpr("'mid' as host", "id")).unionByName(spark.range(20).selectExpr("'small' as host", "id"))
+    m = held.selectExpr("host", "xxhash64(host, id) as row_id", "id as doc_id", "xxhash64(id) as text_key", f"filter(array(if(id < 60, {line[0]}L, null), if(id < 50, {line[1]}L, null)), x -> x is not null) as lines")
+    assert sorted((r.host, r.line, r.owner, r.documents) for r in line_rules.frequent_lines(m).collect()) == [("hot", line[0], 0, 60), ("mid", line[0], 0, 60)]

@@ -32,12 +32,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate class, once; rows without a doc_id are classes of
-    their own."""
+    """One row of each near-duplicate class: that with the smallest doc_id, a row without one only where all have none.
+    Rows are compared by their own texts, so rows of equal or no doc_id go only as copies."""
     ship(spark)
-    first = near_dedup.classes(docs).where("id = class_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null").select(*COLUMNS))
+    d = staged(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS))
+    of = near_dedup.classes(d, "_row").select(F.col("id").alias("_row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = d.select("_row", "doc_id").join(of, "_row").groupBy("class_id").agg(F.min(order).alias("x")).select(F.col("x._row").alias("_row"))
+    return d.join(first, "_row", "left_semi").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

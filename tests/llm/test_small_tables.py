@@ -257,3 +257,14 @@ def test_line_limit_is_the_same_in_every_host(spark):
     held = spark.range(20_000).selectExpr("'hot' as host", "id").unionByName(spark.range(500).selectExpr("'mid' as host", "id")).unionByName(spark.range(20).selectExpr("'small' as host", "id"))
     m = held.selectExpr("host", "xxhash64(host, id) as row_id", "id as doc_id", "xxhash64(id) as text_key", f"filter(array(if(id < 60, {line[0]}L, null), if(id < 50, {line[1]}L, null)), x -> x is not null) as lines")
     assert sorted((r.host, r.line, r.owner, r.documents) for r in line_rules.frequent_lines(m).collect()) == [("hot", line[0], 0, 60), ("mid", line[0], 0, 60)]
+
+
+def test_pipeline_filters_row_by_row(spark):
+    """Clean rows without a doc_id or with an equal one stay, a rejected row of an equal doc_id goes, copies go once."""
+    import corpus_pipeline
+
+    rows = [(None, own(1), "h"), (None, own(2), "h"), (None, own(1), "h"), (7, own(3), "h"), (7, own(4), "h"), (7, "too short", "h"), (8, own(4), "h"), (9, own(1), "h"), (7, own(3), "h")]
+    passed = corpus_pipeline.quality(spark, hosts(spark, rows), "")
+    assert sorted((r.doc_id or 0, r.text) for r in passed.collect()) == sorted((i or 0, t) for i, t, _ in rows if t != "too short")
+    kept = corpus_pipeline.distinct(spark, passed, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, own(2)), (7, own(3)), (7, own(4)), (9, own(1))])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reprise.llm import fixity, licences, line_rules, main_text, merge_dropout, near_dedup, packing, suffix_tree, topk, toxicity
+from reprise.llm import fixity, licences, line_rules, main_text, merge_dropout, near_dedup, packing, phrases, suffix_tree, token_counts, topk, toxicity, whitening
 from reprise.llm.common import ship, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,40 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as files
 
     return merge_dropout.digest(table(spark, sf_dir, "documents"), files.path("piece_bpe_32k.model"))
+
+
+@query("op11_multiplicity_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_rank_merge_tokens")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _, pattern = bpe_files()
+    return token_counts.counts(table(spark, sf_dir, "documents"), path, pattern)
+
+
+_OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\n\x0b\f\r]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, ws, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM w CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+sub AS (SELECT lang, m, a, ws, unnest(generate_series(1, k - m + 1)) AS i FROM c JOIN (SELECT unnest([2, 3, 4]) AS m) ON m < k),
+cover AS (SELECT lang, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS phrase, max(a) AS most FROM sub GROUP BY ALL),
+live AS (SELECT c.* FROM c LEFT JOIN cover USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a),
+cut AS (SELECT lang, phrase, a, ws, k, unnest(generate_series(1, k - 1)) AS j FROM live),
+s AS (SELECT cut.lang, cut.phrase, cut.a, j, x.a AS l, y.a AS r, n, CAST((1000::HUGEINT * cut.a * n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM cut JOIN total ON total.lang = cut.lang
+  JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(list_slice(ws, 1, j), ' ')
+  JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(list_slice(ws, j + 1, cut.k), ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score FROM best)
+SELECT * FROM ranked WHERE rank <= 2000"""
+
+
+@query("op13_setm_collocations", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

@@ -90,6 +90,15 @@ def recall_at_capacity(ranked: DataFrame, fractions=CAPACITIES) -> DataFrame:
                     F.try_divide(hits / k, base).alias("lift"), F.col("threshold").alias("umbral_score"))
 
 
+def recall_at_share(long_pairs: DataFrame, share: float, model: str = "modelo", id_col: str = "id") -> DataFrame:
+    """Share of each model's positives among its best ``share`` of rows; at least one row is taken."""
+    r = rank_within(long_pairs, [model], [F.col("p").desc(), F.col(id_col).asc()])
+    size = r.groupBy(model).agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_pos"))
+    top = F.col("rn") <= F.greatest(_half_even(F.lit(share) * F.col("_n")), F.lit(1))
+    hits = F.sum(F.when(top, F.col("y")).otherwise(0.0))
+    return r.join(size, model).groupBy(model).agg(F.try_divide(hits, F.max("_pos")).alias(f"recall_{round(100 * share)}"))
+
+
 def recall_at_monthly_capacity(pairs: DataFrame, k_per_month: int, date_col: str = "scoring_date", id_col: str = "id") -> DataFrame:
     """Contact the best ``k_per_month`` of every scoring month."""
     m = pairs.withColumn("_mes", F.trunc(date_col, "month"))

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame, functions as F
 
 from reprise.functions.columns import clip
 from reprise.operators import evaluate as el
 from reprise.operators.features import CATEGORICAL, SNAPSHOT_COLUMNS, feature_columns
+from reprise.operators.matrix import Preparation, prepare
+from reprise.operators.pooled import fit_isotonic
 from reprise.operators.stats import exact_percentiles
+from reprise.operators.trees import explainer, long_form, node_table, shapley, split_shares
 from reprise.params import SplitParams
-from reprise.runtime import cut_lineage
+from reprise.runtime import stored
 
 LABEL = "label_churn"
 # fixed values: inputs of the logistic baseline
@@ -27,7 +27,6 @@ LR_NUMERIC = ["days_since_last_maint", "days_since_last_appt", "n_maint", "n_nos
 LR_CATEGORICAL = ["generation", "business_unit", "last_source", "binding_rule"]
 HIGH_CARDINALITY = ["last_maint_dealer", "tma"]
 MIN_LEVEL_ROWS = 50
-RARE, MISSING = "__rare", "__missing"
 
 
 def heuristic_score(f: DataFrame) -> DataFrame:
@@ -58,99 +57,22 @@ def require_both_classes(split_df: DataFrame) -> None:
         raise ValueError(f"periods without evaluable windows of both outcomes: {', '.join(missing)}; check the split dates")
 
 
-@dataclass
-class Preparation:
-    """Matrix preparation frozen on the training period."""
-
-    numeric: list[str]
-    categorical: list[str]
-    levels: dict[str, list[str]] = field(default_factory=dict)
-    pipeline: PipelineModel | None = None
-    names: list[str] = field(default_factory=list)
-
-    def columns(self, df: DataFrame) -> DataFrame:
-        """Missing indicators, numeric doubles, and rare or unseen levels folded together."""
-        num = {f"n_{c}": F.col(c).cast("double") for c in self.numeric}
-        ind = {f"m_{c}": F.col(c).isNull().cast("double") for c in self.numeric}
-        cat = {}
-        for c in self.categorical:
-            v = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-            keep = self.levels[c]
-            cat[f"c_{c}"] = F.when(v.isin(keep), v).otherwise(F.lit(RARE)) if keep else F.lit(RARE)
-        return df.withColumns({**num, **ind, **cat})
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.pipeline.transform(self.columns(df))
-
-
-def frequent_levels(train: DataFrame, cols: list[str], min_rows: int = MIN_LEVEL_ROWS) -> dict[str, list[str]]:
-    """Levels of each column with ``min_rows`` training rows or more; the vocabulary of a model."""
-    out = {c: [] for c in cols}
-    if not cols:
-        return out
-    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("level")) for c in cols])
-    counts = (train.select(F.explode(pairs).alias("p")).groupBy("p.col", "p.level").agg(F.count(F.lit(1)).alias("n"))
-              .where(F.col("n") >= min_rows))
-    for r in counts.collect():
-        out[r["col"]].append(r["level"])
-    return {c: sorted(v) for c, v in out.items()}
-
-
-def prepare(train: DataFrame, numeric: list[str], categorical: list[str], standardise: bool) -> Preparation:
-    """Median imputation with missing indicators, one-hot levels and, for linear models, scaling."""
-    prep = Preparation(numeric, categorical, frequent_levels(train, categorical))
-    t = prep.columns(train)
-    # a column that is empty in training cannot be imputed
-    known = t.agg(*[F.count(f"n_{c}").alias(c) for c in numeric]).first()
-    prep.numeric = numeric = [c for c in numeric if known[c] > 0]
-    idx = [StringIndexer(inputCols=[f"c_{c}" for c in categorical], outputCols=[f"i_{c}" for c in categorical], handleInvalid="keep",
-                         stringOrderType="alphabetAsc")] if categorical else []
-    hot = OneHotEncoder(inputCols=[f"i_{c}" for c in categorical], outputCols=[f"o_{c}" for c in categorical], dropLast=False) if categorical else None
-    imp = Imputer(strategy="median", inputCols=[f"n_{c}" for c in numeric], outputCols=[f"f_{c}" for c in numeric])
-    num = VectorAssembler(inputCols=[f"f_{c}" for c in numeric], outputCol="_num")
-    scaled = StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True, withStd=True)
-    parts = (["_scaled"] if standardise else ["_num"]) + [f"m_{c}" for c in numeric] + [f"o_{c}" for c in categorical]
-    stages = [*idx, *([hot] if hot else []), imp, num, *([scaled] if standardise else []), VectorAssembler(inputCols=parts, outputCol="features")]
-    prep.pipeline = Pipeline(stages=stages).fit(t)
-    names = list(numeric) + [f"{c} missing" for c in numeric]
-    for c, labels in zip(categorical, prep.pipeline.stages[0].labelsArray if categorical else []):
-        names += [f"{c}={lv}" for lv in [*labels, "__unseen"]]
-    prep.names = names
-    return prep
-
-
-def plain_vector(df: DataFrame) -> DataFrame:
-    """Drop attribute metadata so that trees treat every input as numeric."""
-    return df.withColumn("features", array_to_vector(vector_to_array("features")))
-
-
 def positive(df: DataFrame, alias: str) -> DataFrame:
     return df.withColumn(alias, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def fit_logreg(train: DataFrame, c: float = 0.5):
-    """L2 logistic regression; the penalty is the usual 1/C spread over the training rows."""
-    prep = prepare(train, [x for x in LR_NUMERIC if x in train.columns], [x for x in LR_CATEGORICAL if x in train.columns], True)
-    x = prep.transform(train).select("features", LABEL)
+def fit_logreg(train: DataFrame, prep: Preparation, matrix: DataFrame, c: float = 0.5):
+    """L2 logistic regression on a stored matrix; the penalty is the usual 1/C spread over the training rows."""
+    x = matrix.where(F.col("period") == "train")
     n = x.count()
-    return prep, LogisticRegression(labelCol=LABEL, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=100).fit(x)
+    return LogisticRegression(labelCol=LABEL, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=100).fit(x)
 
 
-def fit_gbt(train: DataFrame, valid: DataFrame, cols: list[str], max_iter: int = 60, depth: int = 5, step: float = 0.1, seed: int = 42):
-    """Boosted trees stopped on the validation period."""
-    cat = [c for c in cols if c in CATEGORICAL]
-    prep = prepare(train, [c for c in cols if c not in cat], cat, False)
-    both = train.withColumn("_val", F.lit(False)).unionByName(valid.withColumn("_val", F.lit(True)))
-    x = plain_vector(prep.transform(both)).select("features", LABEL, "_val")
-    gbt = GBTClassifier(labelCol=LABEL, maxIter=max_iter, maxDepth=depth, stepSize=step, subsamplingRate=0.8, minInstancesPerNode=20, seed=seed,
-                        validationIndicatorCol="_val", validationTol=0.001)
-    return prep, gbt.fit(x)
-
-
-def fit_isotonic(scored: DataFrame, p: str):
-    """Isotonic calibration fitted on distinct scores with their weights (same fit, far fewer rows)."""
-    g = scored.groupBy(F.col(p).alias("x")).agg(F.avg(LABEL).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", isotonic=True).fit(g)
+def fit_gbt(matrix: DataFrame, max_iter: int = 60, depth: int = 5, step: float = 0.1, seed: int = 42):
+    """Boosted trees on a stored matrix, stopped on the validation period."""
+    x = matrix.where(F.col("period") != "test").withColumn("_val", F.col("period") == "valid").select("features", LABEL, "_val")
+    return GBTClassifier(labelCol=LABEL, maxIter=max_iter, maxDepth=depth, stepSize=step, subsamplingRate=0.8, minInstancesPerNode=20, seed=seed,
+                         validationIndicatorCol="_val", validationTol=0.001).fit(x)
 
 
 def calibrated(model, df: DataFrame, p: str, alias: str) -> DataFrame:
@@ -158,42 +80,54 @@ def calibrated(model, df: DataFrame, p: str, alias: str) -> DataFrame:
     return out.withColumn(alias, F.least(F.greatest("_iso", F.lit(0.0)), F.lit(1.0))).drop("_iso")
 
 
-def train_all(data: DataFrame, split: SplitParams, exclude_snapshot: bool = True, drop: list[str] | None = None, max_iter: int = 60,
+IDS = ["window_id", "vehicle_id", "customer_id", "scoring_date", LABEL, "period"]
+
+
+def train_all(data: DataFrame, split: SplitParams, exclude_snapshot: bool = True, drop: set[str] | None = None, max_iter: int = 60,
               with_logreg: bool = True) -> dict:
-    """Both models with calibration on the validation period, scored on the test period."""
-    d = temporal_split(data.where(F.col(LABEL).isNotNull()), split).persist()
+    """Both models with calibration on the validation period, scored on the test period.
+
+    Each matrix is stored once, for the fit, the scores and the attributions.
+    """
+    d = stored(temporal_split(data.where(F.col(LABEL).isNotNull()), split))
     require_both_classes(d)
-    train, valid, test = (d.where(F.col("period") == p) for p in ("train", "valid", "test"))
-    cols = [c for c in feature_columns(data.columns, exclude_snapshot) if c not in (drop or [])]
-    gprep, gbt = fit_gbt(train, valid, cols, max_iter)
-    lprep, lr = fit_logreg(train) if with_logreg else (None, None)
-
-    def score(df: DataFrame) -> DataFrame:
-        ids = ["window_id", "vehicle_id", "customer_id", "scoring_date", LABEL]
-        a = positive(gbt.transform(plain_vector(gprep.transform(df))), "p_gbt_raw").select(*ids, "p_gbt_raw")
-        if not with_logreg:
-            return a
-        b = positive(lr.transform(lprep.transform(df)), "p_lr_raw").select("window_id", "p_lr_raw")
-        return a.join(b, "window_id")
-
-    sv, st = score(valid).persist(), score(test)
-    iso_g, iso_l = fit_isotonic(sv, "p_gbt_raw"), fit_isotonic(sv, "p_lr_raw") if with_logreg else None
-    sv.unpersist()
-    st = calibrated(iso_g, st, "p_gbt_raw", "p_gbt")
+    train = d.where(F.col("period") == "train")
+    cols = [c for c in feature_columns(data.columns, exclude_snapshot) if c not in (drop or ())]
+    cat = [c for c in cols if c in CATEGORICAL]
+    gprep = prepare(train, [c for c in cols if c not in cat], cat, False, MIN_LEVEL_ROWS)
+    gm = gprep.matrix(d, IDS)
+    gbt = fit_gbt(gm, max_iter)
+    scored = positive(gbt.transform(gm.where(F.col("period") != "train")), "p_gbt_raw").select(*IDS, "p_gbt_raw")
+    out = {"gbt": gbt, "gbt_prep": gprep, "gbt_matrix": gm, "nodes": stored(node_table(gbt, gprep)), "split": d, "columns": cols}
     if with_logreg:
-        st = calibrated(iso_l, st, "p_lr_raw", "p_lr")
-    return {"test": st, "gbt": gbt, "gbt_prep": gprep, "lr": lr, "lr_prep": lprep, "iso_gbt": iso_g, "iso_lr": iso_l, "split": d, "columns": cols}
+        lprep = prepare(train, [x for x in LR_NUMERIC if x in data.columns], [x for x in LR_CATEGORICAL if x in data.columns], True, MIN_LEVEL_ROWS)
+        lm = lprep.matrix(d, IDS)
+        lr = fit_logreg(train, lprep, lm)
+        b = positive(lr.transform(lm.where(F.col("period") != "train")), "p_lr_raw").select("window_id", "p_lr_raw")
+        scored = scored.join(b, "window_id")
+        out |= {"lr": lr, "lr_prep": lprep, "lr_matrix": lm}
+    scored = stored(scored)
+    valid, test = scored.where(F.col("period") == "valid"), scored.where(F.col("period") == "test").drop("period")
+    out["iso_gbt"] = fit_isotonic(valid, "p_gbt_raw", LABEL)
+    test = calibrated(out["iso_gbt"], test, "p_gbt_raw", "p_gbt")
+    if with_logreg:
+        out["iso_lr"] = fit_isotonic(valid, "p_lr_raw", LABEL)
+        test = calibrated(out["iso_lr"], test, "p_lr_raw", "p_lr")
+    return {**out, "test": stored(test)}
 
 
 def save_model(result: dict, path: str) -> None:
     """Persist every artefact needed to score a new population."""
     result["gbt"].write().overwrite().save(f"{path}/gbt")
-    result["gbt_prep"].pipeline.write().overwrite().save(f"{path}/gbt_prep")
+    result["gbt_prep"].save(result["test"].sparkSession, f"{path}/gbt_prep")
     result["iso_gbt"].write().overwrite().save(f"{path}/iso_gbt")
-    prep = result["gbt_prep"]
-    spark = result["test"].sparkSession
-    rows = [(c, "numeric", []) for c in prep.numeric] + [(c, "categorical", prep.levels[c]) for c in prep.categorical]
-    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "pos int, name string, kind string, levels array<string>").write.mode("overwrite").parquet(f"{path}/vocabulary")
+
+
+def scored_population(gbt, prep: Preparation, isotonic, population: DataFrame, alias: str) -> tuple[DataFrame, DataFrame]:
+    """The population with its calibrated probability, and its stored matrix."""
+    m = prep.matrix(population, population.columns)
+    raw = positive(gbt.transform(m), "_raw").select(*population.columns, "_raw")
+    return calibrated(isotonic, raw, "_raw", alias).drop("_raw"), m
 
 
 def score_with_saved(spark, path: str, population: DataFrame, alias: str = "prob_churn") -> DataFrame:
@@ -201,12 +135,8 @@ def score_with_saved(spark, path: str, population: DataFrame, alias: str = "prob
     from pyspark.ml.classification import GBTClassificationModel
     from pyspark.ml.regression import IsotonicRegressionModel
 
-    v = spark.read.parquet(f"{path}/vocabulary").orderBy("pos").collect()        # one row per model column
-    prep = Preparation([r["name"] for r in v if r["kind"] == "numeric"], [r["name"] for r in v if r["kind"] == "categorical"],
-                       {r["name"]: list(r["levels"]) for r in v if r["kind"] == "categorical"}, PipelineModel.load(f"{path}/gbt_prep"))
-    x = plain_vector(prep.transform(population))
-    raw = positive(GBTClassificationModel.load(f"{path}/gbt").transform(x), "_raw").select(*population.columns, "_raw")
-    return calibrated(IsotonicRegressionModel.load(f"{path}/iso_gbt"), raw, "_raw", alias).drop("_raw")
+    prep = Preparation.load(spark, f"{path}/gbt_prep")
+    return scored_population(GBTClassificationModel.load(f"{path}/gbt"), prep, IsotonicRegressionModel.load(f"{path}/iso_gbt"), population, alias)[0]
 
 
 def model_table(result: dict, rule: DataFrame, seed: int = 0) -> DataFrame:
@@ -219,75 +149,36 @@ def model_table(result: dict, rule: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def feature_importance(result: dict) -> DataFrame:
-    """Importance per input of the boosted model, summed over one-hot levels and indicators."""
-    spark = result["test"].sparkSession
-    values = result["gbt"].featureImportances.toArray()
-    rows = [(n.split("=")[0].replace(" missing", ""), float(v)) for n, v in zip(result["gbt_prep"].names, values)]
-    df = spark.createDataFrame(rows, "feature string, gain double").groupBy("feature").agg(F.sum("gain").alias("gain"))
-    return df.withColumn("gain_pct", F.try_divide(F.col("gain"), df.agg(F.sum("gain").alias("s")).scalar()))
+    """Splits and gain of each input of the boosted model, and its share of all."""
+    return split_shares(result["nodes"])
+
 
+def lr_contributions(result: dict, matrix: DataFrame, ids: list[str]) -> DataFrame:
+    """Log-odds contribution of every logistic input relative to its population mean, long form.
 
-def lr_contributions(result: dict, df: DataFrame, ids: list[str]) -> DataFrame:
-    """Log-odds contribution of every logistic input relative to its population mean, long form."""
+    An input's levels and missing indicator count together. Means of matrix columns come from one aggregate over the
+    entries that rows hold; a contribution is summed over a row's own entries.
+    """
     prep, lr = result["lr_prep"], result["lr"]
-    x = prep.transform(df).select(*ids, vector_to_array("features").alias("x"))
-    n = len(prep.names)
-    means = x.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(n)]).alias("m"))
-    coef = F.array(*[F.lit(float(c)) for c in lr.coefficients.toArray()])
-    x = x.withColumns({"m": means.scalar(), "c": coef, "f": F.array(*[F.lit(s) for s in prep.names])})
-    parts = F.posexplode(F.arrays_zip("f", "x", "m", "c"))
-    return (x.select(*ids, parts.alias("_i", "z")).select(*ids, F.col("z.f").alias("feature"), F.col("z.x").alias("value"),
-                                                          (F.col("z.c") * (F.col("z.x") - F.col("z.m"))).alias("contribution")))
-
-
-def _tree_deltas(node, cond: Column, x: Column, weight: float, out: dict[int, list[Column]]) -> None:
-    """Collect, per input, the change of the node value along the path a row takes."""
-    if node.subtreeDepth() == 0:
-        return
-    split = node.split()
-    i, left, right = split.featureIndex(), node.leftChild(), node.rightChild()
-    goes_left = x[i] <= F.lit(float(split.threshold()))
-    here = float(node.prediction())
-    step = F.when(goes_left, F.lit(weight * (float(left.prediction()) - here))).otherwise(F.lit(weight * (float(right.prediction()) - here)))
-    out.setdefault(i, []).append(F.when(cond, step).otherwise(F.lit(0.0)))
-    _tree_deltas(left, cond & goes_left, x, weight, out)
-    _tree_deltas(right, cond & ~goes_left, x, weight, out)
-
-
-def tree_contributions(result: dict, df: DataFrame, ids: list[str]) -> DataFrame:
-    """Path attribution of the boosted log-odds, long form, inputs summed over levels.
-
-    The margin of Spark's boosted trees is half the log-odds, so path deltas count twice:
-    contributions of a row plus twice the root values add up to logit(p). They are path deltas,
-    not Shapley values.
+    spark = matrix.sparkSession
+    blocks = spark.createDataFrame(prep.blocks(), "feature string, at int, size int")
+    coef = spark.createDataFrame([(k, float(c)) for k, c in enumerate(lr.coefficients.toArray())], "i int, c double")        # the model itself
+    of = stored(coef.join(F.broadcast(blocks), (F.col("i") >= F.col("at")) & (F.col("i") < F.col("at") + F.col("size"))).select("i", "c", "feature"))
+    stored_form = F.from_json(F.to_json(F.struct("features")), "struct<features:struct<type:tinyint,size:int,indices:array<int>,values:array<double>>>")["features"]
+    x = matrix.select(*ids, stored_form.alias("s")).select(*ids, F.explode(F.arrays_zip(F.col("s.indices").alias("i"), F.col("s.values").alias("v"))).alias("e")).select(*ids, "e.i", "e.v").join(of, "i")
+    own = x.groupBy(*ids, "feature").agg(F.sum(F.col("c") * F.col("v")).alias("own"))
+    mean = own.groupBy("feature").agg((F.sum("own") / matrix.count()).alias("mean"))
+    return own.join(F.broadcast(mean), "feature").select(*ids, "feature", (F.col("own") - F.col("mean")).alias("contribution"))
+
+
+def tree_contributions(result: dict, matrix: DataFrame, ids: list[str]) -> DataFrame:
+    """Path-dependent Shapley values of the boosted log-odds, long form, one player an input.
+
+    The margin of Spark's boosted trees is half the log-odds, so leaf values count twice: a row's contributions and the
+    explainer's base add up to logit(p).
     """
-    prep, gbt = result["gbt_prep"], result["gbt"]
-    x = plain_vector(prep.transform(df)).select(*ids, vector_to_array("features").alias("x"))
-    per: dict[int, list[Column]] = {}
-    for tree, w in zip(gbt.trees, gbt.treeWeights):
-        _tree_deltas(tree._java_obj.rootNode(), F.lit(True), F.col("x"), 2 * float(w), per)
-    grouped: dict[str, list[Column]] = {}
-    for i, terms in per.items():
-        grouped.setdefault(prep.names[i].split("=")[0].replace(" missing", ""), []).extend(terms)
-    parts = [F.struct(F.lit(n).alias("feature"), F.aggregate(F.array(*terms), F.lit(0.0), lambda a, b: a + b).alias("contribution")) for n, terms in sorted(grouped.items())]
-    return x.select(*ids, F.explode(F.array(*parts)).alias("e")).select(*ids, "e.*")
-
-
-def odds_ratios(df: DataFrame, factors: dict[str, str], target: str) -> DataFrame:
-    """Adjusted odds ratios of an unpenalised dummy logistic regression; reference levels are given."""
-    spark = df.sparkSession
-    d = df.select(F.col(target).cast("double").alias("_y"), *[F.col(c).cast("string").alias(c) for c in factors]).dropna()
-    levels = frequent_levels(d, list(factors), min_rows=1)
-    names, cols = [], {}
-    for c, ref in factors.items():
-        for lv in levels[c]:
-            if lv != ref:
-                cols[f"_d{len(names)}"] = (F.col(c) == lv).cast("double")
-                names.append((c, lv, ref))
-    x = VectorAssembler(inputCols=list(cols), outputCol="features").transform(d.withColumns(cols))
-    m = LogisticRegression(labelCol="_y", regParam=0.0, standardization=False, maxIter=200, tol=1e-8).fit(x)
-    rows = [(c, lv, ref, float(b)) for (c, lv, ref), b in zip(names, m.coefficients.toArray())]
-    return spark.createDataFrame(rows, "factor string, level string, reference string, coef double").withColumn("odds_ratio", F.exp("coef"))
+    e = explainer(result["nodes"], result["gbt_prep"])
+    return long_form(shapley(matrix, e, ids), e.players, ids)
 
 
 def seasonal_regression(monthly: DataFrame, value: str = "per_day") -> DataFrame:
@@ -308,54 +199,37 @@ def seasonal_regression(monthly: DataFrame, value: str = "per_day") -> DataFrame
 METRICS = ["n", "base_rate", "roc_auc", "pr_auc", "brier", "log_loss", "ece"]
 
 
-def _variant_pairs(m: DataFrame, names: list[str], drop: set[str], name: str, max_iter: int, seed: int = 42) -> DataFrame | None:
-    """Calibrated test scores of one variant of the prepared matrix; none without support in some period."""
-    if periods_without_support(m):
+def _variant(data: DataFrame, split: SplitParams, drop: set[str], name: str, max_iter: int) -> DataFrame | None:
+    """Calibrated test scores of one variant, fitted as the trained model is; none without support in some period."""
+    if periods_without_support(temporal_split(data.where(F.col(LABEL).isNotNull()), split)):
         return None
-    keep = [i for i, n in enumerate(names) if n.split("=")[0].replace(" missing", "") not in drop]
-    x = VectorSlicer(inputCol="features", outputCol="_kept", indices=keep).transform(m).drop("features").withColumnRenamed("_kept", "features")
-    x = plain_vector(x).withColumn("_val", F.col("period") == "valid")
-    gbt = GBTClassifier(labelCol=LABEL, maxIter=max_iter, maxDepth=4, stepSize=0.2, minInstancesPerNode=20, seed=seed, validationIndicatorCol="_val").fit(
-        x.where(F.col("period") != "test"))
-    scored = positive(gbt.transform(x.where(F.col("period") != "train")), "_raw")
-    iso = fit_isotonic(scored.where(F.col("period") == "valid"), "_raw")
-    test = calibrated(iso, scored.where(F.col("period") == "test"), "_raw", "p")
-    return test.select(F.lit(name).alias("modelo"), F.col("window_id").alias("id"), F.col(LABEL).alias("y"), "p")
-
-
-def prepared_matrix(data: DataFrame, split: SplitParams) -> tuple[list[str], DataFrame]:
-    """Input names and the prepared matrix of all periods, vocabulary and medians from training."""
-    d = temporal_split(data.where(F.col(LABEL).isNotNull()), split)
-    cols = feature_columns(data.columns, exclude_snapshot=False)
-    cat = [c for c in cols if c in CATEGORICAL]
-    prep = prepare(d.where(F.col("period") == "train"), [c for c in cols if c not in cat], cat, False)
-    m = prep.transform(d).select("window_id", LABEL, "period", "history_days", "anchor_type", "features")
-    return prep.names, cut_lineage(m)
+    test = train_all(data, split, exclude_snapshot=False, drop=drop, max_iter=max_iter, with_logreg=False)["test"]
+    return test.select(F.lit(name).alias("modelo"), F.col("window_id").alias("id"), F.col(LABEL).alias("y"), F.col("p_gbt").alias("p"))
 
 
-def ablations(data: DataFrame, leaky: DataFrame | None, split: SplitParams, max_iter: int = 10) -> DataFrame:
+def ablations(data: DataFrame, leaky: DataFrame | None, split: SplitParams, max_iter: int = 60) -> DataFrame:
     """One metrics row per variant: dropped inputs, row filters, snapshot included, leaked odometer.
 
-    The matrix is prepared and stored once; a variant selects inputs and rows of it.
+    Every variant has the trained model's settings and its own vocabulary and statistics, so ``base`` is the trained
+    model. ``leaky``: windows and features on the snapshot odometer; the recorded readings give way to it.
     """
     sales_cols = {"in_sales", "person_type", "business_unit", "sales_channel", "sales_state", "is_buyer", "same_dealer_as_sale", "fleet_size_sales"}
     surveys = {"n_surveys", "min_rating", "last_rating", "mean_rating", "days_since_last_survey"}
     snap = set(SNAPSHOT_COLUMNS)
-    names, m = prepared_matrix(data, split)
     variants = [
-        ("base", m, snap), ("no_high_cardinality", m, snap | set(HIGH_CARDINALITY)), ("agenda_only", m, snap | sales_cols),
-        ("history_6_months", m.where(F.col("history_days") >= 183), snap), ("no_surveys", m, snap | surveys), ("with_connectivity_snapshot", m, set()),
-        ("first_service_only", m.where(F.col("anchor_type") == "warranty"), snap), ("later_services_only", m.where(F.col("anchor_type") != "warranty"), snap),
+        ("base", data, snap), ("no_high_cardinality", data, snap | set(HIGH_CARDINALITY)), ("agenda_only", data, snap | sales_cols),
+        ("history_6_months", data.where(F.col("history_days") >= 183), snap), ("no_surveys", data, snap | surveys), ("with_connectivity_snapshot", data, set()),
+        ("first_service_only", data.where(F.col("anchor_type") == "warranty"), snap), ("later_services_only", data.where(F.col("anchor_type") != "warranty"), snap),
     ]
-    found = {name: _variant_pairs(x, names, drop, name, max_iter) for name, x, drop in variants}
     if leaky is not None:
-        leak_names, lm = prepared_matrix(leaky, split)
-        found["with_odometer_snapshot"] = _variant_pairs(lm, leak_names, snap, "with_odometer_snapshot", max_iter)
+        variants.append(("with_odometer_snapshot", leaky, snap))
+    found = {name: _variant(x, split, drop, name, max_iter) for name, x, drop in variants}
     pairs = None
     for df in found.values():
         if df is not None:
             pairs = df if pairs is None else pairs.unionByName(df)
     names_only = data.sparkSession.createDataFrame([(n,) for n in found], "modelo string")
     if pairs is None:
-        return names_only.selectExpr("modelo", *[f"cast(null as double) {c}" for c in METRICS])
-    return names_only.join(el.compare_models(cut_lineage(pairs)).select("modelo", *METRICS), "modelo", "left")
+        return names_only.selectExpr("modelo", *[f"cast(null as double) {c}" for c in [*METRICS, "recall_20"]])
+    pairs = stored(pairs)
+    return names_only.join(el.compare_models(pairs).select("modelo", *METRICS), "modelo", "left").join(el.recall_at_share(pairs, 0.2), "modelo", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from reprise.operators import attribution as at, business as bz, contact as ct, evaluate as el, model as md, windows as wd
 from reprise.operators.events import appointments, maintenance_events, vehicle_master
 from reprise.operators.features import build_features, day_log
+from reprise.operators.trees import explainer, largest, shapley
 from reprise.params import BusinessParams, ContactPolicy, DataSpan, SaleRules, SegmentParams, SplitParams, WindowParams
 from reprise.sources.publish import publish_run, read_latest
 
@@ -38,13 +39,10 @@ def score_population(stages: dict[str, DataFrame], result: dict, span: DataSpan,
     """Calibrated probability, segment, priority and three drivers for every vehicle due now."""
     pop = wd.current_population(stages["windows"], span.cutoff, days_ahead)
     f = build_features(pop, stages["appt"], stages["sales"], rules, stages["master"], stages["log"])
-    x = md.plain_vector(result["gbt_prep"].transform(f))
-    raw = md.positive(result["gbt"].transform(x), "_raw").select(*f.columns, "_raw")
-    scored = md.calibrated(result["iso_gbt"], raw, "_raw", "prob_churn").drop("_raw")
+    scored, matrix = md.scored_population(result["gbt"], result["gbt_prep"], result["iso_gbt"], f, "prob_churn")
+    explain = explainer(result["nodes"], result["gbt_prep"])
+    top = shapley(matrix, explain, ["window_id"]).select("window_id", largest(explain.players, 3).alias("_d"))
     ranked = el.rank_scores(scored.withColumn("y", F.lit(0.0)), "window_id", "y", "prob_churn").drop("y")
-    contrib = md.tree_contributions(result, f, ["window_id"])
-    top = (contrib.groupBy("window_id").agg(F.slice(F.sort_array(F.collect_list(
-        F.struct((-F.abs("contribution")).alias("k"), F.col("feature").alias("f"), F.col("contribution").alias("c")))), 1, 3).alias("_d")))
     values = F.create_map(*[z for c in result["gbt_prep"].numeric for z in (F.lit(c), F.col(c).cast("double"))])
     out = ranked.join(top, "window_id", "left").withColumn("_v", values)
     for i in range(3):

@@ -339,21 +339,69 @@ def _same_dealer(t: Tables):
 query("same_dealer_return", "ScheduleSource s, n i, same d", f"""SELECT ScheduleSource, count(*) AS n, avg(CAST(coalesce(m.dealer_id = b.dealer_id, false) AS INTEGER)) AS same FROM {_B} b LEFT JOIN maint m ON m.vehicle_id = b.vehicle_id AND m.event_date = b.nxt WHERE ret = 1 GROUP BY 1""", "visits maint")(_same_dealer)
 
 
+def _true_cancel():
+    return F.col("cancelled") & (F.col("IsReschedule") == "N")
+
+
+#: The ten counters of a booking's prior history.
+_COUNTERS = {
+    "prev_no_show": (lambda: F.col("no_show"), "no_show"), "prev_cancel_true": (_true_cancel, "cancelled AND IsReschedule = 'N'"),
+    "prev_cancel_resched": (lambda: F.col("cancelled") & (F.col("IsReschedule") == "Y"), "cancelled AND IsReschedule = 'Y'"),
+    "prev_diag": (lambda: F.col("completed") & F.col("has_diag"), "completed AND has_diag"), "prev_repair": (lambda: F.col("completed") & F.col("has_repair"), "completed AND has_repair"),
+    "prev_recall": (lambda: F.col("completed") & F.col("has_recall"), "completed AND has_recall"), "prev_return_visit": (lambda: F.col("ScheduleReturn") == "Y", "ScheduleReturn = 'Y'"),
+    "prev_maint": (lambda: F.col("is_completed_maintenance"), "is_completed_maintenance"), "prev_digital": (lambda: F.col("ScheduleSource").isin("FordPass", "WEB", "Mobile"), "ScheduleSource IN ('FordPass', 'WEB', 'Mobile')"),
+    "prev_turnos": (lambda: F.lit(True), "true"),
+}
+#: Last days by kind: of any booking, maintenance, completed visit and no-show.
+_RECENT = {"days_since_prev": (lambda: F.lit(True), "true"), "days_since_prev_maint": (lambda: F.col("is_completed_maintenance"), "is_completed_maintenance"), "days_since_prev_done": (lambda: F.col("completed"), "completed"),
+           "days_since_prev_no_show": (lambda: F.col("no_show"), "no_show")}
+
+
 def prior_history(t: Tables):
-    """Exclusive history of each booking: earlier counts and days since the previous maintenance (0 for one earlier on the day)."""
-    v = t.visits().select("schedule_id", "vehicle_id", "event_date", "no_show", "cancelled", "completed", "is_completed_maintenance")
-    c = counts_before(v, "vehicle_id", "event_date", "schedule_id", {"prev_noshow": F.col("no_show"), "prev_cancel": F.col("cancelled"), "prev_done": F.col("completed"), "prev_visits": F.lit(True)})
-    m = t.visits().where("is_completed_maintenance").select("vehicle_id", F.col("event_date").alias("prev_maint"))
-    c = asof_join(c, m, "vehicle_id", "event_date", "prev_maint", ["prev_maint"])
-    in_day = Window.partitionBy("vehicle_id", "event_date").orderBy("schedule_id").rowsBetween(Window.unboundedPreceding, -1)
-    today = F.max(F.col("is_completed_maintenance").cast("int")).over(in_day) == 1
-    return c.withColumn("days_since_maint", F.when(today, 0).otherwise(F.datediff("event_date", "prev_maint")))
-
-
-query("exclusive_history", "schedule_id s, prev_noshow i, prev_cancel i, prev_done i, prev_visits i, days_since_maint i", """SELECT schedule_id, coalesce(sum(CAST(no_show AS INTEGER)) OVER w, 0) AS prev_noshow, coalesce(sum(CAST(cancelled AS INTEGER)) OVER w, 0) AS prev_cancel,
- coalesce(sum(CAST(completed AS INTEGER)) OVER w, 0) AS prev_done, count(*) OVER w AS prev_visits, event_date - (SELECT max(event_date) FROM visits x WHERE x.vehicle_id = v.vehicle_id AND x.is_completed_maintenance AND (x.event_date < v.event_date OR (x.event_date = v.event_date AND x.schedule_id < v.schedule_id))) AS days_since_maint
- FROM visits v WINDOW w AS (PARTITION BY vehicle_id ORDER BY event_date, schedule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "visits")(prior_history)
+    """Exclusive history of each booking: ten counters, and days since the last booking of four kinds."""
+    def build():
+        v = t.visits().select("schedule_id", "vehicle_id", "event_date", "no_show", "cancelled", "completed", "is_completed_maintenance", "IsReschedule", "ScheduleReturn", "ScheduleSource", "has_diag", "has_repair", "has_recall")
+        c = counts_before(v, "vehicle_id", "event_date", "schedule_id", {k: f() for k, (f, _) in _COUNTERS.items()}, {f"__d_{k}": F.when(f(), F.col("event_date")) for k, (f, _) in _RECENT.items()})
+        return c.select("schedule_id", *_COUNTERS, *[F.datediff("event_date", f"__d_{k}").alias(k) for k in _RECENT])
+    return t.stage("prior_history", build)
+
+
+_PRIOR = ("(SELECT schedule_id, " + ", ".join(f"count(*) FILTER (WHERE {c}) OVER w AS {k}" for k, (_, c) in _COUNTERS.items()) + ", "
+          + ", ".join(f"event_date - max(event_date) FILTER (WHERE {c}) OVER w AS {k}" for k, (_, c) in _RECENT.items())
+          + " FROM visits WINDOW w AS (PARTITION BY vehicle_id ORDER BY event_date, schedule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+query("exclusive_history", "schedule_id s, " + ", ".join(f"{k} i" for k in [*_COUNTERS, *_RECENT]), f"SELECT * FROM {_PRIOR}", "visits")(prior_history)
+_REC_BINS, _REC_NAMES = [-INF, 30, 90, 180, 365, INF], ["0-30", "31-90", "91-180", "181-365", ">365"]
+
+
+def _recency(c: str):
+    return F.coalesce(cut(F.col(c), _REC_BINS, _REC_NAMES), F.lit("none"))
+
+
+def history_base(t: Tables):
+    """The return base with each visit's prior history, counters in three bins and recencies in five."""
+    few = lambda c: F.when(F.col(c) == 0, "0").when(F.col(c) == 1, "1").otherwise("2+")
+    h = prior_history(t).select("schedule_id", *[few(k).alias(k.replace("prev_", "b_")) for k in _COUNTERS], _recency("days_since_prev").alias("rec"), _recency("days_since_prev_maint").alias("recm"),
+                                _recency("days_since_prev_done").alias("recd"), _recency("days_since_prev_no_show").alias("recn"), "prev_turnos", "prev_no_show")
+    return base(t).join(h, "schedule_id")
+
+
+_RECS = "CASE WHEN {c} <= 30 THEN '0-30' WHEN {c} <= 90 THEN '31-90' WHEN {c} <= 180 THEN '91-180' WHEN {c} <= 365 THEN '181-365' WHEN {c} > 365 THEN '>365' ELSE 'none' END"
+_HB = (f"(SELECT b.*, " + ", ".join(f"CASE WHEN {k} = 0 THEN '0' WHEN {k} = 1 THEN '1' ELSE '2+' END AS {k.replace('prev_', 'b_')}" for k in _COUNTERS) + ", "
+       + ", ".join(f"{_RECS.format(c=c)} AS {a}" for a, c in {"rec": "days_since_prev", "recm": "days_since_prev_maint", "recd": "days_since_prev_done", "recn": "days_since_prev_no_show"}.items())
+       + f", prev_turnos, prev_no_show FROM {_B} b JOIN {_PRIOR} h USING (schedule_id))")
+_HIST_FEATURES = [*[k.replace("prev_", "b_") for k in _COUNTERS], "rec", "recm", "recd", "recn"]
+query("return_by_history_level", "feature s, level s, n i, rate d", f"WITH b AS (SELECT * FROM {_HB}) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS level, count(*) AS n, avg(ret) AS rate FROM b GROUP BY 2" for c in _HIST_FEATURES), "visits")(
+    lambda t: history_base(t).select("ret", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("level")) for c in _HIST_FEATURES])).alias("f")).groupBy("f.feature", "f.level").agg(one().alias("n"), F.avg("ret").alias("rate")))
+query("history_information_value", "feature s, iv d, levels i", f"WITH b AS (SELECT * FROM {_HB}), l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS level, ret FROM b" for c in _HIST_FEATURES)
+      + """) SELECT feature, sum((pr - pc) * ln(pr / pc)) AS iv, count(*) AS levels FROM (SELECT feature, (p + 5e-1) / sum(p + 5e-1) OVER (PARTITION BY feature) AS pr, (q + 5e-1) / sum(q + 5e-1) OVER (PARTITION BY feature) AS pc
+ FROM (SELECT feature, level, sum(ret) AS p, sum(1 - ret) AS q FROM l GROUP BY 1, 2)) GROUP BY 1""", "visits")(lambda t: st.information_value(history_base(t), {c: F.col(c) for c in _HIST_FEATURES}, "ret"))
+query("no_show_within_intensity", "b_turnos s, had_no_show b, n i, rate d", f"SELECT b_turnos, prev_no_show > 0 AS had_no_show, count(*) AS n, avg(ret) AS rate FROM {_HB} WHERE prev_turnos >= 1 GROUP BY 1, 2", "visits")(
+    lambda t: history_base(t).where("prev_turnos >= 1").groupBy("b_turnos", (F.col("prev_no_show") > 0).alias("had_no_show")).agg(one().alias("n"), F.avg("ret").alias("rate")))
+query("no_show_to_base_days", "n i, median d, p25 d, p75 d, within_30 d", f"""SELECT count(d) AS n, median(d) AS median, quantile_cont(d, 0.25) AS p25, quantile_cont(d, 0.75) AS p75, avg(CAST(d <= 30 AS INTEGER)) AS within_30
+ FROM (SELECT days_since_prev_no_show AS d FROM {_B} b JOIN {_PRIOR} h USING (schedule_id))""", "visits")(
+    lambda t: base(t).select("schedule_id").join(prior_history(t), "schedule_id").agg(F.count("days_since_prev_no_show").alias("n"), *[F.percentile("days_since_prev_no_show", F.lit(q)).alias(a) for a, q in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))],
+                                                                                     F.avg((F.col("days_since_prev_no_show") <= 30).cast("double")).alias("within_30")))
 query("return_by_prior_history", "stratum s, level s, n i, rate d", f"""SELECT CASE WHEN pv > 5 THEN 'high' WHEN pv > 0 THEN 'low' ELSE 'none' END AS stratum, CASE WHEN pn > 0 THEN 'yes' ELSE 'no' END AS level, count(*) AS n, avg(ret) AS rate FROM {_B} b JOIN (SELECT schedule_id,
  coalesce(sum(CAST(no_show AS INTEGER)) OVER w, 0) AS pn, count(*) OVER w AS pv FROM visits WINDOW w AS (PARTITION BY vehicle_id ORDER BY event_date, schedule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) h USING (schedule_id) GROUP BY 1, 2""", "visits")(
-    lambda t: st.strat_table(base(t).join(prior_history(t).select("schedule_id", "prev_noshow", "prev_visits"), "schedule_id"), F.when(F.col("prev_noshow") > 0, "yes").otherwise("no"),
-                             F.when(F.col("prev_visits") > 5, "high").when(F.col("prev_visits") > 0, "low").otherwise("none"), "ret"))
+    lambda t: st.strat_table(base(t).join(prior_history(t).select("schedule_id", "prev_no_show", "prev_turnos"), "schedule_id"), F.when(F.col("prev_no_show") > 0, "yes").otherwise("no"),
+                             F.when(F.col("prev_turnos") > 5, "high").when(F.col("prev_turnos") > 0, "low").otherwise("none"), "ret"))

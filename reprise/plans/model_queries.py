@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from reprise.operators import attribution as at, evaluate as el, model as md, windows as wd
-from reprise.plans.channel_queries import _MON, base, monthly
+from reprise.operators import attribution as at, evaluate as el, model as md, newton as nw, pooled as pl, trees as tr, windows as wd
+from reprise.plans.channel_queries import _B, _MON, base, history_base, monthly
 from reprise.plans.domain import PARAMS, RULES, SPAN, SPLIT, Tables
 from reprise.plans.registry import query
-from reprise.runtime import cut_lineage
 
 _RESULTS: dict = {}
 #: Boosting rounds of the trained model and of its ablations.
@@ -19,9 +18,7 @@ def trained(t: Tables) -> dict:
     """Models of this session and folder, fitted once."""
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _RESULTS:
-        r = md.train_all(t.features(), SPLIT, max_iter=ROUNDS)
-        r["test"] = cut_lineage(r["test"])
-        _RESULTS[key] = r
+        _RESULTS[key] = md.train_all(t.features(), SPLIT, max_iter=ROUNDS)
     return _RESULTS[key]
 
 
@@ -31,31 +28,53 @@ query("logreg_scores", "window_id s, label_churn d, p_lr d")(lambda t: trained(t
 query("gbt_scores", "window_id s, label_churn d, p_gbt_raw d")(lambda t: trained(t)["test"])
 query("isotonic_scores", "window_id s, p_gbt_raw d, p_gbt d")(lambda t: trained(t)["test"])
 query("model_comparison", "modelo s, n i, base_rate d, roc_auc d, pr_auc d, brier d, log_loss d, ece d")(lambda t: el.compare_models(md.model_table(trained(t), md.heuristic_score(t.features()))))
-query("model_importance", "feature s, gain d, gain_pct d")(lambda t: md.feature_importance(trained(t)))
-query("attributions_logreg", "window_id s, feature s, contribution d")(lambda t: md.lr_contributions(trained(t), trained(t)["split"].where("period = 'test'"), ["window_id"]))
-query("attributions_gbt", "window_id s, feature s, contribution d")(lambda t: md.tree_contributions(trained(t), trained(t)["split"].where("period = 'test'"), ["window_id"]))
+query("model_importance", "feature s, gain d, gain_pct d, splits i, splits_pct d")(lambda t: md.feature_importance(trained(t)))
+query("model_trees", "tree i, node i, input s, threshold d, lower i, upper i, cover d, value d, gain d, weight d")(lambda t: trained(t)["nodes"])
 
 
-def _top3(t: Tables):
-    c = md.tree_contributions(trained(t), trained(t)["split"].where("period = 'test'"), ["window_id"])
-    w = Window.partitionBy("window_id").orderBy(F.abs("contribution").desc(), "feature")       # one row per model input
-    return c.withColumn("k", F.row_number().over(w)).where("k <= 3")
+def _test_matrix(t: Tables, model: str):
+    return trained(t)[f"{model}_matrix"].where("period = 'test'")
 
 
-query("attributions_top3", "window_id s, k i, feature s, contribution d")(_top3)
-query("attributions_global", "feature s, mean_abs_shap_logodds d, mean_abs_shap d")(lambda t: at.global_importance(md.tree_contributions(trained(t), trained(t)["split"].where("period = 'test'"), ["window_id"])))
-query("odds_ratios", "factor s, level s, reference s, odds_ratio d")(lambda t: md.odds_ratios(base(t), {"gen": "BUILDING", "ScheduleSource": "Dealer", "number_bin": "2"}, "ret"))
+query("attributions_logreg", "window_id s, feature s, contribution d")(lambda t: md.lr_contributions(trained(t), _test_matrix(t, "lr"), ["window_id"]))
+query("attributions_gbt", "window_id s, feature s, contribution d")(lambda t: md.tree_contributions(trained(t), _test_matrix(t, "gbt"), ["window_id"]))
 
 
-def _dealer_levels(t: Tables, min_rows: int = 100):
-    """Dealers with enough visits keep their own level, the others share one."""
-    b = base(t)
-    big = b.where(F.col("dealer_id").isNotNull()).groupBy("dealer_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
-    return b.join(big, "dealer_id", "left").withColumn("dealer", F.when(F.col("_n").isNotNull(), F.col("dealer_id")).otherwise("other"))
+def _top3(t: Tables):
+    r = trained(t)
+    e = tr.explainer(r["nodes"], r["gbt_prep"])
+    top = tr.shapley(_test_matrix(t, "gbt"), e, ["window_id"]).select("window_id", F.posexplode(tr.largest(e.players, 3)).alias("k", "d"))
+    return top.select("window_id", (F.col("k") + 1).alias("k"), F.col("d.f").alias("feature"), F.col("d.c").alias("contribution"))
 
 
-query("odds_ratios_with_dealer", "factor s, level s, reference s, odds_ratio d")(lambda t: md.odds_ratios(
-    _dealer_levels(t), {"gen": "BUILDING", "has_fixed_price": "false", "dealer": "other"}, "ret"))
+query("attributions_top3", "window_id s, k i, feature s, contribution d")(_top3)
+query("attributions_global", "feature s, mean_abs_shap_logodds d, mean_abs_shap d")(lambda t: at.global_importance(md.tree_contributions(trained(t), _test_matrix(t, "gbt"), ["window_id"])))
+query("isotonic_blocks", "lo d, hi d, w d, value d", """
+WITH s AS (SELECT score AS x, count(*) AS w, sum(y) AS wy FROM scored WHERE scoring_date > DATE '1998-12-31' AND scoring_date <= DATE '1999-09-30' GROUP BY 1),
+c AS (SELECT x, w, row_number() OVER (ORDER BY x) AS k, sum(w) OVER (ORDER BY x) AS cw, sum(wy) OVER (ORDER BY x) AS cy, wy FROM s),
+m AS (SELECT i.k AS i, j.k AS j, (j.cy - i.cy + i.wy) / (j.cw - i.cw + i.w) AS mean FROM c i JOIN c j ON j.k >= i.k),
+-- value at k: the largest over i <= k of the least over j >= k of the mean of i..j
+low AS (SELECT i, j AS k, min(mean) OVER (PARTITION BY i ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least FROM m),
+v AS (SELECT k, max(least) AS value FROM low GROUP BY k)
+SELECT min(x) AS lo, max(x) AS hi, sum(w) AS w, min(value) AS value FROM c JOIN v USING (k) GROUP BY round(value, 10)""", "scored")(
+    lambda t: pl.isotonic_blocks(md.temporal_split(t.scored(), SPLIT).where("period = 'valid'"), "score", "y"))
+query("odds_ratios", "factor s, level s, reference s, odds_ratio d")(lambda t: nw.odds_ratios(base(t), {"gen": "BUILDING", "ScheduleSource": "Dealer", "number_bin": "2"}, "ret"))
+
+
+#: Single-factor odds ratios are those of the 2 x 2 table of a level against the reference.
+query("odds_ratio_by_channel", "factor s, level s, reference s, odds_ratio d", f"""WITH g AS (SELECT ScheduleSource AS level, sum(ret) AS p, sum(1 - ret) AS q FROM {_B} WHERE ScheduleSource IS NOT NULL GROUP BY 1)
+ SELECT 'ScheduleSource' AS factor, g.level, r.level AS reference, (g.p / g.q) / (r.p / r.q) AS odds_ratio FROM g JOIN g r ON r.level = 'Dealer' WHERE g.level <> 'Dealer'""", "visits")(
+    lambda t: nw.odds_ratios(base(t), {"ScheduleSource": "Dealer"}, "ret"))
+query("odds_ratio_by_dealer", "factor s, level s, reference s, coef d", f"""WITH g AS (SELECT dealer_id AS level, sum(ret) AS p, sum(1 - ret) AS q FROM {_B} WHERE dealer_id IS NOT NULL GROUP BY 1)
+ SELECT 'dealer_id' AS factor, g.level, r.level AS reference, CASE WHEN g.p = 0 THEN CAST('-Infinity' AS DOUBLE) WHEN g.q = 0 THEN CAST('Infinity' AS DOUBLE) ELSE ln(g.p / g.q) - ln(r.p / r.q) END AS coef
+ FROM g JOIN g r ON r.level = 'D1' WHERE g.level <> 'D1'""", "visits")(lambda t: nw.odds_ratios(base(t), {"dealer_id": "D1"}, "ret"))
+_HISTORY = {"b_no_show": "0", "b_cancel_true": "0", "b_cancel_resched": "0", "b_recall": "0", "b_repair": "0", "b_diag": "0", "b_return_visit": "0", "b_turnos": "0", "rec": "91-180", "gen": "BUILDING", "number_bin": "2"}
+_CONTROLS = {k: v for k, v in _HISTORY.items() if k in ("gen", "number_bin")}
+query("odds_ratios_history", "factor s, level s, reference s, odds_ratio d")(lambda t: nw.odds_ratios(history_base(t), _HISTORY, "ret"))
+query("odds_ratios_history_without_intensity", "factor s, level s, reference s, odds_ratio d")(
+    lambda t: nw.odds_ratios(history_base(t), {k: v for k, v in _HISTORY.items() if k not in ("b_turnos", "rec")}, "ret"))
+query("odds_ratios_with_dealer", "factor s, level s, reference s, odds_ratio d")(lambda t: nw.odds_ratios(
+    history_base(t), {"ScheduleSource": "Dealer", **_CONTROLS, "b_turnos": "0", "rec": "91-180", "dealer_id": "D1"}, "ret"))
 _SEASON = f"""WITH m AS (SELECT month, ln(per_day) AS y, date_diff('month', DATE '1990-01-01', month) AS t, month(month) AS k FROM {_MON}),
  c AS (SELECT k, avg(t) AS mt, avg(y) AS my FROM m GROUP BY k), s AS (SELECT sum((t - mt) * (y - my)) / sum((t - mt) * (t - mt)) AS b FROM m JOIN c USING (k)),
  e AS (SELECT k, my - b * mt AS a FROM c, s) SELECT month, a + b * t AS fitted, y - a - b * t AS residual, 100 * exp(a - (SELECT avg(a) FROM e)) AS index FROM m JOIN e USING (k), s"""

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -31,6 +34,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 _STAGES: dict[tuple[str, str], str] = {}
+_SHIPPED: set[str] = set()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -40,6 +44,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new folder name in the shared folder, deleted when the application ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{kind}/{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def stored(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back, with ``schema`` where a column has another
+    reading of the same stored form (a struct read as a vector)."""
+    path = shared_path(df.sparkSession, "tables")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
+
+
 def stage_table(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Parquet stage cut in the shared folder, built on first use in this application.
 
@@ -47,9 +67,24 @@ def stage_table(spark: SparkSession, name: str, build: Callable[[], DataFrame])
     """
     key = (spark.sparkContext.applicationId, name)
     if key not in _STAGES:
-        ensure_checkpoint_dir(spark)
-        path = f"{spark.sparkContext.getCheckpointDir()}/stages/{uuid.uuid4().hex}"
+        path = shared_path(spark, "stages")
         build().write.parquet(path)
-        atexit.register(_remove, spark, path)
         _STAGES[key] = path
     return spark.read.parquet(_STAGES[key])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application: they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="reprise-package-")), "reprise_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "reprise")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)

@@ -111,3 +111,31 @@ def test_percentiles_of_values_in_one_bin(spark):
     for g in range(3):
         want = np.percentile(v[g::3], [5, 50, 90])
         assert np.allclose([got[g]["p5"], got[g]["p50"], got[g]["p90"]], want, rtol=1e-12)
+
+
+def test_one_hot_day_is_scanned_in_many_ranges(spark):
+    """A third of all rows share one key and one day; counts, last values and neighbours stay exact, over all ranges."""
+    from reprise.operators.history import scan_before
+
+    n = 300_000
+    df = spark.range(n).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 977)) k", "if(id % 3 = 0, date'2020-01-05', date_add(date'2020-01-01', cast(id % 13 as int))) d", "id", "id % 10 = 0 f", "if(id % 1000 = 0, id, null) v")
+    out = scan_before(df, "k", [F.col("d").alias("a"), F.col("id").alias("b")], {"before": F.col("f")}, {"seen": F.col("v")}).where("k = 'hot'")
+    got = out.agg(F.count("*").alias("n"), F.sum(F.abs(F.col("before") - F.ceil(F.col("id") / 30))).alias("off"),
+                  F.sum((~F.col("seen").eqNullSafe(F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 3000) * 3000))).cast("int")).alias("wrong")).first()
+    assert (got["n"], got["off"], got["wrong"]) == (n // 3, 0, 0)
+    prev = previous_row(df, "k", "d", "id", ["id"]).where("k = 'hot' and prev_id <> id - 3").count()
+    nxt = next_row(df, "k", "d", "id", ["id"]).where("k = 'hot' and next_id <> id + 3").count()
+    assert prev == nxt == 0
+
+
+def test_scan_against_brute_force(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), dt.date(2020, 1, 1) + dt.timedelta(r.randrange(9)), i, r.random() < 0.3) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, d date, id int, f boolean").repartition(9)
+    got = {x["id"]: (x["c"], x["s"]) for x in counts_before(df, "k", "d", "id", {"c": F.col("f")}, {"s": F.when(F.col("f"), F.col("id"))}).collect()}
+    want = {}
+    for k, d, i, _ in rows:
+        if k is not None:
+            past = sorted((q[1], q[2]) for q in rows if q[0] == k and (q[1], q[2]) < (d, i) and q[3])
+            want[i] = (len(past), past[-1][1] if past else None)
+    assert got == want

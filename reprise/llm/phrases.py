@@ -4,7 +4,7 @@ group, and kept where their group is frequent before the next length (SETM)."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,10 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 BROADCAST = 1 << 20
 HOT_SHARE = 1 << 16
 #: Occurrences in one row of a relation, and those that one sort counts.
-ROW, COUNTED = 1 << 16, 1 << 22
+ROW, COUNTED = 1 << 16, 1 << 21
 PARTS = 128
+#: Bits of a row's number below that of the part of the table that holds it.
+PART_BITS = 36
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _RELATION = "row long, gap array<tinyint>, h array<bigint>"
 _NAMES = "name array<bigint>, first array<bigint>, last array<bigint>"
@@ -59,16 +61,6 @@ def cut_rows(position: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray,
         at = end
 
 
-def joined(gap: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Merge join of a sorted relation with itself at adjacent positions: place and code of each longer occurrence, and
-    the codes of its first and last part."""
-    at = np.flatnonzero(gap[1:] == 1)
-    first, last = h[at], h[at + 1]
-    u = np.uint64
-    code = mix(first.view(u) * u(0x9E3779B97F4A7C15) + mix(last.view(u) + u(0x632BE59BD9B4E019))).view(np.int64)
-    return at, code, first, last
-
-
 def found(sorted_codes: np.ndarray, h: np.ndarray) -> np.ndarray:
     if not len(sorted_codes):
         return np.zeros(len(h), bool)
@@ -76,6 +68,33 @@ def found(sorted_codes: np.ndarray, h: np.ndarray) -> np.ndarray:
     return sorted_codes[at] == h
 
 
+@dataclass(frozen=True)
+class Codes:
+    """How parts make the code of a longer occurrence: ``bits`` of a 64-bit hash, and anew, with a second hash, for codes
+    that several phrases were found to share (``split``, in the order they were found)."""
+
+    seed: int
+    bits: int
+    split: tuple[np.ndarray, ...] = ()
+
+    def cut(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def joined(self, gap: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merge join of a sorted relation with itself at adjacent positions: places, codes and second hashes (31 bits)
+        of the longer occurrences, whose first and last parts are those at the place and after it."""
+        at = np.flatnonzero(gap[1:] == 1)
+        u = np.uint64
+        first, last = h[at].view(u), h[at + 1].view(u)
+        inner = mix(last + u(0x632BE59BD9B4E019 + self.seed))
+        code = self.cut(mix(first * u(0x9E3779B97F4A7C15) + inner))
+        second = mix((first ^ u(0xD6E8FEB86659FD93)) * u(0xA0761D6478BD642F) + inner)
+        for shared in self.split:
+            again = found(shared, code)
+            code[again] = self.cut(mix(second[again] ^ code[again].view(u)))
+        return at, code, (second >> u(33)).astype(np.int32)
+
+
 def kept(keep: np.ndarray, position: np.ndarray) -> np.ndarray:
     """Gaps between the occurrences that stay."""
     p = position[keep]
@@ -97,7 +116,7 @@ class Numbers:
     """Row numbers that no other task gives."""
 
     def __init__(self) -> None:
-        self.next = TaskContext.get().partitionId() << 36
+        self.next = TaskContext.get().partitionId() << PART_BITS
 
     def one(self) -> pa.Array:
         self.next += 1
@@ -106,7 +125,8 @@ class Numbers:
 
 @dataclass
 class Frequent:
-    """Codes of a length's frequent groups: ``sent`` to all tasks (sorted), ``rest`` where there are too many to send."""
+    """Codes of a length's frequent groups: ``sent`` to all tasks (sorted, with the origin of each), ``rest`` where there are
+    too many to send."""
 
     sent: Broadcast
     rest: DataFrame | None
@@ -117,8 +137,25 @@ def keyed(values: pa.Array, seed: int) -> np.ndarray:
     return pd.util.hash_array(np.asarray(values.to_pylist(), dtype=object), hash_key=f"{seed:016d}", categorize=False)
 
 
-def occurrences(docs: DataFrame, seed: int) -> DataFrame:
-    """The first relation, one row a stretch of texts, and each stretch's (code, lang, word, times)."""
+def word_codes(langs: pa.Array, lang: np.ndarray, words: pa.Array, word: np.ndarray, codes: Codes) -> np.ndarray:
+    """Code of each (lang, word), given as places in their distinct values."""
+    return codes.cut(mix(keyed(words, codes.seed)[word] ^ mix(keyed(langs, codes.seed))[lang]))
+
+
+def coded_words(words: DataFrame, codes: Codes) -> DataFrame:
+    """(lang, word, n) with the code ``h`` that occurrences carry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, langs = coded(b.column("lang"))
+            h = word_codes(langs, lang, b.column("word"), np.arange(b.num_rows), codes)
+            yield pa.record_batch([pa.array(h), *b.columns], ["h", *b.schema.names])
+
+    return words.mapInArrow(run, "h long, lang string, word string, n long")
+
+
+def occurrences(docs: DataFrame, codes: Codes) -> DataFrame:
+    """The first relation, one row a stretch of texts, and each stretch's (lang, word, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbers()
@@ -128,74 +165,85 @@ def occurrences(docs: DataFrame, seed: int) -> DataFrame:
                 continue
             code, distinct = coded(words)
             lang, langs = coded(b.column("lang"))
-            of_lang, own = mix(keyed(langs, seed)), keyed(distinct, seed)
             pair, inverse, times = np.unique(code * len(langs) + lang[text], return_inverse=True, return_counts=True)
-            h = mix(own[pair // len(langs)] ^ of_lang[pair % len(langs)]).view(np.int64)
-            for gap, codes in cut_rows(position, h[inverse]):
-                yield pa.record_batch([number.one(), as_list(gap, pa.int8()), as_list(codes, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.int64()))], names)
+            h = word_codes(langs, pair % len(langs), distinct, pair // len(langs), codes)
+            for gap, part in cut_rows(position, h[inverse]):
+                yield pa.record_batch([number.one(), as_list(gap, pa.int8()), as_list(part, pa.int64()), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.int64()))], names)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(pair)], pa.int32()), x)
-            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int8())), pa.nulls(1, pa.list_(pa.int64())), one(pa.array(h)), one(langs.take(pa.array(pair % len(langs)))), one(distinct.take(pa.array(pair // len(langs)))), one(pa.array(times.astype(np.int64)))], names)
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int8())), pa.nulls(1, pa.list_(pa.int64())), one(langs.take(pa.array(pair % len(langs)))), one(distinct.take(pa.array(pair // len(langs)))), one(pa.array(times.astype(np.int64)))], names)
 
-    names = ["row", "gap", "h", "code", "lang", "word", "times"]
+    names = ["row", "gap", "h", "lang", "word", "times"]
     d = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    return d.mapInArrow(run, f"{_RELATION}, code array<bigint>, lang array<string>, word array<string>, times array<bigint>")
+    return d.mapInArrow(run, f"{_RELATION}, lang array<string>, word array<string>, times array<bigint>")
 
 
-def counted(relation: DataFrame, keep: Broadcast | None) -> DataFrame:
-    """(h, n) of the longer occurrences; ``keep``: codes of the frequent groups where the relation still holds others."""
+def counted(relation: DataFrame, keep: Broadcast | None, codes: Codes) -> DataFrame:
+    """(h, n, origin, low, high) of the longer occurrences. ``origin``: one of the written parts that hold the group; low
+    and high differ where phrases share a code. ``keep``: codes of the frequent groups where the relation holds others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[np.ndarray] = []
-        size = 0
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        size, origin = 0, -1
 
         def out() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.record_batch([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
+            code, second = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((second, code)) if codes.bits < 64 else np.argsort(code, kind="stable")
+            code, second = code[order], second[order]
+            # one row a code and second hash: two phrases of one code stay apart until they are compared
+            new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (second[1:] != second[:-1])]))
+            n = np.diff(np.append(new, len(code)))
+            return pa.record_batch([pa.array(code[new]), pa.array(n.astype(np.int64)), pa.array(np.full(len(new), origin, np.int32)), pa.array(second[new])], ["h", "n", "origin", "second"])
 
         for b in batches:
-            for gap, h in zip(lists(b.column("gap")), lists(b.column("h")), strict=True):
-                if keep is not None:
-                    stay = found(keep.value, h)
-                    gap, h = kept(stay, np.cumsum(gap, dtype=np.int64)), h[stay]
-                parts.append(joined(gap, h)[1])
-                size += len(parts[-1])
-                if size >= COUNTED:
+            for row, gap, h in zip(b.column("row").to_pylist(), lists(b.column("gap")), lists(b.column("h")), strict=True):
+                if parts and (size >= COUNTED or row >> PART_BITS != origin):
                     yield out()
                     parts, size = [], 0
-        if parts:
+                origin = row >> PART_BITS
+                if keep is not None:
+                    stay = found(keep.value[0], h)
+                    gap, h = kept(stay, np.cumsum(gap, dtype=np.int64)), h[stay]
+                parts.append(codes.joined(gap, h)[1:])
+                size += len(parts[-1][0])
+        if size:
             yield out()
 
-    return relation.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    one = relation.select("row", "gap", "h").mapInArrow(run, "h long, n long, origin int, second int")
+    return one.groupBy("h").agg(F.sum("n").alias("n"), F.min("origin").alias("origin"), F.min("second").alias("low"), F.max("second").alias("high"))
 
 
-def extended(relation: DataFrame, keep: Broadcast | None, sent: Broadcast, all_of: bool) -> DataFrame:
-    """The relation of the longer occurrences whose group is in ``sent`` (``all_of``: of all), and the (code, first part,
-    last part) of each group a task meets."""
+def extended(relation: DataFrame, keep: Broadcast | None, sent: Broadcast, all_of: bool, codes: Codes) -> DataFrame:
+    """The relation of the longer occurrences whose group is in ``sent`` (``all_of``: of all), and (code, first part, last
+    part) of the groups: of one that was sent, where its origin is read; of others, where a task meets them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbers()
         seen = np.zeros(0, np.int64)
+        sent_codes, origin = sent.value
         for b in batches:
-            for gap, h in zip(lists(b.column("gap")), lists(b.column("h")), strict=True):
+            for row, gap, h in zip(b.column("row").to_pylist(), lists(b.column("gap")), lists(b.column("h")), strict=True):
                 position = np.cumsum(gap, dtype=np.int64)
                 if keep is not None:
-                    stay = found(keep.value, h)
+                    stay = found(keep.value[0], h)
                     gap, h, position = kept(stay, position), h[stay], position[stay]
-                at, code, first, last = joined(gap, h)
-                stay = np.ones(len(code), bool) if all_of else found(sent.value, code)
+                at, code, _ = codes.joined(gap, h)
+                known = found(sent_codes, code)
+                stay = np.ones(len(code), bool) if all_of else known
                 if not stay.any():
                     continue
-                code, first, last = code[stay], first[stay], last[stay]
-                codes, one, order = np.unique(code, return_index=True, return_inverse=True)
-                # a group whose code is another's: its parts differ from those of the first one
-                twin = (first != first[one][order]) | (last != last[one][order])
-                one = np.concatenate([one[~found(seen, codes)], np.flatnonzero(twin)])
+                at, code, known = at[stay], code[stay], known[stay]
+                groups, one = np.unique(code, return_index=True)
+                new = ~found(seen, groups)
+                if len(origin):
+                    here = origin[np.minimum(np.searchsorted(sent_codes, groups), len(origin) - 1)] == row >> PART_BITS
+                    new &= here | ~known[one]
+                one = one[new]
                 if len(seen) < COUNTED:
                     seen = np.union1d(seen, code[one])
-                yield pa.record_batch([number.one(), as_list(kept(stay, position[at]), pa.int8()), as_list(code, pa.int64()), *(as_list(x[one], pa.int64()) for x in (code, first, last))],
+                yield pa.record_batch([number.one(), as_list(kept(np.arange(len(at)), position[at]), pa.int8()), as_list(code, pa.int64()), *(as_list(x[one], pa.int64()) for x in (code, h[at], h[at + 1]))],
                                       ["row", "gap", "h", "name", "first", "last"])
 
-    return relation.mapInArrow(run, f"{_RELATION}, {_NAMES}")
+    return relation.select("row", "gap", "h").mapInArrow(run, f"{_RELATION}, {_NAMES}")
 
 
 def frequent(groups: DataFrame, occurrences_of_all: int, broadcast: int) -> Frequent:
@@ -206,8 +254,10 @@ def frequent(groups: DataFrame, occurrences_of_all: int, broadcast: int) -> Freq
     else:
         hot = F.col("n") * HOT_SHARE >= F.lit(occurrences_of_all)
         sent, rest = groups.where(hot), groups.where(~hot).select("h")
-    codes = np.sort(sent.select("h").toArrow().column("h").to_numpy().astype(np.int64))
-    return Frequent(spark.sparkContext.broadcast(codes), rest)
+    table = sent.select("h", "origin").toArrow()
+    codes, origin = table.column("h").to_numpy().astype(np.int64), table.column("origin").to_numpy().astype(np.int64)
+    order = np.argsort(codes)
+    return Frequent(spark.sparkContext.broadcast((codes[order], origin[order])), rest)
 
 
 def semi_joined(relation: DataFrame, groups: Frequent) -> DataFrame:
@@ -218,13 +268,13 @@ def semi_joined(relation: DataFrame, groups: Frequent) -> DataFrame:
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, h in zip(b.column("row").to_pylist(), lists(b.column("h")), strict=True):
-                at = np.flatnonzero(~found(sent.value, h))
+                at = np.flatnonzero(~found(sent.value[0], h))
                 yield pa.record_batch([pa.array(np.full(len(at), row)), pa.array(at.astype(np.int32)), pa.array(h[at])], ["row", "at", "h"])
 
     def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, gap, h, more in zip(b.column("row").to_pylist(), lists(b.column("gap")), lists(b.column("h")), b.column("places").to_pylist(), strict=True):
-                keep = found(sent.value, h)
+                keep = found(sent.value[0], h)
                 keep[more or []] = True
                 yield pa.record_batch([pa.array([row]), as_list(kept(keep, np.cumsum(gap, dtype=np.int64)), pa.int8()), as_list(h[keep], pa.int64())], ["row", "gap", "h"])
 
@@ -239,36 +289,45 @@ def _unnested(df: DataFrame, **columns: str) -> DataFrame:
     return df.where(F.col(next(iter(columns.values()))).isNotNull()).select(z.alias("z")).select(*[F.col(f"z.{c}").alias(a) for a, c in columns.items()])
 
 
-def _collide(df: DataFrame) -> bool:
-    return bool(df.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count())
+def _counts(relation: DataFrame, keep: Broadcast | None, least: int, codes: Codes) -> tuple[DataFrame, Codes] | None:
+    """Frequent groups of the longer occurrences. Codes that phrases share are split and all is counted again; None where
+    splitting doesn't end."""
+    for _ in range(3):
+        counts = staged(counted(relation, keep, codes).where(F.col("n") >= least))
+        shared = [r["h"] for r in counts.where(F.col("low") < F.col("high")).select("h").collect()]     # next to none among 2^64 codes
+        if not shared:
+            return counts, codes
+        codes = replace(codes, split=(*codes.split, np.sort(np.array(shared, np.int64))))
+    return None
 
 
-def _mined(docs: DataFrame, longest: int, least: int, broadcast: int, seed: int) -> tuple[DataFrame, DataFrame] | None:
-    """(frequent phrases of all lengths, words of each lang); None where two groups share a code."""
-    first = staged(occurrences(docs, seed))
-    words = staged(_unnested(first, h="code", lang="lang", word="word", n="times").groupBy("h", "lang", "word").agg(F.sum("n").alias("n")))
-    if _collide(words):
-        return None
+def _mined(docs: DataFrame, longest: int, least: int, broadcast: int, codes: Codes) -> tuple[DataFrame, DataFrame] | None:
+    """(frequent phrases of all lengths, words of each lang); None where codes collide that can't be split."""
+    first = staged(occurrences(docs, codes))
+    words = staged(coded_words(_unnested(first, lang="lang", word="word", n="times").groupBy("lang", "word").agg(F.sum("n").alias("n")), codes))
     total = words.groupBy("lang").agg(F.sum("n").alias("n"))
     one = words.where(F.col("n") >= least)
+    if words.join(one.select("h"), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
+        return None
     level = staged(one.select("h", "lang", F.col("word").alias("phrase"), F.col("word").alias("last_word"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"), "n",
                               F.array("n").alias("starts"), F.array("n").alias("ends")))
     found_all = level.withColumn("k", F.lit(1))
     relation, seen = first.where("h is not null").select("row", "gap", "h"), words.agg(F.sum("n")).first()[0] or 0
-    groups = frequent(level.select("h", "n"), seen, broadcast)
+    groups = frequent(level.select("h", "n", F.lit(-1).alias("origin")), seen, broadcast)
     keep: Broadcast | None = groups.sent
     for k in range(2, longest + 1):
         if groups.rest is not None:
             relation, keep = staged(semi_joined(relation, groups)), None
-        counts = staged(counted(relation, keep).where(F.col("n") >= least))
+        own = _counts(relation, keep, least, codes)
+        if own is None:
+            return None
+        counts, own_codes = own
         size = counts.agg(F.sum("n")).first()[0]
         if not size:
             break
         groups = frequent(counts, size, broadcast)
-        longer = staged(extended(relation, keep, groups.sent, groups.rest is not None))
-        names = _unnested(longer, h="name", first="first", last="last").distinct().join(counts, "h")
-        if _collide(names):
-            return None
+        longer = staged(extended(relation, keep, groups.sent, groups.rest is not None, own_codes))
+        names = _unnested(longer, h="name", first="first", last="last").distinct().join(counts.select("h", "n"), "h")
         a = level.select(F.col("h").alias("first"), "lang", F.col("phrase").alias("first_phrase"), "starts")
         z = level.select(F.col("h").alias("last"), "last_word", "ends")
         whole = names.join(a, "first").join(z, "last")
@@ -293,7 +352,7 @@ def worst_cut(n: Column, k: Column, starts: Column, ends: Column, total: Column)
     return F.array_min(F.transform(F.sequence(F.lit(1), k - 1), of))
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, broadcast: int = BROADCAST) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, broadcast: int = BROADCAST, code_bits: int = 64) -> DataFrame:
     """Each language's best phrases of 2 to ``longest`` words.
 
     Words are runs without blanks within pieces; a piece never crosses a text. A phrase counts with ``least`` occurrences
@@ -301,11 +360,12 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     lowest cut. Null texts hold no words; a null lang is ``und``; repeated rows count again; equal scores and counts are
     ordered by the phrase's bytes; a table without phrases gives no rows; other columns are not read.
 
-    Returns lang, rank, phrase, a, l, r, n, score.
+    Phrases go by 64-bit codes (``code_bits``); those that share one are found by a second hash and told apart, so counts
+    are exact. Returns lang, rank, phrase, a, l, r, n, score.
     """
     seed, mined = 0, None
-    while mined is None:                     # two groups with one 64-bit code: once in a great many corpora
-        mined = _mined(docs, longest, least, broadcast, seed)
+    while mined is None:                     # a frequent word's code is another's too: next to never with 64 bits
+        mined = _mined(docs, longest, least, broadcast, Codes(seed, code_bits))
         seed += 1
     phrases, total = mined
     longer = phrases.where("k > 2")

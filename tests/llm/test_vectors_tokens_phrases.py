@@ -161,20 +161,18 @@ def test_phrases_of_odd_texts(spark):
     assert mined(df.limit(0)) == []
 
 
-def test_phrase_codes_that_collide_are_drawn_anew(spark, monkeypatch):
-    """Two words of one code: found in the counts, and the run repeated with another seed."""
-    seeds, real = [], phrases.keyed
-
-    def keyed(values, seed):
-        out = real(values, seed)
-        return out if seed else out % 2
-
-    real_mined = phrases._mined
-    monkeypatch.setattr(phrases, "_mined", lambda *a: (seeds.append(a[-1]), real_mined(*a))[1])
-    monkeypatch.setattr(phrases, "keyed", keyed)
-    df = spark.createDataFrame([("one two three four one two", "x")] * 2, "text string, lang string")
-    assert [r[2] for r in mined(df, least=4)] == ["one two"]
-    assert seeds == [0, 1]
+def test_phrases_that_share_a_code(spark, monkeypatch):
+    """Short codes, so that many phrases share one: told apart by the second hash, or the run begins anew."""
+    tries, real = [], phrases._mined
+    monkeypatch.setattr(phrases, "_mined", lambda *a: (tries.append(a[-1]), real(*a))[1])
+    random.seed(4)
+    rows = [(" ".join(random.choice("abcdefghijklmnopqrst") for _ in range(60)), "x") for _ in range(60)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    split = []
+    counts = phrases._counts
+    monkeypatch.setattr(phrases, "_counts", lambda *a: (lambda r: (split.append(r is not None and len(r[1].split)), r)[1])(counts(*a)))
+    assert mined(df, least=3, code_bits=16) == brute_phrases(rows, least=3)
+    assert any(split)
 
 
 def test_scores_beyond_64_bits(spark):

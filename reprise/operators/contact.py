@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reprise import fixed_values as fv
 from reprise.functions.columns import flag, parse_bool, parse_number
-from reprise.operators.ranks import number_rows
+from reprise.operators.ranks import number_rows, rank_within
 from reprise.params import ContactPolicy
 
+#: Vehicles that one page of a client's list holds.
+PAGE = 1000
 REQUIRED = ["customer_id", "vehicle_id", "segmento", "prob_churn", "driver_1", "driver_2", "driver_3"]
 
 
@@ -98,20 +100,32 @@ def client_vehicles(candidates: DataFrame) -> DataFrame:
     return candidates.where((F.col("_cliente") != "") & (F.col("_vehiculo") != "")).select("_cliente", "_vehiculo").distinct()
 
 
+def client_pages(candidates: DataFrame, size: int = PAGE) -> DataFrame:
+    """Vehicles of every identified client in pages of at most ``size``: client, page (from 0), vehicles in order, their
+    number. Vehicles are numbered by a range partitioning, so no task holds more of a client than a page and its range."""
+    numbered = rank_within(client_vehicles(candidates), ["_cliente"], [F.col("_vehiculo").asc()], "_n")
+    page = F.floor((F.col("_n") - 1) / size).cast("int")
+    return numbered.groupBy("_cliente", page.alias("page")).agg(F.array_sort(F.collect_list("_vehiculo")).alias("vehicles"), F.count(F.lit(1)).alias("n"))
+
+
+def find_in_pages(pages: DataFrame, part: str) -> DataFrame:
+    """Clients and vehicles whose identifier holds ``part``, whatever its case: a search over the pages."""
+    v = pages.select("_cliente", F.explode("vehicles").alias("_vehiculo"))
+    return v.where(F.lower("_vehiculo").contains(part.lower()) | F.lower("_cliente").contains(part.lower()))
+
+
 def client_groups(candidates: DataFrame, policy: ContactPolicy) -> DataFrame:
-    """Vehicle count, vehicle list and group list per client.
+    """Vehicle count, number of pages, first page of vehicles as text, and groups of every client.
 
-    The list holds every vehicle of the client, whatever the size of the fleet; ``client_vehicles``
-    is the same in long form.
+    A fleet of one page is listed whole; all pages are in ``client_pages``, and the long form in ``client_vehicles``.
     """
-    pairs = client_vehicles(candidates)
-    counts = pairs.groupBy("_cliente").agg(F.count(F.lit(1)).alias("n_vehiculos_cliente"))
-    lists = (pairs.groupBy("_cliente")
-             .agg(F.concat_ws(" | ", F.array_sort(F.collect_list("_vehiculo"))).alias("vehiculos_cliente")))
+    pages = client_pages(candidates)
+    lists = pages.groupBy("_cliente").agg(F.sum("n").alias("n_vehiculos_cliente"), F.count(F.lit(1)).alias("n_paginas_cliente"),
+                                          F.max(F.when(F.col("page") == 0, F.concat_ws(" | ", "vehicles"))).alias("vehiculos_cliente"))
     ident = candidates.where(F.col("_cliente") != "")
     groups = ident.groupBy("_cliente").agg(F.concat_ws(" | ", *[
         F.when(F.bool_or(F.col("segmento") == g), F.lit(g)) for g in ("Alto", "Medio")]).alias("grupos_cliente"))
-    return groups.join(counts, "_cliente", "left").join(lists, "_cliente", "left")
+    return groups.join(lists, "_cliente", "left")
 
 
 def contact_candidates(scores: DataFrame, policy: ContactPolicy = ContactPolicy()) -> DataFrame:
@@ -136,6 +150,7 @@ def contact_candidates(scores: DataFrame, policy: ContactPolicy = ContactPolicy(
         "vehiculos_cliente": F.when(F.col("_cliente") == "", F.col("_vehiculo")).otherwise(
             F.when(F.col("n_vehiculos_cliente").isNull(), F.lit("")).otherwise(F.col("vehiculos_cliente"))),
         "n_vehiculos_cliente": F.coalesce("n_vehiculos_cliente", F.lit(0)),
+        "n_paginas_cliente": F.coalesce("n_paginas_cliente", F.lit(0)),
         "grupos_cliente": F.coalesce("grupos_cliente", "segmento"),
     })
 

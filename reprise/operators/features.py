@@ -71,6 +71,12 @@ def visit_flags() -> dict[str, Column]:
     }
 
 
+def visit_flags_names() -> list[str]:
+    """Names of the visit counters; needs no session."""
+    return ["n_maint", "n_completed", "n_no_os", "n_noshow", "n_cancel", "n_appts", "n_recall", "n_diag", "n_repair", "n_guarantee", "n_fordpass", "n_web_or_app", "n_pud", "n_mobile", "n_fixed_price",
+            "n_reschedule", "n_hard_cancel", "n_return_visits", "n_towing"]
+
+
 _DAY_KEY = ["vehicle_id", "event_date"]
 
 

@@ -163,6 +163,9 @@ query("contact_candidates", _CAND, "SELECT * FROM candidates", "candidates")(lam
 query("contact_clients", _CAND, "SELECT * FROM candidates WHERE representante", "candidates")(lambda t: ct.contact_clients(t.candidates()))
 query("contact_client_vehicles", "customer_id s, vehicle_id s", "SELECT DISTINCT cli AS customer_id, veh AS vehicle_id FROM candidates WHERE cli <> '' AND veh <> ''",
       "candidates")(lambda t: ct.client_vehicles(t.candidates()).withColumnsRenamed({"_cliente": "customer_id", "_vehiculo": "vehicle_id"}))
+query("contact_client_pages", "customer_id s, page i, n i, first s, last s", """SELECT cli AS customer_id, (k - 1) // 1000 AS page, count(*) AS n, min(veh) AS first, max(veh) AS last FROM (SELECT cli, veh, row_number() OVER (PARTITION BY cli ORDER BY veh) AS k
+ FROM (SELECT DISTINCT cli, veh FROM candidates WHERE cli <> '' AND veh <> '')) GROUP BY 1, 2""", "candidates")(
+    lambda t: ct.client_pages(t.candidates()).select(F.col("_cliente").alias("customer_id"), "page", "n", F.col("vehicles")[0].alias("first"), F.element_at("vehicles", -1).alias("last")))
 query("contact_summary", "capacidad_por_corrida i, poblacion_inicial i, candidatos i, origen_alto i, origen_medio i, clientes_identificados i, clientes_elegibles i, "
       "clientes_seleccionados i, clientes_en_espera i, clientes_revisar i, vehiculos_sin_identificador i, vehiculos_unificados i, vehiculos_contactar i, clientes_contactar i, "
       "vehiculos_con_turno i, clientes_con_turno i, vehiculos_sin_margen i, vehiculos_revisar i", """

@@ -21,13 +21,13 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 BROADCAST = 1 << 20
 HOT_SHARE = 1 << 16
 #: Occurrences in one row of a relation, and those that one sort counts.
-ROW, COUNTED = 1 << 16, 1 << 21
+ROW, COUNTED = 1 << 15, 1 << 19
 PARTS = 128
 #: Bits of a row's number below that of the part of the table that holds it.
 PART_BITS = 36
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _RELATION = "row long, gap array<tinyint>, h array<bigint>"
-_NAMES = "name array<bigint>, first array<bigint>, last array<bigint>"
+_NAMES = "marks long, name array<bigint>, first array<bigint>, last array<bigint>, mark array<int>"
 
 
 def word_positions(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -80,14 +80,16 @@ class Codes:
     def cut(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).view(np.int64)
 
-    def joined(self, gap: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Merge join of a sorted relation with itself at adjacent positions: places, codes and second hashes (31 bits)
-        of the longer occurrences, whose first and last parts are those at the place and after it."""
+    def joined(self, gap: np.ndarray, h: np.ndarray, marked: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merge join of a sorted relation with itself at adjacent positions: places, codes and marks (31 bits of a second
+        hash) of the longer occurrences, whose first and last parts are those at the place and after it."""
         at = np.flatnonzero(gap[1:] == 1)
         u = np.uint64
         first, last = h[at].view(u), h[at + 1].view(u)
         inner = mix(last + u(0x632BE59BD9B4E019 + self.seed))
         code = self.cut(mix(first * u(0x9E3779B97F4A7C15) + inner))
+        if not (marked or self.split):
+            return at, code, at
         second = mix((first ^ u(0xD6E8FEB86659FD93)) * u(0xA0761D6478BD642F) + inner)
         for shared in self.split:
             again = found(shared, code)
@@ -159,7 +161,7 @@ def occurrences(docs: DataFrame, codes: Codes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbers()
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", 2 << 20):
             words, text, position = word_positions(pc.ascii_lower(b.column("text")).to_pylist())
             if not len(words):
                 continue
@@ -177,22 +179,26 @@ def occurrences(docs: DataFrame, codes: Codes) -> DataFrame:
     return d.mapInArrow(run, f"{_RELATION}, lang array<string>, word array<string>, times array<bigint>")
 
 
-def counted(relation: DataFrame, keep: Broadcast | None, codes: Codes) -> DataFrame:
-    """(h, n, origin, low, high) of the longer occurrences. ``origin``: one of the written parts that hold the group; low
-    and high differ where phrases share a code. ``keep``: codes of the frequent groups where the relation holds others."""
+def counted(relation: DataFrame, keep: Broadcast | None, codes: Codes, careful: bool) -> DataFrame:
+    """(h, n, origin) of the longer occurrences, ``origin`` being one of the written parts that hold the group; with
+    ``careful`` also low and high, which differ where phrases share a code. ``keep``: codes of the frequent groups where
+    the relation holds others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         size, origin = 0, -1
 
         def out() -> pa.RecordBatch:
-            code, second = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((second, code)) if codes.bits < 64 else np.argsort(code, kind="stable")
-            code, second = code[order], second[order]
-            # one row a code and second hash: two phrases of one code stay apart until they are compared
-            new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (second[1:] != second[:-1])]))
-            n = np.diff(np.append(new, len(code)))
-            return pa.record_batch([pa.array(code[new]), pa.array(n.astype(np.int64)), pa.array(np.full(len(new), origin, np.int32)), pa.array(second[new])], ["h", "n", "origin", "second"])
+            code = np.concatenate([p[0] for p in parts])
+            if not careful:
+                h, n = np.unique(code, return_counts=True)
+                return pa.record_batch([pa.array(h), pa.array(n), pa.array(np.full(len(h), origin, np.int32))], names)
+            mark = np.concatenate([p[1] for p in parts])
+            order = np.lexsort((mark, code))
+            code, mark = code[order], mark[order]
+            # one row a code and mark: two phrases of one code stay apart until they are compared
+            new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (mark[1:] != mark[:-1])]))
+            return pa.record_batch([pa.array(code[new]), pa.array(np.diff(np.append(new, len(code)))), pa.array(np.full(len(new), origin, np.int32)), pa.array(mark[new])], names)
 
         for b in batches:
             for row, gap, h in zip(b.column("row").to_pylist(), lists(b.column("gap")), lists(b.column("h")), strict=True):
@@ -203,18 +209,20 @@ def counted(relation: DataFrame, keep: Broadcast | None, codes: Codes) -> DataFr
                 if keep is not None:
                     stay = found(keep.value[0], h)
                     gap, h = kept(stay, np.cumsum(gap, dtype=np.int64)), h[stay]
-                parts.append(codes.joined(gap, h)[1:])
+                parts.append(codes.joined(gap, h, careful)[1:])
                 size += len(parts[-1][0])
         if size:
             yield out()
 
-    one = relation.select("row", "gap", "h").mapInArrow(run, "h long, n long, origin int, second int")
-    return one.groupBy("h").agg(F.sum("n").alias("n"), F.min("origin").alias("origin"), F.min("second").alias("low"), F.max("second").alias("high"))
+    names = ["h", "n", "origin", "mark"] if careful else ["h", "n", "origin"]
+    one = relation.select("row", "gap", "h").mapInArrow(run, "h long, n long, origin int" + (", mark int" if careful else ""))
+    return one.groupBy("h").agg(F.sum("n").alias("n"), F.min("origin").alias("origin"), *([F.min("mark").alias("low"), F.max("mark").alias("high")] if careful else []))
 
 
 def extended(relation: DataFrame, keep: Broadcast | None, sent: Broadcast, all_of: bool, codes: Codes) -> DataFrame:
-    """The relation of the longer occurrences whose group is in ``sent`` (``all_of``: of all), and (code, first part, last
-    part) of the groups: of one that was sent, where its origin is read; of others, where a task meets them."""
+    """The relation of the longer occurrences whose group is in ``sent`` (``all_of``: of all) with the sum of each row's
+    marks, and (code, first part, last part, mark) of the groups: of one that was sent, where its origin is read; of
+    others, where a task meets them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbers()
@@ -226,12 +234,12 @@ def extended(relation: DataFrame, keep: Broadcast | None, sent: Broadcast, all_o
                 if keep is not None:
                     stay = found(keep.value[0], h)
                     gap, h, position = kept(stay, position), h[stay], position[stay]
-                at, code, _ = codes.joined(gap, h)
+                at, code, mark = codes.joined(gap, h)
                 known = found(sent_codes, code)
                 stay = np.ones(len(code), bool) if all_of else known
                 if not stay.any():
                     continue
-                at, code, known = at[stay], code[stay], known[stay]
+                at, code, known, mark = at[stay], code[stay], known[stay], mark[stay]
                 groups, one = np.unique(code, return_index=True)
                 new = ~found(seen, groups)
                 if len(origin):
@@ -240,12 +248,32 @@ def extended(relation: DataFrame, keep: Broadcast | None, sent: Broadcast, all_o
                 one = one[new]
                 if len(seen) < COUNTED:
                     seen = np.union1d(seen, code[one])
-                yield pa.record_batch([number.one(), as_list(kept(np.arange(len(at)), position[at]), pa.int8()), as_list(code, pa.int64()), *(as_list(x[one], pa.int64()) for x in (code, h[at], h[at + 1]))],
-                                      ["row", "gap", "h", "name", "first", "last"])
+                yield pa.record_batch([number.one(), as_list(kept(np.arange(len(at)), position[at]), pa.int8()), as_list(code, pa.int64()), pa.array([int(mark.sum(dtype=np.int64))]),
+                                       *(as_list(x[one], pa.int64()) for x in (code, h[at], h[at + 1])), as_list(mark[one], pa.int32())], ["row", "gap", "h", "marks", "name", "first", "last", "mark"])
+            pa.default_memory_pool().release_unused()
 
     return relation.select("row", "gap", "h").mapInArrow(run, f"{_RELATION}, {_NAMES}")
 
 
+def one_phrase_a_code(relation: DataFrame, names: DataFrame) -> bool:
+    """Whether every occurrence of a code is of the phrase that named it: the marks of a row's occurrences add up to those
+    of the names. ``names`` are few enough to send."""
+    table = names.select("h", "mark").toArrow()
+    codes, marks = table.column("h").to_numpy().astype(np.int64), table.column("mark").to_numpy().astype(np.int64)
+    order = np.argsort(codes)
+    if len(codes) and (np.diff(codes[order]) == 0).any():
+        return False
+    sent = relation.sparkSession.sparkContext.broadcast((codes[order], marks[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, marks = sent.value
+        for b in batches:
+            off = [int(m != marks[np.searchsorted(codes, h)].sum()) for m, h in zip(b.column("marks").to_pylist(), lists(b.column("h")), strict=True)]
+            yield pa.record_batch([pa.array([sum(off)], pa.int64())], ["off"])
+
+    return not relation.where("h is not null").select("marks", "h").mapInArrow(run, "off long").where("off > 0").limit(1).count()
+
+
 def frequent(groups: DataFrame, occurrences_of_all: int, broadcast: int) -> Frequent:
     """Codes to send to all tasks. Too many: only those with one occurrence in HOT_SHARE or more, and a table of the rest."""
     spark = groups.sparkSession
@@ -290,17 +318,40 @@ def _unnested(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def _counts(relation: DataFrame, keep: Broadcast | None, least: int, codes: Codes) -> tuple[DataFrame, Codes] | None:
-    """Frequent groups of the longer occurrences. Codes that phrases share are split and all is counted again; None where
-    splitting doesn't end."""
+    """Frequent groups of the longer occurrences with codes of their own: those that phrases share are split and all is
+    counted again; None where splitting doesn't end."""
     for _ in range(3):
-        counts = staged(counted(relation, keep, codes).where(F.col("n") >= least))
+        counts = staged(counted(relation, keep, codes, True).where(F.col("n") >= least))
         shared = [r["h"] for r in counts.where(F.col("low") < F.col("high")).select("h").collect()]     # next to none among 2^64 codes
         if not shared:
-            return counts, codes
+            return counts.select("h", "n", "origin"), codes
         codes = replace(codes, split=(*codes.split, np.sort(np.array(shared, np.int64))))
     return None
 
 
+def _longer(relation: DataFrame, keep: Broadcast | None, least: int, broadcast: int, codes: Codes) -> tuple[DataFrame, DataFrame, Frequent] | str:
+    """(relation and names of the longer occurrences, counts, frequent groups). Counted without marks first; where there
+    are too many groups to send, or a code turns out to be shared, again with them."""
+    for careful in (False, True):
+        if careful:
+            own = _counts(relation, keep, least, codes)
+            if own is None:
+                return "shared"
+            counts, codes = own
+        else:
+            counts = staged(counted(relation, keep, codes, False).where(F.col("n") >= least))
+        size = counts.agg(F.sum("n")).first()[0]
+        if not size:
+            return "none"
+        groups = frequent(counts, size, broadcast)
+        if groups.rest is not None and not careful:
+            continue
+        longer = staged(extended(relation, keep, groups.sent, groups.rest is not None, codes))
+        if careful or one_phrase_a_code(longer, _unnested(longer, h="name", mark="mark").distinct()):
+            return longer, counts, groups
+    return "shared"
+
+
 def _mined(docs: DataFrame, longest: int, least: int, broadcast: int, codes: Codes) -> tuple[DataFrame, DataFrame] | None:
     """(frequent phrases of all lengths, words of each lang); None where codes collide that can't be split."""
     first = staged(occurrences(docs, codes))
@@ -318,15 +369,12 @@ def _mined(docs: DataFrame, longest: int, least: int, broadcast: int, codes: Cod
     for k in range(2, longest + 1):
         if groups.rest is not None:
             relation, keep = staged(semi_joined(relation, groups)), None
-        own = _counts(relation, keep, least, codes)
-        if own is None:
-            return None
-        counts, own_codes = own
-        size = counts.agg(F.sum("n")).first()[0]
-        if not size:
+        step = _longer(relation, keep, least, broadcast, codes)
+        if step == "none":
             break
-        groups = frequent(counts, size, broadcast)
-        longer = staged(extended(relation, keep, groups.sent, groups.rest is not None, own_codes))
+        if step == "shared":
+            return None
+        longer, counts, groups = step
         names = _unnested(longer, h="name", first="first", last="last").distinct().join(counts.select("h", "n"), "h")
         a = level.select(F.col("h").alias("first"), "lang", F.col("phrase").alias("first_phrase"), "starts")
         z = level.select(F.col("h").alias("last"), "last_word", "ends")

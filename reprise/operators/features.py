@@ -324,6 +324,25 @@ def build_features(windows: DataFrame, appt: DataFrame, sales: DataFrame, rules:
     return derived(customer_history(f, appt, sales))
 
 
+def features_of_definitions(windows: DataFrame, appt: DataFrame, sales: DataFrame, rules: SaleRules = SaleRules(),
+                            master: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
+    """Feature rows of the windows of many definitions (``definition``, windows without customer and id columns).
+
+    History, customer and fleet depend on vehicle and scoring date alone: they are looked up once for each such probe,
+    whatever the number of definitions that share it, in one ordered pass; each definition's own columns join them.
+    """
+    master = vehicle_master(appt, sales, rules) if master is None else master
+    probes = windows.select("vehicle_id", "scoring_date").distinct()
+    seen = (appt.where(F.col("vehicle_id").isNotNull() & F.col("customer_id").isNotNull())
+            .select("vehicle_id", F.col("event_date").alias("_seen_at"), "schedule_id", F.col("customer_id").alias("_customer"), F.col("dealer_id").alias("last_dealer_id")))
+    probes = asof_join(probes, seen, "vehicle_id", "scoring_date", "_seen_at", ["_customer", "last_dealer_id"], tie=["schedule_id"], left_unique=True)
+    static = master.select("vehicle_id", "warranty_start", "model_year", "tma", "connected_status", "region", "in_sales", "sales_customer_id", "sales_dealer_id", "person_type", "business_unit", "sales_channel", "sales_state", "SalesDate")
+    probes = probes.join(static, "vehicle_id", "left").withColumn("customer_id", F.coalesce("_customer", "sales_customer_id")).drop("_customer")
+    known = customer_history(vehicle_history(probes, appt, log), appt, sales)
+    own = windows.select(*[c for c in windows.columns if c in ("vehicle_id", "scoring_date") or c not in known.columns])
+    return derived(own.join(known, ["vehicle_id", "scoring_date"]))
+
+
 def leakage_violations(features: DataFrame) -> DataFrame:
     """Rows whose recency is zero or negative: one count per recency column, all expected to be 0."""
     return features.agg(*[F.sum((F.col(c) <= 0).cast("long")).alias(c) for c in RECENCIES if c in features.columns])

@@ -250,15 +250,14 @@ def window_summary(w: DataFrame) -> DataFrame:
         F.percentile(late, F.lit(0.5)).alias("mediana_dias_retorno_vs_due"))
 
 
-def window_sensitivity(appt: DataFrame, sales: DataFrame, grid: dict[str, WindowParams], span: DataSpan,
-                       rules: SaleRules = SaleRules()) -> DataFrame:
-    """One summary row per named parameter set.
+def windows_by_definition(appt: DataFrame, sales: DataFrame, grid: dict[str, WindowParams], span: DataSpan, rules: SaleRules = SaleRules()) -> dict[str, DataFrame]:
+    """Dated windows of every named parameter set.
 
     Anchors and rates are built once for each set of parameters that they depend on; lead, horizon and label rules only
     date them anew. Inputs should be stored by the caller.
     """
     master = cut_lineage(vehicle_master(appt, sales, rules))
-    maint, rated, out = {}, {}, None
+    maint, rated, out = {}, {}, {}
     for name, p in grid.items():
         events = (p.km_source, p.split_visit_days)
         if events not in maint:
@@ -267,7 +266,16 @@ def window_sensitivity(appt: DataFrame, sales: DataFrame, grid: dict[str, Window
         shared = p.with_(lead_days=d.lead_days, horizon_days=d.horizon_days, label_mode=d.label_mode, label_margin_days=d.label_margin_days, first_due_days=d.first_due_days, min_history_days=d.min_history_days)
         if shared not in rated:
             rated[shared] = cut_lineage(rate_with_fallback(cut_lineage(anchors_with_rates(appt, sales, p, span, rules, master, maint[events]))))
-        row = window_summary(dated_windows(rated[shared], p, span)).select(F.lit(name).alias("params"), "*")
+        out[name] = dated_windows(rated[shared], p, span)
+    return out
+
+
+def window_sensitivity(appt: DataFrame, sales: DataFrame, grid: dict[str, WindowParams], span: DataSpan,
+                       rules: SaleRules = SaleRules()) -> DataFrame:
+    """One summary row per named parameter set."""
+    out = None
+    for name, w in windows_by_definition(appt, sales, grid, span, rules).items():
+        row = window_summary(w).select(F.lit(name).alias("params"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 

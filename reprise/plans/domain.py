@@ -337,6 +337,27 @@ SELECT concat(vehicle_id, '_', strftime(scoring_date, '%Y%m%d')) AS window_id, v
  dl AS last_dealer_id
 FROM a9 LEFT JOIN cu ON v = vehicle_id AND sd = scoring_date"""
 
+def windows_sql(p: WindowParams, maint: str = "maint") -> str:
+    """The windows text for other parameters, without the customer at scoring."""
+    anchors, rest = WINDOWS_SQL.split("a1 AS (", 1)
+    if p.anchor == "plan":
+        anchors = f"""
+WITH an AS (SELECT vehicle_id, warranty_start + CAST(k * {p.cycle_days} AS INTEGER) AS anchor_date, CAST(NULL AS DOUBLE) AS anchor_km, 'plan' AS anchor_type
+ FROM (SELECT vehicle_id, warranty_start, unnest(generate_series(0, CAST(floor((DATE '{SPAN.cutoff}' - warranty_start) / {p.cycle_days}) AS BIGINT))) AS k FROM vm WHERE warranty_start <= DATE '{SPAN.cutoff}')),
+"""
+    body = anchors + "a1 AS (" + rest.split("cu AS (", 1)[0].rstrip().rstrip(",")
+    old = "CASE generation WHEN 'BUILDING' THEN 16000.0 WHEN 'MACHINERY' THEN 10000.0 WHEN 'HOUSEHOLD' THEN 12000.0 ELSE 14000.0 END::DOUBLE"
+    new = "CASE generation " + " ".join(f"WHEN '{g}' THEN {k!r}" for g, k in p.km_by_generation) + f" ELSE {p.km_interval!r} END::DOUBLE"
+    dates = f"due_date - {p.lead_days} AS scoring_date, due_date + {p.horizon_days} AS horizon_end"
+    if p.label_mode == "mes_calendario":
+        dates = "CAST(date_trunc('month', due_date) AS DATE) AS scoring_date, last_day(due_date) AS horizon_end"
+    margin = SPAN.cutoff - dt.timedelta(days=p.label_margin_days)
+    for a, b in ((old, new), ("anchor_date + 300", f"anchor_date + {p.first_due_days}"), ("due_date - 30 AS scoring_date, due_date + 90 AS horizon_end", dates), ("DATE '2001-01-29'", f"DATE '{margin}'"), ("FROM maint", f"FROM {maint}"), ("JOIN maint", f"JOIN {maint}")):
+        body = body.replace(a, b)
+    return body + """ SELECT *, next_maint_date - due_date AS days_next_vs_due,
+ CASE WHEN status = 'evaluable' THEN CASE WHEN next_maint_date > scoring_date AND next_maint_date <= horizon_end THEN 0.0 ELSE 1.0 END END::DOUBLE AS label_churn FROM a9"""
+
+
 FEATURES_SQL = """
 WITH a0 AS (SELECT *, CASE WHEN VehicleCurrentKM BETWEEN 100 AND 1000000 THEN VehicleCurrentKM END AS k FROM appt WHERE vehicle_id IS NOT NULL),
 a1 AS (SELECT *, CASE WHEN k IS NOT NULL THEN max(k) OVER w END AS run, row_number() OVER w AS pos,
@@ -479,6 +500,9 @@ CTES: dict[str, tuple[list[str], str]] = {
     "maint_split": (["maint_days"], SPLIT_SQL),
     "maint": (["maint_split"], MAINT_SQL),
     "windows": (["maint", "vm", "appt"], WINDOWS_SQL),
+    "maint_km_days": (["appt"], MAINT_DAYS_SQL.replace("VehicleCurrentKM BETWEEN 100 AND 1000000 THEN VehicleCurrentKM", "KM BETWEEN 100 AND 1000000 THEN KM")),
+    "maint_km_split": (["maint_km_days"], SPLIT_SQL.replace("maint_days", "maint_km_days")),
+    "maint_km": (["maint_km_split"], MAINT_SQL.replace("maint_split", "maint_km_split")),
     "features": (["windows"], FEATURES_SQL),
     "scored": (["features"], SCORED_SQL),
     "ranked": (["scored"], "SELECT *, row_number() OVER (ORDER BY p DESC, id) AS rn, count(*) OVER () AS total FROM scored"),

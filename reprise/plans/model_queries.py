@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from reprise.operators import attribution as at, evaluate as el, model as md, newton as nw, pooled as pl, trees as tr, windows as wd
 from reprise.plans.channel_queries import _B, _MON, base, history_base, monthly
-from reprise.plans.domain import PARAMS, RULES, SPAN, SPLIT, Tables
+from reprise.plans.domain import PARAMS, RULES, SPAN, SPLIT, Tables, windows_sql
 from reprise.plans.registry import query
+from reprise.runtime import stored
 
 _RESULTS: dict = {}
 #: Boosting rounds of the trained model and of its ablations.
@@ -89,11 +90,37 @@ def _leaky(t: Tables):
 
 query("ablations", "modelo s, n i, base_rate d, roc_auc d, pr_auc d, brier d, ece d")(lambda t: md.ablations(t.features(), _leaky(t), SPLIT, max_iter=ROUNDS))
 
-query("window_sensitivity", "params s, n_evaluables i, churn_rate d, pct_preempted d, pct_piso d, pct_km d, captura_retornos_18m d, n_retornos_18m i, mediana_dias_retorno_vs_due d")(
-    lambda t: wd.window_sensitivity(t.appt(), t.sales(), wd.default_grid(PARAMS), SPAN, RULES))
-query("window_summary", "n_evaluables i, churn_rate d, pct_preempted d, pct_piso d, pct_km d, captura_retornos_18m d, n_retornos_18m i, mediana_dias_retorno_vs_due d", """
+_SUMMARY_SQL = """
 SELECT count(*) FILTER (WHERE status = 'evaluable') AS n_evaluables, avg(label_churn) AS churn_rate, count(*) FILTER (WHERE status = 'preempted') / greatest(count(*) FILTER (WHERE status <> 'fuera_de_rango'), 1) AS pct_preempted,
  avg(CAST(binding_rule = 'piso' AS INTEGER)) FILTER (WHERE status = 'evaluable') AS pct_piso, avg(CAST(binding_rule = 'km' AS INTEGER)) FILTER (WHERE status = 'evaluable') AS pct_km,
  avg(CAST(next_maint_date > scoring_date AND next_maint_date <= horizon_end AS INTEGER)) FILTER (WHERE status IN ('evaluable', 'preempted') AND next_maint_date - anchor_date <= 548) AS captura_retornos_18m,
  count(*) FILTER (WHERE status IN ('evaluable', 'preempted') AND next_maint_date - anchor_date <= 548) AS n_retornos_18m, median(days_next_vs_due) FILTER (WHERE status = 'evaluable' AND label_churn = 0) AS mediana_dias_retorno_vs_due
-FROM windows""", "windows")(lambda t: wd.window_summary(t.windows()))
+FROM windows"""
+query("window_summary", "n_evaluables i, churn_rate d, pct_preempted d, pct_piso d, pct_km d, captura_retornos_18m d, n_retornos_18m i, mediana_dias_retorno_vs_due d", _SUMMARY_SQL, "windows")(lambda t: wd.window_summary(t.windows()))
+
+
+def _definition_sql() -> str:
+    """The summary text over every definition's windows."""
+    text = _SUMMARY_SQL.split("FROM windows")[0]
+    return " UNION ALL ".join(f"SELECT '{name}' AS params, * FROM ({text} FROM ({windows_sql(p, 'maint_km' if p.km_source == 'km' else 'maint')}))" for name, p in wd.default_grid(PARAMS).items())
+
+
+query("window_sensitivity", "params s, n_evaluables i, churn_rate d, pct_preempted d, pct_piso d, pct_km d, captura_retornos_18m d, n_retornos_18m i, mediana_dias_retorno_vs_due d", _definition_sql(), "maint maint_km vm appt")(
+    lambda t: wd.window_sensitivity(t.appt(), t.sales(), wd.default_grid(PARAMS), SPAN, RULES))
+
+
+def _definitions(t: Tables):
+    """Evaluable windows of all definitions with their features."""
+    from reprise.operators.features import features_of_definitions
+
+    def build():
+        keep = ["vehicle_id", "scoring_date", "anchor_type", "anchor_date", "anchor_km", "k_gen", "km_rate_per_day", "rate_source", "due_date", "binding_rule", "history_days", "generation", "label_churn"]
+        out = None
+        for name, w in wd.windows_by_definition(t.appt(), t.sales(), wd.default_grid(PARAMS), SPAN, RULES).items():
+            rows = w.where("status = 'evaluable'").select(F.lit(name).alias("definition"), *keep)
+            out = rows if out is None else out.unionByName(rows)
+        return features_of_definitions(stored(out), t.appt(), t.sales(), RULES, t.master(), t.day_log())
+    return t.stage("definition_features", build)
+
+
+query("window_model_check", "definition s, n_train i, n_test i, base_rate d, roc_auc d, pr_auc d")(lambda t: md.check_definitions(_definitions(t), SPLIT))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reprise.operators import evaluate as el, matrix as mx, model as md, newton as nw, pooled as pl, trees as tr
+from reprise.operators import batched as bt, evaluate as el, matrix as mx, model as md, newton as nw, pooled as pl, trees as tr
 from reprise.params import SplitParams
 
 SPLIT = SplitParams(dt.date(2020, 6, 30), dt.date(2020, 9, 30))
@@ -188,3 +188,27 @@ def test_period_without_both_classes_is_refused(spark):
     d = spark.createDataFrame([("w", dt.date(2020, 1, 1), 1.0)], "window_id string, scoring_date date, label_churn double")
     with pytest.raises(ValueError):
         md.require_both_classes(md.temporal_split(d, SPLIT))
+
+
+def test_batched_fits_equal_fits_alone(spark):
+    """Three groups in the same passes against plain penalised Newton steps of each."""
+    from pyspark.ml.functions import array_to_vector
+
+    r = random.Random(9)
+    rows = []
+    for g, shift in (("a", 0.0), ("b", 1.5), ("c", -1.0)):
+        for _ in range(700):
+            x = [r.gauss(0, 1), r.gauss(0, 1), float(r.random() < 0.2)]
+            rows.append((g, float(r.random() < 1 / (1 + math.exp(-(shift + 0.8 * x[0] - 0.5 * x[2])))), x))
+    d = spark.createDataFrame(rows, "g string, y double, x array<double>").withColumn("features", array_to_vector("x")).repartition(5)
+    beta = bt.fit_groups(d, "g", "y", 3, ridge=2.0, tolerance=1e-9)
+    for g in "abc":
+        x = np.array([[*v, 1.0] for k, _, v in rows if k == g])
+        y = np.array([t for k, t, _ in rows if k == g])
+        b, penalty = np.zeros(4), np.diag([2.0, 2.0, 2.0, 0.0])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-x @ b))
+            b = b + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ b)
+        assert np.abs(b - beta[g]).max() < 1e-6
+        got = sorted(q["p"] for q in bt.score_groups(d, "g", beta, ["g"]).where(F.col("g") == g).collect())
+        assert np.allclose(got, sorted(1 / (1 + np.exp(-x @ b))), atol=1e-6)

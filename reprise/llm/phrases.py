@@ -20,13 +20,15 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: are HOT_SHARE at most, and the others are met by a shuffle.
 BROADCAST = 1 << 20
 HOT_SHARE = 1 << 16
-#: Occurrences in one row of a relation, and those that one sort counts.
-ROW, COUNTED = 1 << 15, 1 << 19
+#: Bytes of text whose words make one row of the first relation, and occurrences that one sort counts.
+ROW_BYTES, COUNTED = 2 << 20, 1 << 19
 PARTS = 128
 #: Bits of a row's number below that of the part of the table that holds it.
 PART_BITS = 36
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _RELATION = "row long, gap array<tinyint>, h array<bigint>"
+#: Columns of the first relation and of later ones.
+_FIRST, _LATER = ("row", "gap", "code", "lang", "word"), ("row", "gap", "h")
 _NAMES = "marks long, name array<bigint>, first array<bigint>, last array<bigint>, mark array<int>"
 
 
@@ -46,21 +48,6 @@ def word_positions(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, text, np.arange(len(start)) + np.cumsum(k == 2)[start] if len(start) else start
 
 
-def cut_rows(position: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (gap, h) of about ROW occurrences; a stretch of adjacent positions is never cut. A gap is 1 or 2: next to the
-    occurrence before it, or not."""
-    if not len(h):
-        return
-    gap = np.concatenate([[2], np.minimum(np.diff(position), 2)]).astype(np.int8)
-    free = np.flatnonzero(gap == 2)
-    at = 0
-    while at < len(h):
-        k = np.searchsorted(free, at + ROW)
-        end = int(free[k]) if k < len(free) else len(h)
-        yield gap[at:end], h[at:end]
-        at = end
-
-
 def found(sorted_codes: np.ndarray, h: np.ndarray) -> np.ndarray:
     if not len(sorted_codes):
         return np.zeros(len(h), bool)
@@ -156,27 +143,38 @@ def coded_words(words: DataFrame, codes: Codes) -> DataFrame:
     return words.mapInArrow(run, "h long, lang string, word string, n long")
 
 
-def occurrences(docs: DataFrame, codes: Codes) -> DataFrame:
-    """The first relation, one row a stretch of texts, and each stretch's (lang, word, times)."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """The first relation, one row a stretch of texts: gaps and each occurrence's place among the stretch's (lang, word),
+    which stand beside them with their times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbers()
-        for b in chunks(batches, "text", 2 << 20):
+        for b in chunks(batches, "text", ROW_BYTES):
             words, text, position = word_positions(pc.ascii_lower(b.column("text")).to_pylist())
             if not len(words):
                 continue
             code, distinct = coded(words)
             lang, langs = coded(b.column("lang"))
             pair, inverse, times = np.unique(code * len(langs) + lang[text], return_inverse=True, return_counts=True)
-            h = word_codes(langs, pair % len(langs), distinct, pair // len(langs), codes)
-            for gap, part in cut_rows(position, h[inverse]):
-                yield pa.record_batch([number.one(), as_list(gap, pa.int8()), as_list(part, pa.int64()), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.int64()))], names)
+            gap = np.concatenate([[2], np.minimum(np.diff(position), 2)]).astype(np.int8)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(pair)], pa.int32()), x)
-            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int8())), pa.nulls(1, pa.list_(pa.int64())), one(langs.take(pa.array(pair % len(langs)))), one(distinct.take(pa.array(pair // len(langs)))), one(pa.array(times.astype(np.int64)))], names)
+            yield pa.record_batch([number.one(), as_list(gap, pa.int8()), as_list(inverse, pa.int32()), one(langs.take(pa.array(pair % len(langs)))), one(distinct.take(pa.array(pair // len(langs)))),
+                                   one(pa.array(times.astype(np.int64)))], ["row", "gap", "code", "lang", "word", "times"])
 
-    names = ["row", "gap", "h", "lang", "word", "times"]
     d = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    return d.mapInArrow(run, f"{_RELATION}, lang array<string>, word array<string>, times array<bigint>")
+    return d.mapInArrow(run, "row long, gap array<tinyint>, code array<int>, lang array<string>, word array<string>, times array<bigint>")
+
+
+def rows_of(b: pa.RecordBatch, codes: Codes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, gap, code) of every row of a relation; the first relation's codes are made from its words."""
+    rows = b.column("row").to_pylist()
+    if "h" in b.schema.names:
+        yield from zip(rows, lists(b.column("gap")), lists(b.column("h")), strict=True)
+        return
+    for k, (row, gap, place) in enumerate(zip(rows, lists(b.column("gap")), lists(b.column("code")), strict=True)):
+        lang, langs = coded(b.column("lang")[k].values)
+        words = b.column("word")[k].values
+        yield row, gap, word_codes(langs, lang, words, np.arange(len(words)), codes)[place]
 
 
 def counted(relation: DataFrame, keep: Broadcast | None, codes: Codes, careful: bool) -> DataFrame:
@@ -201,7 +199,7 @@ def counted(relation: DataFrame, keep: Broadcast | None, codes: Codes, careful:
             return pa.record_batch([pa.array(code[new]), pa.array(np.diff(np.append(new, len(code)))), pa.array(np.full(len(new), origin, np.int32)), pa.array(mark[new])], names)
 
         for b in batches:
-            for row, gap, h in zip(b.column("row").to_pylist(), lists(b.column("gap")), lists(b.column("h")), strict=True):
+            for row, gap, h in rows_of(b, codes):
                 if parts and (size >= COUNTED or row >> PART_BITS != origin):
                     yield out()
                     parts, size = [], 0
@@ -215,7 +213,7 @@ def counted(relation: DataFrame, keep: Broadcast | None, codes: Codes, careful:
             yield out()
 
     names = ["h", "n", "origin", "mark"] if careful else ["h", "n", "origin"]
-    one = relation.select("row", "gap", "h").mapInArrow(run, "h long, n long, origin int" + (", mark int" if careful else ""))
+    one = relation.mapInArrow(run, "h long, n long, origin int" + (", mark int" if careful else ""))
     return one.groupBy("h").agg(F.sum("n").alias("n"), F.min("origin").alias("origin"), *([F.min("mark").alias("low"), F.max("mark").alias("high")] if careful else []))
 
 
@@ -229,7 +227,7 @@ def extended(relation: DataFrame, keep: Broadcast | None, sent: Broadcast, all_o
         seen = np.zeros(0, np.int64)
         sent_codes, origin = sent.value
         for b in batches:
-            for row, gap, h in zip(b.column("row").to_pylist(), lists(b.column("gap")), lists(b.column("h")), strict=True):
+            for row, gap, h in rows_of(b, codes):
                 position = np.cumsum(gap, dtype=np.int64)
                 if keep is not None:
                     stay = found(keep.value[0], h)
@@ -252,7 +250,7 @@ def extended(relation: DataFrame, keep: Broadcast | None, sent: Broadcast, all_o
                                        *(as_list(x[one], pa.int64()) for x in (code, h[at], h[at + 1])), as_list(mark[one], pa.int32())], ["row", "gap", "h", "marks", "name", "first", "last", "mark"])
             pa.default_memory_pool().release_unused()
 
-    return relation.select("row", "gap", "h").mapInArrow(run, f"{_RELATION}, {_NAMES}")
+    return relation.mapInArrow(run, f"{_RELATION}, {_NAMES}")
 
 
 def one_phrase_a_code(relation: DataFrame, names: DataFrame) -> bool:
@@ -271,7 +269,7 @@ def one_phrase_a_code(relation: DataFrame, names: DataFrame) -> bool:
             off = [int(m != marks[np.searchsorted(codes, h)].sum()) for m, h in zip(b.column("marks").to_pylist(), lists(b.column("h")), strict=True)]
             yield pa.record_batch([pa.array([sum(off)], pa.int64())], ["off"])
 
-    return not relation.where("h is not null").select("marks", "h").mapInArrow(run, "off long").where("off > 0").limit(1).count()
+    return not relation.select("marks", "h").mapInArrow(run, "off long").where("off > 0").limit(1).count()
 
 
 def frequent(groups: DataFrame, occurrences_of_all: int, broadcast: int) -> Frequent:
@@ -288,26 +286,25 @@ def frequent(groups: DataFrame, occurrences_of_all: int, broadcast: int) -> Freq
     return Frequent(spark.sparkContext.broadcast((codes[order], origin[order])), rest)
 
 
-def semi_joined(relation: DataFrame, groups: Frequent) -> DataFrame:
+def semi_joined(relation: DataFrame, groups: Frequent, codes: Codes) -> DataFrame:
     """Occurrences of frequent groups. Those not sent are met by a shuffle: each such code has few occurrences, and what
     is found is listed by row, which holds a bounded number of them."""
     sent = groups.sent
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, h in zip(b.column("row").to_pylist(), lists(b.column("h")), strict=True):
+            for row, _, h in rows_of(b, codes):
                 at = np.flatnonzero(~found(sent.value[0], h))
                 yield pa.record_batch([pa.array(np.full(len(at), row)), pa.array(at.astype(np.int32)), pa.array(h[at])], ["row", "at", "h"])
 
     def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, gap, h, more in zip(b.column("row").to_pylist(), lists(b.column("gap")), lists(b.column("h")), b.column("places").to_pylist(), strict=True):
+            for (row, gap, h), more in zip(rows_of(b, codes), b.column("places").to_pylist(), strict=True):
                 keep = found(sent.value[0], h)
                 keep[more or []] = True
                 yield pa.record_batch([pa.array([row]), as_list(kept(keep, np.cumsum(gap, dtype=np.int64)), pa.int8()), as_list(h[keep], pa.int64())], ["row", "gap", "h"])
 
-    relation = relation.where("h is not null").select("row", "gap", "h")
-    hits = relation.select("row", "h").mapInArrow(others, "row long, at int, h long").join(groups.rest, "h", "left_semi")
+    hits = relation.mapInArrow(others, "row long, at int, h long").join(groups.rest, "h", "left_semi")
     places = hits.groupBy("row").agg(F.collect_list("at").alias("places"))
     return relation.join(places, "row", "left").mapInArrow(stay, _RELATION)
 
@@ -354,7 +351,7 @@ def _longer(relation: DataFrame, keep: Broadcast | None, least: int, broadcast:
 
 def _mined(docs: DataFrame, longest: int, least: int, broadcast: int, codes: Codes) -> tuple[DataFrame, DataFrame] | None:
     """(frequent phrases of all lengths, words of each lang); None where codes collide that can't be split."""
-    first = staged(occurrences(docs, codes))
+    first = staged(occurrences(docs))
     words = staged(coded_words(_unnested(first, lang="lang", word="word", n="times").groupBy("lang", "word").agg(F.sum("n").alias("n")), codes))
     total = words.groupBy("lang").agg(F.sum("n").alias("n"))
     one = words.where(F.col("n") >= least)
@@ -363,12 +360,12 @@ def _mined(docs: DataFrame, longest: int, least: int, broadcast: int, codes: Cod
     level = staged(one.select("h", "lang", F.col("word").alias("phrase"), F.col("word").alias("last_word"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"), "n",
                               F.array("n").alias("starts"), F.array("n").alias("ends")))
     found_all = level.withColumn("k", F.lit(1))
-    relation, seen = first.where("h is not null").select("row", "gap", "h"), words.agg(F.sum("n")).first()[0] or 0
+    relation, seen = first.select(*_FIRST), words.agg(F.sum("n")).first()[0] or 0
     groups = frequent(level.select("h", "n", F.lit(-1).alias("origin")), seen, broadcast)
     keep: Broadcast | None = groups.sent
     for k in range(2, longest + 1):
         if groups.rest is not None:
-            relation, keep = staged(semi_joined(relation, groups)), None
+            relation, keep = staged(semi_joined(relation, groups, codes)), None
         step = _longer(relation, keep, least, broadcast, codes)
         if step == "none":
             break
@@ -382,7 +379,7 @@ def _mined(docs: DataFrame, longest: int, least: int, broadcast: int, codes: Cod
         level = staged(whole.select("h", "lang", F.concat_ws(" ", "first_phrase", "last_word").alias("phrase"), "last_word", "first", "last", "n",
                                     F.concat("starts", F.array("n")).alias("starts"), F.concat("ends", F.array("n")).alias("ends")))
         found_all = found_all.unionByName(level.withColumn("k", F.lit(k)))
-        relation, keep = longer.where("h is not null").select("row", "gap", "h"), None
+        relation, keep = longer.select(*_LATER), None
     return found_all, total
 
 

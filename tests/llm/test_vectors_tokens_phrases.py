@@ -147,7 +147,7 @@ def mined(df, **options):
 @pytest.mark.parametrize("options", [{"least": 6}, {"least": 3, "broadcast": 50, "top": 300}])
 def test_phrases_equal_brute_force(spark, options, monkeypatch):
     """With a low ``broadcast`` the groups that are too many to send go by the shuffle."""
-    monkeypatch.setattr(phrases, "ROW", 64)
+    monkeypatch.setattr(phrases, "ROW_BYTES", 4000)
     df = spark.read.parquet(f"{FOLDER}/documents.parquet")
     want = {k: v for k, v in options.items() if k != "broadcast"}
     assert mined(df.repartition(5), **options) == brute_phrases([(r.text, r.lang) for r in df.collect()], **want)

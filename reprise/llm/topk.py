@@ -6,11 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from reprise.llm.common import staged
+
 #: Elements of one tile's matrix, so that a tile of any width holds about 8 MB.
 TILE_ELEMENTS = 1 << 20
 #: Tiles whose lists one step of the merging tree joins.
 FAN_IN = 16
-_RESULT = "query_id bigint, tile int, vec_id bigint, score bigint"
+_RESULT = "query_row bigint, query_id bigint, tile int, vec_id bigint, row bigint, score bigint"
 
 
 def usable(embedding: str = "embedding") -> Column:
@@ -58,13 +60,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, ti
     """The k highest integer inner products of each query row against all other rows.
 
     ``vectors`` has ``vec_id`` and ``embedding``; ``queries`` marks the query rows. Rows with a null id, a null vector or
-    a null or non-finite component take no part; repeated ids count once, with the smallest vector; vectors of different
-    length are not compared; an empty table gives no rows; other columns are not read. Query blocks meet candidate
+    a null or non-finite component take no part; rows of one id are rows like others: each is a candidate of all but
+    itself and, where asked, a query with a list of its own; vectors of different length are not compared; an empty table gives no rows; other columns are not read. Query blocks meet candidate
     tiles, both of bounded size, on a grid; each cell multiplies two matrices and keeps k rows a query, and the lists
     are merged ``FAN_IN`` tiles at a time. Returns query_id, rank, vec_id, score.
     """
     base = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding"), queries.alias("asked")).where(F.col("vec_id").isNotNull() & usable())
-    base = base.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.first("asked").alias("asked")).withColumn("width", F.size("embedding"))
+    base = staged(base.withColumns({"row": F.monotonically_increasing_id(), "width": F.size("embedding")}))
     sizes = [(r["width"], r["n"], r["q"]) for r in base.groupBy("width").agg(F.count("*").alias("n"), F.sum(F.col("asked").cast("int")).alias("q")).collect()]   # one row a vector length
 
     def tiles(n: int, width: int) -> int:
@@ -77,30 +79,31 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, ti
             out = F.when(F.col("width") == w, F.lit(tiles(counts[which - 1] or 0, w))).otherwise(out)
         return out
 
-    deal = lambda c, n: F.pmod(F.xxhash64(F.col("vec_id"), F.lit(c)), n).cast("int")
+    deal = lambda c, n: F.pmod(F.xxhash64(F.col("row"), F.lit(c)), n).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
-    cand = base.select("width", "vec_id", "embedding", deal(1, numbered(1)).alias("tile"), spread(numbered(2)).alias("block"))
-    asked = base.where("asked").select(F.col("width").alias("q_width"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), deal(2, numbered(2)).alias("q_block"), spread(numbered(1)).alias("q_tile"))
+    cand = base.select("width", "vec_id", "row", "embedding", deal(1, numbered(1)).alias("tile"), spread(numbered(2)).alias("block"))
+    asked = base.where("asked").select(F.col("width").alias("q_width"), F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), deal(2, numbered(2)).alias("q_block"), spread(numbered(1)).alias("q_tile"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_row", "query_id", "tile", "vec_id", "row", "score"]
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "tile": pa.array([], pa.int32()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        right = right.sort_by("vec_id")
-        q_id, c_id = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
+            return pa.table({n: pa.array([], pa.int32() if n == "tile" else pa.int64()) for n in names})
+        right = right.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+        q_row, q_id, c_id, c_row = left.column("query_row").to_numpy(), left.column("query_id").to_numpy(), right.column("vec_id").to_numpy(), right.column("row").to_numpy()
         q, c = matrix(left.column("query"), scale), matrix(right.column("embedding"), scale)
         step, parts = max(1, tile_elements // max(1, len(c_id))), []
         for s in range(0, len(q_id), step):
             scores = products(q[s:s + step], c)
-            rows, cols = best_of_tile(scores, q_id[s:s + step, None] == c_id[None, :], k)
-            parts.append((q_id[s:s + step][rows], c_id[cols], scores[rows, cols]))
-        ids, vecs, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table({"query_id": ids, "tile": pa.array(np.full(len(ids), right.column("tile")[0].as_py(), np.int32)), "vec_id": vecs, "score": scores})
+            rows, cols = best_of_tile(scores, q_row[s:s + step, None] == c_row[None, :], k)
+            parts.append((q_row[s:s + step][rows], q_id[s:s + step][rows], c_id[cols], c_row[cols], scores[rows, cols]))
+        q_rows, ids, vecs, vec_rows, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.table(dict(zip(names, [q_rows, ids, pa.array(np.full(len(ids), right.column("tile")[0].as_py(), np.int32)), vecs, vec_rows, scores], strict=True)))
 
     lists = asked.groupBy("q_width", "q_block", "q_tile").cogroup(cand.groupBy("width", "block", "tile")).applyInArrow(cell, _RESULT)
     most = max((tiles(n, w) for w, n, _ in sizes), default=1)
-    order = (F.desc("score"), F.asc("vec_id"))
+    order = (F.desc("score"), F.asc("vec_id"), F.asc("row"))
     while most > FAN_IN:
-        lists = lists.withColumn("tile", (F.col("tile") / FAN_IN).cast("int")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "tile").orderBy(*order))).where(F.col("rank") <= k).drop("rank")
+        lists = lists.withColumn("tile", (F.col("tile") / FAN_IN).cast("int")).withColumn("rank", F.row_number().over(Window.partitionBy("query_row", "tile").orderBy(*order))).where(F.col("rank") <= k).drop("rank")
         most = -(-most // FAN_IN)
-    ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

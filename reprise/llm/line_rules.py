@@ -87,14 +87,15 @@ def measure(docs: DataFrame, row_id: Column | None = None) -> DataFrame:
 
 
 def frequent_lines(measures: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """(host, line, owner): lines that too many distinct documents of a host hold, and the first of these documents.
+    """(host, line, owner): lines that too many distinct documents of a host hold, and the row that is the first of these
+    documents (by doc_id, null last, then by row).
 
     Equal texts count as one document, so a group of copies can't make its own lines look like boilerplate.
     """
     texts = measures.groupBy("host", "text_key").agg(F.min("row_id").alias("row_id"))
     one = measures.join(texts.select("row_id"), "row_id", "left_semi")
     held = one.select("host", "row_id", "doc_id", F.explode("lines").alias("line"))
-    counted = held.groupBy("host", "line").agg(F.count("*").alias("documents"), F.min("doc_id").alias("owner"))
+    counted = held.groupBy("host", "line").agg(F.count("*").alias("documents"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("o")).withColumn("owner", F.col("o.row_id"))
     return counted.where(F.col("documents") > max_documents).select("host", "line", "owner", "documents")
 
 
@@ -102,7 +103,7 @@ def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """Base measures and verdict of every document.
 
     Lines are compared in lower case with single spaces. A line that more than ``max_documents`` of a host's distinct
-    documents hold, whatever the host's size, is removed from all of them but the first (smallest doc_id), so that a
+    documents hold, whatever the host's size, is removed from all rows but the first (smallest doc_id, null last), so that a
     passage isn't lost altogether. A document is rejected if it fails the base rules (fewer than ten words; more
     than 20 % of its words in repeated five-word windows) or if, without removed lines, under ten words or under 30 % of
     its words are left. Null texts have no words and fail; a null host is a host of its own; repeated rows are judged
@@ -116,7 +117,7 @@ def _judged(m: DataFrame, max_documents: int) -> DataFrame:
     """The verdicts of ``judge``, and ``gone_lines``: the lines to be removed of each document."""
     common = frequent_lines(m, max_documents)
     held = m.select("row_id", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row_id", "doc_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    removed = held.join(common, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("row_id").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("gone_lines"))
+    removed = held.join(common, ["host", "line"]).where(F.col("row_id") != F.col("owner")).groupBy("row_id").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("gone_lines"))
     out = m.drop("lines", "line_words").join(removed, "row_id", "left").withColumn("n_removed_words", F.coalesce("gone", F.lit(0)).cast("bigint"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
     left = F.col("n_words") - F.col("n_removed_words")

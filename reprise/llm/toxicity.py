@@ -90,12 +90,20 @@ def known(model_words: np.ndarray, text: pa.Array) -> tuple[np.ndarray, np.ndarr
 
 
 def families(text: pa.Array) -> np.ndarray:
-    """rows x FAMILY_KEYS earliest five-word windows under as many orders: near copies share most of them."""
+    """rows x FAMILY_KEYS earliest five-word windows under as many orders: near copies share most of them. A text of fewer
+    words goes by its whole word sequence; texts without words share one key."""
     words, row = words_of(text)
     out = np.full((len(text), FAMILY_KEYS), -1, np.int64)
     if len(words):
         code, distinct = coded(words)
-        h, start = windows_of(hashed(distinct)[code], row, 5)
+        value, size = hashed(distinct)[code], per_row(row, len(text))
+        for width in range(1, 5):
+            few = np.flatnonzero(size == width)
+            of_few = np.isin(row, few)
+            h, start = windows_of(value[of_few], row[of_few], width)
+            for k in range(FAMILY_KEYS):
+                out[row[of_few][start], k] = mix(h + np.uint64(k)).view(np.int64)
+        h, start = windows_of(value, row, 5)
         r = row[start]
         first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
         for k in range(FAMILY_KEYS):
@@ -168,7 +176,12 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(blind / (1 - blind))), prior)
     if not ones:
         return empty
-    pick = lambda df, seed, most: df.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).select("doc_id")
+    def pick(df: DataFrame, seed: int, most: int) -> DataFrame:
+        """The ids with the smallest hashes; all but about twice ``most`` are left out before they are ordered."""
+        part = min(1.0, 2.0 * most / max(1, df.count()))
+        h = F.xxhash64("doc_id", F.lit(seed))
+        return df.where(h <= F.lit(int(-2 ** 63 + part * (2 ** 64 - 1)) if part < 1 else 2 ** 63 - 1)).orderBy(h, "doc_id").limit(most).select("doc_id")
+
     ids = pick(of.where("toxic = 1"), 1, MAX_POSITIVES).withColumn("side", F.lit(1)).union(pick(own.select("doc_id").distinct(), 2, MAX_UNLABELLED).withColumn("side", F.lit(0)))
     # at most MAX_POSITIVES + MAX_UNLABELLED ids: small enough for every executor
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

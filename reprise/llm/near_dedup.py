@@ -266,3 +266,15 @@ def classes(docs: DataFrame, id_column: str = "doc_id", limit: float = SIMILARIT
         label = components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across))
     of = member.join(label.select(F.col("node").alias("rep"), F.col("root").alias("of")), "rep", "left").groupBy("id").agg(F.min(F.coalesce("of", "rep")).alias("class_id"))
     return docs.select(F.col("_id").alias("id")).join(of, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+
+
+def row_classes(docs: DataFrame, limit: float = SIMILARITY) -> DataFrame:
+    """Class of every row: (doc_id, class_id), ``class_id`` the smallest doc_id among the rows of its class.
+
+    Rows are compared by their own texts, so rows of one doc_id with different texts keep their own links, and rows
+    without a doc_id join the class of their copies (a class of such rows alone has a null ``class_id``).
+    """
+    d = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    of = d.select("row", "doc_id").join(classes(d, "row", limit).select(F.col("id").alias("row"), "class_id"), "row")
+    first = of.groupBy("class_id").agg(F.min("doc_id").alias("first"))
+    return of.join(first, "class_id").select("doc_id", F.col("first").alias("class_id"))

@@ -31,11 +31,11 @@ def bpe_files() -> tuple[str, str, str]:
 
 @query("op4_exact_topk", """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+s AS (SELECT a.r AS query_row, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
@@ -56,10 +56,9 @@ dup AS (SELECT r, sum(c - 1) AS n FROM l GROUP BY r),
 n AS (SELECT r, trim(regexp_replace(lower(line), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS line, c FROM l),
 n1 AS (SELECT r, line, sum(c) * len(string_split(line, ' ')) AS words FROM n GROUP BY r, line),
 t AS (SELECT host, min(r) AS r FROM d GROUP BY host, text),
-lim AS (SELECT host, greatest(50.0, count(*) * 0.005) AS most FROM t GROUP BY host),
-f AS (SELECT host, line, count(*) AS c, min(doc_id) AS owner FROM t JOIN d USING (r, host) JOIN n1 USING (r) GROUP BY host, line),
-f1 AS (SELECT f.* FROM f JOIN lim USING (host) WHERE f.c > most),
-gone AS (SELECT d.r, sum(n1.words) AS n FROM d JOIN n1 USING (r) JOIN f1 ON f1.host = d.host AND f1.line = n1.line WHERE d.doc_id IS DISTINCT FROM f1.owner GROUP BY d.r),
+f AS (SELECT host, line, count(*) AS c, arg_min(r, (doc_id IS NULL, doc_id, r)) AS owner FROM t JOIN d USING (r, host) JOIN n1 USING (r) GROUP BY host, line),
+f1 AS (SELECT f.* FROM f WHERE f.c > 50),
+gone AS (SELECT d.r, sum(n1.words) AS n FROM d JOIN n1 USING (r) JOIN f1 ON f1.host = d.host AND f1.line = n1.line WHERE d.r <> f1.owner GROUP BY d.r),
 o AS (SELECT d.doc_id, CAST(coalesce(b.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(b.word_chars, 0) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(repw.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
@@ -91,7 +90,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_dart_minhash")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
+    return near_dedup.row_classes(table(spark, sf_dir, "documents"))
 
 
 @query("op6_positive_unlabelled_toxicity")

@@ -89,8 +89,11 @@ def test_vectors(spark):
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("tile", F.lit(1)).withColumn("score", F.lit(1))
     rows = topk.search(df, F.col("vec_id") % 20 == 0, k=3).collect()
     got = {q: [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] for q in (0, 20, 40, 60)}
-    assert got == {0: [(1, -1024), (2, -1024), (20, -1024)], 20: [(1, 4352), (2, 4352), (0, -1024)], 40: [(7, 8192)], 60: []}
+    assert got == {0: [(1, -1024), (2, -1024), (2, -1024)], 20: [(1, 4352), (2, 4352), (2, 4352)], 40: [(7, 8192)], 60: []}
     assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+    twins = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [2.0, 0.0]), (0, [1.0, 0.5])], "vec_id long, embedding array<float>")
+    rows = topk.search(twins, F.col("vec_id") == 0, k=20).collect()                  # each row of an id is a candidate and a query
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rows) == sorted([(0, 1, 1, 8192), (0, 2, 0, 4096), (0, 3, 1, 2048)] * 2)
     big = spark.createDataFrame([(0, [3e38, 1.0]), (1, [3e38, 1.0]), (2, [-3e38, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in topk.search(big, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2 ** 63 - 1), (2, -2 ** 63)]
 
@@ -256,7 +259,34 @@ def test_line_limit_is_the_same_in_every_host(spark):
     line = line_rules.hashed(line_rules.pa.array(["planted here", "rarer line"])).view("int64").tolist()
     held = spark.range(20_000).selectExpr("'hot' as host", "id").unionByName(spark.range(500).selectExpr("'mid' as host", "id")).unionByName(spark.range(20).selectExpr("'small' as host", "id"))
     m = held.selectExpr("host", "xxhash64(host, id) as row_id", "id as doc_id", "xxhash64(id) as text_key", f"filter(array(if(id < 60, {line[0]}L, null), if(id < 50, {line[1]}L, null)), x -> x is not null) as lines")
-    assert sorted((r.host, r.line, r.owner, r.documents) for r in line_rules.frequent_lines(m).collect()) == [("hot", line[0], 0, 60), ("mid", line[0], 0, 60)]
+    first = {r.host: r.row_id for r in m.where("doc_id = 0").collect()}
+    assert sorted((r.host, r.line, r.owner, r.documents) for r in line_rules.frequent_lines(m).collect()) == [("hot", line[0], first["hot"], 60), ("mid", line[0], first["mid"], 60)]
+
+
+def test_rows_without_or_with_equal_ids_lose_lines_too(spark):
+    """120 rows of no id, or of one id, share a line: it stays in one of them."""
+    for i in (None, 7):
+        rows = [(i, f"{own(k)}\nshare this page", "h") for k in range(120)]
+        got = line_rules.without_lines(hosts(spark, rows)).collect()
+        assert sorted(r.n_removed_words for r in got) == [0] + [3] * 119 and sum("share" in r.text for r in got) == 1
+
+
+def test_rows_of_one_id_keep_their_own_links(spark):
+    """Two texts under one id, a copy of each under others: both pairs are found, whatever the order of rows."""
+    rows = [(1, own(1)), (1, own(2)), (2, own(1)), (3, own(2)), (None, own(3)), (9, own(3)), (None, own(4))]
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "doc_id long, text string")
+        got = sorted(((r.doc_id, r.class_id) for r in near_dedup.row_classes(d).collect()), key=str)
+        assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, 9), (9, 9), (None, None)], key=str)
+
+
+def test_short_texts_teach_apart():
+    """Texts of fewer than five words share a family only with equal word sequences."""
+    import pyarrow as pa
+
+    keys = toxicity.families(pa.array(["vile word", "vile word", "other vile", "a b c d", "x", "", "a b c d e f", "vile  word"]))
+    same = lambda i, j: (keys[i] == keys[j]).all()
+    assert same(0, 1) and same(0, 7) and not any(same(i, j) for i, j in ((0, 2), (0, 3), (3, 4), (4, 5), (3, 6)))
 
 
 def test_pipeline_filters_row_by_row(spark):

@@ -4,6 +4,7 @@ group, and kept where their group is frequent before the next length (SETM)."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -11,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from reprise.llm.common import chunks, coded, mix, staged
 
@@ -22,6 +23,8 @@ BROADCAST = 1 << 20
 HOT_SHARE = 1 << 16
 #: Bytes of text whose words make one row of the first relation, and occurrences that one sort counts.
 ROW_BYTES, COUNTED = 2 << 20, 1 << 19
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
 PARTS = 128
 #: Bits of a row's number below that of the part of the table that holds it.
 PART_BITS = 36
@@ -349,6 +352,18 @@ def _longer(relation: DataFrame, keep: Broadcast | None, least: int, broadcast:
     return "shared"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows of relations are long: Arrow batches of a few of them instead of a partition's whole content."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _mined(docs: DataFrame, longest: int, least: int, broadcast: int, codes: Codes) -> tuple[DataFrame, DataFrame] | None:
     """(frequent phrases of all lengths, words of each lang); None where codes collide that can't be split."""
     first = staged(occurrences(docs))
@@ -410,7 +425,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     """
     seed, mined = 0, None
     while mined is None:                     # a frequent word's code is another's too: next to never with 64 bits
-        mined = _mined(docs, longest, least, broadcast, Codes(seed, code_bits))
+        with small_batches(docs.sparkSession):
+            mined = _mined(docs, longest, least, broadcast, Codes(seed, code_bits))
         seed += 1
     phrases, total = mined
     longer = phrases.where("k > 2")

@@ -10,10 +10,12 @@ from reprise.functions.columns import flag
 from reprise.operators.asof import asof_join, interval_contains
 
 
-def life_years(vehicles: DataFrame, start_col: str, first: dt.date, last: dt.date, max_years: int = 12) -> DataFrame:
-    """Fully observed 12-month intervals ``[start, end)`` of each vehicle, numbered from 1."""
-    k = F.explode(F.sequence(F.lit(1), F.lit(max_years))).alias("k")
-    y = vehicles.where(F.col(start_col).isNotNull()).select("*", k)
+def life_years(vehicles: DataFrame, start_col: str, first: dt.date, last: dt.date) -> DataFrame:
+    """Fully observed 12-month intervals ``[start, end)`` of each vehicle, numbered from 1, up to its last one before
+    ``last``."""
+    whole = F.floor(F.months_between(F.lit(last), F.col(start_col)) / 12).cast("int") + 1
+    y = vehicles.where(F.col(start_col).isNotNull()).withColumn("_years", whole).where(F.col("_years") >= 1)
+    y = y.select(*vehicles.columns, F.explode(F.sequence(F.lit(1), F.col("_years"))).alias("k"))
     y = y.withColumns({"start": F.add_months(start_col, 12 * (F.col("k") - 1)), "end": F.add_months(start_col, 12 * F.col("k"))})
     return y.where((F.col("start") >= F.lit(first)) & (F.col("end") <= F.lit(last)))
 
@@ -22,7 +24,7 @@ def life_year_flags(years: DataFrame, maint: DataFrame, visits: DataFrame) -> Da
     """Maintenance and visit inside each interval, and maintenance in the year before."""
     y = interval_contains(years, maint, "vehicle_id", "start", "end", "event_date", "maint")
     y = interval_contains(y, visits, "vehicle_id", "start", "end", "event_date", "visit")
-    w = Window.partitionBy("vehicle_id").orderBy("k")           # at most max_years rows per vehicle
+    w = Window.partitionBy("vehicle_id").orderBy("k")           # one row a year of the vehicle
     prev = F.when(F.lag("k").over(w) == F.col("k") - 1, F.lag("maint").over(w))
     return y.withColumn("maint_prev", prev)
 

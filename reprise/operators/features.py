@@ -41,6 +41,17 @@ LABEL_COLUMNS = [
     "next_maint_km", "days_next_vs_due", "next_visit_date", "horizon_end", "first_seen",
 ]
 SNAPSHOT_COLUMNS = ["connected_status"]
+#: Columns of the feature table by kind.
+DATES = ["scoring_date", "anchor_date", "due_date", "due_time", "due_km", "horizon_end", "next_maint_date", "next_visit_date", "warranty_start", "SalesDate"]
+TEXTS = [*CATEGORICAL, "window_id", "vehicle_id", "customer_id", "last_dealer_id", "customer_id_at_scoring", "status", "sales_customer_id", "sales_dealer_id"]
+WHOLE = ["history_days", "window_n", "days_next_vs_due", "n_maint", "n_completed", "n_no_os", "n_noshow", "n_cancel", "n_appts", "n_recall", "n_diag", "n_repair", "n_guarantee", "n_fordpass", "n_web_or_app", "n_pud", "n_mobile",
+         "n_fixed_price", "n_reschedule", "n_hard_cancel", "n_return_visits", "n_towing", "n_customer_changes", "n_dealer_changes", "days_since_last_appt", "last_maint_fixed_price", "last_maint_pud", "last_maint_customer_waiting",
+         "days_since_last_maint", "n_intervals_known", "n_numbering_jumps", "days_since_last_noshow", "days_since_last_cancel", "days_since_last_visit", "days_since_last_km", "n_surveys", "days_since_last_survey", "in_sales",
+         "fleet_size_sales", "n_vehicles_customer_agenda", "vehicle_age_days", "is_buyer", "same_dealer_as_sale", "days_anchor_to_due", "days_to_due_at_scoring", "scoring_month", "is_first_service"]
+REALS = ["anchor_km", "k_gen", "km_rate_per_day", "next_maint_km", "label_churn", "label_no_visit", "last_days_in_dealer", "last_maint_km", "last_maint_number", "last_maint_days_in_dealer", "last_interval_days", "last_interval_km",
+         "mean_interval_days", "std_interval_days", "last_km", "min_rating", "last_rating", "mean_rating", "model_year", "vehicle_age_years", "months_observable", "km_per_year", "km_expected_at_scoring", "last_maint_late_days",
+         "last_maint_km_vs_plan", "last_interval_km_vs_k", "noshow_rate", "cancel_rate", "fordpass_share", "maint_per_year_observed"]
+FEATURE_TYPES = {c: k for k, cols in (("date", DATES), ("categorical", TEXTS), ("integer", WHOLE), ("numeric", REALS)) for c in cols}
 RECENCIES = ["days_since_last_appt", "days_since_last_maint", "days_since_last_noshow", "days_since_last_cancel",
              "days_since_last_visit", "days_since_last_km", "days_since_last_survey"]
 WINDOW_INPUT = [

@@ -18,11 +18,13 @@ def rule_counts(df: DataFrame, table: str, rules: dict[str, Column], key: str =
     return per.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("x")).select("x.*")
 
 
-def column_profile(df: DataFrame, columns: list[str], groups: dict[str, str] | None = None) -> DataFrame:
-    """Type, group and missing share of each column from a single pass."""
-    kinds = dict(df.dtypes)
-    groups = groups or {}
-    cells = [F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), F.lit(groups.get(c, "other")).alias("grp"),
+KINDS = {"date": "date", "timestamp": "date", "timestamp_ntz": "date", "string": "categorical", "boolean": "categorical", "int": "integer", "bigint": "integer", "smallint": "integer", "double": "numeric", "float": "numeric"}
+
+
+def column_profile(df: DataFrame, columns: list[str], groups: dict[str, str] | None = None, roles: dict[str, str] | None = None) -> DataFrame:
+    """Type, group, role and missing share of each column from a single pass; a column without a role is an input."""
+    kinds, groups, roles = dict(df.dtypes), groups or {}, roles or {}
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(KINDS.get(kinds[c], kinds[c])).alias("type"), F.lit(groups.get(c, "other")).alias("grp"), F.lit(roles.get(c, "input")).alias("role"),
                       F.avg(F.col(c).isNull().cast("double")).alias("missing"), F.count(c).alias("known")) for c in columns]
     return df.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("x")).select("x.*")
 

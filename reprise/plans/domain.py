@@ -83,7 +83,7 @@ AGENDA = {
     "CustomerWaiting": "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Y' ELSE 'N' END",
     "PickupDeliveryService": "CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'Yes' ELSE 'No' END",
     "MobileService": "CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' AND l_quantity > 35 THEN 'Yes' ELSE 'No' END",
-    "SurveyStarRating": f"CASE WHEN {_SURVEYED} THEN CAST(1 + CAST(floor(o_totalprice / 100000) AS BIGINT) AS DOUBLE) END",
+    "SurveyStarRating": f"CASE WHEN {_SURVEYED} AND o_totalprice NOT BETWEEN 150000 AND 170000 THEN CAST(1 + CAST(floor(o_totalprice / 100000) AS BIGINT) AS DOUBLE) END",
     "SurveyResponseDate": f"CASE WHEN {_SURVEYED} THEN {_DAY} + (3 + c_nationkey) END",
     "WarrantyStartDate": "CASE WHEN c_acctbal <= 9000 THEN DATE '1994-09-01' + c_nationkey * 40 END",
     "ConnectedStatusARG": "CASE WHEN c_acctbal > 5000 THEN 'Connected' WHEN c_acctbal > 1000 THEN 'Pending' END",
@@ -400,8 +400,8 @@ hm AS (SELECT w.window_id, max(scoring_date) - max(event_date) AS days_since_las
   CASE WHEN count(iv) > 1 THEN sqrt(greatest(sum(iv * iv) / count(iv) - avg(iv) * avg(iv), 0)) END AS std_interval_days,
   count(*) FILTER (WHERE jump) AS jumps
  FROM w JOIN m ON m.vehicle_id = w.vehicle_id AND m.event_date < w.scoring_date GROUP BY 1),
-hs AS (SELECT w.window_id, count(*) AS n_surveys, min(SurveyStarRating) AS min_rating, last(SurveyStarRating ORDER BY SurveyResponseDate, pos) AS last_rating,
-  avg(SurveyStarRating) AS mean_rating, max(scoring_date) - max(SurveyResponseDate) AS days_since_last_survey
+hs AS (SELECT w.window_id, count(*) AS n_surveys, CASE WHEN last(SurveyStarRating ORDER BY SurveyResponseDate, pos) IS NOT NULL THEN min(SurveyStarRating) END AS min_rating, last(SurveyStarRating ORDER BY SurveyResponseDate, pos) AS last_rating,
+  CASE WHEN last(SurveyStarRating ORDER BY SurveyResponseDate, pos) IS NOT NULL THEN avg(SurveyStarRating) END AS mean_rating, max(scoring_date) - max(SurveyResponseDate) AS days_since_last_survey
  FROM w JOIN a ON a.vehicle_id = w.vehicle_id AND SurveyResponseDate < w.scoring_date GROUP BY 1),
 fl AS (SELECT w.window_id, count(*) AS n FROM w JOIN sales s ON s.customer_id = w.customer_id AND s.SalesDate < w.scoring_date GROUP BY 1),
 cv AS (SELECT w.window_id, count(DISTINCT x.vehicle_id) AS n FROM w JOIN appt x ON x.customer_id = w.customer_id AND x.vehicle_id IS NOT NULL
@@ -412,7 +412,7 @@ z AS (SELECT w.*, h.* EXCLUDE (window_id, n_maint, n_completed, n_no_os, n_nosho
   coalesce(hs.n_surveys, 0) AS n_surveys, min_rating, last_rating, mean_rating, days_since_last_survey,
   coalesce(fl.n, 0) AS fleet_size_sales, coalesce(cv.n, 0) AS n_vehicles_customer_agenda,
   vm.warranty_start, vm.generation, vm.model_year, vm.tma, vm.connected_status, vm.region, vm.person_type, vm.business_unit, vm.sales_channel,
-  vm.sales_state, vm.sales_dealer_id, coalesce(vm.in_sales, false) AS was_sold, vm.sales_customer_id AS buyer
+  vm.sales_state, vm.sales_dealer_id, vm.SalesDate, coalesce(vm.in_sales, false) AS was_sold, vm.sales_customer_id AS buyer
  FROM w LEFT JOIN h USING (window_id) LEFT JOIN hm USING (window_id) LEFT JOIN hs USING (window_id) LEFT JOIN fl USING (window_id)
  LEFT JOIN cv USING (window_id) LEFT JOIN vm ON vm.vehicle_id = w.vehicle_id)
 SELECT *, greatest(scoring_date - warranty_start, CASE WHEN warranty_start IS NOT NULL THEN 0 END) AS vehicle_age_days,

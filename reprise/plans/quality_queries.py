@@ -14,6 +14,8 @@ from reprise.operators.history import counts_before, previous_row
 from reprise import fixed_values as fv
 from reprise.plans.domain import AGENDA, RULES, SPAN, Tables
 from reprise.plans.registry import query
+from reprise.runtime import shared_path
+from reprise.sources import records as rc
 from reprise.sources.validation import profile_extract
 
 one = lambda: F.count(F.lit(1))
@@ -161,10 +163,27 @@ def _coverage(t: Tables):
 query("sales_coverage", "cohort t, n i, ever d, in_365d d", """SELECT date_trunc('quarter', DeliveryDate) AS cohort, count(*) AS n, avg(CAST(fv IS NOT NULL AS INTEGER)) AS ever, avg(CASE WHEN DeliveryDate + 365 <= DATE '2001-02-28' THEN CAST(coalesce(fv <= DeliveryDate + 365, false) AS INTEGER) END) AS in_365d
  FROM sales LEFT JOIN (SELECT vehicle_id, min(event_date) AS fv FROM visits WHERE completed GROUP BY 1) USING (vehicle_id) GROUP BY 1""", "visits sales")(_coverage)
 query("leakage_invariant", ", ".join(f"{c} i" for c in ft.RECENCIES), "SELECT " + ", ".join(f"0 AS {c}" for c in ft.RECENCIES))(lambda t: ft.leakage_violations(t.features()))
-_PC = ["last_status", "last_maint_km", "last_interval_days", "std_interval_days", "mean_rating", "generation", "warranty_start", "customer_id", "fleet_size_sales", "last_km"]
-_PG = {"last_status": "history", "last_maint_km": "usage", "generation": "vehicle", "fleet_size_sales": "customer"}
-query("column_profile", "column s, grp s, missing d, known i".replace("column s", "name s"), " UNION ALL ".join(f"SELECT '{c}' AS name, '{_PG.get(c, 'other')}' AS grp, avg(CAST({c} IS NULL AS INTEGER)) AS missing, count({c}) AS known FROM features" for c in _PC), "features")(
-    lambda t: ql.column_profile(t.features(), _PC, _PG).withColumnRenamed("column", "name"))
+#: Group of a feature by the start or a part of its name, first match; and the kinds that SQL types have.
+_GROUPS = [("survey", ("survey", "rating")), ("usage", ("km", "interval")), ("history", ("n_", "last_", "days_since", "noshow_rate", "cancel_rate", "fordpass_share", "maint_per_year")), ("customer", ("fleet", "person", "business", "is_buyer", "n_vehicles")),
+           ("vehicle", ("generation", "model_year", "tma", "vehicle_age", "connected", "warranty")), ("sale", ("sales", "in_sales", "same_dealer")), ("window", ("due", "anchor", "binding", "rate_source", "scoring", "is_first", "months_observable", "history_days", "days_to"))]
+
+
+def _group_of(c: str) -> str:
+    return next((g for g, keys in _GROUPS if any(c.startswith(k) or (k[0] != "n" and k in c) for k in keys)), "other")
+
+
+def _role_of(c: str) -> str:
+    return "identifier or date" if c in ft.ID_COLUMNS else "label or outcome" if c in ft.LABEL_COLUMNS else "snapshot, not used" if c in ft.SNAPSHOT_COLUMNS else "input"
+
+
+def _dictionary(t: Tables):
+    f = t.features()
+    return ql.column_profile(f, f.columns, {c: _group_of(c) for c in f.columns}, {c: _role_of(c) for c in f.columns}).withColumnRenamed("column", "name")
+
+
+#: Columns of the feature table with their types, as the text below states them.
+_DICT_SQL = " UNION ALL ".join(f"SELECT '{c}' AS name, '{k}' AS type, '{_group_of(c)}' AS grp, '{_role_of(c)}' AS role, avg(CAST({c} IS NULL AS INTEGER)) AS missing, count({c}) AS known FROM features" for c, k in ft.FEATURE_TYPES.items())
+query("column_profile", "name s, type s, grp s, role s, missing d, known i", _DICT_SQL, "features")(_dictionary)
 _AGENDA_IDS = ["schedule_id", "vehicle_id", "customer_id", "dealer_id"]
 _AGENDA_DAYS = [c for c in fv.AGENDA_DATES if c in AGENDA]
 query("input_validation", "n_rows i, " + ", ".join(f"empty_{c} i" for c in _AGENDA_IDS) + ", " + ", ".join(f"invalid_{c} i, min_{c} t, max_{c} t" for c in _AGENDA_DAYS) + ", last_event t",
@@ -228,3 +247,28 @@ query("exclusion_ledger", "exclusion s, n i", f"""SELECT 'identical_items' AS ex
  UNION ALL SELECT 'after_cutoff', count(*) FILTER (WHERE ScheduleDate > {_CUT_SQL}) FROM appt
  UNION ALL SELECT 'maintenance_within_7_days', count(*) FROM (SELECT event_date - lag(event_date) OVER (PARTITION BY vehicle_id ORDER BY event_date, schedule_id) AS g FROM visits WHERE is_completed_maintenance) WHERE g <= 7
  UNION ALL SELECT 'sales_outside_rules', count(*) FILTER (WHERE ModelShortName IS DISTINCT FROM '{RULES.model}' OR DeliveryDate < DATE '{RULES.min_delivery}' OR Status IS DISTINCT FROM '{RULES.status}') FROM sales""", "agenda appt visits sales")(_ledger)
+
+
+# ---------------------------------------------------------------------------------- text extracts
+#: A text copy of the bookings: notes with quotes and line feeds, and some days and prices that can't be read.
+_NOTE = "concat('order ', CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN concat(chr(10), 'said \"late\", left', chr(10), chr(10)) WHEN o_orderkey % 3 = 1 THEN ', paid' ELSE '' END)"
+_TEXT = {"id": "CAST(o_orderkey AS STRING)", "note": _NOTE, "day": "CASE WHEN o_orderkey % 97 = 5 THEN 'soon' WHEN o_orderkey % 41 = 7 THEN '' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END",
+         "price": "CASE WHEN o_orderkey % 89 = 3 THEN 'n/a' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) END", "status": "concat(' ', o_orderstatus, ' ')"}
+
+
+def text_extract(t: Tables):
+    """The text copy written as quoted text and read back by records, typed, with rejected cells."""
+    def build():
+        path = shared_path(t.spark, "extracts")
+        t.raw("orders").selectExpr(*[f"{e} AS {c}" for c, e in _TEXT.items()]).write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        return rc.typed(rc.read_quoted_csv(t.spark, path), dates=["day"], numbers=["price"], trimmed=["status"])
+    return t.stage("text_extract", build)
+
+
+_TX = "(SELECT " + ", ".join(f"{e} AS {c}" for c, e in _TEXT.items()).replace("AS STRING", "AS VARCHAR") + " FROM orders)"
+query("quoted_extract", "id s, note s, day t, price d, status s, malformed b", f"SELECT id, note, try_cast(nullif(day, 'soon') AS DATE) AS day, try_cast(price AS DOUBLE) AS price, trim(status) AS status, false AS malformed FROM {_TX}")(
+    lambda t: text_extract(t).withColumnRenamed("_malformed", "malformed"))
+query("reject_ledger", "id s, column s, raw s, reason s".replace("column s", "field s"), f"SELECT id, 'day' AS field, day AS raw, 'not a date' AS reason FROM {_TX} WHERE trim(day) <> '' AND try_cast(day AS DATE) IS NULL UNION ALL SELECT id, 'price', price, 'not a number' FROM {_TX} WHERE trim(price) <> '' AND try_cast(price AS DOUBLE) IS NULL")(
+    lambda t: text_extract(t).select("id", F.explode("_rejected").alias("r")).select("id", F.col("r.column").alias("field"), "r.raw", "r.reason"))
+query("text_validation", "n_rows i, empty_id i, invalid_day i, min_day t, max_day t, last_event t", f"""SELECT count(*) AS n_rows, count(*) FILTER (WHERE coalesce(trim(id), '') = '') AS empty_id, count(*) FILTER (WHERE trim(day) <> '' AND try_cast(day AS DATE) IS NULL) AS invalid_day,
+ min(try_cast(day AS DATE)) AS min_day, max(try_cast(day AS DATE)) AS max_day, max(try_cast(day AS DATE)) AS last_event FROM {_TX}""")(lambda t: profile_extract(t.raw("orders").selectExpr(*[f"{e} AS {c}" for c, e in _TEXT.items()]), ["id"], ["day"], "day"))

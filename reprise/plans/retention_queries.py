@@ -52,7 +52,7 @@ def life(t: Tables):
 _LIFE = f"""SELECT *, lag(maint) OVER (PARTITION BY vehicle_id ORDER BY k) AS lm, lag(k) OVER (PARTITION BY vehicle_id ORDER BY k) AS lk FROM (SELECT *, coalesce(first_seen < s, false) AS known_before,
  EXISTS (SELECT 1 FROM maint x WHERE x.vehicle_id = y.vehicle_id AND x.event_date >= s AND x.event_date < e) AS maint,
  EXISTS (SELECT 1 FROM visits x WHERE x.vehicle_id = y.vehicle_id AND x.completed AND x.event_date >= s AND x.event_date < e) AS visit
- FROM (SELECT *, CAST(wsd + to_months(CAST(12 * (k - 1) AS INTEGER)) AS DATE) AS s, CAST(wsd + to_months(CAST(12 * k AS INTEGER)) AS DATE) AS e FROM ({_UNI}), (SELECT unnest(range(1, 13)) AS k) WHERE wsd IS NOT NULL) y
+ FROM (SELECT *, CAST(wsd + to_months(CAST(12 * (k - 1) AS INTEGER)) AS DATE) AS s, CAST(wsd + to_months(CAST(12 * k AS INTEGER)) AS DATE) AS e FROM ({_UNI}), (SELECT unnest(range(1, CAST(date_diff('year', (SELECT min(wsd) FROM ({_UNI})), {_CUT}) + 2 AS BIGINT))) AS k) WHERE wsd IS NOT NULL) y
  WHERE s >= {_START} AND e <= {_CUT})"""
 query("retention_life_year", "k i, n i, maint d, visit d, n_known i, maint_known d, n_cohort i, maint_cohort d", f"""SELECT k, count(*) AS n, avg(CAST(maint AS INTEGER)) AS maint, avg(CAST(visit AS INTEGER)) AS visit,
  count(*) FILTER (WHERE known_before) AS n_known, avg(CAST(maint AS INTEGER)) FILTER (WHERE known_before) AS maint_known, count(*) FILTER (WHERE cohort) AS n_cohort,
@@ -257,9 +257,9 @@ query("recurrence_owner_change", "churn15 b, n i, owner_change d", f"""SELECT ch
 
 def _curve24(t: Tables):
     c = all_cycles(t).where((F.col("start") >= F.lit(SPAN.start)) & (F.add_months("start", 24) <= F.lit(SPAN.cutoff)))
-    rows = [F.struct(F.lit(h).alias("h"), share(co.returned_by("next_maint", "start", h)).alias("rate")) for h in (3, 6, 9, 12, 15, 18, 21, 24)]
+    rows = [F.struct(F.lit(h).alias("h"), share(co.returned_by("next_maint", "start", h)).alias("rate")) for h in range(1, 25)]
     return c.groupBy("origin").agg(one().alias("n"), F.array(*rows).alias("a")).select("origin", "n", F.explode("a").alias("x")).select("origin", "n", "x.*")
 
 
-query("return_curve_24m", "origin s, n i, h i, rate d", f"""SELECT origin, count(*) AS n, h, avg(CAST(coalesce(next_maint <= CAST(s + to_months(h) AS DATE), false) AS INTEGER)) AS rate FROM ({_CYC}), (SELECT unnest([3, 6, 9, 12, 15, 18, 21, 24]) AS h)
+query("return_curve_24m", "origin s, n i, h i, rate d", f"""SELECT origin, count(*) AS n, h, avg(CAST(coalesce(next_maint <= CAST(s + to_months(h) AS DATE), false) AS INTEGER)) AS rate FROM ({_CYC}), (SELECT unnest(range(1, 25)) AS h)
  WHERE s >= {_START} AND CAST(s + INTERVAL 24 MONTH AS DATE) <= {_CUT} GROUP BY 1, 3""", _ND)(_curve24)

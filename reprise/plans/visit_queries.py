@@ -120,22 +120,30 @@ query("eda_followup_bands", "band s, n i, with_completed i, with_maintenance i",
     "visits")(_followup)
 
 
+#: Groups of the follow-up curve, with the first day that counts: a completed visit needs another one, a day later at least.
+_CURVES = {"cancelled_rescheduled": (lambda: F.col("cancelled") & (F.col("IsReschedule") == "Y"), "cancelled AND IsReschedule = 'Y'", 0), "cancelled_for_good": (lambda: F.col("cancelled") & (F.col("IsReschedule") == "N"), "cancelled AND IsReschedule = 'N'", 0),
+           "no_show": (lambda: F.col("no_show"), "no_show", 0), "done_without_order": (lambda: F.col("completed_no_os"), "completed_no_os", 0), "completed": (lambda: F.col("completed"), "completed", 1)}
+_CURVE_DAYS = 90
+
+
 def _followup_curve(t: Tables):
-    v = t.visits().select("vehicle_id", "event_date", "completed", "StatusARG", "no_show", "cancelled")
-    sub = v.where((F.col("no_show") | F.col("cancelled")) & (F.col("event_date") <= F.date_sub(F.lit(SPAN.cutoff), 90)))
-    j = asof_join(sub, v.where("completed").select("vehicle_id", F.col("event_date").alias("nxt")), "vehicle_id", "event_date", "nxt", ["nxt"], "forward")
-    per = j.groupBy("StatusARG", F.datediff("nxt", "event_date").alias("gap")).agg(one().alias("k"))
-    tot = Window.partitionBy("StatusARG")
-    g = per.withColumn("n", F.sum("k").over(tot))
-    hits = [F.struct(F.lit(d).alias("day"), F.sum(F.when(F.col("gap") <= d, F.col("k")).otherwise(0)).alias("returned")) for d in (7, 15, 30, 60, 90)]
-    return (g.groupBy("StatusARG").agg(F.max("n").alias("n"), F.array(*hits).alias("a")).select("StatusARG", "n", F.explode("a").alias("x"))
-            .select("StatusARG", "n", "x.day", (F.col("x.returned") / F.col("n")).alias("share")))
-
-
-query("eda_followup_curve", "StatusARG s, n i, day i, share d", """
-SELECT StatusARG, count(*) AS n, d AS day, avg(CAST(coalesce((SELECT min(event_date) FROM visits r WHERE r.vehicle_id = s.vehicle_id AND r.completed AND r.event_date > s.event_date)
- - s.event_date <= d, false) AS INTEGER)) AS share FROM visits s, (SELECT unnest([7, 15, 30, 60, 90]) AS d)
-WHERE (no_show OR cancelled) AND event_date <= DATE '2001-02-28' - 90 GROUP BY 1, 3""", "visits")(_followup_curve)
+    """Share of bookings with a completed visit of the vehicle within 0 to 90 days, for five groups of bookings."""
+    v = t.visits().where(F.col("event_date") <= F.date_sub(F.lit(SPAN.cutoff), _CURVE_DAYS))
+    group = lambda k, c, lo: F.when(c(), F.struct(F.lit(k).alias("grp"), F.lit(lo).alias("lo")))
+    sub = v.select("vehicle_id", "event_date", F.explode(F.filter(F.array(*[group(k, c, lo) for k, (c, _, lo) in _CURVES.items()]), lambda g: g.isNotNull())).alias("g"))
+    sub = sub.select("vehicle_id", "g.grp", "event_date", F.date_add("event_date", F.col("g.lo")).alias("from_day"))
+    done = t.visits().where("completed").select("vehicle_id", F.col("event_date").alias("nxt")).distinct()
+    j = asof_join(sub, done, "vehicle_id", "from_day", "nxt", ["nxt"], "forward", True)
+    per = j.groupBy("grp", F.datediff("nxt", "event_date").alias("gap")).agg(one().alias("k"))
+    n = per.groupBy("grp").agg(F.sum("k").alias("n"))
+    days = per.where(F.col("gap") <= _CURVE_DAYS).select("grp", "k", F.explode(F.sequence("gap", F.lit(_CURVE_DAYS))).alias("day")).groupBy("grp", "day").agg(F.sum("k").alias("returned"))
+    grid = n.select("grp", "n", F.explode(F.sequence(F.lit(0), F.lit(_CURVE_DAYS))).alias("day"))
+    return grid.join(days, ["grp", "day"], "left").select("grp", "n", "day", (F.coalesce("returned", F.lit(0)) / F.col("n")).alias("share"))
+
+
+query("eda_followup_curve", "grp s, n i, day i, share d", "WITH s AS (" + " UNION ALL ".join(
+    f"SELECT '{k}' AS grp, (SELECT min(event_date) FROM visits r WHERE r.vehicle_id = s.vehicle_id AND r.completed AND r.event_date >= s.event_date + {lo}) - s.event_date AS gap FROM visits s WHERE ({c}) AND event_date <= DATE '2001-02-28' - {_CURVE_DAYS}"
+    for k, (_, c, lo) in _CURVES.items()) + f") SELECT grp, count(*) AS n, d AS day, avg(CAST(coalesce(gap <= d, false) AS INTEGER)) AS share FROM s, (SELECT unnest(generate_series(0, {_CURVE_DAYS})) AS d) GROUP BY 1, 3", "visits")(_followup_curve)
 
 
 def _dealer_share(t: Tables):

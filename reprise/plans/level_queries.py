@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reprise.functions.columns import INF, cut
+from reprise.functions.columns import INF, count_if, cut
 from reprise.operators import cube as cb, difference as df_, features as ft, stats as st
 from reprise.operators.asof import asof_join
-from reprise.operators.history import scan_before
-from reprise.plans.channel_queries import _B, base
+from reprise.operators.history import previous_row, scan_before
+from reprise.plans.channel_queries import _B, _HB, _HIST_FEATURES, _RANK_MIN, base, history_base
 from reprise.plans.domain import Tables
 from reprise.plans.identity_queries import _KN, _TR, identity_features, known, transfers
 from reprise.plans.registry import query
@@ -172,3 +172,66 @@ query("two_plan_counters", "column s, total_first i, total_second i, differing i
  s AS (SELECT window_id, k, {', '.join(f'coalesce(sum({c}) OVER y, 0) AS {c}' for c in _FLAG_SQL)} FROM u WINDOW y AS (PARTITION BY vehicle_id ORDER BY d, k, window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) """
       + " UNION ALL ".join(f"SELECT '{c}' AS counter, sum(f.{c}) AS total_first, sum(s.{c}) AS total_second, count(*) FILTER (WHERE f.{c} <> s.{c}) AS differing FROM features f JOIN s ON s.window_id = f.window_id AND s.k = 0" for c in _FLAG_SQL), "features visits")(
     lambda t: df_.difference_counts(t.features().select("window_id", *[F.col(c).cast("bigint").alias(c) for c in _COUNTERS]), second_plan(t), "window_id", _COUNTERS).withColumnRenamed("column", "counter"))
+
+
+# ---------------------------------------------------------------------------------- all features ranked
+_DAY_BINS, _DAY_NAMES = [-INF, 0, 1, 3, 7, INF], ["0", "1", "2-3", "4-7", "8+"]
+_VISIT_COLUMNS = ["NeededTowing", "IsReschedule", "ScheduleReturn", "ConnectedStatusARG", "Region", "DealerStateOrZone", "has_diag", "has_repair", "has_recall", "has_guarantee"]
+_DAYS_SQL = "CASE WHEN {c} <= 0 THEN '0' WHEN {c} <= 1 THEN '1' WHEN {c} <= 3 THEN '2-3' WHEN {c} <= 7 THEN '4-7' WHEN {c} > 7 THEN '8+' END"
+#: Level of each feature, as SQL over the return base, prior history and the visit's own columns.
+_ALL = {"gen": "gen", "model_year": "ModelYear", "number_bin": "number_bin", "source": "ScheduleSource", "digital": "ScheduleSource IN ('FordPass', 'WEB', 'Mobile')", "survey": "survey", "has_pud": "has_pud", "has_mobile": "has_mobile", "waiting": "CustomerWaiting",
+        "has_fixed_price": "has_fixed_price", **{c: c for c in _VISIT_COLUMNS}, "days": "days_bin", "work_days": "work_days_bin", "items": "items_bin", **{c: c for c in _HIST_FEATURES}}
+DEALER_MIN = 30
+
+
+def ranking_base(t: Tables):
+    """The return base with every feature of the ranking as a level, and the dealer's return of the year before in fifths."""
+    def build():
+        d = t.visits().select("schedule_id", *_VISIT_COLUMNS, cut(F.col("DaysInDealer"), _DAY_BINS, _DAY_NAMES).alias("days_bin"), cut(F.col("WorkDaysInDealer"), _DAY_BINS, _DAY_NAMES).alias("work_days_bin"),
+                              F.when(F.col("n_items") >= 4, "4+").otherwise(F.col("n_items").cast("string")).alias("items_bin"))
+        return history_base(t).join(d, "schedule_id")
+    return t.stage("ranking_base", build)
+
+
+def _feature_cube(t: Tables):
+    return t.stage("ranking_cube", lambda: cb.level_cube(ranking_base(t), {k: F.expr(c) for k, c in _ALL.items()}, ["ret"]).unionByName(
+        cb.level_cube(_dealers(t), {"dealer_id": F.col("dealer_id"), "dealer_encoding": F.col("fifth")}, ["ret"])))
+
+
+def _dealers(t: Tables):
+    """Visits of 1998 and later at dealers with enough visits in 1997, with the fifth of the dealer's return in 1997."""
+    te = base(t).where("year = 1997 and dealer_id is not null").groupBy("dealer_id").agg(one().alias("n97"), F.avg("ret").alias("r97")).where(F.col("n97") >= DEALER_MIN)
+    edges = te.agg(F.percentile("r97", F.array(*[F.lit(q / 5) for q in range(1, 5)])).alias("e"))        # one row a dealer
+    b = base(t).where("year >= 1998").join(te, "dealer_id").withColumn("e", edges.select("e").scalar())
+    fifth = F.size(F.filter("e", lambda e: F.col("r97") > e)) + 1
+    return b.select("ret", "dealer_id", fifth.cast("string").alias("fifth"))
+
+
+def _rank_all(t: Tables):
+    g = _feature_cube(t).groupBy("feature", "level").agg(F.sum("n").alias("n"), F.sum("ret").alias("p"))
+    total = g.groupBy("feature").agg(F.sum(F.col("p") + 0.5).alias("tp"), F.sum(F.col("n") - F.col("p") + 0.5).alias("tq"), F.sum("n").alias("rows"))
+    j = g.join(total, "feature").withColumns({"a": (F.col("p") + 0.5) / F.col("tp"), "b": (F.col("n") - F.col("p") + 0.5) / F.col("tq"), "rate": F.when(F.col("n") >= _RANK_MIN, F.col("p") / F.col("n"))})
+    return j.groupBy("feature", "rows").agg(one().alias("levels"), F.sum((F.col("a") - F.col("b")) * F.log(F.col("a") / F.col("b"))).alias("iv"), F.max("rate").alias("best_rate"), F.min("rate").alias("worst_rate")).withColumn("spread_pp", 100 * (F.col("best_rate") - F.col("worst_rate")))
+
+
+query("feature_ranking_all", "feature s, rows i, levels i, iv d, best_rate d, worst_rate d, spread_pp d", f"""WITH h AS (SELECT * FROM {_HB}), r AS (SELECT h.*, {', '.join(f'v.{c}' for c in _VISIT_COLUMNS)}, {_DAYS_SQL.format(c='v.DaysInDealer')} AS days_bin, {_DAYS_SQL.format(c='v.WorkDaysInDealer')} AS work_days_bin,
+ CASE WHEN v.n_items >= 4 THEN '4+' ELSE CAST(v.n_items AS VARCHAR) END AS items_bin FROM h JOIN visits v USING (schedule_id)),
+te AS (SELECT dealer_id, avg(ret) AS r97 FROM h WHERE year = 1997 AND dealer_id IS NOT NULL GROUP BY 1 HAVING count(*) >= {DEALER_MIN}), e AS (SELECT quantile_cont(r97, [0.2, 0.4, 0.6, 0.8]) AS e FROM te),
+d AS (SELECT ret, dealer_id, CAST(len(list_filter(e, lambda x: r97 > x)) + 1 AS VARCHAR) AS fifth FROM h JOIN te USING (dealer_id), e WHERE year >= 1998),
+l AS ({' UNION ALL '.join(f"SELECT '{k}' AS feature, coalesce(CAST(({c}) AS VARCHAR), '(nulo)') AS level, ret FROM r" for k, c in _ALL.items())} UNION ALL SELECT 'dealer_id', dealer_id, ret FROM d UNION ALL SELECT 'dealer_encoding', fifth, ret FROM d),
+g AS (SELECT feature, level, count(*) AS n, sum(ret) AS p FROM l GROUP BY 1, 2), s AS (SELECT *, (p + 5e-1) / sum(p + 5e-1) OVER w AS a, (n - p + 5e-1) / sum(n - p + 5e-1) OVER w AS b FROM g WINDOW w AS (PARTITION BY feature))
+SELECT feature, sum(n) AS rows, count(*) AS levels, sum((a - b) * ln(a / b)) AS iv, max(p / n) FILTER (WHERE n >= {_RANK_MIN}) AS best_rate, min(p / n) FILTER (WHERE n >= {_RANK_MIN}) AS worst_rate, 100 * (max(p / n) FILTER (WHERE n >= {_RANK_MIN}) - min(p / n) FILTER (WHERE n >= {_RANK_MIN})) AS spread_pp
+FROM s GROUP BY 1""", "visits")(_rank_all)
+
+
+def _recent(t: Tables):
+    """Completed visits with a booking of the vehicle in the 30 days before: how many carry the return flag."""
+    p = previous_row(t.visits().select("schedule_id", "vehicle_id", "event_date", "StatusARG", "completed", "ScheduleReturn"), "vehicle_id", "event_date", "schedule_id", ["event_date", "completed"]).where("completed")
+    near = F.coalesce(F.datediff("event_date", "prev_event_date") <= 30, F.lit(False))
+    kinds = F.array(F.when(near, F.lit("any booking before")), F.when(near & F.col("prev_completed"), F.lit("completed before")), F.when(~near, F.lit("none before")))
+    return p.select("ScheduleReturn", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind")).groupBy("kind").agg(one().alias("n"), count_if(F.col("ScheduleReturn") == "Y").alias("flagged"), F.avg((F.col("ScheduleReturn").eqNullSafe(F.lit("Y"))).cast("double")).alias("share"))
+
+
+query("return_flag_by_predecessor", "kind s, n i, flagged i, share d", """WITH p AS (SELECT *, coalesce(event_date - lag(event_date) OVER w <= 30, false) AS near, lag(completed) OVER w AS pc FROM visits WINDOW w AS (PARTITION BY vehicle_id ORDER BY event_date, schedule_id)),
+ k AS (SELECT 'any booking before' AS kind, ScheduleReturn FROM p WHERE completed AND near UNION ALL SELECT 'completed before', ScheduleReturn FROM p WHERE completed AND near AND pc UNION ALL SELECT 'none before', ScheduleReturn FROM p WHERE completed AND NOT near)
+ SELECT kind, count(*) AS n, count(*) FILTER (WHERE ScheduleReturn = 'Y') AS flagged, avg(CAST(coalesce(ScheduleReturn = 'Y', false) AS INTEGER)) AS share FROM k GROUP BY 1""", "visits")(_recent)

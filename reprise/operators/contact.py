@@ -115,13 +115,14 @@ def find_in_pages(pages: DataFrame, part: str) -> DataFrame:
 
 
 def client_groups(candidates: DataFrame, policy: ContactPolicy) -> DataFrame:
-    """Vehicle count, number of pages, first page of vehicles as text, and groups of every client.
+    """Vehicle count, number of pages, vehicles as text, and groups of every client.
 
-    A fleet of one page is listed whole; all pages are in ``client_pages``, and the long form in ``client_vehicles``.
+    The published text names the whole fleet; it is put together from ordered page texts, so no task sorts a fleet.
+    ``client_pages`` and ``client_vehicles`` hold the same with rows of bounded size.
     """
     pages = client_pages(candidates)
     lists = pages.groupBy("_cliente").agg(F.sum("n").alias("n_vehiculos_cliente"), F.count(F.lit(1)).alias("n_paginas_cliente"),
-                                          F.max(F.when(F.col("page") == 0, F.concat_ws(" | ", "vehicles"))).alias("vehiculos_cliente"))
+                                          F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.concat_ws(" | ", "vehicles").alias("text")))), lambda p: p["text"]), " | ").alias("vehiculos_cliente"))
     ident = candidates.where(F.col("_cliente") != "")
     groups = ident.groupBy("_cliente").agg(F.concat_ws(" | ", *[
         F.when(F.bool_or(F.col("segmento") == g), F.lit(g)) for g in ("Alto", "Medio")]).alias("grupos_cliente"))

@@ -21,7 +21,7 @@ from reprise.operators.evaluate import rank_scores
 from reprise.operators.model import heuristic_score
 from reprise.operators.windows import build_windows, current_population, pending_bookings
 from reprise.params import BusinessParams, ContactPolicy, DataSpan, SaleRules, SplitParams, WindowParams
-from reprise.runtime import stage_table
+from reprise.runtime import folder_version, stage_table
 
 SPAN = DataSpan(start=dt.date(1995, 1, 1), cutoff=dt.date(2001, 2, 28))
 RULES = SaleRules(model="PICKUP", min_delivery="1993-01-01", generation_new="BUILDING", generation_old="MACHINERY")
@@ -135,7 +135,7 @@ class Tables:
     """Lazy domain tables over one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.version = spark, folder, folder_version(spark, folder)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -151,8 +151,8 @@ class Tables:
         return self.raw("customer").selectExpr(*[f"{e} AS {c}" for c, e in SALES.items()])
 
     def stage(self, name: str, build) -> DataFrame:
-        """Stage table of this session and folder: written once, then read with pruning and pushdown."""
-        return stage_table(self.spark, f"{self.folder}#{name}", build)
+        """Stage table of this session and of the folder as it stands: written once, then read with pruning and pushdown."""
+        return stage_table(self.spark, f"{self.folder}#{self.version}#{name}", build)
 
     def appt(self) -> DataFrame:
         return self.stage("appt", lambda: appointments(self.agenda()))

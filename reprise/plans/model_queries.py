@@ -17,7 +17,7 @@ ROUNDS = 60
 
 def trained(t: Tables) -> dict:
     """Models of this session and folder, fitted once."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    key = (t.spark.sparkContext.applicationId, t.folder, t.version)
     if key not in _RESULTS:
         _RESULTS[key] = md.train_all(t.features(), SPLIT, max_iter=ROUNDS)
     return _RESULTS[key]

@@ -73,6 +73,13 @@ def stage_table(spark: SparkSession, name: str, build: Callable[[], DataFrame])
     return spark.read.parquet(_STAGES[key])
 
 
+def folder_version(spark: SparkSession, folder: str) -> str:
+    """A mark that changes when a table of the folder is rewritten: names, sizes and times of its entries."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return str(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once an application: they need not have it installed."""
     app = spark.sparkContext.applicationId

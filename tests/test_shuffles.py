@@ -1,11 +1,15 @@
 """Wide rows are dealt as seldom as their keys allow, with the same rows."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
 from reprise.operators.events import appointments
+from reprise.operators.features import COUNTERS, dealt_visits, vehicle_history, visit_flags
+from reprise.operators.windows import rate_with_fallback
 from reprise.plans.domain import AGENDA, Tables
+from reprise.runtime import cut_lineage
 
 _DAY = dt.datetime(1996, 5, 1)
 _ORDERS = [(1, 1, "F", 90000.0, _DAY, "1-URGENT"), (1, 1, "F", 90000.0, _DAY, "1-URGENT"), (2, 2, "P", 250000.0, _DAY, "5-LOW"), (3, None, "O", 490000.0, _DAY, "4-NOT SPECIFIED"),
@@ -35,3 +39,38 @@ def test_bookings_are_dealt_once_and_keep_their_rows(spark, tmp_path):
     assert got.count() == 5 and got.exceptAll(appointments(plain)).count() == 0
     # the two sides of the join only; the wide rows were dealt three times more
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def _dealt_by(df, key):
+    return len(re.findall(rf"Exchange hashpartitioning\({key}#\d+L?, \d+\)", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_the_day_log_is_dealt_by_vehicle_once_and_keeps_its_counts(spark, tmp_path):
+    t = _folder(spark, tmp_path)
+    log = t.day_log().withColumn("n_towing", F.when(F.col("vehicle_id") == "V1", F.lit(300)).otherwise(F.col("n_towing")))
+    probes = spark.createDataFrame([("V1", dt.date(1996, 1, 1)), ("V1", dt.date(1999, 1, 1)), ("V2", dt.date(1999, 1, 1)), ("V3", dt.date(1999, 1, 1))], "vehicle_id string, scoring_date date")
+    seen = vehicle_history(probes, t.appt(), log)
+    # intervals and histories are read in one ordering; the log was dealt once for each
+    assert _dealt_by(seen, "vehicle_id") == 1
+    got = {(r.vehicle_id, r.scoring_date.year): r for r in seen.collect()}
+    days = {r.vehicle_id: r for r in log.groupBy("vehicle_id").agg(*[F.sum(c).alias(c) for c in COUNTERS]).collect()}
+    assert days["V1"].n_towing >= 300 and {v for v, _ in got} >= set(days)
+    assert all(got[v, 1999][c] == d[c] for v, d in days.items() for c in COUNTERS)
+    assert all(got[k][c] == 0 for k in (("V1", 1996), ("V3", 1999)) for c in COUNTERS)
+
+
+def test_flags_of_a_visit_are_dealt_as_one_number(spark, tmp_path):
+    appt = _folder(spark, tmp_path).appt()
+    v = dealt_visits(appt)
+    plain = appt.where("vehicle_id IS NOT NULL AND event_date IS NOT NULL").select("schedule_id", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in visit_flags().items()])
+    assert v.select(*plain.columns).exceptAll(plain).count() == 0 and plain.exceptAll(v.select(*plain.columns)).count() == 0
+
+
+def test_anchors_are_not_dealt_by_generation(spark):
+    day = dt.date(1997, 1, 1)
+    rows = [("V1", day, "maintenance", "A", 30.0), ("V2", day, "maintenance", "A", 50.0), ("V3", day, "maintenance", "A", None), ("V4", day, "maintenance", None, None), ("V5", day, "warranty", "B", None)]
+    rated = cut_lineage(spark.createDataFrame(rows, "vehicle_id string, anchor_date date, anchor_type string, generation string, own_rate double"))
+    w = rate_with_fallback(rated)
+    assert _dealt_by(w, "generation") <= 1          # the counts of the medians; the anchors are not dealt
+    assert {r.vehicle_id: (r.km_rate_per_day, r.rate_source) for r in w.collect()} == {
+        "V1": (30.0, "individual"), "V2": (50.0, "individual"), "V3": (40.0, "generacion"), "V4": (40.0, "generacion"), "V5": (40.0, "generacion")}

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from reprise.operators.events import appointments
 from reprise.operators.features import COUNTERS, dealt_visits, vehicle_history, visit_flags
-from reprise.operators.windows import rate_with_fallback
-from reprise.plans.domain import AGENDA, Tables
+from reprise.operators.windows import anchors_with_rates, dated_windows, default_grid, rate_with_fallback, window_sensitivity, windows_by_definition
+from reprise.plans.domain import AGENDA, PARAMS, RULES, SPAN, Tables
 from reprise.runtime import cut_lineage
 
 _DAY = dt.datetime(1996, 5, 1)
@@ -74,3 +74,19 @@ def test_anchors_are_not_dealt_by_generation(spark):
     assert _dealt_by(w, "generation") <= 1          # the counts of the medians; the anchors are not dealt
     assert {r.vehicle_id: (r.km_rate_per_day, r.rate_source) for r in w.collect()} == {
         "V1": (30.0, "individual"), "V2": (50.0, "individual"), "V3": (40.0, "generacion"), "V4": (40.0, "generacion"), "V5": (40.0, "generacion")}
+
+
+def test_definitions_share_their_dealt_anchors(spark, tmp_path):
+    t = _folder(spark, tmp_path)
+    grid = {n: p for n, p in default_grid(PARAMS).items() if n in ("K_GEN|lead=60|h=60", "K_16|lead=30|h=90")}
+    found = windows_by_definition(t.appt(), t.sales(), grid, SPAN, RULES)
+    for name, p in grid.items():
+        rated = rate_with_fallback(anchors_with_rates(t.appt(), t.sales(), p, SPAN, RULES))
+        plain = dated_windows(rated, p, SPAN)
+        got = found[name].select(*plain.columns)
+        assert plain.count() and got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+    whole = window_sensitivity(t.appt(), t.sales(), grid, SPAN, RULES)
+    whole.collect()
+    # definitions of one set of anchors read one exchange
+    plan = whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(set(re.findall(r"hashpartitioning\(vehicle_id#\d+, \d+\), REPARTITION_BY_COL, \[plan_id=(\d+)\]", plan))) == 1

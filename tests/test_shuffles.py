@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from reprise.operators.events import appointments
@@ -90,3 +91,27 @@ def test_definitions_share_their_dealt_anchors(spark, tmp_path):
     # definitions of one set of anchors read one exchange
     plan = whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert len(set(re.findall(r"hashpartitioning\(vehicle_id#\d+, \d+\), REPARTITION_BY_COL, \[plan_id=(\d+)\]", plan))) == 1
+
+
+def test_bookings_and_items_are_dealt_by_numbers_and_keep_every_name(spark, tmp_path):
+    t = _folder(spark, tmp_path / "rows")
+    parts = [(1, "large ring", "PROMO", 40), (2, "hot bolt", "LARGE", 10), (3, "blue ring", "SMALL", 7), (4, "odd part", None, 10), (5, "no size", "MEDIUM", None), (6, None, "SMALL", 45)]
+    items = [(1, k, 1, k, 7.0, 5.0, 0.01, 0.02, "R", "O", _DAY) for k in (1, 2, 3, 4, 5, 6, 7, None)]
+    spark.createDataFrame(parts, t.raw("part").schema).write.parquet(str(tmp_path / "rows" / "part.parquet"), mode="overwrite")
+    spark.createDataFrame(items, t.raw("lineitem").schema).write.parquet(str(tmp_path / "rows" / "lineitem.parquet"), mode="overwrite")
+    o, l, p, c = (t.raw(n) for n in ("orders", "lineitem", "part", "customer"))
+    plain = (o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+             .join(p, F.col("l_partkey") == F.col("p_partkey"), "left").selectExpr(*[f"{e} AS {k}" for k, e in AGENDA.items()]))
+    got = t.agenda()
+    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+    assert {r.ServiceName for r in plain.collect()} >= {"blue ring", "odd part", "no size", "Oil and filter change", "Revision de Viaje"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the key's text would be dealt beside the key
+    assert len(re.findall(r"Exchange hashpartitioning\(cast\([lo]_orderkey#\d+L? as string\)", plan)) == 2
+
+
+def test_stages_are_written_small(spark, tmp_path):
+    t = _folder(spark, tmp_path)
+    files = t.appt().inputFiles()
+    kinds = {pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(0).compression for f in files}
+    assert files and kinds == {"ZSTD"}

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from reprise.operators.events import appointments
 from reprise.operators.features import COUNTERS, dealt_visits, vehicle_history, visit_flags
 from reprise.operators.windows import anchors_with_rates, dated_windows, default_grid, rate_with_fallback, window_sensitivity, windows_by_definition
+from reprise.plans import domain
 from reprise.plans.domain import AGENDA, PARAMS, RULES, SPAN, Tables
-from reprise.runtime import cut_lineage
+from reprise.runtime import cut_lineage, row_tasks
 
 _DAY = dt.datetime(1996, 5, 1)
 _ORDERS = [(1, 1, "F", 90000.0, _DAY, "1-URGENT"), (1, 1, "F", 90000.0, _DAY, "1-URGENT"), (2, 2, "P", 250000.0, _DAY, "5-LOW"), (3, None, "O", 490000.0, _DAY, "4-NOT SPECIFIED"),
@@ -115,3 +116,15 @@ def test_stages_are_written_small(spark, tmp_path):
     files = t.appt().inputFiles()
     kinds = {pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(0).compression for f in files}
     assert files and kinds == {"ZSTD"}
+
+
+def test_tasks_follow_the_items_and_not_their_stored_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(domain, "ITEM_ROWS", 100)
+    t = _folder(spark, tmp_path / "rows")
+    # equal values lie side by side, so 1,000 items are stored in a few KB
+    spark.createDataFrame([(1, 1, 1, 1, 17.0, 10.0, 0.06, 0.02, "R", "O", _DAY)] * 1000, t.raw("lineitem").schema).coalesce(1).write.parquet(str(tmp_path / "rows" / "lineitem.parquet"), mode="overwrite")
+    plan = t.agenda()._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(cast\([lo]_orderkey#\d+L? as string\), (\d+)\)", plan)
+    assert dealt == ["10", "10"]
+    # two at least
+    assert row_tasks(t.raw("part"), 100) == 2

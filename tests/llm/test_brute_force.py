@@ -123,6 +123,63 @@ def test_base_scores_and_held_out_gain(spark):
     assert per("score") > per("base_score") + 0.1
 
 
+def plain_tree(rows, learns):
+    """log10 gains of (id, text) over the add-0.1 base: all sequences counted from short to long, scored from the root down."""
+    end, least = suffix_tree.END_TOKEN, suffix_tree.LEAST
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [(i, (end, *WORD.findall((t or "").translate(low)), end)) for i, t in rows]
+    train = [t for i, t in texts if learns(i)]
+    one = collections.Counter(w for t in train for w in t[1:])
+    total = sum(one.values()) + 0.1 * (len(one) + 1)
+    p = {(): lambda w: (one[w] + 0.1) / total}                 # a context's distribution, of contexts that are kept
+    grow, sizes = {(w,): n for w, n in one.items() if n >= least}, []
+    while grow:
+        k = len(next(iter(grow)))
+        after = collections.defaultdict(collections.Counter)
+        for t in train:
+            for j in range(k, len(t)):
+                if t[j - k:j] in grow:
+                    after[t[j - k:j]][t[j]] += 1
+        sizes.append(len(grow))
+        kept = {}
+        for s, count in after.items():
+            suffix = next(p[s[j:]] for j in range(1, k + 1) if s[j:] in p)
+            edges = {w: (c, suffix(w)) for w, c in count.items() if c >= least}
+            n, rest = sum(count.values()), sum(c for c in count.values() if c < least)
+            left = max(1 - sum(q for _, q in edges.values()), suffix_tree.MIN_REST)
+            d = sum(c * math.log(c / n / q) for c, q in edges.values()) + (rest * math.log(rest / n / left) if rest else 0.0)
+            if not edges or d < suffix_tree.MIN_DIVERGENCE * (len(edges) + 1):
+                continue
+            others = (rest + suffix_tree.SMOOTHING * left) / ((n + suffix_tree.SMOOTHING) * left)
+            own = {w: (c + suffix_tree.SMOOTHING * q) / (n + suffix_tree.SMOOTHING) for w, (c, q) in edges.items()}
+            kept[s] = lambda w, own=own, others=others, suffix=suffix: own[w] if w in own else others * suffix(w)
+        grow = {(*s, w): n for s, count in after.items() for w, n in count.items() if n >= least and w != end and (*s, w)[1:] in kept}
+        p |= kept
+    out = []
+    for _, t in texts:
+        value = 0.0
+        for j in range(1, len(t)):
+            context = next((s for s in (t[i:j] for i in range(max(0, j - len(sizes)), j)) if s in p), ())
+            value += math.log10(p[context](t[j])) - math.log10(p[()](t[j]))
+        out.append(value)
+    return out, sizes
+
+
+@pytest.mark.parametrize("most", [suffix_tree.SENT, 40])
+def test_tree_scores_equal_a_plain_tree(spark, monkeypatch, most):
+    """Every word is a symbol of its own and contexts are as long as they diverge, whether nodes are sent or shuffled."""
+    monkeypatch.setattr(suffix_tree, "STRETCH_BYTES", 20_000)
+    monkeypatch.setattr(suffix_tree, "MERGED", 1_000)
+    passage = "a passage of some words that stands in many texts"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    rows += [(10_000 + k, f"Note {k} {passage}") for k in range(40)] + [(20_000, None), (20_001, ""), (20_002, "the " * 30), (20_002, "the " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, round(r.score - r.base_score, 6)) for r in suffix_tree.score(df, suffix_tree.fold() != 0, suffix_tree.fold() == 0, most).collect())
+    gain, sizes = plain_tree(rows, lambda i: zlib.crc32(str(i).encode()) % 10 != 0)
+    want = sorted((i, round(g, 6)) for (i, _), g in zip(rows, gain, strict=True))
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([g for _, g in got], [g for _, g in want], atol=1e-4)
+    assert len(sizes) > 3 and sizes[0] > 100 and max(g for i, g in got if i >= 10_000) > 10
+
 def test_tree_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     ones = rng.integers(0, 40, (7, 7)).astype(float)

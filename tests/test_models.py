@@ -212,3 +212,13 @@ def test_batched_fits_equal_fits_alone(spark):
         assert np.abs(b - beta[g]).max() < 1e-6
         got = sorted(q["p"] for q in bt.score_groups(d, "g", beta, ["g"]).where(F.col("g") == g).collect())
         assert np.allclose(got, sorted(1 / (1 + np.exp(-x @ b))), atol=1e-6)
+
+
+def test_definitions_are_checked_by_their_inputs_alone(spark):
+    """What the check doesn't read is neither stored nor dealt, and changes nothing."""
+    rows = [(d, f"v{k}", dt.date(1998 + k % 4, 1 + k % 12, 1), float((k * 7) % 3 > 0), float(k % 11), "D" if k % 2 else "E", "text " * 50) for d in ("a", "b") for k in range(240)]
+    f = spark.createDataFrame(rows, "definition string, vehicle_id string, scoring_date date, label_churn double, n_maint double, generation string, note string")
+    split = SplitParams(train_end=dt.date(1998, 12, 31), valid_end=dt.date(1999, 9, 30))
+    assert md.checked_columns(f).columns == ["definition", "vehicle_id", "scoring_date", "label_churn", "n_maint", "generation"]
+    got = [md.check_definitions(x, split).orderBy("definition").collect() for x in (f, f.drop("note"))]
+    assert got[0] == got[1] and [r.n_train + r.n_test for r in got[0]] == [240, 240]

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -222,3 +223,22 @@ def test_definitions_are_checked_by_their_inputs_alone(spark):
     assert md.checked_columns(f).columns == ["definition", "vehicle_id", "scoring_date", "label_churn", "n_maint", "generation"]
     got = [md.check_definitions(x, split).orderBy("definition").collect() for x in (f, f.drop("note"))]
     assert got[0] == got[1] and [r.n_train + r.n_test for r in got[0]] == [240, 240]
+
+
+def test_variants_are_fitted_side_by_side(spark, monkeypatch):
+    """Each variant waits for another one to have begun; its own failure comes out."""
+    began = threading.Barrier(2, timeout=60)
+
+    def variant(x, split, drop, name, max_iter):
+        if name in ("base", "no_high_cardinality"):
+            began.wait()
+        if name == "no_surveys" and max_iter == 0:
+            raise ValueError(name)
+        return spark.createDataFrame([(name, f"{k}", float(k % 2), k / 10) for k in range(10)], "modelo string, id string, y double, p double")
+
+    monkeypatch.setattr(md, "_variant", variant)
+    data = spark.createDataFrame([(200, "warranty")], "history_days int, anchor_type string")
+    assert sorted(r.modelo for r in md.ablations(data, None, None, 1).collect()) == sorted(["base", "no_high_cardinality", "agenda_only", "history_6_months", "no_surveys", "with_connectivity_snapshot", "first_service_only", "later_services_only"])
+    began.reset()
+    with pytest.raises(ValueError, match="no_surveys"):
+        md.ablations(data, None, None, 0)
